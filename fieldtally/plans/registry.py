@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("results", "boards")
+MODULES = ("results", "boards", "texts")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
