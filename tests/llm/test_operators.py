@@ -1,0 +1,428 @@
+"""Each operator against a brute-force version, on small tables with odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from fieldtally.llm import audio, bpe, licenses, packing, quality, secrets, simhash, sketch, toxicity
+
+WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, score double, fp string, bucket long, node long, label int"
+ODD = [None, "", " ", "a", "\n\n", "Ünïcode ΣΑΣ İstanbul", "x" * 5000, "one two three " * 3000, "tab\tnew\nline \x0b\x0c\x1c\x85\xa0end", "same text", "same text", "日本語 テキスト 😀", "don't we'll it's"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, a null id, a repeated row, and columns whose names clash with results."""
+    rows = [(i, t, None, 0.5, "f", 1, 2, 3) for i, t in enumerate(ODD)] + [(3, "a", None, None, None, None, None, None), (None, "no id", None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# packing
+
+
+def test_packing_places_every_id_once(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_FILE)
+    library.encode_special_tokens = True
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = packing.pack(docs, WORD_FILE, block_windows=4).toPandas()
+    texts = docs.select("doc_id", "text").toPandas().set_index("doc_id")["text"]
+    for doc_id, pieces in got.groupby("doc_id"):
+        ids = np.array([*library.encode(texts[doc_id], add_special_tokens=False).ids, 2], np.uint32)
+        at = 0
+        for _, p in pieces.sort_values("start").iterrows():
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    assert set(got.doc_id) == set(texts.index)
+    for _, pieces in got.groupby("sequence_id"):
+        pieces = pieces.sort_values("offset")
+        assert pieces.offset.tolist() == [0, *pieces.length.cumsum()[:-1]]
+        assert pieces.length.sum() <= packing.CAPACITY and (pieces.sequence_tokens == pieces.length.sum()).all()
+    assert got.length.sum() / (got.sequence_id.nunique() * packing.CAPACITY) > 0.97
+
+
+def test_packing_odd_rows(odd, empty):
+    got = packing.pack(odd, WORD_FILE).toPandas()
+    assert got[got.doc_id == 0].length.tolist() == [1]
+    assert got[got.doc_id == 3].length.tolist() == [2, 2]
+    assert got.doc_id.isna().sum() == 1
+    assert packing.pack(empty, WORD_FILE).count() == 0
+
+
+def test_word_tokenizer_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_FILE)
+    library.encode_special_tokens = True
+    own, rng = packing.WordTokenizer(WORD_FILE), random.Random(4)
+    letters = "abcdefgh'stremvld  \n\t.,;!?0123456789éÉßÀçñ́日本語ΩΣσ😀½²_-“”İſK\x85\xa0 　​\x1c\x01<|>"
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for t in texts:
+        assert own(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_differencing_is_near_equal_and_windows_hold():
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 900) for _ in range(120)]
+    sums = [sum(sizes[i] for i in part) for part in packing.differencing(sizes, 8)]
+    assert sum(sums) == sum(sizes) and max(sums) - min(sums) < 100
+    for sizes in ([3000, 3000, 3000], [4096], [4000] * 5 + [96] * 5, [1], [2100, 2100, 2100, 1]):
+        found = packing.windows(sizes, 4096, 0)
+        assert all(sum(n for _, _, n in w) <= 4096 for w in found)
+        assert sorted((i, s, n) for w in found for i, s, n in w if n == sizes[i]) == [(i, 0, n) for i, n in enumerate(sizes)]
+    assert len(packing.windows([3000, 3000, 3000], 4096, 0)) == 3
+
+
+# simhash
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    items = sorted((i, f) for i, f in prints if i is not None)
+    names = {i: i for i, _ in items}
+    changed = True
+    while changed:
+        changed = False
+        for i, f in items:
+            for j, g in items:
+                if (f ^ g).bit_count() <= 2 and names[j] < names[i]:
+                    names[i], changed = names[j], True
+    return names
+
+
+def test_near_duplicates_equal_brute_force(spark, sf_dir, odd, empty):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd):
+        rows = docs.select("doc_id", "text").collect()
+        want = brute_components([(r[0], brute_fingerprint(r[1])) for r in rows])
+        got = simhash.near_duplicates(docs).collect()
+        assert len(got) == len(rows)
+        prints = {r[0]: brute_fingerprint(r[1]) for r in rows}
+        for r in got:
+            assert r.fp % 2**64 == prints[r.doc_id]
+            assert r.component_id == want.get(r.doc_id)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_links_of_dense_and_spread_points():
+    rng = np.random.default_rng(5)
+    for spread in (3, 12, 40):
+        base = rng.integers(0, 2**63, size=300, dtype=np.uint64)
+        near = base ^ (np.uint64(1) << rng.integers(0, spread, size=300).astype(np.uint64))
+        dense = base[0] ^ rng.integers(0, 2 ** min(spread, 12), size=400, dtype=np.uint64)
+        points = np.unique(np.concatenate([base, near, dense]))
+        rng.shuffle(points)
+        assert np.array_equal(simhash.link(points), simhash._smallest_reached(points, 2))
+        tree, leaves = simhash.fit_tree(np.sort(points[::3]), 8, 2)
+        shared = set()
+        for _, at in simhash.deal(tree, points, 2):
+            shared |= {(a, b) for a in at for b in at}
+        close = np.argwhere(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
+        assert all((a, b) in shared for a, b in close)
+
+
+def test_components_of_chains(spark):
+    chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(2, 41)}, 101: 100, 102: 100}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one(odd):
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert 9 in ids and 10 not in ids and 0 in ids and 1 not in ids and ids.count(3) == 1
+    assert kept.where("doc_id is null").count() == 1
+
+
+# classifiers
+
+
+def labelled(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def test_quality_held_out_accuracy(spark, odd, empty):
+    docs, labels = labelled(spark, "/root/testdata/sf0.01")
+    model = quality.train_quality(docs, labels)
+    scored = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).select("quality", quality.quality_score(model, F.col("text")).alias("s")).toPandas()
+    assert ((scored.s >= 0.3) == (scored.quality == 1)).mean() > 0.95
+    scores = odd.select("text", quality.quality_score(model, F.col("text")).alias("s")).toPandas()
+    assert scores.s.between(0, 1).all() and scores.groupby("text", dropna=False).s.nunique().max() == 1
+    assert empty.select(quality.quality_score(model, F.col("text"))).count() == 0
+    kept = quality.keep_good(odd, labels.limit(0))
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_network_gradients():
+    net = quality.ByteNetwork()
+    data, names = b"Some bytes !! here and here and here" * 9, ("tables", "mark", "bias", "layer", "layer_bias", "out", "out_bias")
+    for k in names:
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    grads = {k: np.zeros_like(getattr(net, k)) for k in names}
+    net.gradients(data, 1.0, 1.0, grads)
+
+    def loss():
+        z = np.maximum(net.chunks(data) @ net.layer + net.layer_bias, 0).max(axis=0) @ net.out + net.out_bias[0]
+        return np.log1p(np.exp(-z))
+
+    rng = np.random.default_rng(0)
+    for k in names:
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in getattr(net, k).shape) if k != "tables" else (rng.integers(0, 4), data[rng.integers(0, len(data))], rng.integers(0, quality.FILTERS))
+            old = getattr(net, k)[at]
+            getattr(net, k)[at] = old + 1e-4
+            up = loss()
+            getattr(net, k)[at] = old - 1e-4
+            down = loss()
+            getattr(net, k)[at] = old
+            assert abs((up - down) / 2e-4 - grads[k][at]) < 2e-3
+
+
+def test_network_segments_agree():
+    net = quality.ByteNetwork()
+    data = bytes(np.random.default_rng(1).integers(32, 127, 3000, dtype=np.uint8))
+    whole = net.chunks(data)
+    old, quality.SEGMENT = quality.SEGMENT, 512
+    try:
+        assert np.allclose(whole, net.chunks(data), atol=1e-5)
+    finally:
+        quality.SEGMENT = old
+
+
+def test_toxicity_held_out_accuracy(spark, odd, empty):
+    docs, labels = labelled(spark, "/root/testdata/sf0.1")
+    model = toxicity.train_toxicity(docs, labels)
+    scored = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).select("toxic", toxicity.toxicity_score(model, F.col("text")).alias("s")).toPandas()
+    assert ((scored.s >= 0.7) == (scored.toxic == 1)).mean() > 0.96
+    assert (scored.s[scored.toxic == 0] >= 0.7).mean() < 0.01
+    scores = odd.select("text", toxicity.toxicity_score(model, F.col("text")).alias("s")).toPandas()
+    assert scores.s.between(0, 1).all() and scores.groupby("text", dropna=False).s.nunique().max() == 1
+    assert empty.select(toxicity.toxicity_score(model, F.col("text"))).count() == 0
+    kept = toxicity.keep_civil(odd, labels.limit(0))
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_isotonic_is_monotone_and_pools():
+    x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
+    assert np.interp([1, 2, 3, 4], x, y).tolist() == [0, 0.5, 0.5, 1]
+
+
+# media
+
+
+def test_audio_round_trip(odd, empty):
+    got = odd.select("text", audio.audio_digest(F.col("text")).alias("a")).select("text", "a.*").toPandas()
+    for _, r in got.iterrows():
+        data = (r.text or "").encode()
+        padded = data + bytes(64 if not data else -len(data) % 64)
+        assert (r.n_bytes, r.payload_bytes) == (len(data), len(padded))
+        assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-64:])
+        assert r.media_sha256 == hashlib.sha256(audio.to_wav(padded)).hexdigest() and r.media_bytes == 44 + len(padded)
+    assert got.groupby(got.text.fillna("")).feature.nunique().max() == 1
+    assert got.feature.nunique() > 8
+    assert empty.select(audio.audio_digest(F.col("text"))).count() == 0
+
+
+def test_audio_resampling_and_tensors(spark):
+    import pyarrow as pa
+
+    samples = np.frombuffer(b"The quick brown fox jumps over the lazy dog. " * 60, np.uint8)
+    whole = audio.resampled(samples, 0, 900)
+    assert np.allclose(whole[200:500], audio.resampled(samples, 200, 500), atol=1e-6)
+    direct = np.zeros(64)
+    x = (samples.astype(float) - 128) / 128
+    for m in range(64):  # by definition: the filter of the output's phase over the samples around it
+        phase, start = m * audio.DOWN % audio.UP, m * audio.DOWN // audio.UP - audio.TAPS // 2
+        direct[m] = sum(x[start + t] * audio.PHASES[phase, t] for t in range(audio.TAPS) if 0 <= start + t < len(x))
+    assert np.allclose(whole[:64], direct, atol=1e-4)
+    row = spark.createDataFrame([("loud " * 500 + "\n" * 3000 + "LOUD " * 500,)], "text string").select(audio.audio_column(F.col("text")).alias("a")).select("a.*").first()
+    table = pa.ipc.open_stream(row.log_mel).read_all()
+    assert table.schema.field("log_mel").type.shape == [audio.TENSOR_FRAMES, audio.MELS]
+    assert len(table) == -(-row.frames // audio.TENSOR_FRAMES)
+    assert all(s.start_s < s.end_s for s in row.spans)
+
+
+def test_hysteresis():
+    mel = np.zeros((40, audio.MELS), np.float32)
+    mel[5:9], mel[6] = 2, 5  # over the lower threshold, once over the upper
+    mel[20:24] = 2  # never over the upper
+    seconds = audio.HOP / (audio.RATE * audio.UP / audio.DOWN)
+    assert audio.active_spans(mel) == [(round(5 * seconds, 2), round(9 * seconds, 2))]
+
+
+# licenses
+
+
+def brute_base(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places = [(i, label) for i in range(len(words)) for phrase, label in licenses.PHRASES.items() if words[i : i + len(phrase.split())] == phrase.split()]
+    return len(words), places
+
+
+def brute_labels(text):
+    low = (text or "").lower()
+    normal = "".join(f" {w} " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    found = [(p, label, m.start(), m.end()) for p, label, k, x in licenses.rules() if k in normal for m in re.finditer(x, normal)]
+    inside = lambda a, b: b[2] <= a[2] and b[3] >= a[3] and (b[0] > a[0] or b[0] == a[0] and b[3] - b[2] > a[3] - a[2])
+    return {a[1] for a in found if not any(inside(a, b) for b in found)}
+
+
+LICENSED = [
+    "Released under the MIT License. mit\nlicense MIT-license, GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0. All rights reserved", "SPDX-License-Identifier: Apache License 2.0",
+    "apache license mit license general public license", "the GNU Lesser General Public License v2.1 or BSD 3-Clause License", "Mozilla Public License 2.0 and mozilla public license", "no terms", "license", "mit", "Éric's mit license " * 40,
+]
+
+
+def test_licenses_equal_brute_force(spark, sf_dir, odd, empty):
+    extra = spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")
+    for docs in (extra, odd.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
+        texts = {(r[0], r[1]) for r in docs.collect()}
+        got = licenses.license_digest(docs).toPandas()
+        assert len(got) == docs.count()
+        by_id = {r.doc_id: r for r in got.where(got.doc_id.notna()).dropna(subset=["doc_id"]).itertuples()}
+        for doc_id, text in texts:
+            if doc_id is None:
+                continue
+            r, (n, places) = by_id[doc_id], brute_base(text)
+            assert (r.n_words, r.n_base) == (n, len(places)), text
+            assert [r.first_word, r.last_word] == [min(p for p, _ in places), max(p for p, _ in places)] if places else pd.isna(r.first_word)
+            assert r.base_labels == ",".join(sorted({x for _, x in places}))
+            assert r.labels == ",".join(sorted({x for _, x in places} | brute_labels(text))), text
+            assert 0 <= r.score <= 1
+    assert licenses.license_digest(empty).count() == 0
+    assert len(licenses.rules()) > 200
+
+
+# secrets
+
+
+def brute_secrets(text):
+    text, out = text or "", []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+def test_secret_base_equals_brute_force(spark, sf_dir, odd, empty):
+    rng = random.Random(3)
+    parts = ["password", "Passwd=", 'api_key": "', "ſecret: abcdefghijklmnop", "TOKEN =  '", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "ff", " ", "\n\n", "é", "=", ":", "user: bob", "https://h.example/x", "hunter22", "zzzzzzzzzzzz"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for docs in (made, odd.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
+        for r in docs.select("text", secrets.secret_digest(F.col("text")).alias("s")).select("text", "s.*").collect():
+            want = brute_secrets(r.text)
+            told = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+            assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest(), r.text
+            assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[2] == k for x in want) for k in ("assign", "access", "hex")]
+            assert not told or set(told.split(",")) <= set(r.spans.split(","))
+    assert empty.select(secrets.secret_digest(F.col("text"))).count() == 0
+
+
+def test_weak_parts_need_each_other():
+    kinds = lambda t: [k for _, _, k in secrets.spans(t)[1]]
+    assert kinds("user=alice") == [] and kinds("password: hunter22") == [] and kinds("https://db.example.com/x") == []
+    assert kinds("user=alice password: hunter22") == ["identifier", "secret"]
+    assert kinds("password: hunter22 at https://db.example.com/x") == ["secret", "endpoint"]
+    assert kinds("user=alice\n\npassword: hunter22") == []
+    assert kinds("user=alice" + " " * 400 + "password: hunter22") == []
+    assert kinds("login: bob token = 'abcdefghijklmnop'") == ["identifier", "assign"]
+    assert secrets.redacted("user=alice password: hunter22 ok") == "[REDACTED] [REDACTED] ok"
+
+
+def test_redact(odd):
+    out = secrets.redact(odd.withColumn("n_chars", F.lit(7)).withColumn("text", F.concat("text", F.lit(" token=abcdefghijklmnop"))))
+    row = out.where("doc_id = 9").first()
+    assert row.text == "same text [REDACTED]" and row.n_chars == len(row.text)
+    assert out.where("doc_id = 0").first().text is None
+
+
+# BPE
+
+
+def test_bpe_equals_tiktoken(odd, empty):
+    import tiktoken
+
+    own, rng = bpe.codec(BYTE_FILE, public_tokenizers.PATTERN), random.Random(6)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    letters = "abcdefgh'stremvld  \n\t.,;!?0123456789éÉßñ́日本語Ω😀½²_-“”İſ\x85\xa0 　​\x1c<|>"
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["ab" * 2000, " " * 300, "\n" * 50 + "x"]
+    for t in texts:
+        ids = library.encode_ordinary(t)
+        assert own.encode(t) == ids and own.decode(ids) == t.encode()
+    for r in odd.select("text", bpe.round_trip_digest(F.col("text"), BYTE_FILE, public_tokenizers.PATTERN).alias("b"), bpe.encode(F.col("text"), BYTE_FILE, public_tokenizers.PATTERN).alias("ids")).collect():
+        ids = library.encode_ordinary(r.text or "")
+        assert r.b.n_tokens == len(ids) and r.ids == ids
+        assert r.b.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.b.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert empty.select(bpe.encode(F.col("text"), BYTE_FILE, public_tokenizers.PATTERN)).count() == 0
+
+
+def test_perfect_hash_is_minimal_and_perfect():
+    keys = [f"k{i}".encode() for i in range(5000)]
+    table = bpe.PerfectHash(keys)
+    assert [table.find(k) for k in keys] == list(range(5000)) and sorted(table.slots) == list(range(5000))
+    assert table.find(b"other") == -1 and bpe.PerfectHash([b"one"]).find(b"one") == 0
+
+
+# sketches
+
+
+def test_edited_fingerprints(spark, sf_dir, odd, empty):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    sparse = docs.withColumn("doc_id", F.col("doc_id") * F.col("doc_id") * 977 - 5000)
+    for table in (docs, sparse, odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")):
+        rows = sorted((r[0], r[1] or "") for r in table.collect())
+        got = {r.doc_id: r for r in sketch.edited_fingerprints(table).collect()}
+        for k, (doc_id, text) in enumerate(rows):
+            half = len(text) // 2
+            edited = text[: len(text) - half] + rows[(k + 1) % len(rows)][1][:half]
+            r = got[doc_id]
+            assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+            if r.fingerprint and r.edited_fingerprint:
+                a, b = set(r.fingerprint.split(",")), set(r.edited_fingerprint.split(","))
+                assert text == edited or r.near_edited == pytest.approx(len(a & b) / min(len(a), len(b)))
+    assert sketch.edited_fingerprints(odd).count() == odd.count()
+    assert sketch.edited_fingerprints(empty).count() == 0
+
+
+def test_sketches_hold_all_low_hashes_and_merge(spark):
+    words = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[100:200]))], "doc_id long, text string")
+    shingles = spark.createDataFrame([tuple(words[i : i + 5]) for i in range(396)], "a string, b string, c string, d string, e string")
+    want = sorted(r[0] for r in shingles.select(F.xxhash64("a", "b", "c", "d", "e")).collect() if r[0] < -(2**63) + 2**64 // sketch.SCALE)
+    got = {r.doc_id: r.sketch for r in sketch.sketches(df).collect()}
+    assert got[1] == want and set(got[2]) < set(got[1])
+    both = sketch.sketches(df).alias("x").crossJoin(sketch.sketches(df).alias("y")).where("x.doc_id = 2 and y.doc_id = 1")
+    row = both.select(sketch.containment(F.col("x.sketch"), F.col("y.sketch")).alias("c"), sketch.merged(F.col("x.sketch"), F.col("y.sketch")).alias("m")).first()
+    assert row.c == 1.0 and row.m == want
