@@ -214,7 +214,7 @@ def schema_fields(schemas: DataFrame, key: str, schema_col: str) -> DataFrame:
                     rows += [{key: k} | f for f in fields(json.loads(text))]
                 except (TypeError, ValueError, AttributeError):
                     rows.append({key: k})
-            yield pd.DataFrame(rows, columns=[key, *names])
+            yield pd.DataFrame(rows, columns=[key, *names], dtype=object)
 
     distinct = schemas.select(key, schema_col).dropDuplicates([key])
     return distinct.mapInPandas(explode, f"{key} string, {FIELDS}")
