@@ -98,7 +98,7 @@ def resolve(schema: dict, root: dict, depth: int = 0) -> dict:
     """The schema that a reference names."""
     while isinstance(schema, dict) and "$ref" in schema and depth < MOST_DEPTH:
         found = root
-        for part in schema["$ref"].removeprefix("#/").split("/"):
+        for part in filter(None, schema["$ref"].removeprefix("#").split("/")):
             found = found.get(part, {}) if isinstance(found, dict) else {}
         schema, depth = found, depth + 1
     return schema if isinstance(schema, dict) else {}
@@ -213,7 +213,7 @@ def schema_fields(schemas: DataFrame, key: str, schema_col: str) -> DataFrame:
                 try:
                     rows += [{key: k} | f for f in fields(json.loads(text))]
                 except (TypeError, ValueError, AttributeError):
-                    rows.append({key: k})
+                    rows.append({key: k} | dict.fromkeys(names))
             yield pd.DataFrame(rows, columns=[key, *names], dtype=object)
 
     distinct = schemas.select(key, schema_col).dropDuplicates([key])

@@ -52,10 +52,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def _numbered(bag: Column) -> Column:
+    """Each entry with its number among its equals, so that shared entries of bags are shared entries of sets."""
+    # The outer transform, over one element, names the sorted bag; else it'd be sorted anew for each entry.
+    number = lambda s: F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i - F.array_position(s, x)).cast("string")))
+    return F.flatten(F.transform(F.array(F.array_sort(bag)), number))
+
+
 def bag_f1(a: Column, b: Column) -> Column:
     """F1 of the overlap of two bags, given as arrays; 1 if both are empty, 0 if one is."""
-    count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    shared = F.size(F.array_intersect(_numbered(a), _numbered(b)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
 
 

@@ -11,7 +11,7 @@ from .results import rounded
 from .standins import table
 
 FIELDS_SQL = """fields AS (SELECT vec_id // 5 AS owner, (vec_id % 5)::INT AS position, label % 3 AS type_class, 'f' || (vec_id % 5) AS name, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE), list_transform(embedding, lambda y: y::DOUBLE)))) AS vec FROM embeddings)"""
-CANDS_SQL = f"""{FIELDS_SQL}, q AS (SELECT * FROM fields WHERE owner % 20 = 0), c AS (SELECT * FROM fields WHERE owner % 20 <> 0),
+CANDS_SQL = f"""{FIELDS_SQL}, q AS (SELECT * FROM fields WHERE owner % 4 = 0), c AS (SELECT * FROM fields WHERE owner % 4 <> 0),
 aligned AS (SELECT q.owner AS query, c.owner AS case_id, q.position AS field, max(round(greatest(0.0::DOUBLE, list_dot_product(q.vec, c.vec)), 9)) AS similarity, arg_min(c.name, {{'a': -round(greatest(0.0::DOUBLE, list_dot_product(q.vec, c.vec)), 9), 'b': c.name}}) AS case_field FROM q JOIN c USING (type_class) GROUP BY ALL),
 cands AS (SELECT query, case_id, [coalesce(max(similarity) FILTER (field = 0), 0), coalesce(max(similarity) FILTER (field = 1), 0), coalesce(max(similarity) FILTER (field = 2), 0), coalesce(max(similarity) FILTER (field = 3), 0), coalesce(max(similarity) FILTER (field = 4), 0)] AS vec, round(sqrt(sum(similarity * similarity)), 9) AS score FROM aligned GROUP BY ALL)"""
 PAIR = "round(sqrt(greatest(0, x.score ** 2 + y.score ** 2 + 2 * list_dot_product(x.vec, y.vec))) + sqrt(greatest(0, x.score ** 2 + y.score ** 2 - 2 * list_dot_product(x.vec, y.vec))), 9)"
@@ -26,14 +26,14 @@ def fields(spark, d):
 
 def cands(spark, d):
     rows = fields(spark, d)
-    queries = rows.where("owner % 20 = 0")
-    return retrieval.candidates(retrieval.alignment(queries, rows.where("owner % 20 <> 0")), queries)
+    queries = rows.where("owner % 4 = 0")
+    return retrieval.candidates(retrieval.alignment(queries, rows.where("owner % 4 <> 0")), queries)
 
 
 @query("j6_r4_alignment", f"WITH {CANDS_SQL} SELECT query, case_id, field, round(similarity, 6) AS similarity, case_field FROM aligned WHERE similarity > 0")
 def _(spark, d):
     rows = fields(spark, d)
-    return rounded(retrieval.alignment(rows.where("owner % 20 = 0"), rows.where("owner % 20 <> 0")).where("similarity > 0"))
+    return rounded(retrieval.alignment(rows.where("owner % 4 = 0"), rows.where("owner % 4 <> 0")).where("similarity > 0"))
 
 
 @query("r4_candidates", f"WITH {CANDS_SQL} SELECT query, case_id, score FROM cands")
