@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("results", "boards", "texts", "lookups", "merges", "stores")
+MODULES = ("results", "boards", "texts", "lookups", "merges", "stores", "shapes")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
