@@ -132,3 +132,27 @@ def _(spark, d):
 def _(spark, d):
     a, b = profiles(spark, d)
     return retrieval.within_size(retrieval.lexical_ranked(a, b, k=10), b, 1500, 2).select("task_id", "case_id", "place")
+
+
+ROUTED_SQL = f"""{TASKS}, {LEX_SQL}, wanted AS (SELECT item_id AS task_id FROM benchmark UNION ALL SELECT 100000),
+sim AS (SELECT task_id, case_id, row_number() OVER (PARTITION BY task_id ORDER BY similarity DESC, case_id) AS place FROM (SELECT a.task_id, b.task_id AS case_id, round(list_dot_product(a.vec, b.vec), 9) AS similarity FROM tasks a JOIN tasks b USING (fingerprint) WHERE a.task_id IN (SELECT task_id FROM wanted) AND a.task_id <> b.task_id) WHERE similarity >= 0.2 QUALIFY place <= 2),
+s AS (SELECT * FROM sim WHERE task_id IN (SELECT task_id FROM sim GROUP BY task_id HAVING count(*) >= 2)),
+lex AS (SELECT task_id, case_id, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, case_id) AS place FROM scored WHERE score > 0 QUALIFY place <= 2)"""
+
+
+@query("r7_routed", f"""WITH {ROUTED_SQL}, done AS (SELECT *, 'same_schema' AS route FROM s UNION ALL SELECT *, 'lexical' FROM lex WHERE task_id NOT IN (SELECT task_id FROM s))
+SELECT task_id, case_id, place, route FROM done UNION ALL SELECT task_id, NULL, NULL, 'retrieval_failed' FROM wanted WHERE task_id NOT IN (SELECT task_id FROM done)""")
+def _(spark, d):
+    a, b = profiles(spark, d)
+    wanted = a.select("task_id").unionByName(spark.range(100000, 100001).select(F.col("id").alias("task_id")))
+    every = tasks(spark, d)[1]
+    schema = retrieval.same_schema_ranked(every.withColumnRenamed("case_id", "task_id").join(wanted, "task_id", "left_semi"), every, threshold=0.2, k=2)
+    none = schema.where("false").select("task_id", "case_id", "place")
+    return retrieval.routed(wanted, schema, none, retrieval.lexical_ranked(a, b, k=2))
+
+
+@query("r1_profiles", f"WITH t{PROFILE_SQL.format(id='item_id', fp='item_id % 7', tag=chr(39) + 'en' + chr(39), dom=chr(39) + 'src' + chr(39) + ' || (item_id % 20)', t='benchmark')} SELECT id AS task_id, fingerprint, len(fields) AS n_fields, len(names) AS n_names, len(terms) AS n_terms, domain, terms[1] AS first_term FROM tprofile")
+def _(spark, d):
+    rows = profiles(spark, d)[0]
+    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return rows.select("task_id", "fingerprint", size("fields"), size("names"), size("terms"), "domain", F.element_at("terms", 1).alias("first_term"))
