@@ -30,9 +30,9 @@ from .common import labelled_sample
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: The training sample: rows of each label at most, bytes of a text at most.
 PER_CLASS, MOST_BYTES = 2500, 32_768
-#: A lexicon entry: letters of a word beginning, least likelihood ratio, least documents, least lift.
-STEM, LEAST_G2, LEAST_DOCS, LEAST_LIFT = 4, 30.0, 4, 6.0
-TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE, FOLDS = 60, 3, 0.2, 32, 8, 1.0, 4
+#: A lexicon entry: letters of a word beginning, least likelihood ratio, least toxic documents and their share, least lift.
+STEM, LEAST_G2, LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 4, 30.0, 4, 0.02, 6.0
+TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE, FOLDS = 30, 3, 0.2, 32, 3, 1.0, 10
 NEAR = 5
 SECOND_PERSON = frozenset("you your yours yourself ya u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie usted ustedes tú ti vosotros os vuestro".split())
 LEET = str.maketrans("013457@$!|", "oleastasil")
@@ -42,32 +42,34 @@ _MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]+)+")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _SHOUTED = re.compile(r"\b[A-Z]{3,}\b")
 _MARKS = re.compile(r"[!-/:-@\[-`{-~]")
-FEATURES = ("word_hits", "word_hit_rate", "distinct_words", "stem_hits", "stem_hit_rate", "distinct_stems", "plain_obfuscated_hits", "near_second_person", "second_person_rate", "capital_rate", "shouted_rate", "exclamation_rate", "punctuation_rate", "obfuscation_rate", "stretched_rate", "length")
+FEATURES = ("hits", "hit_rate", "distinct_hits", "strongest_hit", "strength_rate", "plain_obfuscated_hits", "near_second_person", "second_person_rate", "capital_rate", "shouted_rate", "exclamation_rate", "punctuation_rate", "obfuscation_rate", "stretched_rate", "length")
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    words: frozenset = frozenset()
-    stems: frozenset = frozenset()
+    """Entries with the logarithm of how much more often toxic documents hold them."""
+
+    words: dict = field(default_factory=dict)
+    stems: dict = field(default_factory=dict)
 
     @staticmethod
     def learn(texts: list[str], labels: list[int]) -> Lexicon:
         """Words and word beginnings that toxic documents hold significantly more often."""
         toxic, clean = sum(labels), len(labels) - sum(labels)
 
-        def telling(entries: Iterator[set]) -> frozenset:
+        def telling(entries: Iterator[set]) -> dict:
             pos, neg = Counter(), Counter()
             for found, y in zip(entries, labels):
                 (pos if y else neg).update(found)
-            out = set()
-            for entry, p in pos.items():
+            out = {}
+            for entry, p in sorted(pos.items()):
                 n = neg[entry]
-                if p >= LEAST_DOCS and p / toxic > LEAST_LIFT * (n + 0.5) / (clean + 1):
+                if p >= max(LEAST_DOCS, LEAST_SHARE * toxic) and p / toxic > LEAST_LIFT * (n + 0.5) / (clean + 1):
                     share = (p + n) / (toxic + clean)
                     g2 = 2 * (p * np.log(p / (toxic * share)) + (n * np.log(n / (clean * share)) if n else 0))
                     if g2 >= LEAST_G2:
-                        out.add(entry)
-            return frozenset(out)
+                        out[entry] = float(np.log((p / toxic) / ((n + 0.5) / (clean + 1))))
+            return out
 
         found = [set(_WORD.findall(t.lower())) for t in texts]
         return Lexicon(telling(iter(found)), telling({w[:STEM] for w in ws if len(w) > STEM} for ws in found))
@@ -78,20 +80,23 @@ class Lexicon:
         words = _WORD.findall(low)
         n, size = len(words) or 1, len(text) or 1
         lexicon, stems = self.words, self.stems
-        hits = [] if lexicon.isdisjoint(words) else [i for i, w in enumerate(words) if w in lexicon]
-        begun = [] if stems.isdisjoint([w[:STEM] for w in words]) else [i for i, w in enumerate(words) if w[:STEM] in stems and len(w) > STEM]
+        heads = [w[:STEM] for w in words]
+        hits: dict[int, float] = {}  # place: strength of the word or, if it goes on, its beginning
+        if not (lexicon.keys().isdisjoint(words) and stems.keys().isdisjoint(heads)):
+            found = [max(lexicon.get(w, 0.0), stems.get(h, 0.0) if len(w) > STEM else 0.0) for w, h in zip(words, heads)]
+            hits = {i: x for i, x in enumerate(found) if x > 0}
         mixed = _MIXED.findall(low)
         plain = sum(1 for w in mixed if w.translate(LEET) in lexicon or w.replace("*", "") in lexicon)
         you = [] if SECOND_PERSON.isdisjoint(words) else [i for i, w in enumerate(words) if w in SECOND_PERSON]
         near = 0
-        if you and (hits or begun):
-            at, spots = np.array(sorted({*hits, *begun})), np.array(you)
+        if you and hits:
+            at, spots = np.array([*hits]), np.array(you)
             k = np.searchsorted(spots, at)
             gap = np.minimum(np.abs(at - spots[np.minimum(k, len(spots) - 1)]), np.abs(at - spots[np.maximum(k - 1, 0)]))
             near = float((gap <= NEAR).mean())
         capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         return [
-            len(hits), len(hits) / n, len({words[i] for i in hits}), len(begun), len(begun) / n, len({words[i] for i in begun}),
+            len(hits), len(hits) / n, len({heads[i] for i in hits}), max(hits.values(), default=0.0), sum(hits.values()) / n,
             plain, near, len(you) / n, capitals / size, len(_SHOUTED.findall(text)) / n, text.count("!") / size,
             len(_MARKS.findall(text)) / size, len(mixed) / n, len(_STRETCHED.findall(low)) / n, np.log1p(n),
         ]
@@ -173,7 +178,7 @@ def isotonic(margins: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndar
 
 @dataclass
 class ToxicityModel:
-    lexicon: Lexicon = Lexicon()
+    lexicon: Lexicon = field(default_factory=Lexicon)
     trees: BoostedTrees = field(default_factory=BoostedTrees)
     knots: tuple = ()
     constant: float | None = None
