@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, licenses, packing, quality, secrets, simhash, sketch, toxicity
+from . import audio, bpe, licenses, packing, quality, secrets, simhash, sketch, sql, toxicity
 from .common import crc_remainder, documents
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
