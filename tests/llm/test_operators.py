@@ -426,3 +426,15 @@ def test_sketches_hold_all_low_hashes_and_merge(spark):
     both = sketch.sketches(df).alias("x").crossJoin(sketch.sketches(df).alias("y")).where("x.doc_id = 2 and y.doc_id = 1")
     row = both.select(sketch.containment(F.col("x.sketch"), F.col("y.sketch")).alias("c"), sketch.merged(F.col("x.sketch"), F.col("y.sketch")).alias("m")).first()
     assert row.c == 1.0 and row.m == want
+
+
+def test_license_sql_equals_the_query(spark, sf_dir):
+    import duckdb
+
+    from fieldtally.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()["op6_licenses"])
+    rows = queries.op6_licenses(spark, sf_dir).select(*want.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(want.fetchall())
