@@ -97,3 +97,10 @@ def attribute_usage(log: DataFrame, windows: DataFrame, bucket_s: int = 3600) ->
     bucket = lambda c: F.floor(F.unix_timestamp(c) / bucket_s)
     spread = windows.withColumn("bucket", F.explode(F.sequence(bucket("started"), bucket("ended"))))
     return log.withColumn("bucket", bucket("ts")).join(spread, ["key", "bucket"]).where("ts >= started and ts < ended").drop("bucket", "started", "ended")
+
+
+def route_metrics(cells: DataFrame, results: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Micro metrics of every cell (cell_id, run) by the route of its tasks."""
+    from .metrics import micro_metrics
+
+    return micro_metrics(cells.join(results, "run").join(diagnostics.select("task_id", "route"), "task_id"), ["cell_id", "route"])

@@ -75,6 +75,14 @@ def field_scope(values: DataFrame, tasks: DataFrame) -> DataFrame:
     return out.select("task_id", "field", scope.alias("scope"))
 
 
+def present_fields(values: DataFrame, share: float = 0.5) -> DataFrame:
+    """Values of the fields that an object keeps: root fields always, nested ones (with a dot) if enough of the task's trials have them."""
+    n = values.groupBy("task_id").agg(F.countDistinct("trial").alias("__n"))
+    seen = values.groupBy("task_id", "field").agg(F.countDistinct("trial").alias("__seen")).join(n, "task_id")
+    kept = seen.where(~F.col("field").contains(".") | (F.col("__seen") >= F.ceil(F.col("__n") * share))).select("task_id", "field")
+    return values.join(kept, ["task_id", "field"], "left_semi")
+
+
 def vote_table(values: DataFrame, groups: DataFrame) -> DataFrame:
     """Trials and groups of every value; repeats within a trial count once.  ``groups`` has (task_id, trial, group)."""
     rows = values.select("task_id", "field", "value", "trial").distinct().join(groups, ["task_id", "trial"])
@@ -173,6 +181,22 @@ def similarity(a, b) -> float:
     return float(type(a) is type(b) and a == b)
 
 
+def value_similarities(a: Column, b: Column) -> Column:
+    """The weighted similarity of two JSON values; null if either doesn't parse."""
+
+    @F.pandas_udf("double")
+    def compare(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys):
+            try:
+                out.append(similarity(json.loads(x), json.loads(y)))
+            except (TypeError, ValueError):
+                out.append(None)
+        return pd.Series(out, dtype="float64")
+
+    return compare(a, b)
+
+
 def cluster(items: list[tuple[int, int, object]], threshold: float, alike=similarity) -> list[list[int]]:
     """In order of arrival each (trial, item, value) joins the best cluster at the threshold that its trial isn't in yet."""
     clusters: list[list[int]] = []

@@ -131,3 +131,18 @@ def _(spark, d):
 @query("c12_consensus_records")
 def _(spark, d):
     return consensus.records(consensus.clustered_consensus(turn_values(spark, d)))
+
+
+@query("c11_object_fields", f"""WITH {VALUES_SQL}, nested AS (SELECT * REPLACE (CASE WHEN field = 'f0' THEN field ELSE 'f0.' || field END AS field) FROM vals), n AS (SELECT task_id, count(DISTINCT trial) AS n FROM nested GROUP BY ALL),
+kept AS (SELECT task_id, field FROM (SELECT task_id, field, count(DISTINCT trial) AS seen FROM nested GROUP BY ALL) JOIN n USING (task_id) WHERE NOT contains(field, '.') OR seen >= ceil(n * 0.4::DOUBLE))
+SELECT task_id, field, count(*) AS n FROM nested JOIN kept USING (task_id, field) GROUP BY ALL""")
+def _(spark, d):
+    nested = values(spark, d).withColumn("field", F.when(F.col("field") == "f0", F.col("field")).otherwise(F.concat(F.lit("f0."), "field")))
+    return consensus.present_fields(nested, 0.4).groupBy("task_id", "field").agg(F.count("*").alias("n"))
+
+
+@query("v10_value_similarity", "SELECT o_orderkey AS task_id, round((CASE WHEN o_orderkey % 3 = o_orderkey % 2 THEN 1.1::DOUBLE ELSE 0 END + 1.2::DOUBLE) / 2.3::DOUBLE, 6) AS similarity FROM orders")
+def _(spark, d):
+    record = lambda n: F.to_json(F.struct((F.col("o_orderkey") % n).alias("k"), F.col("o_orderstatus").alias("s")))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), record(3).alias("a"), record(2).alias("b"))
+    return rows.select("task_id", F.round(consensus.value_similarities(F.col("a"), F.col("b")), 6).alias("similarity"))

@@ -294,3 +294,10 @@ def _(spark, d):
 @query("p18_bins", f"WITH {TASK_RESULTS_SQL} SELECT CASE WHEN gold_keys <= 3 THEN '1-3' WHEN gold_keys <= 6 THEN '4-6' WHEN gold_keys <= 9 THEN '7-9' ELSE '10+' END AS bin, count(*) AS n FROM task_results GROUP BY ALL")
 def _(spark, d):
     return task_results(spark, d).groupBy(metrics.bins(F.col("gold_keys"), [(3, "1-3"), (6, "4-6"), (9, "7-9")], "10+").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("a23_route_metrics", f"WITH {TASK_RESULTS_SQL}, {DIAGNOSTICS_SQL}, rows AS (SELECT 'cell-' || run AS cell_id, * FROM task_results JOIN diagnostics USING (task_id) WHERE pipeline <> 'baseline') " + micro_sql("rows", "cell_id, route"))
+def _(spark, d):
+    rows = task_results(spark, d)
+    cells = rows.where("pipeline <> 'baseline'").select("run").distinct().withColumn("cell_id", F.concat(F.lit("cell-"), "run"))
+    return rounded(compare.route_metrics(cells, rows, diagnostics(spark, d)))

@@ -58,20 +58,33 @@ def _(spark, d):
 
 @query("src1_tasks", "SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS instruction, '{\"type\":\"object\"}' AS target_schema, o_orderstatus AS domain FROM orders WHERE o_orderkey % 40 = 0")
 def _(spark, d):
-    path = files.shared_folder(spark, "tasks")
     rows = table(spark, d, "orders").where("o_orderkey % 40 = 0")
-    task = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit("text").alias("input_text"), F.col("o_orderpriority").alias("instruction"), F.struct(F.lit("object").alias("type")).alias("target_schema"), F.struct(F.col("o_orderstatus").alias("domain")).alias("metadata"))
-    # A JSON array per file would be one task; so each task is a line of its own partition's folder, split on reading.
-    rows.select(F.to_json(task).alias("value"), F.col("o_orderkey").alias("k")).repartition(64, "k").write.partitionBy("k").text(path)
-    spark.createDataFrame([("not json",)], "value string").coalesce(1).write.text(f"{path}/k=bad")
-    return _read_txt_tasks(spark, path).select("id", "instruction", "target_schema", F.col("metadata")["domain"].alias("domain"))
-
-
-def _read_txt_tasks(spark, path):
-    """The task reader over Spark's own text files, which end in .txt."""
-    rows = files._whole(spark, path, "*.txt").withColumn("value", F.trim(F.regexp_replace("value", "\n$", "")))
-    field = files._field
-    return rows.where(field("id").isNotNull()).select(*[field(n).alias(n) for n in ("id", "input_text", "instruction", "target_schema", "output")], F.from_json(field("metadata"), "map<string,string>").alias("metadata"))
+    task = [F.col("o_orderkey").cast("string").alias("id"), F.lit("text").alias("input_text"), F.col("o_orderpriority").alias("instruction"), F.struct(F.lit("object").alias("type")).alias("target_schema"), F.struct(F.col("o_orderstatus").alias("domain")).alias("metadata")]
+    path = _single_files(rows.select(F.col("o_orderkey").alias("k"), *task), files.shared_folder(spark, "tasks"))
+    return files.read_tasks(spark, path).select("id", "instruction", "target_schema", F.col("metadata")["domain"].alias("domain"))
+
+
+def _single_files(rows, path: str) -> str:
+    """One JSON file per row, each in a folder named by ``k``, and a file that isn't JSON."""
+    rows.repartition(32, "k").write.partitionBy("k").json(path)
+    rows.sparkSession.createDataFrame([("{not json",)], "value string").coalesce(1).write.text(f"{path}/k=bad")
+    return path
+
+
+@query("src2_cases", "SELECT p_partkey::VARCHAR AS id, p_brand AS domain, p_size::VARCHAR AS size FROM part WHERE p_partkey % 10 = 0 AND p_size % 2 = 0")
+def _(spark, d):
+    even = F.col("p_size") % 2 == 0
+    schema = F.when(even, '{"type":"object","properties":{}}').otherwise('{"type":"array"}')
+    example = F.create_map(F.lit("size"), F.struct(F.col("p_size").cast("string").alias("value"), F.array(F.lit("t")).alias("tags")))
+    rows = table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("domain"), schema.alias("schema"), example.alias("field_examples"))
+    return files.read_cases(spark, _single_files(rows, files.shared_folder(spark, "cases"))).select("id", "domain", F.col("field_examples")["size"]["value"].alias("size"))
+
+
+@query("src3_reports", f"WITH {REPORTS_SQL} SELECT team, model, pipeline, f1 FROM reports WHERE file % 5 = 0")
+def _(spark, d):
+    rows = reports(spark, d).where("file % 5 = 0").select(F.col("file").alias("k"), F.struct(F.col("team").alias("team_name")).alias("participant"), F.struct("model", "pipeline").alias("config"), F.struct("f1").alias("metrics"))
+    found = files.read_reports(spark, _single_files(rows, files.shared_folder(spark, "report-files")))
+    return found.select(F.col("participant.team_name").alias("team"), "config.model", "config.pipeline", "metrics.f1")
 
 
 @query("snk1_csv", f"WITH {REPORTS_SQL} SELECT team, model, pipeline, f1, file FROM reports")
