@@ -56,7 +56,7 @@ def _numbered(bag: Column) -> Column:
     """Each entry with its number among its equals, so that shared entries of bags are shared entries of sets."""
     # The outer transform, over one element, names the sorted bag; else it'd be sorted anew for each entry.
     number = lambda s: F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i - F.array_position(s, x)).cast("string")))
-    return F.flatten(F.transform(F.array(F.array_sort(bag)), number))
+    return F.flatten(F.transform(F.array(F.sort_array(bag)), number))
 
 
 def bag_f1(a: Column, b: Column) -> Column:

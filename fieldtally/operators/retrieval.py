@@ -133,9 +133,11 @@ def lexical_ranked(tasks: DataFrame, cases: DataFrame, k: int = 2) -> DataFrame:
     partition: cases meet tasks through a salted key, never all in one place.
     """
     shared = lambda c: F.size(F.array_intersect(F.col(c), F.col(f"c_{c}")))
-    salts = 8
+    salts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     right = cases.select("case_id", "n_chars", F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int").alias("salt"), *[F.col(c).alias(f"c_{c}") for c in ("fingerprint", "fields", "tags", "names", "terms", "domain")])
-    pairs = tasks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).join(right, "salt")
+    # Few bytes, much work: the number of partitions is set, so that adaptive execution doesn't merge them.
+    left = tasks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(salts, "salt")
+    pairs = left.join(right.repartition(salts, "salt"), "salt")
     score = (
         F.when(F.col("fingerprint") == F.col("c_fingerprint"), 100.0).otherwise(0.0) + 8.0 * shared("fields") + 4.0 * shared("tags") + 2.0 * shared("names")
         + 0.5 * F.least(shared("terms"), F.lit(12)) + F.when(F.col("domain") == F.col("c_domain"), 2.0).otherwise(0.0) - F.least(F.col("n_chars") / 10000.0, F.lit(2.0))

@@ -17,14 +17,14 @@ WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
 
 
 def text_pairs(spark, d):
-    """The first forty words of documents beside those of benchmark items."""
+    """The first forty words of documents beside those of benchmark items, spread over all cores however few files there are."""
     from pyspark.sql import Window
 
     items = table(spark, d, "benchmark").select("text", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
     head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 40), " ")
     n = items.agg(F.max("n")).alias("m")
     docs = table(spark, d, "documents").crossJoin(F.broadcast(n.withColumnRenamed("max(n)", "m"))).withColumn("place", F.col("doc_id") % F.col("m"))
-    return docs.select("doc_id", "place", head("text").alias("a")).join(items.select("place", head("text").alias("b")), "place").select("doc_id", "a", "b")
+    return docs.select("doc_id", "place", head("text").alias("a")).join(items.select("place", head("text").alias("b")), "place").select("doc_id", "a", "b").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 @query("p1_normalized", f"SELECT doc_id, sha256({NORM.format('text')}) AS digest FROM documents")
