@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, licenses, packing, quality, secrets, simhash, sketch, sql, toxicity
+from . import audio, bpe, chat, licenses, packing, quality, secrets, simhash, sketch, sql, toxicity
 from .common import crc_remainder, documents
 
 
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def _scored(docs: DataFrame, score, modulus: int, remainder: int, threshold: float) -> DataFrame:
     rows = docs.select("doc_id", (crc_remainder("doc_id", modulus) == remainder).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -68,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op3_quality, op4_simhash, op5_audio, op6_licenses, op7_secrets, op8_bpe, op9_sketch, op10_toxicity)
+    every = (op1_packing, op2_chat, op3_quality, op4_simhash, op5_audio, op6_licenses, op7_secrets, op8_bpe, op9_sketch, op10_toxicity)
     return {f.__name__: f for f in every}
 
 
