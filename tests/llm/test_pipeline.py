@@ -54,4 +54,4 @@ def test_stages(spark, tmp_path):
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert set(queries()) | {"pipeline"} <= set(names)
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in (1, 3, 4, 5, 6, 7, 8, 9, 10)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)}
