@@ -11,8 +11,8 @@ from .results import rounded
 from .standins import table
 
 FIELDS_SQL = """fields AS (SELECT vec_id // 5 AS owner, (vec_id % 5)::INT AS position, label % 3 AS type_class, 'f' || (vec_id % 5) AS name, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE), list_transform(embedding, lambda y: y::DOUBLE)))) AS vec FROM embeddings)"""
-CANDS_SQL = f"""{FIELDS_SQL}, q AS (SELECT * FROM fields WHERE owner % 4 = 0), c AS (SELECT * FROM fields WHERE owner % 4 <> 0),
-aligned AS (SELECT q.owner AS query, c.owner AS case_id, q.position AS field, max(round(greatest(0.0::DOUBLE, list_dot_product(q.vec, c.vec)), 9)) AS similarity, arg_min(c.name, {{'a': -round(greatest(0.0::DOUBLE, list_dot_product(q.vec, c.vec)), 9), 'b': c.name}}) AS case_field FROM q JOIN c USING (type_class) GROUP BY ALL),
+CANDS_SQL = f"""{FIELDS_SQL}, q AS (SELECT * FROM fields WHERE owner % 100 = 0), c AS (SELECT * FROM fields),
+aligned AS (SELECT q.owner AS query, c.owner AS case_id, q.position AS field, max(round(greatest(0.0::DOUBLE, list_dot_product(q.vec, c.vec)), 9)) AS similarity, arg_min(c.name, {{'a': -round(greatest(0.0::DOUBLE, list_dot_product(q.vec, c.vec)), 9), 'b': c.name}}) AS case_field FROM q JOIN c ON q.type_class = c.type_class AND q.owner <> c.owner GROUP BY ALL),
 cands AS (SELECT query, case_id, [coalesce(max(similarity) FILTER (field = 0), 0), coalesce(max(similarity) FILTER (field = 1), 0), coalesce(max(similarity) FILTER (field = 2), 0), coalesce(max(similarity) FILTER (field = 3), 0), coalesce(max(similarity) FILTER (field = 4), 0)] AS vec, round(sqrt(sum(similarity * similarity)), 9) AS score FROM aligned GROUP BY ALL)"""
 PAIR = "round(sqrt(greatest(0, x.score ** 2 + y.score ** 2 + 2 * list_dot_product(x.vec, y.vec))) + sqrt(greatest(0, x.score ** 2 + y.score ** 2 - 2 * list_dot_product(x.vec, y.vec))), 9)"
 BEST_SQL = f"""{CANDS_SQL}, pairs AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(pair_score, 7) DESC, score_sum DESC, a, b) AS rn FROM (SELECT x.query, x.case_id AS a, y.case_id AS b, {PAIR} AS pair_score, round(x.score + y.score, 9) AS score_sum FROM cands x JOIN cands y ON x.query = y.query AND x.case_id < y.case_id)),
@@ -24,16 +24,22 @@ def fields(spark, d):
     return table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("owner"), (F.col("vec_id") % 5).cast("int").alias("position"), (F.col("label") % 3).alias("type_class"), F.concat(F.lit("f"), (F.col("vec_id") % 5).cast("string")).alias("name"), retrieval.unit(F.col("embedding")).alias("vec"))
 
 
+#: A search takes every owner whose number is divisible by 100, against all others.
+QUERIES = "owner % 100 = 0"
+
+
+def aligned(rows):
+    return retrieval.alignment(rows.where(QUERIES), rows).where("query <> case_id")
+
+
 def cands(spark, d):
     rows = fields(spark, d)
-    queries = rows.where("owner % 4 = 0")
-    return retrieval.candidates(retrieval.alignment(queries, rows.where("owner % 4 <> 0")), queries)
+    return retrieval.candidates(aligned(rows), rows.where(QUERIES))
 
 
 @query("j6_r4_alignment", f"WITH {CANDS_SQL} SELECT query, case_id, field, round(similarity, 6) AS similarity, case_field FROM aligned WHERE similarity > 0")
 def _(spark, d):
-    rows = fields(spark, d)
-    return rounded(retrieval.alignment(rows.where("owner % 4 = 0"), rows.where("owner % 4 <> 0")).where("similarity > 0"))
+    return rounded(aligned(fields(spark, d)).where("similarity > 0"))
 
 
 @query("r4_candidates", f"WITH {CANDS_SQL} SELECT query, case_id, score FROM cands")
@@ -83,20 +89,20 @@ TASKS = "tasks AS (SELECT vec_id AS task_id, label AS fingerprint, list_transfor
 
 def tasks(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("task_id"), F.col("label").alias("fingerprint"), retrieval.unit(F.col("embedding")).alias("vec"))
-    return rows.where("task_id % 50 = 0"), rows.withColumnRenamed("task_id", "case_id")
+    return rows.where("task_id % 100 = 0"), rows.withColumnRenamed("task_id", "case_id")
 
 
-@query("j5_same_schema", "SELECT a.vec_id AS task_id, b.vec_id AS case_id, count(*) OVER (PARTITION BY a.vec_id) AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0 QUALIFY n >= 2")
+@query("j5_same_schema", "SELECT a.vec_id AS task_id, b.vec_id AS case_id, count(*) OVER (PARTITION BY a.vec_id) AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 QUALIFY n >= 2")
 def _(spark, d):
     return retrieval.same_schema(*tasks(spark, d), min_count=2)
 
 
-@query("r3_same_schema_ranked", f"WITH {TASKS}, s AS (SELECT a.task_id, b.task_id AS case_id, list_dot_product(a.vec, b.vec) AS similarity FROM tasks a JOIN tasks b USING (fingerprint) WHERE a.task_id % 50 = 0 AND a.task_id <> b.task_id) SELECT task_id, case_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY task_id ORDER BY round(similarity, 9) DESC, case_id) AS place FROM s WHERE similarity >= 0.2 QUALIFY place <= 3")
+@query("r3_same_schema_ranked", f"WITH {TASKS}, s AS (SELECT a.task_id, b.task_id AS case_id, list_dot_product(a.vec, b.vec) AS similarity FROM tasks a JOIN tasks b USING (fingerprint) WHERE a.task_id % 100 = 0 AND a.task_id <> b.task_id) SELECT task_id, case_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY task_id ORDER BY round(similarity, 9) DESC, case_id) AS place FROM s WHERE similarity >= 0.2 QUALIFY place <= 3")
 def _(spark, d):
     return rounded(retrieval.same_schema_ranked(*tasks(spark, d), threshold=0.2, k=3))
 
 
-@query("w10_nth_same_schema", "SELECT a.vec_id AS task_id, b.vec_id AS case_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) = 3")
+@query("w10_nth_same_schema", "SELECT a.vec_id AS task_id, b.vec_id AS case_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) = 3")
 def _(spark, d):
     return retrieval.nth_same_schema(*tasks(spark, d), 3)
 

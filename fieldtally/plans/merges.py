@@ -26,7 +26,7 @@ def _(spark, d):
     return consensus.first_valid(rows, rows)
 
 
-VALUES_SQL = """vals AS (SELECT user_id AS task_id, 'f' || (event_id % 3) AS field, event_id % 6 AS trial, event_id // 6 AS item, CASE WHEN event_id % 4 = 0 THEN 'null' ELSE '"' || event_type || '"' END AS value FROM events WHERE event_id % 11 < 3),
+VALUES_SQL = """vals AS (SELECT user_id AS task_id, 'f' || (event_id % 3) AS field, event_id % 6 AS trial, event_id // 6 AS item, CASE WHEN event_id % 4 = 0 THEN 'null' ELSE '"' || event_type || '"' END AS value FROM events),
 sup AS (SELECT task_id, field, value, count(DISTINCT trial) AS support, min([trial, item]) AS first FROM vals GROUP BY ALL),
 vote AS (SELECT task_id, field, value, support FROM sup WHERE value <> 'null' QUALIFY row_number() OVER (PARTITION BY task_id, field ORDER BY support DESC, first, value) = 1)"""
 
@@ -34,7 +34,7 @@ vote AS (SELECT task_id, field, value, support FROM sup WHERE value <> 'null' QU
 def values(spark, d):
     e = F.col("event_id")
     value = F.when(e % 4 == 0, "null").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
-    return table(spark, d, "events").where("event_id % 11 < 3").select(F.col("user_id").alias("task_id"), F.concat(F.lit("f"), (e % 3).cast("string")).alias("field"), (e % 6).alias("trial"), F.floor(e / 6).alias("item"), value.alias("value"))
+    return table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.concat(F.lit("f"), (e % 3).cast("string")).alias("field"), (e % 6).alias("trial"), F.floor(e / 6).alias("item"), value.alias("value"))
 
 
 @query("c2_exact_vote", f"WITH {VALUES_SQL} SELECT * FROM vote")
@@ -58,13 +58,13 @@ def _(spark, d):
 
 
 @query("c13_field_scope", f"""WITH {VALUES_SQL}, tasks AS (SELECT t.task_id, f.field, n_trials, f.field <> 'f2' AS required FROM (SELECT task_id, count(DISTINCT trial) AS n_trials FROM vals GROUP BY ALL) t CROSS JOIN (SELECT DISTINCT field FROM vals) f),
-per AS (SELECT task_id, field, trial, string_agg(value, chr(1) ORDER BY value) AS key FROM vals WHERE trial % 2 = 0 GROUP BY ALL), seen AS (SELECT task_id, field, count(*) AS n, count(DISTINCT key) AS n_keys FROM per GROUP BY ALL)
+per AS (SELECT task_id, field, trial, string_agg(value, chr(1) ORDER BY value) AS key FROM vals WHERE value <> 'null' GROUP BY ALL), seen AS (SELECT task_id, field, count(*) AS n, count(DISTINCT key) AS n_keys FROM per GROUP BY ALL)
 SELECT task_id, field, CASE WHEN n IS NULL AND NOT required THEN 'skipped' WHEN n = n_trials AND n_keys = 1 THEN 'stable' ELSE 'disputed' END AS scope FROM tasks LEFT JOIN seen USING (task_id, field)""")
 def _(spark, d):
     rows = values(spark, d)
     names = rows.select("field").distinct()
     tasks = rows.groupBy("task_id").agg(F.countDistinct("trial").alias("n_trials")).crossJoin(F.broadcast(names)).withColumn("required", F.col("field") != "f2")
-    return consensus.field_scope(rows.where("trial % 2 = 0"), tasks)
+    return consensus.field_scope(rows.where("value <> 'null'"), tasks)
 
 
 @query("c14_vote_table", f"""WITH {VALUES_SQL}, d AS (SELECT DISTINCT task_id, field, value, trial FROM vals), g AS (SELECT task_id, field, value, 'g' || (trial % 2) AS grp, count(*) AS n FROM d GROUP BY ALL)
@@ -75,14 +75,14 @@ def _(spark, d):
     return consensus.vote_table(rows, groups)
 
 
-SPELLED_SQL = """spelled AS (SELECT user_id AS task_id, 'f' AS field, event_id % 6 AS trial, event_id // 6 AS item, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN upper(event_type) ELSE replace(event_type, 'i', 'í') || ' ' END AS value FROM events WHERE event_id % 2 = 0),
+SPELLED_SQL = """spelled AS (SELECT user_id AS task_id, 'f' AS field, event_id % 6 AS trial, event_id // 6 AS item, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN upper(event_type) ELSE replace(event_type, 'i', 'í') || ' ' END AS value FROM events),
 cand AS (SELECT task_id, field, value, count, row_number() OVER (PARTITION BY task_id, field ORDER BY count DESC, first, value) AS place FROM (SELECT task_id, field, trim(lower(strip_accents(value))) AS key, count(DISTINCT trial) AS count, arg_min(value, [trial, item]) AS value, min([trial, item]) AS first FROM spelled GROUP BY ALL))"""
 
 
 def spelled(spark, d):
     e = F.col("event_id")
     value = F.when(e % 3 == 0, F.col("event_type")).when(e % 3 == 1, F.upper("event_type")).otherwise(F.concat(F.replace("event_type", F.lit("i"), F.lit("í")), F.lit(" ")))
-    return table(spark, d, "events").where("event_id % 2 = 0").select(F.col("user_id").alias("task_id"), F.lit("f").alias("field"), (e % 6).alias("trial"), F.floor(e / 6).alias("item"), value.alias("value"))
+    return table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.lit("f").alias("field"), (e % 6).alias("trial"), F.floor(e / 6).alias("item"), value.alias("value"))
 
 
 @query("c15_merged_candidates", f"WITH {SPELLED_SQL} SELECT * FROM cand")

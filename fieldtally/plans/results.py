@@ -207,14 +207,14 @@ def _(spark, d):
     return metrics.selection_counts(diagnostics(spark, d), "case_ids")
 
 
-@query("a4_run_counts", """WITH rows AS (SELECT user_id AS task_id, 'p' || (event_id % 3) AS pipeline, 'r' || (event_id % 7) AS run, event_type AS source FROM events WHERE event_id % 5 = 0),
+@query("a4_run_counts", """WITH rows AS (SELECT user_id AS task_id, 'p' || (event_id % 3) AS pipeline, 'r' || (event_id % 7) AS run, event_type AS source FROM events WHERE event_type <> 'view'),
 grid AS (SELECT DISTINCT user_id AS task_id, p.pipeline FROM events CROSS JOIN (SELECT DISTINCT pipeline FROM rows) p),
 per AS (SELECT task_id, pipeline, source, count(*) AS n FROM rows GROUP BY ALL), s AS (SELECT task_id, pipeline, sum(n)::BIGINT AS n_predictions, string_agg(source || '=' || n, ';' ORDER BY source || '=' || n) AS per_source FROM per GROUP BY ALL),
 r AS (SELECT task_id, pipeline, string_agg(DISTINCT run, ';' ORDER BY run) AS runs FROM rows GROUP BY ALL)
 SELECT g.task_id, g.pipeline, coalesce(n_predictions, 0) AS n_predictions, coalesce(runs, '') AS runs, coalesce(per_source, '') AS per_source FROM grid g LEFT JOIN s USING (task_id, pipeline) LEFT JOIN r USING (task_id, pipeline)""")
 def _(spark, d):
     events = table(spark, d, "events")
-    rows = events.where("event_id % 5 = 0").select(F.col("user_id").alias("task_id"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("pipeline"), F.concat(F.lit("r"), (F.col("event_id") % 7).cast("string")).alias("run"), F.col("event_type").alias("source"))
+    rows = events.where("event_type <> 'view'").select(F.col("user_id").alias("task_id"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("pipeline"), F.concat(F.lit("r"), (F.col("event_id") % 7).cast("string")).alias("run"), F.col("event_type").alias("source"))
     return metrics.run_counts(rows, events.select(F.col("user_id").alias("task_id")), rows)
 
 
@@ -243,7 +243,7 @@ def _(spark, d):
     return compare.resolve_aliases(ids, tasks)
 
 
-WINDOWS = "windows AS (SELECT user_id AS key, event_id AS task_id, ts AS started, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ended FROM events WHERE event_id % 9 = 0)"
+WINDOWS = "windows AS (SELECT user_id AS key, event_id AS task_id, ts AS started, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ended FROM events WHERE event_type = 'signup')"
 
 
 @query("j9_attributed_usage", f"""WITH {USAGE_LOG_SQL}, {WINDOWS} SELECT w.task_id, sum(prompt_tokens)::BIGINT AS prompt_tokens, count(*) AS calls FROM usage_log u JOIN windows w ON u.key = w.key AND u.ts >= w.started AND u.ts < w.ended GROUP BY w.task_id""")
@@ -251,7 +251,7 @@ def _(spark, d):
     from pyspark.sql import Window
 
     ended = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    windows = table(spark, d, "events").where("event_id % 9 = 0").select(F.col("user_id").alias("key"), F.col("event_id").alias("task_id"), F.col("ts").alias("started"), ended.alias("ended")).where("ended is not null")
+    windows = table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").alias("key"), F.col("event_id").alias("task_id"), F.col("ts").alias("started"), ended.alias("ended")).where("ended is not null")
     return compare.attribute_usage(usage_log(spark, d), windows).groupBy("task_id").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.count("*").alias("calls"))
 
 

@@ -30,19 +30,19 @@ def _(spark, d):
 @query("st1_running_tokens", f"""WITH {USAGE_LOG_SQL}, b AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM usage_log), w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS started, key::VARCHAR AS api_key, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, count(*) AS calls FROM usage_log GROUP BY ALL)
 SELECT started::VARCHAR AS started, api_key, prompt_tokens, completion_tokens, calls FROM w, b WHERE started + INTERVAL 1 HOUR <= mark""")
 def _(spark, d):
-    # One file after the other in time order, so nothing is late; windows that the watermark hasn't passed stay open.
+    # One micro-batch reads all files, so nothing is late; windows that the watermark hasn't passed stay open.
     path = files.shared_folder(spark, "log")
-    usage_log(spark, d).select("ts", F.col("key").cast("string").alias("api_key"), "model", "prompt_tokens", "completion_tokens").repartitionByRange(1, "ts").write.json(path)
+    usage_log(spark, d).select("ts", F.col("key").cast("string").alias("api_key"), "model", "prompt_tokens", "completion_tokens").repartitionByRange("ts").write.json(path)
     stream = spark.readStream.schema(files.USAGE_SCHEMA).json(path)
     return logs.available_now(logs.running_tokens(stream), "running").withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("st2_attributed", f"WITH {USAGE_LOG_SQL}, w AS (SELECT user_id AS key, event_id AS task_id, ts AS started, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ended FROM events WHERE event_id % 9 = 0) SELECT w.task_id, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage_log u JOIN w ON u.key = w.key AND u.ts >= w.started AND u.ts < w.ended GROUP BY w.task_id")
+@query("st2_attributed", f"WITH {USAGE_LOG_SQL}, w AS (SELECT user_id AS key, event_id AS task_id, ts AS started, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ended FROM events WHERE event_type = 'signup') SELECT w.task_id, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage_log u JOIN w ON u.key = w.key AND u.ts >= w.started AND u.ts < w.ended GROUP BY w.task_id")
 def _(spark, d):
     from pyspark.sql import Window
 
     ended = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    tasks = table(spark, d, "events").where("event_id % 9 = 0").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("task_id"), F.col("ts").alias("started"), ended.alias("ended")).where("ended is not null")
+    tasks = table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("task_id"), F.col("ts").alias("started"), ended.alias("ended")).where("ended is not null")
     rows = logs.available_now(logs.attributed(logs.usage_stream(spark, _usage_files(spark, d)), tasks), "attributed")
     return rows.groupBy("task_id").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"))
 
@@ -56,11 +56,11 @@ def _(spark, d):
     return logs.latest(logs.progress(stream), "progress", ["slug", "model"])
 
 
-@query("src1_tasks", "SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS instruction, '{\"type\":\"object\"}' AS target_schema, o_orderstatus AS domain FROM orders WHERE o_orderkey % 40 = 0")
+@query("src1_tasks", "SELECT s_suppkey::VARCHAR AS id, s_name AS instruction, '{\"type\":\"object\"}' AS target_schema, s_nationkey::VARCHAR AS domain FROM supplier")
 def _(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 40 = 0")
-    task = [F.col("o_orderkey").cast("string").alias("id"), F.lit("text").alias("input_text"), F.col("o_orderpriority").alias("instruction"), F.struct(F.lit("object").alias("type")).alias("target_schema"), F.struct(F.col("o_orderstatus").alias("domain")).alias("metadata")]
-    path = _single_files(rows.select(F.col("o_orderkey").alias("k"), *task), files.shared_folder(spark, "tasks"))
+    rows = table(spark, d, "supplier")
+    task = [F.col("s_suppkey").cast("string").alias("id"), F.lit("text").alias("input_text"), F.col("s_name").alias("instruction"), F.struct(F.lit("object").alias("type")).alias("target_schema"), F.struct(F.col("s_nationkey").cast("string").alias("domain")).alias("metadata")]
+    path = _single_files(rows.select(F.col("s_suppkey").alias("k"), *task), files.shared_folder(spark, "tasks"))
     return files.read_tasks(spark, path).select("id", "instruction", "target_schema", F.col("metadata")["domain"].alias("domain"))
 
 
@@ -71,18 +71,18 @@ def _single_files(rows, path: str) -> str:
     return path
 
 
-@query("src2_cases", "SELECT p_partkey::VARCHAR AS id, p_brand AS domain, p_size::VARCHAR AS size FROM part WHERE p_partkey % 10 = 0 AND p_size % 2 = 0")
+@query("src2_cases", "SELECT p_partkey::VARCHAR AS id, p_brand AS domain, p_size::VARCHAR AS size FROM part WHERE p_size % 2 = 0")
 def _(spark, d):
     even = F.col("p_size") % 2 == 0
     schema = F.when(even, '{"type":"object","properties":{}}').otherwise('{"type":"array"}')
     example = F.create_map(F.lit("size"), F.struct(F.col("p_size").cast("string").alias("value"), F.array(F.lit("t")).alias("tags")))
-    rows = table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("domain"), schema.alias("schema"), example.alias("field_examples"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("domain"), schema.alias("schema"), example.alias("field_examples"))
     return files.read_cases(spark, _single_files(rows, files.shared_folder(spark, "cases"))).select("id", "domain", F.col("field_examples")["size"]["value"].alias("size"))
 
 
-@query("src3_reports", f"WITH {REPORTS_SQL} SELECT team, model, pipeline, f1 FROM reports WHERE file % 5 = 0")
+@query("src3_reports", f"WITH {REPORTS_SQL} SELECT team, model, pipeline, f1 FROM reports")
 def _(spark, d):
-    rows = reports(spark, d).where("file % 5 = 0").select(F.col("file").alias("k"), F.struct(F.col("team").alias("team_name")).alias("participant"), F.struct("model", "pipeline").alias("config"), F.struct("f1").alias("metrics"))
+    rows = reports(spark, d).select(F.col("file").alias("k"), F.struct(F.col("team").alias("team_name")).alias("participant"), F.struct("model", "pipeline").alias("config"), F.struct("f1").alias("metrics"))
     found = files.read_reports(spark, _single_files(rows, files.shared_folder(spark, "report-files")))
     return found.select(F.col("participant.team_name").alias("team"), "config.model", "config.pipeline", "metrics.f1")
 
