@@ -1,7 +1,10 @@
 """Role repair against all sequences of choices, and the rendered form."""
 
+import random
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from fieldtally.llm import chat
 
 
@@ -48,3 +51,34 @@ def test_rendering_and_odd_rows(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     assert chat.format_chats(table).count() == table.dropDuplicates(["conv_id", "turn", "role", "text"]).count()
     assert chat.format_chats(table.limit(0)).count() == 0
+
+
+def test_cut_conversations_are_repaired_as_if_whole(spark):
+    """Conversations over many partitions, against the repair of their whole list of roles; ids beyond 2**53 beside null ones."""
+    choose = random.Random(5)
+    sizes = {None: 300, 2**60 + 1: 400, 2**60 + 2: 1, 7: 3, 8: 90}
+    rows = [(c, i, choose.choice(["system", "user", "assistant", "tool", "user"]), f"t{i}") for c, n in sizes.items() for i in range(n)]
+    choose.shuffle(rows)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in ("1", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("extra", F.lit(1))).collect()
+            assert len(got) == len(rows)
+            for c in sizes:
+                mine = sorted((r for r in got if r.conv_id == c), key=lambda r: r.place)
+                source = sorted(r for r in rows if r[0] == c) if c is not None else sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+                taken, after, cost = chat.repair([r[2] for r in source])
+                assert [(r.turn, r.place, r.action, r.new_role) for r in mine] == [(s[1], i, a, role) for i, (s, (a, role, _)) in enumerate(zip(source, taken))]
+                assert {r.cost for r in mine} == {cost / 10}
+                want = ""
+                for i, (s, (action, role, before)) in enumerate(zip(source, taken)):
+                    if action == "merge":
+                        want += "\n" + s[3]
+                    else:
+                        want += "<|end|>\n" * (i > 0) + "".join(f"<|{x}|>\n<|end|>\n" for x in before) + f"<|{role}|>\n{s[3]}"
+                assert "".join(r.piece for r in mine) == want + "<|end|>\n" + "".join(f"<|{x}|>\n<|end|>\n" for x in after)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
