@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtally.llm import packing, quality, secrets, simhash, toxicity
+from fieldtally.llm import near, packing, quality, secrets, toxicity
 from fieldtally.llm.queries import tokenizer_file
 
 
@@ -28,7 +28,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
