@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Fixed phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Literals of which each text with a detection holds one.
+#: Literals of which each text with a detection holds one, but for names of BSD and what stands otherwise between cc and by; for these gate() looks too.
 GATES = ("licen", "copyright", "copyleft", "gpl", "reserved", "domain", "commons", "cc0", "cc-by", "cc by", "spdx")
 
-#: label: (keyword, name). A space stands between words; the keyword is a part of every match of the name.
+#: label: (keyword, name). A space stands between words; the keyword is a part of every match of the name, but for those of HELD.
 NAMES = {
     "mit": ("mit", "mit licen[sc]e"),
     "mit-0": ("mit", "mit (?:0|no attribution) licen[sc]e"),
@@ -120,6 +120,8 @@ NAMES = {
     "copyright": ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
     "copyleft": ("copyleft", "copyleft"),
 }
+#: What the scan takes for the keywords that some matches of these names lack.
+HELD = {"bsd": "licen", "libpng": "png", "proprietary": "reserved"}
 #: (priority, sentence): how a name is declared; the bare name comes last.
 SENTENCES = (
     (90, "spdx licen[sc]e identifier (?:{})"),
@@ -141,6 +143,14 @@ def normal_form(lower: Column) -> Column:
     return F.when(joined == "", "").otherwise(F.concat(F.lit(" "), joined, F.lit(" ")))
 
 
+def gate(lower: Column) -> Column:
+    """False only for lower-cased texts without a detection."""
+    held = F.contains(lower, F.lit("bsd")) | (F.contains(lower, F.lit("cc")) & F.rlike(lower, F.lit(f"cc{NOT_WORD}by")))
+    for literal in GATES:
+        held |= F.contains(lower, F.lit(literal))
+    return held
+
+
 def base_places(words: Column) -> Column:
     """(at, label) of every place where a phrase's words stand consecutively; words from 0."""
     starts = F.sequence(F.lit(0), F.size(words) - 1)
@@ -160,7 +170,7 @@ def base_places(words: Column) -> Column:
 
 def detections(normal: Column) -> Column:
     """Every match of every rule whose keyword the text holds: (priority, label, start, end) in the normal form."""
-    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern")) for p, label, k, x in rules()])
+    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(HELD.get(label, k)).alias("keyword"), F.lit(x).alias("pattern")) for p, label, k, x in rules()])
 
     def of_rule(rule: Column) -> Column:
         found = F.regexp_extract_all(normal, rule["pattern"], F.lit(0))
@@ -186,14 +196,10 @@ def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_words, base, detections) of every row; no shuffle.
 
     ``base`` holds (at, label) of the fixed phrases, ``detections`` what the
-    rules found and suppression left.  Rows without a gate literal have neither.
+    rules found and suppression left.  Rows that the gate holds back have neither.
     """
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    gate = None
-    for literal in GATES:
-        held = F.contains("lower", F.lit(literal))
-        gate = held if gate is None else gate | held
-    rows = docs.select(F.col(id_col).alias("doc_id"), lower.alias("lower")).select("doc_id", (F.size(F.split(F.concat(F.lit(" "), "lower", F.lit(" ")), NOT_WORD)) - 2).cast("long").alias("n_words"), F.when(gate, normal_form(F.col("lower"))).alias("normal"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), lower.alias("lower")).select("doc_id", (F.size(F.split(F.concat(F.lit(" "), "lower", F.lit(" ")), NOT_WORD)) - 2).cast("long").alias("n_words"), F.when(gate(F.col("lower")), normal_form(F.col("lower"))).alias("normal"))
     words = F.when(F.coalesce("normal", F.lit("")) != "", F.split(F.trim("normal"), "  "))
     rows = rows.select("doc_id", "n_words", "normal", words.alias("words")).select("doc_id", "n_words", base_places(F.col("words")).alias("base"), detections(F.col("normal")).alias("found"))
     return rows.select("doc_id", "n_words", "base", unsuppressed(F.col("found")).alias("detections"))
