@@ -115,11 +115,11 @@ def _(spark, d):
 
 
 def turn_values(spark, d):
-    """Turns as trials: the first words of a turn as a string field, its sentences as items of an array."""
+    """Turns as trials: a whole turn as a string field, all its sentences as items of an array."""
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("trial"), "text")
     quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
-    head = rows.select("task_id", F.lit("head").alias("field"), "trial", F.lit(0).alias("item"), quoted(F.array_join(F.slice(F.split("text", " "), 1, 5), " ")).alias("value"), F.lit(False).alias("is_array"))
-    items = rows.select("task_id", F.lit("parts").alias("field"), "trial", F.posexplode(F.slice(F.split("text", r"\. "), 1, 6)).alias("item", "v"))
+    head = rows.select("task_id", F.lit("head").alias("field"), "trial", F.lit(0).alias("item"), quoted(F.col("text")).alias("value"), F.lit(False).alias("is_array"))
+    items = rows.select("task_id", F.lit("parts").alias("field"), "trial", F.posexplode(F.split("text", r"\. ")).alias("item", "v"))
     return head.unionByName(items.select("task_id", "field", "trial", "item", quoted(F.col("v")).alias("value"), F.lit(True).alias("is_array")))
 
 
