@@ -1,22 +1,33 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filter join with components.
-
-1. Every whole text becomes the set of the hashes of its five-word shingles.
-   Equal sets are one node, named by a hash of the set, whatever their number.
-2. All sets are sorted in one order: shingles that a bounded sample of texts
-   shows to be common come last.  Two sets of similarity s or more share one of
-   the first n - ceil(s * n) + 1 shingles of each; so only these are dealt out,
-   and no such pair is missed.
-3. Nodes that share such a shingle are candidates.  Those of other sizes go, and
-   those of which the counts of hashes by remainder bound the overlap too low;
-   the rest are compared by their whole sets.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles.
+
+Texts are linked if the sets of their five-word shingles have a Jaccard
+similarity of 0.8 or more.
+
+1. Every whole text becomes the set of its shingles' hashes.  Equal sets are one
+   node, named by a 128-bit hash of the set, whatever their number.
+2. The vantage-point trees of ``simhash`` give the nodes whose five-word
+   fingerprints are equal or a few bits apart: first candidates.
+3. Texts of similarity 0.8 differ in about ten bits on the average, and with so
+   wide a radius no vantage point prunes anything.  So a prefix filter adds all
+   that the trees can't see.  All sets are sorted in one order, shingles that a
+   bounded sample shows to be common last; two sets of similarity s or more
+   share one of the first n - ceil(s * n) + 1 shingles of each.  Only these are
+   dealt out, packed into buckets of shingles; a bucket returns the shingles
+   that several nodes have.  Common shingles are not gathered: they are dealt
+   out by node.
 4. A shingle's nodes are first compared with one of them, the pivot; what that
    links needs no more comparisons, so a dense group costs rows, not pairs.
    When little is left, all pairs of different components are compared.
+5. Candidates whose sizes, or whose counts of hashes by remainder, bound the
+   overlap too low go; of the rest the whole sets are compared.  So the links
+   are exact, whichever way a candidate came.
 
 Cases: a null or empty text has the empty set; empty sets are equal.  A text of
-fewer than five words has one shingle of all its words.  Rows with a null id
-stay, whatever their text.  Columns besides the id and the text are not read.
-An empty table gives no rows.
+fewer than five words has one shingle of all its words.  A very long text is
+hashed in blocks.  Rows with a null id stay, whatever their text.  Of repeated
+rows, and of rows that share an id and a set, the one of the smallest JSON form
+stays; rows that share an id but no links all stay.  Columns besides the id and
+the text are not read, and may have any names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BinaryType, BooleanType
 
-from .common import durable
-from .simhash import components
+from . import simhash
+from .common import durable, fresh_name
 
 SHINGLE_WORDS = 5
 #: Least similarity of linked texts, as a ratio of integers.
@@ -38,23 +50,18 @@ SIMILAR = (4, 5)
 #: Texts of the sample that shows which shingles are common, texts of it that a common one is in at least, and common shingles at most.
 SAMPLE_ROWS, COMMON_TEXTS, COMMON_MOST = 8_192, 3, 65_536
 #: Remainders by which hashes are counted.
-COUNTS = 128
+COUNTS = 64
+#: Shingles of a bucket aimed at, and shingles that a task gathers before it deals them out.
+BUCKET_ITEMS, GATHERED = 500_000, 1_000_000
 #: Rounds with pivots at most, and pairs that are compared at once without more of them.
 PIVOT_ROUNDS, FEW_PAIRS = 4, 200_000
+#: Rows of 16 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
-    import xxhash
-
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII white spaces only
-    if not parts:
-        return np.empty(0, np.uint64)
-    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = (np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    reach = min(words, len(parts)) - 1
-    return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[reach:])), np.uint64, len(parts) - reach))
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *simhash.shingle_hashes(text, words)]))
 
 
 def prefix_length(n: int) -> int:
@@ -67,51 +74,106 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return shared * SIMILAR[1] >= (len(a) + len(b) - shared) * SIMILAR[0]
 
 
-def _node(hashes: np.ndarray) -> int:
+def set_key(hashes: np.ndarray) -> bytes:
     import xxhash
 
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).astype(np.int64))
+    return xxhash.xxh3_128_digest(hashes.tobytes(), 42)
+
+
+def _part(key: bytes) -> int:
+    """The first half of a key."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def _prints(texts: DataFrame) -> DataFrame:
+    """(doc_id, key, part, n, fp, counts) of every row."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, text in zip(batch["doc_id"], batch["text"]):
+                blocks = list(simhash.shingle_hashes(text, SHINGLE_WORDS))
+                hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
+                counts = np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS).astype("<u4")
+                key, fp = set_key(hashes), int.from_bytes(simhash.majority_bits(iter(blocks)), "big", signed=True)
+                out.append((i, key, _part(key), len(hashes), fp, counts.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "part", "n", "fp", "counts"])
+
+    return texts.mapInPandas(rows, "doc_id long, key binary, part long, n int, fp long, counts binary")
 
 
-def _common(texts: DataFrame) -> np.ndarray:
+def _common(texts: DataFrame, total: int) -> np.ndarray:
     """The shingles of the most texts of a bounded sample."""
-    every = max(1, texts.count() // SAMPLE_ROWS)
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * SAMPLE_ROWS)
+    every = max(1, total // SAMPLE_ROWS)
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.uint64), *map(shingle_set, batch["text"])]).view(np.int64)})
 
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     counted = sample.mapInPandas(hashes, "h long").groupBy("h").count().where(F.col("count") >= COMMON_TEXTS)
     return np.sort(counted.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, node, n, counts, prefix) of every row."""
+def _is_in(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of the hashes are common; both ascend."""
+    if not len(common):
+        return np.zeros(len(hashes), bool)
+    return common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                hashes = shingle_set(text)
-                late = np.append(common, np.uint64(0))[np.searchsorted(common, hashes)] == hashes if len(common) else np.zeros(len(hashes), bool)
-                order = np.concatenate([hashes[~late], hashes[late]])
-                counts = np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS).astype("<u4")
-                out.append((i, _node(hashes), len(hashes), counts.tobytes(), order[: prefix_length(len(hashes))].view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "node", "n", "counts", "prefix"])
 
-    return texts.mapInPandas(rows, "doc_id long, node long, n int, counts binary, prefix array<long>")
+def _dealt(texts: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, shingles, parts): the prefixes of all rows, packed; a common shingle lies in a bucket of its node's."""
+    fields = pa.schema([("bucket", pa.int64()), ("shingles", pa.binary()), ("parts", pa.binary())])
 
+    def packed(shingles: list[np.ndarray], parts: list[tuple[int, int]], hot: list[np.ndarray]) -> pa.RecordBatch:
+        h, late = np.concatenate(shingles), np.concatenate(hot)
+        p = np.repeat(np.array([x for x, _ in parts], np.int64), [k for _, k in parts])
+        bucket = np.where(late, buckets + (p.view(np.uint64) % np.uint64(buckets)).astype(np.int64), (h % np.uint64(buckets)).astype(np.int64))
+        order = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[order], return_index=True)
+        cuts = np.append(starts, len(order))
+        h, p = h[order], p[order]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (h, p))], schema=fields
+        )
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(node, hashes) of every row."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, parts, hot, gathered, seen = [], [], [], 0, set()
         for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"]]
-            yield pd.DataFrame({"node": [_node(s) for s in sets], "hashes": [s.tobytes() for s in sets]}).astype({"node": "int64"})
-
-    return texts.mapInPandas(rows, "node long, hashes binary")
+            for text in batch.column(0):
+                hashes = shingle_set(text.as_py())
+                key = set_key(hashes)
+                if key in seen or not len(hashes):
+                    continue
+                seen.add(key)
+                late = _is_in(hashes, common)
+                k = prefix_length(len(hashes))
+                shingles.append(np.concatenate([hashes[~late], hashes[late]])[:k])
+                hot.append(np.concatenate([late[~late], late[late]])[:k])
+                parts.append((_part(key), k))
+                gathered += k
+                if gathered >= GATHERED:
+                    yield packed(shingles, parts, hot)
+                    shingles, parts, hot, gathered, seen = [], [], [], 0, set()
+        if gathered:
+            yield packed(shingles, parts, hot)
+
+    return texts.select("text").mapInArrow(deal, "bucket long, shingles binary, parts binary")
+
+
+def _shared(texts: DataFrame, common: np.ndarray, items: int) -> DataFrame:
+    """(shingle, part) of the shingles that several nodes have in their prefixes, and of all common ones."""
+    buckets = items // BUCKET_ITEMS + 1
+
+    def several(rows: pd.DataFrame) -> pd.DataFrame:
+        both = np.unique(np.stack([np.frombuffer(b"".join(rows[c]), np.int64) for c in ("shingles", "parts")], axis=1), axis=0)
+        if rows["bucket"].iloc[0] < buckets and len(both):
+            same = both[1:, 0] == both[:-1, 0]
+            both = both[np.append(same, False) | np.append(False, same)]
+        return pd.DataFrame({"shingle": both[:, 0], "part": both[:, 1]})
+
+    return _dealt(texts, common, buckets).groupBy("bucket").applyInPandas(several, "shingle long, part long")
 
 
 @F.pandas_udf(BooleanType())
@@ -129,66 +191,114 @@ def _are_alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="bool")
 
 
+@F.pandas_udf(BinaryType())
+def _key_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([set_key(shingle_set(t)) for t in texts], dtype=object)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Marked for a broadcast if its checked size allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        pairs = pairs.join(rows.select(F.col("key").alias(side), F.col(column).alias(f"{column}_{side}")), side)
     return pairs
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have the least similarity."""
     near = durable(_beside(pairs.distinct(), nodes, "counts").where(_may_be_alike("counts_a", "counts_b")).select("a", "b"))
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select("doc_id", F.col("node").alias("own")).distinct()
-    sets = _sets(texts.join(ids, "doc_id", "left_semi")).dropDuplicates(["node"])
-    return durable(_beside(near, sets, "hashes").where(_are_alike("hashes_a", "hashes_b")).select("a", "b"))
+    wanted = durable(near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "doc_id"), "key"))
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [shingle_set(t) for t in batch["text"]]
+            yield pd.DataFrame({"key": [set_key(h) for h in hashes], "hashes": [h.tobytes() for h in hashes]})
+
+    ids = durable(wanted.select("doc_id").distinct())
+    found = texts.join(_small(ids), "doc_id", "left_semi").mapInPandas(sets, "key binary, hashes binary")
+    found = durable(found.join(_small(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"]))
+    return durable(_beside(_small(near), found, "hashes").where(_are_alike("hashes_a", "hashes_b")).select("a", "b"))
+
+
+def _tree_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes with equal fingerprints, and of those that the vantage-point trees link."""
+    first = durable(nodes.groupBy("fp").agg(F.min("key").alias("first")))
+    equal = nodes.join(first, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    links = simhash.links(first.select("fp", F.col("fp").alias("node")))
+    named = links
+    for side in ("a", "b"):
+        named = named.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"key_{side}")), side)
+    return equal.unionByName(named.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
 
 
-def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
     """(node, component) of every node with a link."""
-    members = nodes.select(F.explode("prefix").alias("shingle"), "node", "n")
-    several = members.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
-    members = durable(members.join(several, "shingle"))
+    items = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1)).first()[0] or 0
+    shared = _shared(texts, _common(texts, total), int(items))
+    members = durable(shared.join(nodes.select("part", "key", "n"), "part").select("shingle", "key", "n"))
+    extra: DataFrame | None = _tree_pairs(nodes)
     links = found = None
     fits = F.least("n", "m") * SIMILAR[1] >= F.greatest("n", "m") * SIMILAR[0]
     for turn in range(PIVOT_ROUNDS + 1):
-        named = members.withColumn("component", F.col("node")) if found is None else members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pivots = named.groupBy("shingle").agg(F.min(F.struct("node", "n", "component")).alias("p"), F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        pivots = durable(pivots.select("shingle", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("of"), "k"))
+        named = members.withColumn("component", F.col("key")) if found is None else members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        pivots = named.groupBy("shingle").agg(F.min(F.struct("key", "n", "component")).alias("p"), F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        pivots = durable(pivots.select("shingle", F.col("p.key").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("of"), "k"))
         pairs_left = pivots.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
-        if not pairs_left:
+        if not pairs_left and extra is None:
             break
-        last = turn == PIVOT_ROUNDS or pairs_left <= FEW_PAIRS
+        last = turn == PIVOT_ROUNDS or (pairs_left or 0) <= FEW_PAIRS
         live = durable(named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle"))
         if last:
-            others = live.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
-            pairs = live.join(others, "shingle").where(F.col("node") > F.col("b"))
+            others = live.select("shingle", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
+            pairs = live.join(others, "shingle").where(F.col("key") > F.col("b"))
         else:
-            pairs = live.join(pivots, "shingle").where(F.col("node") != F.col("b"))
-        pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+            pairs = live.join(pivots, "shingle").where(F.col("key") != F.col("b"))
+        pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b"))
+        if extra is not None:
+            pairs, extra = pairs.unionByName(extra.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), None
         new = _verified(pairs, nodes, texts)
         links = new if links is None else links.unionByName(new)
-        found = components(links)
+        found = simhash.components(links)
         if last:
             break
-        members = live.where(F.col("node") != F.col("pivot")).select("shingle", "node", "n")  # the pivot has met all others
+        members = live.where(F.col("key") != F.col("pivot")).select("shingle", "key", "n")  # the pivot has met all others
     return found
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, component_id) of every row with an id; rows of one component are linked by pairs of the least similarity."""
+    """(doc_id, key, component_id) of every row with an id; rows of one component are linked by pairs of the least similarity."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    rows = durable(_described(texts, _common(texts)))
-    prints = rows.select("doc_id", "node")
-    nodes = durable(rows.dropDuplicates(["node"]))
-    found = _links(nodes, texts)
-    named = prints.withColumn("component", F.col("node")) if found is None else prints.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = durable(_prints(texts))
+    nodes = durable(rows.groupBy("key", "part", "n", "fp", "counts").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    found = _links(nodes, texts, total) if total else None
+    prints = rows.select("doc_id", "key")
+    named = prints.withColumn("component", F.col("key")) if found is None else prints.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component").select("doc_id", "node", "component_id")
+    return named.join(least, "component").select("doc_id", "key", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, once each; rows without an id stay."""
-    kept = near_copies(docs, id_col=id_col, text_col=text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component of ``docs``, that of the smallest id and then key; rows without an id stay.
+
+    The choice is made on ids and keys alone; the texts are shuffled once, by
+    id.  Only ids that occur more than once need a look at their rows.
+    """
+    rows = durable(near_copies(docs, id_col=id_col, text_col=text_col))
+    of_id = F.count("*").alias("rows")
+    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("c")).select("c.doc_id", "c.key")
+    chosen = durable(chosen.join(rows.groupBy("doc_id").agg(of_id), "doc_id"))
+    name, key = fresh_name(docs, "kept"), fresh_name(docs, "kept_key")
+    mine = F.col(id_col).cast("long") == F.col(name)
+    once = docs.join(chosen.where("rows = 1").select(F.col("doc_id").alias(name)), mine, "left_semi")
+    kept = once.unionByName(docs.where(F.col(id_col).cast("long").isNull()))
+    repeated = chosen.where("rows > 1").select(F.col("doc_id").alias(name), F.col("key").alias(key))
+    if not repeated.isEmpty():
+        several = docs.join(_small(repeated), mine).where(_key_of(F.col(text_col)) == F.col(key))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = several.groupBy(name, key).agg(F.min_by(whole, F.to_json(whole)).alias(fresh_name(docs, "row")))
+        kept = kept.unionByName(one.select(f"{fresh_name(docs, 'row')}.*"))
+    return kept

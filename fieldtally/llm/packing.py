@@ -2,17 +2,21 @@
 
 Every document becomes ids of a word-level BPE tokenizer plus one end id.  A
 document is cut at multiples of the capacity; those full pieces are sequences
-of their own.  What remains of each document is gathered, within its Spark
-partition, into blocks of ``block_windows`` windows.  A block is spread over
-its windows by multiway differencing: partial partitions with opposing
-imbalances are merged until one near-equal partition is left.  Documents may be
-cut, so a small excess of a window moves to one with room; if the excess is
-larger, the number of windows rises by one and the block is partitioned again.  Nothing is shuffled; a partition holds one block at a time.
+of their own.  What remains of each document is gathered, in near-equal pieces
+of at most ``piece`` tokens, within its Spark partition into blocks that fill
+``block_windows`` windows but for a small slack.  A block is spread over its
+windows by multiway differencing: partial partitions with opposing imbalances
+are merged until one near-equal partition is left.  Whenever a window exceeds
+the capacity, the number of windows rises by one and the block is partitioned
+again; nothing is cut afterwards.  Nothing is shuffled; a partition holds one
+block at a time.
 
 Cases: a null text is an empty text, whose only token is the end id.  A null
-document id stays null.  Repeated rows are packed as often as they occur.
-Columns besides the id and the text are not read.  An empty table gives no
-sequences.
+document id stays null.  Repeated rows are packed as often as they occur.  A
+very long text gives full sequences one after the other.  Of pieces of equal
+size the earlier goes first, so that equal partitions are packed equally.
+Columns besides the id and the text are not read, and may have any names.  An
+empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -30,10 +34,9 @@ from pyspark.sql import functions as F
 
 CAPACITY = 4096
 END_ID = 2
-#: Windows of a block, and the excess of a window over the capacity that is cut off instead of adding a window.
-BLOCK_WINDOWS = 16
-TRIM = 512
-#: Cached words per Python worker, and texts that Python's and the tokenizer's white space divide differently.
+#: Windows of a block, the share of them that is left free, and tokens of a piece that is packed.
+BLOCK_WINDOWS, SLACK, PIECE = 32, 0.006, 1024
+#: Cached words per Python worker.
 MOST_WORDS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
@@ -132,46 +135,21 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return heap[0][3] if heap else [[] for _ in range(k)]
 
 
-def level(parts: list[list[int]], sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Pieces (index, start, length) of windows; what exceeds the capacity of one is cut off and put where there is room."""
-    out, spare = [], []
-    for part in parts:
-        window, over = [(i, 0, sizes[i]) for i in part], sum(sizes[i] for i in part) - capacity
-        while over > 0:
-            i, start, length = window.pop()
-            keep = max(0, length - over)
-            if keep:
-                window.append((i, start, keep))
-            spare.append((i, start + keep, length - keep))
-            over -= length - keep
-        out.append(window)
-    for window in out:
-        room = capacity - sum(length for _, _, length in window)
-        while room and spare:
-            i, start, length = spare.pop()
-            window.append((i, start, min(room, length)))
-            if length > room:
-                spare.append((i, start + room, length - room))
-            room -= min(room, length)
-    return out
-
-
-def windows(sizes: list[int], capacity: int, trim: int) -> list[list[tuple[int, int, int]]]:
-    """Near-equal windows within ``capacity``.  If differencing exceeds it by more than ``trim`` tokens
-    in a window, or by more than there is room, the count of windows rises; a smaller excess is cut off."""
+def windows(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Indices of ``sizes`` in near-equal windows within ``capacity``; their number rises whenever one exceeds it."""
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         parts = [p for p in differencing(sizes, k) if p]
-        if all(sum(sizes[i] for i in p) <= capacity + trim for p in parts):
-            return level(parts, sizes, capacity)
+        if all(sum(sizes[i] for i in p) <= capacity for p in parts):
+            return parts
         k += 1
 
 
 class _Packer:
     """The pieces of one Spark partition, block by block."""
 
-    def __init__(self, partition: int, capacity: int, block_windows: int, trim: int):
-        self.capacity, self.trim, self.target = capacity, trim, capacity * block_windows
+    def __init__(self, partition: int, capacity: int, block_windows: int, slack: float, piece: int):
+        self.capacity, self.piece, self.target = capacity, min(piece, capacity), max(1, int(capacity * block_windows * (1 - slack)))
         self.next_sequence = partition << 33
         self.pending: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
         self.tokens = 0
@@ -189,18 +167,22 @@ class _Packer:
         full = n - n % self.capacity
         for start in range(0, full, self.capacity):
             self._emit([(doc_id, start, ids[start : start + self.capacity], n)])
-        while full < n:  # the last piece of a block is cut where the block is full
+        while full < n:  # the last document of a block is cut where the block is full
             take = min(n - full, self.target - self.tokens)
-            self.pending.append((doc_id, full, ids[full : full + take], n))
+            m = -(-take // self.piece)
+            cuts = [full + take * i // m for i in range(m + 1)]
+            self.pending += [(doc_id, a, ids[a:b], n) for a, b in zip(cuts, cuts[1:])]
             full += take
             self.tokens += take
             if self.tokens == self.target:
                 self.flush()
 
     def flush(self) -> None:
-        for window in windows([len(p[2]) for p in self.pending], self.capacity, self.trim) if self.pending else []:
-            pieces = ((*self.pending[i], start, length) for i, start, length in window)
-            self._emit([(doc_id, at + start, ids[start : start + length], n) for doc_id, at, ids, n, start, length in pieces])
+        parts = windows([len(p[2]) for p in self.pending], self.capacity) if self.pending else []
+        if sum(map(len, parts)) != len(self.pending):
+            raise AssertionError("a piece was not packed")
+        for part in parts:
+            self._emit([self.pending[i] for i in part])
         self.pending, self.tokens = [], 0
 
 
@@ -213,7 +195,8 @@ def pack(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     block_windows: int = BLOCK_WINDOWS,
-    trim: int = TRIM,
+    slack: float = SLACK,
+    piece: int = PIECE,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
@@ -228,7 +211,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer_path)
-        packer = _Packer(TaskContext.get().partitionId(), capacity, block_windows, trim)
+        packer = _Packer(TaskContext.get().partitionId(), capacity, block_windows, slack, piece)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -1,6 +1,6 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-1. Every whole text gets a 64-bit fingerprint of its three-word shingles.
+1. Every whole text gets a 64-bit fingerprint of its shingles of ``words`` words, three unless told otherwise.
 2. Equal fingerprints become one node, named by its smallest document id; so a
    group of copies, however large, is one row from here on.
 3. A vantage-point tree, fitted on a bounded sample of fingerprints, deals all
@@ -12,13 +12,17 @@
 4. A shard divides its fingerprints further in the same way, down to leaves
    that are compared exactly, and returns for each fingerprint one link to the
    smallest node it reaches there: not pairs, so a dense group of n
-   fingerprints gives n links at most.
+   fingerprints gives n links at most.  Fingerprints that lie too dense for any
+   vantage point meet by their shared neighbours of half the bits, which is
+   exact too and takes time in proportion to their number.
 5. The links of all shards become components by alternating large-star and
    small-star steps, each a distributed join, until nothing changes.
 
 Cases: a null or empty text has fingerprint zero and is linked like any other.
 Rows with a null id get a fingerprint, but neither node nor component (null).
-Repeated rows are returned as often as they occur.  Columns besides the id and
+Repeated rows are returned as often as they occur; rows of one id and other
+texts are each linked by their own text.  A very long text is hashed in blocks.
+The order of rows decides nothing: a component's name is its smallest id.  Columns besides the id and
 the text are not read.  An empty table gives no rows.
 """
 
@@ -41,32 +45,45 @@ SAMPLE_ROWS = 262_144
 LEAF = 128
 #: A division is kept only if each side is smaller than this share of the whole.
 DIVIDES = 0.85
+#: A leaf of the tree with more rows than this share of a shard is dealt out by shared neighbours instead.
+CROWD = 4
 
 
-def fingerprint_bytes(text: str | None) -> bytes:
-    """Eight bytes, most significant first."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """The XXH64 of every shingle of a text, in blocks; nothing without words."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII white spaces only
-    if not words:
-        return bytes(8)
-    joined, digest = b" ".join(words), xxhash.xxh64_digest
-    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII white spaces only
+    if not parts:
+        return
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    ends = (np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1).tolist()
     starts = [0, *(e + 1 for e in ends[:-1])]
-    reach = min(SHINGLE_WORDS, len(words)) - 1
-    counts, n = np.zeros(64, np.int64), len(words) - reach
-    for a in range(0, n, 65_536):
-        hashes = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[a : a + 65_536], ends[a + reach : a + reach + 65_536])])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    reach = min(words, len(parts)) - 1
+    for a in range(0, len(parts) - reach, 65_536):
+        yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[a : a + 65_536], ends[a + reach : a + reach + 65_536])], np.uint64)
+
+
+def majority_bits(blocks: Iterator[np.ndarray]) -> bytes:
+    """Eight bytes, most significant first: the bits set in over half the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        counts += np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return np.packbits(2 * counts > n).tobytes()
 
 
-def simhash(text: Column) -> Column:
+def fingerprint_bytes(text: str | None, words: int = SHINGLE_WORDS) -> bytes:
+    """A text's fingerprint, most significant byte first."""
+    return majority_bits(shingle_hashes(text, words))
+
+
+def simhash(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """The fingerprint as a signed 64-bit integer."""
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([int.from_bytes(fingerprint_bytes(t), "big", signed=True) for t in texts], dtype="int64")
+        return pd.Series([int.from_bytes(fingerprint_bytes(t, words), "big", signed=True) for t in texts], dtype="int64")
 
     return prints(text)
 
@@ -93,20 +110,19 @@ def _divide(points: np.ndarray, bits: int) -> tuple | None:
     return best[1:] if best and best[0] < DIVIDES * n else None
 
 
-def fit_tree(sample: np.ndarray, leaves: int, bits: int) -> tuple[tuple | int, int]:
-    """A tree of about ``leaves`` leaves over the sample, and their number."""
-    most, count = max(1, len(sample) // max(1, leaves)), 0
+def fit_tree(sample: np.ndarray, leaves: int, bits: int) -> tuple[tuple | int, list[int]]:
+    """A tree of about ``leaves`` leaves over the sample, and how much of the sample each holds."""
+    most, sizes = max(1, len(sample) // max(1, leaves)), []
 
     def grow(points: np.ndarray) -> tuple | int:
-        nonlocal count
         found = _divide(points, bits) if len(points) > max(most, 2) else None
         if found is None:
-            count += 1
-            return count - 1
+            sizes.append(len(points))
+            return len(sizes) - 1
         d = _distances(points, found[0])
         return (int(found[0]), found[1], grow(points[d <= found[1]]), grow(points[d > found[1]]))
 
-    return grow(sample), count
+    return grow(sample), sizes
 
 
 def deal(tree: tuple | int, points: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -136,6 +152,27 @@ def _smallest_reached(points: np.ndarray, bits: int) -> np.ndarray:
             return labels
 
 
+def neighbours(bits: int) -> np.ndarray:
+    """The differences of up to half of ``bits``: two points are within an even number of bits if and only if they share a neighbour."""
+    single = [np.uint64(1) << np.uint64(i) for i in range(64)]
+    found, last = {0}, {0}
+    for _ in range(bits // 2):
+        last = {x ^ int(b) for x in last for b in single} - found
+        found |= last
+    return np.array(sorted(found), np.uint64)
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """Well spread 24-bit numbers of the keys."""
+    return keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+
+
+def _same_key(keys: np.ndarray) -> np.ndarray:
+    """For each entry the index of the first with the same key."""
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
 def link(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """For each of distinct points the smallest index of its component among them."""
     parent = np.arange(len(points)).tolist()
@@ -146,6 +183,11 @@ def link(points: np.ndarray, bits: int = BITS) -> np.ndarray:
             i = parent[i]
         return i
 
+    def join(pairs: Iterator[tuple[int, int]]) -> None:
+        for i, j in pairs:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+
     todo = [np.arange(len(points))]
     while todo:
         at = todo.pop()
@@ -153,11 +195,24 @@ def link(points: np.ndarray, bits: int = BITS) -> np.ndarray:
         if found is not None:
             d = _distances(points[at], found[0]).astype(np.int64)
             todo += [at[d <= found[1]], at[d > found[1] - bits]]
-            continue
-        labels = _smallest_reached(points[at], bits)
-        for i in np.flatnonzero(labels != np.arange(len(at))).tolist():
-            a, b = root(int(at[i])), root(int(at[labels[i]]))
-            parent[max(a, b)] = min(a, b)
+        elif len(at) > 4 * LEAF and bits % 2 == 0:  # too dense to divide: points that share a neighbour, a part of the neighbours at a time
+            masks = neighbours(bits)
+            parts = -(-len(at) * len(masks) // 4_000_000)
+            for part in range(parts):
+                keys, own = [], []
+                for mask in masks:
+                    key = points[at] ^ mask
+                    here = np.flatnonzero(_mixed(key) % np.uint64(parts) == part)
+                    keys.append(key[here])
+                    own.append(at[here])
+                keys, own = np.concatenate(keys), np.concatenate(own)
+                first = own[_same_key(keys)]
+                apart = np.flatnonzero(first != own)
+                join(zip(own[apart].tolist(), first[apart].tolist()))
+        else:
+            labels = _smallest_reached(points[at], bits)
+            linked = np.flatnonzero(labels != np.arange(len(at)))
+            join(zip(at[linked].tolist(), at[labels[linked]].tolist()))
     return np.array([root(i) for i in range(len(points))], np.int64)
 
 
@@ -167,22 +222,30 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     leaves = max(1, -(-total // SHARD_ROWS), min(24, total // 1024))
     every = max(1, total // SAMPLE_ROWS)
     sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").limit(2 * SAMPLE_ROWS).toPandas()["fp"]
-    tree, _ = fit_tree(np.sort(sample.to_numpy(np.int64).view(np.uint64)), leaves, bits)
+    tree, sizes = fit_tree(np.sort(sample.to_numpy(np.int64).view(np.uint64)), leaves, bits)
+    # A leaf that no vantage point divides and that is too large for one task: its points meet by shared neighbours.
+    masks = neighbours(bits) if bits % 2 == 0 else None
+    rows = [size * total // max(1, len(sample)) for size in sizes]
+    crowds = {leaf: -(-n * len(masks) // SHARD_ROWS) for leaf, n in enumerate(rows) if masks is not None and n > CROWD * SHARD_ROWS}
+    starts = dict(zip(crowds, np.cumsum([len(sizes), *crowds.values()]).tolist()))
 
     def to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            points = batch["fp"].to_numpy(np.int64).view(np.uint64)
+            points, names = batch["fp"].to_numpy(np.int64).view(np.uint64), batch["node"].to_numpy()
             for leaf, at in deal(tree, points, bits):
-                yield pd.DataFrame({"shard": np.int64(leaf), "fp": batch["fp"].to_numpy()[at], "node": batch["node"].to_numpy()[at]})
+                for mask in masks if leaf in crowds else [np.uint64(0)]:
+                    key = points[at] ^ mask
+                    shard = starts[leaf] + (_mixed(key) % np.uint64(crowds[leaf])).astype(np.int64) if leaf in crowds else np.full(len(at), leaf, np.int64)
+                    yield pd.DataFrame({"shard": shard, "key": key.view(np.int64), "node": names[at]})
 
     def within(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("node", ignore_index=True)
-        names = shard["node"].to_numpy(np.int64)
-        roots = link(shard["fp"].to_numpy(np.int64).view(np.uint64), bits)
+        names, keys = shard["node"].to_numpy(np.int64), shard["key"].to_numpy(np.int64).view(np.uint64)
+        roots = _same_key(keys) if shard["shard"].iloc[0] >= len(sizes) else link(keys, bits)
         linked = roots != np.arange(len(roots))
         return pd.DataFrame({"a": names[linked], "b": names[roots[linked]]})
 
-    return nodes.mapInPandas(to_shards, "shard long, fp long, node long").groupBy("shard").applyInPandas(within, "a long, b long")
+    return nodes.mapInPandas(to_shards, "shard long, key long, node long").groupBy("shard").applyInPandas(within, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,17 +273,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; fp is the fingerprint as a long."""
-    prints = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash(F.col(text_col)).alias("fp")))
+    prints = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash(F.col(text_col), words).alias("fp")))
     nodes = durable(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")))
     reached = nodes.join(components(links(nodes, bits)), "node", "left")
     named = reached.select(F.col("fp").alias("__fp"), F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("__fp"), "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, once each; rows without an id stay."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, bits=bits).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))

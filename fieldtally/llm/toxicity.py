@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import labelled_sample
 
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: The training sample: rows of each label at most, bytes of a text at most.
-PER_CLASS, MOST_BYTES = 2500, 32_768
+#: The training sample: rows and bytes of each label at most (one text at least).
+PER_CLASS, MOST_BYTES = 2500, 12_000_000
 #: A lexicon entry: letters of a word beginning, least likelihood ratio, least toxic documents and their share, least lift.
 STEM, LEAST_G2, LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 4, 30.0, 4, 0.02, 6.0
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE, FOLDS = 30, 3, 0.2, 32, 3, 1.0, 10
@@ -205,9 +205,9 @@ class ToxicityModel:
         return ToxicityModel(lexicon, BoostedTrees.fit(x, y, w), isotonic(out, y, w))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """The model, trained on at most PER_CLASS labelled documents of each class outside the held-out fold."""
-    texts, y, counts = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, PER_CLASS, MOST_BYTES)
+    texts, y, counts = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, PER_CLASS, MOST_BYTES, id_col=id_col, text_col=text_col)
     if len(set(y)) < 2:
         return ToxicityModel(constant=(counts[1] + 1) / (sum(counts) + 2))
     return ToxicityModel.fit(texts, y, counts)
@@ -224,6 +224,6 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
     return score(text)
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_civil(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays below the threshold, with all their columns."""
-    return docs.where(toxicity_score(train_toxicity(docs, labels), F.col(text_col)) < threshold)
+    return docs.where(toxicity_score(train_toxicity(docs, labels, id_col=id_col, text_col=text_col), F.col(text_col)) < threshold)

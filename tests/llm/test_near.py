@@ -65,3 +65,23 @@ def test_stage_takes_near_copies_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.stage_near_duplicates(spark, docs, "").collect()) == [0, 1, 3]
     assert corpus_pipeline.stage_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_common_shingles_and_many_buckets(spark, monkeypatch):
+    """Everything is common, buckets are small, and tasks deal out what they have after a few rows."""
+    rows = sample(5)
+    want, _ = least(rows)
+    monkeypatch.setattr(near, "COMMON_TEXTS", 1)
+    monkeypatch.setattr(near, "BUCKET_ITEMS", 500)
+    monkeypatch.setattr(near, "GATHERED", 300)
+    monkeypatch.setattr(near, "BROADCAST_ROWS", 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near.near_copies(docs).collect()} == want
+
+
+def test_rows_of_one_id(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, words, "b"), (5, words, "a"), (5, "quite another text stands under the same id", "c"), (7, words + " more", "d"), (8, "quite another text stands under the same id", "e"), (None, words, "f")]
+    kept = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept string"))
+    assert sorted((r.doc_id or 0, r.kept) for r in kept.collect()) == [(0, "f"), (5, "a"), (5, "c")]
+    assert kept.columns == ["doc_id", "text", "kept"]

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtally.llm import audio, bpe, licenses, packing, quality, secrets, simhash, sketch, toxicity
+from fieldtally.llm import audio, bpe, licenses, near, packing, quality, secrets, simhash, sketch, toxicity
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,7 +40,7 @@ def test_packing_places_every_id_once(spark, sf_dir):
     library = Tokenizer.from_file(WORD_FILE)
     library.encode_special_tokens = True
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = packing.pack(docs, WORD_FILE, block_windows=4).toPandas()
+    got = packing.pack(docs, WORD_FILE).toPandas()
     texts = docs.select("doc_id", "text").toPandas().set_index("doc_id")["text"]
     for doc_id, pieces in got.groupby("doc_id"):
         ids = np.array([*library.encode(texts[doc_id], add_special_tokens=False).ids, 2], np.uint32)
@@ -83,11 +83,30 @@ def test_differencing_is_near_equal_and_windows_hold():
     sizes = [rng.randint(1, 900) for _ in range(120)]
     sums = [sum(sizes[i] for i in part) for part in packing.differencing(sizes, 8)]
     assert sum(sums) == sum(sizes) and max(sums) - min(sums) < 100
-    for sizes in ([3000, 3000, 3000], [4096], [4000] * 5 + [96] * 5, [1], [2100, 2100, 2100, 1]):
-        found = packing.windows(sizes, 4096, 0)
-        assert all(sum(n for _, _, n in w) <= 4096 for w in found)
-        assert sorted((i, s, n) for w in found for i, s, n in w if n == sizes[i]) == [(i, 0, n) for i, n in enumerate(sizes)]
-    assert len(packing.windows([3000, 3000, 3000], 4096, 0)) == 3
+    for sizes in ([3000, 3000, 3000], [4096], [4000] * 5 + [96] * 5, [1], [2100, 2100, 2100, 1], [2731] * 3, [1024] * 9):
+        found = packing.windows(sizes, 4096)
+        assert all(sum(sizes[i] for i in w) <= 4096 for w in found)
+        assert sorted(i for w in found for i in w) == list(range(len(sizes)))
+    assert len(packing.windows([3000, 3000, 3000], 4096)) == 3
+    assert len(packing.windows([2731] * 3, 4096)) == 3 and len(packing.windows([2100, 2100, 2100, 1], 4096)) == 3  # two windows by their sum
+
+
+def test_the_count_rises_whenever_a_window_is_too_full():
+    """Blocks without slack: differencing can't be exact, so each takes more windows, and nothing is cut for it."""
+    rng = random.Random(9)
+    for _ in range(20):
+        sizes, left = [], 16 * 4096
+        while left:
+            sizes.append(min(left, rng.randint(300, 1024)))
+            left -= sizes[-1]
+        exceeded = max(sum(sizes[i] for i in p) for p in packing.differencing(sizes, 16)) > 4096
+        assert len(packing.windows(sizes, 4096)) > 16 if exceeded else len(packing.windows(sizes, 4096)) == 16
+        assert all(0 < sum(sizes[i] for i in w) <= 4096 for w in packing.windows(sizes, 4096))
+
+
+def test_packing_fills_windows(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000).coalesce(1), WORD_FILE).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas().n
+    assert got.max() <= 4096 and got.sum() / (len(got) * 4096) > 0.985
 
 
 # simhash
@@ -145,6 +164,19 @@ def test_links_of_dense_and_spread_points():
         assert all((a, b) in shared for a, b in close)
 
 
+def test_crowds_are_linked_by_shared_neighbours(spark, monkeypatch):
+    """Fingerprints too dense for any vantage point, in a leaf and over several shards, and one id under several fingerprints."""
+    rng = np.random.default_rng(8)
+    points = np.unique(np.uint64(0x0123456789ABCDEF) ^ sum((np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) * np.uint64(k < 3) for k in range(3)))
+    want = simhash._smallest_reached(points, 2)
+    assert np.array_equal(simhash.link(points), want) and len(set(want.tolist())) > 1
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 64)
+    nodes = spark.createDataFrame([(int(p.astype(np.int64)), i) for i, p in enumerate(points)], "fp long, node long")
+    found = {r.node: r.component for r in simhash.components(simhash.links(nodes)).collect()}
+    assert [found.get(i, i) for i in range(len(points))] == want.tolist()
+    assert len(simhash.neighbours(2)) == 65 and len(simhash.neighbours(4)) == 1 + 64 + 2016
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -153,7 +185,7 @@ def test_components_of_chains(spark):
 
 
 def test_keep_one(odd):
-    kept = simhash.keep_one(odd)
+    kept = near.keep_one(odd)
     assert kept.columns == odd.columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert 9 in ids and 10 not in ids and 0 in ids and 1 not in ids and ids.count(3) == 1
@@ -181,34 +213,50 @@ def test_quality_held_out_accuracy(spark, odd, empty):
 
 def test_network_gradients():
     net = quality.ByteNetwork()
-    data, names = b"Some bytes !! here and here and here" * 9, ("tables", "mark", "bias", "layer", "layer_bias", "out", "out_bias")
-    for k in names:
+    for k in quality.NAMES:
         setattr(net, k, getattr(net, k).astype(np.float64))
-    grads = {k: np.zeros_like(getattr(net, k)) for k in names}
-    net.gradients(data, 1.0, 1.0, grads)
-
-    def loss():
-        z = np.maximum(net.chunks(data) @ net.layer + net.layer_bias, 0).max(axis=0) @ net.out + net.out_bias[0]
-        return np.log1p(np.exp(-z))
-
     rng = np.random.default_rng(0)
-    for k in names:
-        for _ in range(4):
-            at = tuple(rng.integers(0, n) for n in getattr(net, k).shape) if k != "tables" else (rng.integers(0, 4), data[rng.integers(0, len(data))], rng.integers(0, quality.FILTERS))
-            old = getattr(net, k)[at]
-            getattr(net, k)[at] = old + 1e-4
-            up = loss()
-            getattr(net, k)[at] = old - 1e-4
-            down = loss()
-            getattr(net, k)[at] = old
-            assert abs((up - down) / 2e-4 - grads[k][at]) < 2e-3
+    for data in (b"Some bytes !! here and here and here" * 9, b"short", b""):
+        grads = {k: np.zeros_like(getattr(net, k)) for k in quality.NAMES}
+        net.pairs = None
+        net.gradients(data, 1.0, 1.0, grads)
+
+        def loss():
+            net.pairs = None
+            return np.log1p(np.exp(-net.margin(data.decode())))
+
+        for k in quality.NAMES:
+            for _ in range(6):
+                at = tuple(rng.integers(0, n) for n in getattr(net, k).shape) if k != "tables" or not data else (rng.integers(0, 4), data[rng.integers(0, len(data))], rng.integers(0, quality.FILTERS))
+                old = getattr(net, k)[at]
+                getattr(net, k)[at] = old + 1e-5
+                up = loss()
+                getattr(net, k)[at] = old - 1e-5
+                down = loss()
+                getattr(net, k)[at] = old
+                assert abs((up - down) / 2e-5 - grads[k][at]) < 2e-3, (k, at)
+
+
+def test_network_equals_its_definition():
+    """Byte by byte and chunk by chunk: filters, means, maxima, layer, maxima over chunks, one probability."""
+    net = quality.ByteNetwork(seed=3)
+    for text in ("", "a", "Ünï " * 16, "some words in a text of several chunks " * 20):
+        data = [*text.encode()] or [256]
+        code = lambda i: data[i] if i < len(data) else 256
+        h = [[max(0.0, sum(float(net.tables[j][code(i + j)][f]) for j in range(4)) + float(net.bias[f])) for f in range(quality.FILTERS)] for i in range(len(data))]
+        starts = range(0, max(1, -(-len(data) // 64) - 1) * 64, 64)
+        chunks = [h[a : a + 128] for a in starts]
+        inputs = [[sum(r[f] for r in c) / len(c) for f in range(quality.FILTERS)] + [max(r[f] for r in c) for f in range(quality.FILTERS)] for c in chunks]
+        units = [max(max(0.0, sum(x * float(net.layer[k][u]) for k, x in enumerate(c)) + float(net.layer_bias[u])) for c in inputs) for u in range(quality.UNITS)]
+        margin = sum(u * float(w) for u, w in zip(units, net.out)) + float(net.out_bias[0])
+        assert net.score(text) == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-5)
 
 
 def test_network_segments_agree():
     net = quality.ByteNetwork()
     data = bytes(np.random.default_rng(1).integers(32, 127, 3000, dtype=np.uint8))
     whole = net.chunks(data)
-    old, quality.SEGMENT = quality.SEGMENT, 512
+    old, quality.SEGMENT = quality.SEGMENT, 256
     try:
         assert np.allclose(whole, net.chunks(data), atol=1e-5)
     finally:
