@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtally.llm import near, packing, quality, secrets, toxicity
+from fieldtally.llm.common import shared_folder
 from fieldtally.llm.queries import tokenizer_file
 
 
@@ -53,12 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what lies between them is kept in the shared folder that spark.checkpoint.dir names."""
-    import tempfile
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-pipeline-")
+    shared = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{shared}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
