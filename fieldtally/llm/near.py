@@ -52,9 +52,11 @@ SAMPLE_ROWS, COMMON_TEXTS, COMMON_MOST = 8_192, 3, 65_536
 #: Remainders by which hashes are counted.
 COUNTS = 64
 #: Shingles of a bucket aimed at, and shingles that a task gathers before it deals them out.
-BUCKET_ITEMS, GATHERED = 500_000, 1_000_000
+BUCKET_ITEMS, GATHERED = 250_000, 400_000
 #: Rounds with pivots at most, and pairs that are compared at once without more of them.
-PIVOT_ROUNDS, FEW_PAIRS = 4, 200_000
+PIVOT_ROUNDS, FEW_PAIRS = 4, 2_000_000
+#: Rows that a Python function hands back at a time.
+SLICE = 512
 #: Rows of 16 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -68,12 +70,6 @@ def prefix_length(n: int) -> int:
     return n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1 if n else 0
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets, as ascending hashes, have the least similarity."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared * SIMILAR[1] >= (len(a) + len(b) - shared) * SIMILAR[0]
-
-
 def set_key(hashes: np.ndarray) -> bytes:
     import xxhash
 
@@ -85,11 +81,17 @@ def _part(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a in range(0, len(batch), SLICE):
+            yield batch.iloc[a : a + SLICE]
+
+
 def _prints(texts: DataFrame) -> DataFrame:
     """(doc_id, key, part, n, fp, counts) of every row."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _sliced(batches):
             out = []
             for i, text in zip(batch["doc_id"], batch["text"]):
                 blocks = list(simhash.shingle_hashes(text, SHINGLE_WORDS))
@@ -107,7 +109,7 @@ def _common(texts: DataFrame, total: int) -> np.ndarray:
     every = max(1, total // SAMPLE_ROWS)
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _sliced(batches):
             yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.uint64), *map(shingle_set, batch["text"])]).view(np.int64)})
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
@@ -186,11 +188,6 @@ def _may_be_alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="bool")
 
 
-@F.pandas_udf(BooleanType())
-def _are_alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="bool")
-
-
 @F.pandas_udf(BinaryType())
 def _key_of(texts: pd.Series) -> pd.Series:
     return pd.Series([set_key(shingle_set(t)) for t in texts], dtype=object)
@@ -213,14 +210,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     wanted = durable(near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "doc_id"), "key"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _sliced(batches):
             hashes = [shingle_set(t) for t in batch["text"]]
-            yield pd.DataFrame({"key": [set_key(h) for h in hashes], "hashes": [h.tobytes() for h in hashes]})
+            yield pd.DataFrame({"key": [set_key(h) for h in hashes], "hashes": [h.view(np.int64) for h in hashes]})
 
     ids = durable(wanted.select("doc_id").distinct())
-    found = texts.join(_small(ids), "doc_id", "left_semi").mapInPandas(sets, "key binary, hashes binary")
+    found = texts.join(_small(ids), "doc_id", "left_semi").mapInPandas(sets, "key binary, hashes array<long>")
     found = durable(found.join(_small(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"]))
-    return durable(_beside(_small(near), found, "hashes").where(_are_alike("hashes_a", "hashes_b")).select("a", "b"))
+    shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    enough = shared * SIMILAR[1] >= (F.size("hashes_a") + F.size("hashes_b") - shared) * SIMILAR[0]
+    return durable(_beside(_small(near), found, "hashes").where(enough).select("a", "b"))
 
 
 def _tree_pairs(nodes: DataFrame) -> DataFrame:
