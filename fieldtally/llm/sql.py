@@ -6,17 +6,16 @@ from . import licenses
 
 
 def licenses_sql() -> str:
-    """The license digest: the same rules as a table, matched, placed and suppressed by joins."""
+    """The license digest: every rule on every whole text, without gates, keywords and pieces; placed and suppressed by joins."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rules = ",\n".join(f"({p}, {quoted(label)}, {quoted(k)}, {quoted(x)})" for p, label, k, x in licenses.rules())
-    gate = " OR ".join(f"contains(low, {quoted(g)})" for g in licenses.GATES)
+    rules = ",\n".join(f"({p}, {quoted(label)}, {quoted(x)})" for p, label, _, x in licenses.rules())
     phrases = " ".join(f"WHEN {' AND '.join(f'ws[i + {j}] = {quoted(w)}' for j, w in enumerate(phrase.split(), 1))} THEN {quoted(label)}" for phrase, label in licenses.PHRASES.items())
-    return f"""WITH rules(priority, label, keyword, pattern) AS (VALUES {rules}),
-d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
-w AS (SELECT doc_id, low, regexp_extract_all(low, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM d),
-n AS (SELECT doc_id, ws, CASE WHEN len(ws) = 0 THEN '' ELSE ' ' || array_to_string(ws, '  ') || ' ' END AS normal FROM w WHERE {gate}),
+    return f"""WITH rules(priority, label, pattern) AS (VALUES {rules}),
+d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(low, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM d),
+n AS (SELECT doc_id, ws, CASE WHEN len(ws) = 0 THEN '' ELSE ' ' || array_to_string(ws, '  ') || ' ' END AS normal FROM w),
 base AS (SELECT * FROM (SELECT doc_id, i, CASE {phrases} END AS label FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS i FROM n)) WHERE label IS NOT NULL),
-m AS (SELECT doc_id, priority, label, regexp_extract_all(normal, pattern) AS found, regexp_split_to_array(normal, pattern) AS parts FROM n JOIN rules ON contains(normal, keyword)),
+m AS (SELECT doc_id, priority, label, regexp_extract_all(normal, pattern) AS found, regexp_split_to_array(normal, pattern) AS parts FROM n JOIN rules ON regexp_matches(normal, pattern)),
 k AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM m),
 s AS (SELECT doc_id, priority, label, length(found[k]) AS size, list_sum(list_transform(parts[1:k], lambda x: length(x))) + list_sum(list_transform(found[1:k], lambda x: length(x))) AS stop FROM k),
 kept AS (SELECT * FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = a.doc_id AND b.stop - b.size <= a.stop - a.size AND b.stop >= a.stop AND (b.priority > a.priority OR (b.priority = a.priority AND b.size > a.size)))),
