@@ -20,10 +20,15 @@ Between the passes the driver holds two small rows per partition at most.  The
 texts are joined to their turns' decisions and rendered one by one.  The pieces
 of a conversation in the order of ``place`` are its rendered form.
 
+Delimiters that a text itself holds are escaped, so that no text can pass for
+a turn; ``unescaped`` takes that back.
+
 Cases: a null or unknown role is relabelled, at a lower cost; a null text is an
-empty one.  Turns with equal numbers stand in the order of role and text hash;
-repeated rows count once.  Null conversation ids form one conversation.  Other
-columns are not read.  An empty table gives no rows.
+empty one.  Turns with equal numbers stand in the order of role and SHA-256 of
+the text; repeated rows count once.  A very long text is hashed and rendered as
+a whole and takes no part in the repair.  Null conversation ids form one
+conversation.  Other columns are not read, whatever their names.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -175,9 +180,18 @@ def _links(sorted_rows: DataFrame) -> tuple[dict, dict]:
     return entries, exits
 
 
+def escaped(text: Column) -> Column:
+    """A text without delimiters of turns: between ``<`` and ``|`` stands one backslash more than in the text."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per turn: its decision, the conversation's cost, and its piece of the rendered conversation."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim(F.coalesce("role", F.lit("")))).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim(F.coalesce("role", F.lit("")))).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.unhex(F.sha2("text", 256)))
     narrow = rows.select(*KEYS).distinct().repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     narrow = durable(narrow.withColumn("part", F.spark_partition_id()))  # all passes see the same partitions
     entries, exits = _links(narrow)
@@ -201,8 +215,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=pa.schema(fields))
 
-    schema = "conv_id long, turn long, role string, hash long, place long, action string, new_role string, before array<string>, after array<string>, last boolean, cost double"
-    types = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_(), "double": pa.float64()}
+    schema = "conv_id long, turn long, role string, hash binary, place long, action string, new_role string, before array<string>, after array<string>, last boolean, cost double"
+    types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_(), "double": pa.float64()}
     fields = [pa.field(name, types[kind]) for name, kind in (f.split() for f in schema.split(", "))]
     decided = narrow.mapInArrow(decide, schema)
     texts = rows.dropDuplicates(KEYS).select(*[F.col(k).alias(f"t_{k}") for k in KEYS], "text")
@@ -212,7 +226,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     merged = F.col("action") == "merge"
     head = F.when(merged, "\n").otherwise(F.concat(F.lit("<|"), "new_role", F.lit("|>\n")))
     # A turn is closed by the one that follows it, so that no piece depends on what comes later.
-    piece = F.concat(close(~merged & (F.col("place") > 0)), empty(F.col("before")), head, F.col("text"), close(F.col("last")), empty(F.col("after")))
+    piece = F.concat(close(~merged & (F.col("place") > 0)), empty(F.col("before")), head, escaped(F.col("text")), close(F.col("last")), empty(F.col("after")))
     return decided.join(texts, on).select(
         "conv_id", "turn", "place", "role", "new_role", "action", (F.col("role") != F.col("new_role")).alias("relabelled"),
         (F.size("before") + F.size("after")).alias("n_inserted"), "cost", piece.alias("piece"),

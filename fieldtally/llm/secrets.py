@@ -11,15 +11,17 @@ scope; an identifier or endpoint needs a secret whose scope holds it.
 Positions count code points, ends are exclusive.
 
 Cases: a null text is an empty text and has no spans.  Repeated rows are each
-scanned.  Very long texts are scanned whole.  Columns besides the text are not
-read; redaction changes the text and, where there is one, ``n_chars``.
+scanned.  Very long texts are scanned whole, in time that grows with the text
+and the links found.  Spans of one start stand in the order of their kinds.
+Columns besides the text are not read; redaction changes the text and, where
+there is one, ``n_chars``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,7 +39,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so the same spans as the long ones of [0-9a-f]+
 _IDENTIFIER = re.compile(r"""(?i:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII)
 _UNNAMED = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
-_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]*://[^\s"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b""")
+_BLANK = re.compile("(?=\n\n)")
+_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{0,31}://[^\s"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b""")
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -58,26 +61,43 @@ def _order(span: Span) -> tuple[int, int, int]:
     return span[0], KINDS.index(span[2]), span[1]
 
 
+class _Cover:
+    """The places that spans cover, as runs that don't meet."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [], []
+        for a, b, _ in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, span: Span) -> bool:
+        k = bisect_left(self.starts, span[1]) - 1
+        return k >= 0 and self.ends[k] > span[0]
+
+
 def linked_spans(text: str, strong: list[Span], short: list[Span]) -> list[Span]:
-    """The weak spans whose complement lies in a scope."""
+    """The weak spans whose complement lies in a scope: a join of sorted intervals."""
     identifiers = [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
     endpoints = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)] if "://" in text or text.count(".") > 2 else []
     names = [s for s in strong if s[2] == "access"]
     partners = sorted(identifiers + endpoints + names)
     if not partners:
         return []
-
-    def overlaps(span: Span, others: list[Span]) -> bool:
-        return any(o[0] < span[1] and span[0] < o[1] for o in others)
-
-    weak = [(a, b, "secret") for a, b, _ in short if b - a >= WEAK_LEAST and not overlaps((a, b, ""), strong)]
-    weak += [s for m in _UNNAMED.finditer(text) if not overlaps(s := (m.start(), m.end(), "secret"), strong + endpoints + weak)]
+    taken = _Cover(strong)
+    weak = [(a, b, "secret") for a, b, _ in short if b - a >= WEAK_LEAST and not taken.meets((a, b, ""))]
+    taken = _Cover(strong + endpoints + weak)
+    weak += [s for m in _UNNAMED.finditer(text) if not taken.meets(s := (m.start(), m.end(), "secret"))]
     starts, found = [p[0] for p in partners], set()
+    blanks = [m.start() for m in _BLANK.finditer(text)] if "\n\n" in text else []
     for secret in [s for s in strong if s[2] != "access"] + weak:
-        low = max(text.rfind("\n\n", 0, secret[0]) + 2, secret[0] - REACH) if "\n\n" in text else max(0, secret[0] - REACH)
-        after = text.find("\n\n", secret[1])
-        high = min(len(text) if after < 0 else after, secret[1] + REACH)
-        met = [p for p in partners[bisect_left(starts, low) : bisect_left(starts, high)] if p[1] <= high and not overlaps(p, [secret])]
+        before = bisect_right(blanks, secret[0] - 2) - 1  # the last blank line that ends before the secret
+        after = bisect_left(blanks, secret[1])
+        low = max(blanks[before] + 2 if before >= 0 else 0, secret[0] - REACH)
+        high = min(blanks[after] if after < len(blanks) else len(text), secret[1] + REACH)
+        met = [p for p in partners[bisect_left(starts, low) : bisect_left(starts, high)] if p[1] <= high and not (p[0] < secret[1] and secret[0] < p[1])]
         if met:
             found.update([s for s in [secret] if s[2] == "secret"] + [p for p in met if p[2] != "access"])
     return list(found)

@@ -4,14 +4,18 @@ A sketch holds every distinct hash of a five-word shingle that lies in the
 lowest ``1 / SCALE`` of the hash range.  The threshold is the same for all
 documents, so sketches merge by union, and the share of one sketch that is in
 another estimates how much of that document the other contains, however
-unequal the two are.
+unequal the two are.  A text none of whose hashes lies below the threshold,
+which happens to short ones, keeps its smallest hash, so that no sketch is
+empty and short texts are told apart too.
 
 Cases: a null or empty text is one empty word, so one shingle.  Texts with
-fewer than five words have one shingle of all their words.  Two sketches of
-which one is empty are alike only if the texts are equal.  Rows with a null id
-have no next document; their edited text is their own.  Of rows with one id,
-the order is that of their texts.  Columns besides the id and the text are not
-read.  An empty table gives no rows.
+fewer than five words have one shingle of all their words.  A very long text is
+one array of hashes, of which a share of ``1 / SCALE`` is kept.  Rows with a
+null id have no next document; their edited text is their own.  Rows of one id
+stand in the order of their texts' hashes.  Repeated rows, of one id and text,
+count as one document in that order and are returned as often as they occur.  A
+table of one document follows itself.  Columns besides the id and the text are
+not read, and may have any names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,38 +23,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHINGLE_WORDS, SCALE = 5, 8
-#: Rows of a bucket of neighbouring ids aimed at, and buckets that share a bucket of the level above.
-BUCKET_ROWS, FAN_OUT = 512, 1024
+from .common import durable
+
+SHINGLE_WORDS, SCALE = 5, 4
+
+
+def limit(scale: int) -> int:
+    """The hashes that are kept lie below this."""
+    return -(2**63) + 2**64 // scale
+
+
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: a lambda's variable is a name, a repeated expression is not."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def sketch(text: Column, *, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
     """The sorted retained hashes of a non-null text."""
-    pieces = F.split(F.trim(F.lower(text)), r"\s+")
 
     def hashes(p: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(p) - words, F.lit(0)))
         # get() beyond the last word is null, which the hash leaves out; slice() would copy the whole array each time.
-        return F.filter(F.transform(starts, lambda i: F.xxhash64(*[F.get(p, i + j) for j in range(words)])), lambda h: h < -(2**63) + 2**64 // scale)
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(p, i + j) for j in range(words)]))
+
+    def kept(every: Column) -> Column:
+        low = F.filter(every, lambda h: h < limit(scale))
+        return _named(low, lambda few: F.when(F.size(few) > 0, F.array_sort(F.array_distinct(few))).otherwise(F.array(F.array_min(every))))
 
-    # The outer transform, over one element, gives the words a name; else they'd be split anew for each shingle.
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array(pieces), hashes))))
+    return _named(F.split(F.trim(F.lower(text)), r"\s+"), lambda p: _named(hashes(p), kept))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, *, scale: int = SCALE) -> Column:
+    """The sketch of two documents together: the union, or of two lone hashes above the threshold the smaller."""
+    both = F.array_sort(F.array_union(a, b))
+    return _named(both, lambda u: _named(F.filter(u, lambda h: h < limit(scale)), lambda low: F.when(F.size(low) > 0, low).otherwise(F.slice(u, 1, 1))))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The share of sketch a that is in sketch b; null if a is empty."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
+    """The share of sketch a that is in sketch b."""
+    return F.size(F.array_intersect(a, b)) / F.size(a)
 
 
-def likeness(a: Column, b: Column, equal: Column) -> Column:
-    """The containment of the smaller in the larger; ``equal`` tells it where a sketch is empty."""
-    shared = F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
-    return F.when(equal, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared)
+def likeness(a: Column, b: Column) -> Column:
+    """The containment of the smaller sketch in the larger."""
+    return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -63,43 +79,41 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), sketch(F.coalesce(F.col(text_col), F.lit(""))).alias("sketch"))
 
 
+def followers(rows: DataFrame) -> DataFrame:
+    """(doc_id, hash, next_id, next_hash) of the distinct documents (doc_id, hash), by ascending id, then hash; the last is followed by the first.
+
+    Only these narrow rows are sorted, by range over all partitions, so an id
+    that many rows share is divided like any other.  Inside a partition a window
+    finds the next row; the last row takes the first of the next partition that
+    has rows, from a table of one row a partition.
+    """
+    keys = rows.select("doc_id", "hash").distinct()
+    placed = durable(keys.repartitionByRange("doc_id", "hash").withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("part").orderBy("doc_id", "hash")
+    inside = placed.withColumn("next", F.lead(F.struct("doc_id", "hash")).over(order))
+    heads = placed.groupBy("part").agg(F.min(F.struct("doc_id", "hash")).alias("head"))
+    whole = Window.orderBy("part")  # one row a partition
+    heads = heads.select("part", F.coalesce(F.lead("head").over(whole), F.min("head").over(Window.partitionBy())).alias("then"))
+    both = inside.join(F.broadcast(heads), "part").withColumn("next", F.coalesce("next", "then"))  # one row a partition
+    return both.select("doc_id", "hash", F.col("next.doc_id").alias("next_id"), F.col("next.hash").alias("next_hash"))
+
+
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, sketch, next_text, next_sketch): each row beside the next by ascending id, the last beside the first.
-
-    Texts are shuffled once, by buckets of neighbouring ids.  Inside a bucket a
-    window finds the next row.  The last row of a bucket needs the first of the
-    next bucket that has rows; those few rows are found over a table of bucket
-    numbers, in two levels, and joined on the bucket, by which the texts are
-    already partitioned.  Buckets are as wide as the density of ids suggests;
-    other densities change only the balance, not the result.
+    """(doc_id, text, next_text): each row beside the next by ascending id, the last beside the first.
+
+    The order is found on ids and hashes; the texts are shuffled twice, as rows
+    and as what follows, and meet by equal keys.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.percentile_approx("doc_id", 0.01), F.percentile_approx("doc_id", 0.99), F.count("doc_id")).first()
-    width = max(1, ((high - low) * BUCKET_ROWS) // n) if n else 1
-    bucket = F.floor(F.col("doc_id") / F.lit(width)).alias("bucket")
-
-    known = rows.where("doc_id is not null").select(bucket).distinct().withColumn("above", F.floor(F.col("bucket") / FAN_OUT))
-    top = Window.orderBy("above")  # one row for BUCKET_ROWS * FAN_OUT documents
-    above = known.groupBy("above").agg(F.min("bucket").alias("first")).select("above", F.lead("first").over(top).alias("then"), F.min("first").over(top).alias("start"))
-    follows = F.lead("bucket").over(Window.partitionBy("above").orderBy("bucket"))
-    following = known.withColumn("inside", follows).join(above, "above").select("bucket", F.coalesce("inside", "then", "start").alias("next_bucket"))
-
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    placed = (
-        rows.where("doc_id is not null")
-        .select(bucket, "doc_id", "text", sketch(F.col("text")).alias("sketch"))
-        .withColumns({"place": F.row_number().over(order), "next_id": F.lead("doc_id").over(order), "next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
-    )
-    firsts = placed.where("place = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("first_text"), F.col("sketch").alias("first_sketch"))
-    entries = following.join(firsts, "next_bucket").drop("next_bucket")
-    last = F.col("next_id").isNull()
-    beside = placed.join(entries, "bucket", "left").select(
-        "doc_id", "text", "sketch",
-        F.when(last, F.col("first_text")).otherwise(F.col("next_text")).alias("next_text"),
-        F.when(last, F.col("first_sketch")).otherwise(F.col("next_sketch")).alias("next_sketch"),
-    )
-    alone = rows.where("doc_id is null").select("doc_id", "text", sketch(F.col("text")).alias("sketch"), F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
-    return beside.unionByName(alone)
+    known = rows.where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
+    follow = durable(followers(known))
+    own = known.join(follow, ["doc_id", "hash"])
+    # Of repeated rows one text stands for all; the aggregation has nothing to do where keys are unique.
+    unique = known.groupBy("doc_id", "hash").count().where("count > 1").isEmpty()
+    after = known if unique else known.groupBy("doc_id", "hash").agg(F.min("text").alias("text"))
+    after = after.select(F.col("doc_id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("text").alias("next_text"))
+    beside = own.join(after, ["next_id", "next_hash"]).select("doc_id", "text", "next_text")
+    return beside.unionByName(rows.where("doc_id is null").withColumn("next_text", F.lit(None).cast("string")))
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,13 +123,14 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     rows = with_next(docs, id_col=id_col, text_col=text_col).withColumn(
         "edited", F.when(F.col("next_text").isNull(), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), size - half), F.substring("next_text", F.lit(1), half)))
     )
-    rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
+    # Each sketch is a column of its own, made once.
+    rows = rows.withColumns({"sketch": sketch(F.col("text")), "edited_sketch": sketch(F.col("edited")), "next_sketch": F.when(F.col("next_text").isNotNull(), sketch(F.col("next_text")))})
     return rows.select(
         "doc_id",
         size.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch"), F.col("text") == F.col("next_text")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
