@@ -13,7 +13,9 @@ All is computed document by document and in bounded segments, so equal
 payloads give equal values whatever shares their batch.
 
 Cases: a null or empty text is 64 zero bytes, one silent span-free recording.
-Columns besides the text are not read.
+A very long text is computed in segments, as if whole.  Repeated rows and ties
+give equal values.  Columns besides the text are not read, and may have any
+names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ are kept per Python worker, up to a bound.
 
 Cases: a null text is an empty text: no ids, and no bytes decoded.  Texts of
 any length are encoded whole; memory grows with the longest text of a batch.
-Columns besides the text are not read.
+Of pairs of equal rank the leftmost goes first.  Repeated rows are encoded as
+often as they occur.  Columns besides the text are not read, and may have any
+names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MOST_PIECES = 900_000
+#: Pre-tokens whose ids a Python worker keeps at most, and their characters together.
+MOST_PIECES, MOST_CHARS = 900_000, 48_000_000
 BUCKET = 1
 _MASK, _ODD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
@@ -93,6 +96,7 @@ class BytePairCodec:
         self.table = PerfectHash([token for _, token in pairs])
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.chars = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece that is not in the vocabulary."""
@@ -124,10 +128,12 @@ class BytePairCodec:
 
     def encode(self, text: str | None) -> list[int]:
         found, known = self.pieces(text or ""), self.known
-        if len(known) > MOST_PIECES:
+        if len(known) > MOST_PIECES or self.chars > MOST_CHARS:
             known.clear()
+            self.chars = 0
         for piece in {*found}.difference(known):
             known[piece] = self._resolve(piece)
+            self.chars += len(piece)
         return np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:

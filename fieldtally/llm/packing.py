@@ -36,8 +36,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Windows of a block, the share of them that is left free, and tokens of a piece that is packed.
 BLOCK_WINDOWS, SLACK, PIECE = 32, 0.006, 1024
-#: Cached words per Python worker.
-MOST_WORDS = 600_000
+#: Words whose ids a Python worker keeps at most, and their characters together.
+MOST_WORDS, MOST_CHARS = 600_000, 32_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
@@ -79,6 +79,7 @@ class WordTokenizer:
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.odd = regex.compile("[\x01\x1c-\x1f᠎​]").search
         self.known: dict[str, bytes] = {}
+        self.chars = 0
 
     def _learn(self, words: list[str]) -> None:
         """Encodes the words together and keeps each one's ids as bytes."""
@@ -96,10 +97,12 @@ class WordTokenizer:
         if self.odd(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         words = text.split()
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > MOST_WORDS or self.chars > MOST_CHARS:
             self.known.clear()
+            self.chars = 0
         if new := [w for w in set(words) if w not in self.known]:
             self._learn(new)
+            self.chars += sum(map(len, new))
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
 
 

@@ -27,7 +27,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(docs: DataFrame, score, modulus: int, remainder: int, threshold: float) -> DataFrame:
-    rows = docs.select("doc_id", (crc_remainder("doc_id", modulus) == remainder).alias("held_out"), score.alias("score"))
+    rows = docs.select("doc_id", F.coalesce(crc_remainder("doc_id", modulus) == remainder, F.lit(False)).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -8,9 +8,11 @@ depth three give a margin; pool-adjacent-violators on out-of-fold margins turns
 it into a probability.
 
 Cases: a null or empty text has all features zero.  Without labelled rows of
-both classes every score is the smoothed share of label 1.  Labels, language,
-source and id are no inputs.  Equal texts score equally.  Columns besides the
-text are not read.
+both classes every score is the smoothed share of label 1, and a warning says
+so.  Labels, language, source and id are no inputs.  Equal texts score equally,
+so repeated rows and ties do too.  A very long text is read as a whole.
+Columns besides the text are not read, and may have any names.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
