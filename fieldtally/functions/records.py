@@ -173,7 +173,43 @@ def schema_fingerprint(schema: Column) -> Column:
     return F.pandas_udf(lambda s: _each(s, lambda v: hashlib.sha1(canonical(normal_schema(v)).encode()).hexdigest()), "string")(schema)
 
 
-FIELDS = "path string, name string, depth int, position int, required boolean, json_type string, nullable boolean, enum array<string>, minimum double, maximum double, description string, type_class string, rigid boolean"
+FIELDS = (
+    "path string, name string, depth int, position int, required boolean, json_type string, nullable boolean, enum array<string>, minimum double, maximum double, description string, "
+    "type_class string, type_text string, rigid boolean, item_type string, item_enum boolean, item_numbers boolean, own_form string"
+)
+
+
+def json_kind(node: dict) -> str:
+    """The declared type, of a list of types the only one besides null; ``enum`` or ``any`` where none is declared."""
+    declared = node.get("type")
+    if isinstance(declared, list):
+        rest = [k for k in declared if k != "null"]
+        declared = rest[0] if len(rest) == 1 else None
+    return declared if isinstance(declared, str) else "enum" if "enum" in node else "any"
+
+
+def type_class(raw: dict, root: dict, depth: int = 0) -> str:
+    """What values a field can be compared with: all enums alike, all numbers alike, arrays by their items; null or not doesn't matter."""
+    node = opened(raw, root)[0]
+    found = json_kind(node)
+    if "enum" in node:
+        return "enum"
+    if found == "array":
+        inner = node.get("items")
+        return f"array[{type_class(inner, root, depth + 1) if isinstance(inner, dict) and depth < MOST_DEPTH else 'any'}]"
+    return "numeric" if found in ("integer", "number") else found if found in ("string", "boolean", "object") else "any"
+
+
+def type_text(raw: dict, root: dict, depth: int = 0) -> str:
+    """The type as a reader would say it."""
+    node, nullable = opened(raw, root)
+    if "enum" in node:
+        said = f"enum[{raw['$ref'].rsplit('/', 1)[-1]}]" if isinstance(raw.get("$ref"), str) else "enum"
+    else:
+        said, inner = json_kind(node), node.get("items")
+        if said == "array" and isinstance(inner, dict) and depth < MOST_DEPTH:
+            said = f"array of {type_text(inner, root, depth + 1)}"
+    return f"{said}|null" if nullable else said
 
 
 def fields(schema: dict) -> list[dict]:
@@ -187,11 +223,15 @@ def fields(schema: dict) -> list[dict]:
         for position, (name, raw) in enumerate(node.get("properties", {}).items()):
             inner, nullable = opened(raw, schema)
             path = f"{prefix}.{name}" if prefix else name
-            json_type = inner.get("type") if isinstance(inner.get("type"), str) else "enum" if "enum" in inner else "union"
+            json_type = json_kind(inner)
+            item = opened(inner["items"], schema)[0] if json_type == "array" and isinstance(inner.get("items"), dict) else {}
+            numbers = [json_kind(opened(c, schema)[0]) in ("integer", "number") for c in item.get("properties", {}).values() if isinstance(c, dict)]
             out.append({
                 "path": path, "name": name, "depth": depth, "position": position, "required": name in node.get("required", []), "json_type": json_type, "nullable": nullable,
                 "enum": [canonical(v) for v in inner["enum"]] if "enum" in inner else None, "minimum": inner.get("minimum"), "maximum": inner.get("maximum"),
-                "description": raw.get("description") or inner.get("description") or "", "type_class": "enum" if "enum" in inner else json_type, "rigid": depth > 0 or is_rigid(resolve(raw, schema)),
+                "description": raw.get("description") or inner.get("description") or "", "type_class": type_class(raw, schema), "type_text": type_text(raw, schema), "rigid": depth > 0 or is_rigid(resolve(raw, schema)),
+                "item_type": json_kind(item) if item else None, "item_enum": "enum" in item, "item_numbers": any(numbers),
+                "own_form": canonical({"required": name in node.get("required", []), "schema": raw}) if depth == 0 else None,
             })
             if json_type == "object":
                 walk(inner, path, depth + 1)

@@ -8,14 +8,21 @@ of arrival run per (task_id, field) group, which holds a task's few trials.
 from __future__ import annotations
 
 import json
+import math
+import re
+import unicodedata
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.records import canonical, json_kind, opened
+
 
 def valid_trials(trials: DataFrame) -> DataFrame:
     """Trials with an output, without errors and without an ``error`` key."""
@@ -41,14 +48,15 @@ def exact_vote(values: DataFrame) -> DataFrame:
     return support(values.where("value <> 'null'")).withColumn("place", F.row_number().over(order)).where("place = 1").select("task_id", "field", "value", "support")
 
 
-def null_vote(values: DataFrame, fields: DataFrame) -> DataFrame:
-    """The exact vote against nulls: null wins where it may, with more trials than the best value; all null gives null, or the empty value.
+def null_vote(values: DataFrame, fields: DataFrame, *, null_wins_ties: bool = False) -> DataFrame:
+    """The exact vote against nulls: null wins where it may, with more trials than the best value, or as many if it wins ties; all null gives null, or the empty value.
 
     ``fields`` has (field, nullable, empty_json).
     """
     nulls = values.groupBy("task_id", "field").agg(F.countDistinct(F.when(F.col("value") == "null", F.col("trial"))).alias("nulls"))
-    voted = nulls.join(exact_vote(values), ["task_id", "field"], "left").join(F.broadcast(fields), "field")  # a schema's fields
-    wins = F.col("nullable") & (F.col("nulls") > F.coalesce("support", F.lit(0)))
+    voted = nulls.join(exact_vote(values), ["task_id", "field"], "left").join(fields, "field")
+    support_of = F.coalesce("support", F.lit(0))
+    wins = F.col("nullable") & (F.col("nulls") >= support_of if null_wins_ties else F.col("nulls") > support_of)
     value = F.when(F.col("value").isNull() & ~F.col("nullable"), F.col("empty_json")).when(wins | F.col("value").isNull(), "null").otherwise(F.col("value"))
     return voted.select("task_id", "field", value.alias("value"), "nulls", F.coalesce("support", F.lit(0)).alias("support"))
 
@@ -93,6 +101,22 @@ def vote_table(values: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+def vote_counters(presence: DataFrame, trials: DataFrame) -> DataFrame:
+    """Per task and field: trials in which it is null, an empty or a non-empty list, something else where a list is due, or missing.
+
+    ``presence`` has (task_id, field, trial, value, is_array), one row per
+    field of a trial's output; ``trials`` all (task_id, trial).
+    """
+    n = trials.groupBy("task_id").agg(F.countDistinct("trial").alias("__n"))
+    value = F.col("value")
+    is_list = value.startswith("[")
+    kind = (
+        F.when(value == "null", "null").when(~F.col("is_array"), "value").when(is_list & value.rlike(r"^\[\s*\]$"), "empty").when(is_list, "non_empty").otherwise("invalid")
+    )
+    found = presence.withColumn("kind", kind).groupBy("task_id", "field").agg(F.countDistinct("trial").alias("__seen"), *[F.countDistinct(F.when(F.col("kind") == k, F.col("trial"))).alias(f"{k}_count") for k in ("null", "empty", "non_empty", "value", "invalid")])
+    return found.join(n, "task_id").withColumn("missing_count", F.col("__n") - F.col("__seen")).drop("__n", "__seen")
+
+
 def merged_candidates(values: DataFrame, key: Column) -> DataFrame:
     """Candidates whose keys are equal, under their earliest spelling, in a fixed order."""
     rows = values.withColumn("key", key)
@@ -107,6 +131,27 @@ def merged_judgement(stable: DataFrame, judged: DataFrame) -> DataFrame:
     return both.select("task_id", "field", F.coalesce("j", "s").alias("value"), F.when(F.col("j").isNotNull(), "judge").otherwise("stable").alias("source"))
 
 
+def reconstructed_fields(candidates: DataFrame, verdicts: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Per field its included values, in order, and its issues.
+
+    A field none of whose candidates has a verdict takes the value of
+    ``fallback`` (task_id, field, value); one whose verdict counts other
+    candidates than there are is told so.
+    """
+    rows = reconstructed(candidates, verdicts)
+    said = verdicts.groupBy("task_id", "field").agg(F.count("*").alias("n_verdicts"))
+    own = candidates.groupBy("task_id", "field").agg(F.count("*").alias("n_candidates"))
+    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("place", "value")))), lambda x: x["value"])
+    out = rows.groupBy("task_id", "field").agg(F.array_join(kept, ",").alias("included"), F.array_join(F.array_sort(F.collect_set("issue")), ",").alias("issues"))
+    both = own.join(said, ["task_id", "field"], "left").join(out, ["task_id", "field"], "left").join(fallback.select("task_id", "field", F.col("value").alias("other")), ["task_id", "field"], "left")
+    missing = F.col("n_verdicts").isNull()
+    counted = F.when(missing, "missing verdict").when(F.col("n_verdicts") != F.col("n_candidates"), "count mismatch")
+    return both.select(
+        "task_id", "field", F.when(missing, F.col("other")).otherwise(F.col("included")).alias("value"), F.when(missing, "fallback").otherwise("verdict").alias("source"),
+        F.concat_ws(",", counted, F.when(~missing, F.nullif("issues", F.lit("")))).alias("issues"),
+    )
+
+
 def reconstructed(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Candidates against verdict rows (task_id, field, place, value, include): included values and what is wrong with each verdict."""
     c = candidates.select("task_id", "field", "place", F.col("value").alias("candidate"))
@@ -117,79 +162,154 @@ def reconstructed(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     return both.select("task_id", "field", "place", F.when(F.col("include") & issue.isNull(), F.col("candidate")).alias("value"), issue.alias("issue"))
 
 
-def identity_scores(fields: DataFrame) -> DataFrame:
-    """The field that identifies an object's items, by rules on type, name and requirement, with the margin to the next.
+#: Parts of a name or description that speak for or against the field that identifies an item, and what each counts.
+IDENTITY_NAMES = ("text", "name", "title", "reaction", "symptom", "ingredient", "entity", "mention")
+IDENTITY_DESCRIPTIONS = ("verbatim", "name", "mention", "source", "ingredient", "symptom", "adverse effect", "reaction")
+ATTRIBUTE_NAMES = ("label", "category", "class", "type", "probability", "frequency", "impact", "severity", "amount", "unit", "date", "year", "count", "number", "score", "is_", "has_")
+IDENTITY_POINTS = {"required": 3, "free string": 4, "name": 3, "description": 2, "attribute type": -4, "attribute name": -3}
+
 
-    ``fields`` has (owner, name, json_type, required, enum_size, nullable).
+def identity_scores(fields: DataFrame, least: float = 8.0, margin: float = 3.0) -> DataFrame:
+    """The field that identifies an object's items, by rules on requirement, type, name and description.
+
+    ``fields`` has (owner, name, description, json_type, required, enum_size).
+    High confidence takes the least score and the margin to the next, medium
+    the least score alone; without it there is no identity (a null name).
     """
-    name = F.lower("name")
-    score = (
-        F.when(F.col("json_type") == "string", 3).otherwise(0) + F.when(F.col("required"), 2).otherwise(0) + F.when(name.rlike("(^|_)(id|name|nombre|text|texto|title)($|_)"), 3).otherwise(0)
-        - F.when(F.col("enum_size") > 0, 3).otherwise(0) - F.when(F.col("nullable"), 1).otherwise(0) - F.when(F.col("json_type").isin("array", "object"), 5).otherwise(0)
-    )
-    order = Window.partitionBy("owner").orderBy(F.desc("score"), "name")
-    rows = fields.withColumn("score", score).withColumns({"place": F.row_number().over(order), "next": F.lead("score").over(order)})
-    return rows.where("place = 1").select("owner", "name", "score", (F.col("score") - F.coalesce("next", F.lit(0))).alias("margin"))
+    holds = lambda c, parts: F.lower(F.coalesce(c, F.lit(""))).rlike("|".join(parts))
+    has_enum = F.col("enum_size") > 0
+    rules = {
+        "required": F.col("required"), "free string": (F.col("json_type") == "string") & ~has_enum, "name": holds(F.col("name"), IDENTITY_NAMES), "description": holds(F.col("description"), IDENTITY_DESCRIPTIONS),
+        "attribute type": has_enum | F.col("json_type").isin("integer", "number", "boolean"), "attribute name": holds(F.col("name"), ATTRIBUTE_NAMES),
+    }
+    score = sum((F.when(rule, IDENTITY_POINTS[k]).otherwise(0) for k, rule in rules.items()), F.lit(0))
+    best = fields.withColumn("score", score).groupBy("owner").agg(F.slice(F.array_sort(F.collect_list(F.struct(-F.col("score"), "name"))), 1, 2).alias("b"))  # an object's few fields
+    first = -F.get("b", 0)["col1"]
+    ahead = first + F.coalesce(F.get("b", 1)["col1"], F.lit(0))
+    sure = F.when((first >= least) & (ahead >= margin), "high").when(first >= least, "medium").otherwise("none")
+    return best.select("owner", F.when(first >= least, F.get("b", 0)["name"]).alias("name"), first.alias("score"), ahead.alias("margin"), sure.alias("confidence"))
+
+
+def identity_field(node: dict, root: dict, least: float = 8.0) -> str | None:
+    """The same choice for one object schema."""
+    scored = []
+    for name, raw in node.get("properties", {}).items():
+        inner = opened(raw, root)[0]
+        kind, has_enum = json_kind(inner), "enum" in inner
+        told = {
+            "required": name in node.get("required", []), "free string": kind == "string" and not has_enum, "name": any(x in name.lower() for x in IDENTITY_NAMES),
+            "description": any(x in str(inner.get("description") or raw.get("description") or "").lower() for x in IDENTITY_DESCRIPTIONS),
+            "attribute type": has_enum or kind in ("integer", "number", "boolean"), "attribute name": any(x in name.lower() for x in ATTRIBUTE_NAMES),
+        }
+        scored.append((-sum(IDENTITY_POINTS[k] for k, v in told.items() if v), name))
+    best = min(scored, default=(0, ""))
+    return best[1] if -best[0] >= least else None
 
 
 # Steps that depend on the order of arrival.
 
 
-def _bag_f1(a: list, b: list) -> float:
+@lru_cache(maxsize=20_000)
+def normal_text(text: str) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return re.sub(r"\s+", " ", plain.lower()).strip()
+
+
+def _bags(text: str) -> tuple[Counter, Counter]:
+    """Words and trigrams of a normal text."""
+    return Counter(re.findall(r"\w+", text)), Counter(text[i : i + 3] for i in range(max(1, len(text) - 2))) if text else Counter()
+
+
+def _bag_f1(a: Counter, b: Counter) -> float:
     if not a or not b:
         return float(not a and not b)
-    return 2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
 
 
 @lru_cache(maxsize=20_000)
 def string_similarity(a: str, b: str) -> float:
     """1 if equal but for marks, case and spaces, else 0.45 of the words' and 0.40 of the trigrams' bag F1."""
-    import re
-    import unicodedata
-
-    normal = lambda t: re.sub(r"\s+", " ", "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()).strip()
-    a, b = normal(a), normal(b)
+    a, b = normal_text(a), normal_text(b)
     if a == b:
         return 1.0
-    grams = lambda t: [t[i : i + 3] for i in range(max(1, len(t) - 2))] if t else []
-    return 0.45 * _bag_f1(re.findall(r"\w+", a), re.findall(r"\w+", b)) + 0.40 * _bag_f1(grams(a), grams(b))
+    return sum(w * _bag_f1(x, y) for w, x, y in zip((0.45, 0.40), _bags(a), _bags(b)))
+
 
+#: How much a field's kind weighs in an object's similarity; all others weigh 1.
+WEIGHTS = {"enum": 1.1, "string": 1.2, "integer": 1.1, "number": 1.1, "boolean": 1.1, "array": 0.9}
+_KINDS = {str: "string", int: "integer", float: "number", bool: "boolean", list: "array"}
 
-#: How much a field's kind weighs in an object's similarity.
-WEIGHTS = {str: 1.2, int: 1.1, float: 1.1, bool: 1.1, list: 0.9}
+
+@dataclass(frozen=True)
+class Comparer:
+    """Similarity of two parsed values under a schema; without one by what the values are.
+
+    Strings compare by ``texts``, lists by greedy matching over their union,
+    objects by their weighted fields.
+    """
+
+    root: dict | None = None
+    texts: Callable[[str, str], float] = string_similarity
+
+    def kind(self, raw: dict | None, *values) -> str:
+        if raw is None:
+            return next((_KINDS.get(type(v), "") for v in values if v is not None), "")
+        node = opened(raw, self.root or {})[0]
+        return "enum" if "enum" in node else json_kind(node)
+
+    def inner(self, raw: dict | None, name: str | None = None) -> dict | None:
+        """The schema of a property, or without a name of a list's items; an empty one where it isn't told."""
+        if raw is None:
+            return None
+        node = opened(raw, self.root or {})[0]
+        found = node.get("properties", {}).get(name) if name is not None else node.get("items")
+        return found if isinstance(found, dict) else {}
+
+    def __call__(self, a, b, raw: dict | None = None) -> float:
+        kind = self.kind(raw, a, b)
+        if a is None or b is None:
+            return float(a is b)
+        if kind in ("enum", "integer", "number", "boolean"):
+            return float(a == b and (raw is not None or type(a) is type(b)))
+        if isinstance(a, str) and isinstance(b, str) and kind in ("string", ""):
+            return self.texts(a, b)
+        if isinstance(a, list) and isinstance(b, list) and kind in ("array", ""):
+            if not a or not b:
+                return float(not a and not b)
+            return matched_share(np.array([[self(x, y, self.inner(raw)) for y in b] for x in a]))
+        if isinstance(a, dict) and isinstance(b, dict) and kind in ("object", ""):
+            names = [*{**a, **b}] if raw is None else [n for n in opened(raw, self.root or {})[0].get("properties", {}) if n in a or n in b]
+            if raw is not None and not opened(raw, self.root or {})[0].get("properties"):
+                return float(canonical(a) == canonical(b))
+            weights = {n: WEIGHTS.get(self.kind(self.inner(raw, n), a.get(n), b.get(n)), 1.0) for n in names}
+            total = sum(weights.values())
+            return sum(weights[n] * self(a[n], b[n], self.inner(raw, n)) for n in names if n in a and n in b) / total if total else 1.0
+        return float(canonical(a) == canonical(b))
 
 
 def similarity(a, b) -> float:
-    """Of two parsed values: strings lexically, lists by greedy matching over their union, objects by weighted fields."""
-    if isinstance(a, str) and isinstance(b, str):
-        return string_similarity(a, b)
-    if isinstance(a, list) and isinstance(b, list):
-        if not a or not b:
-            return float(not a and not b)
-        pairs = sorted(((similarity(x, y), -i, -j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
-        left, right, total = set(), set(), 0.0
-        for s, i, j in pairs:
-            if s > 0 and i not in left and j not in right:
-                left.add(i)
-                right.add(j)
-                total += s
-        return total / (len(a) + len(b) - total)
-    if isinstance(a, dict) and isinstance(b, dict):
-        keys = {**a, **b}
-        weight = {k: WEIGHTS.get(type(a.get(k) if a.get(k) is not None else b.get(k)), 1.0) for k in keys}
-        return sum(weight[k] * similarity(a[k], b[k]) for k in keys if k in a and k in b) / sum(weight.values()) if keys else 1.0
-    return float(type(a) is type(b) and a == b)
-
-
-def value_similarities(a: Column, b: Column) -> Column:
-    """The weighted similarity of two JSON values; null if either doesn't parse."""
+    """Of two parsed values without a schema."""
+    return Comparer()(a, b)
+
+
+def matched_share(matrix: np.ndarray) -> float:
+    """Greedily matched similarity over the items of both sides less the matched."""
+    from .scoring import greedy_total
+
+    total = greedy_total(matrix)
+    return total / (matrix.shape[0] + matrix.shape[1] - total)
+
+
+def value_similarities(a: Column, b: Column, schema: str | None = None) -> Column:
+    """The weighted similarity of two JSON values, under a schema if one is given; null if either doesn't parse."""
+    root = None if schema is None else json.loads(schema)
 
     @F.pandas_udf("double")
     def compare(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
+        comparer, out = Comparer(root), []
         for x, y in zip(xs, ys):
             try:
-                out.append(similarity(json.loads(x), json.loads(y)))
+                out.append(comparer(json.loads(x), json.loads(y), root))
             except (TypeError, ValueError):
                 out.append(None)
         return pd.Series(out, dtype="float64")
@@ -197,88 +317,321 @@ def value_similarities(a: Column, b: Column) -> Column:
     return compare(a, b)
 
 
-def cluster(items: list[tuple[int, int, object]], threshold: float, alike=similarity) -> list[list[int]]:
-    """In order of arrival each (trial, item, value) joins the best cluster at the threshold that its trial isn't in yet."""
-    clusters: list[list[int]] = []
-    for k, (trial, _, value) in enumerate(items):
-        scored = [(sum(alike(value, items[m][2]) for m in c) / len(c), -n) for n, c in enumerate(clusters) if all(items[m][0] != trial for m in c)]
-        best = max(scored, default=(0.0, 0))
-        if scored and best[0] >= threshold:
-            clusters[-best[1]].append(k)
-        else:
-            clusters.append([k])
-    return clusters
+class Similarities:
+    """Rows of the similarities of a list of values, made when they are asked for, so that memory grows with the values only.
 
+    Texts under the library's own similarity take one pass over the values that
+    share a word or trigram; other values are compared one by one, equal ones
+    once.
+    """
 
-def medoid(values: list, alike=similarity) -> int:
+    def __init__(self, values: Sequence, alike: Callable[[object, object], float] = similarity, texts_alike: bool = True):
+        keys: dict[str, int] = {}
+        self.of = np.array([keys.setdefault(canonical(v), len(keys)) for v in values], np.int64)
+        self.distinct = [values[i] for i in np.unique(self.of, return_index=True)[1]] if len(values) else []
+        self.alike, self.made = alike, {}
+        self.texts = texts_alike and all(isinstance(v, str) for v in self.distinct)
+        if self.texts:
+            self.normal = [normal_text(v) for v in self.distinct]
+            self.bags: list[list] = [[], []]
+            self.places: list[dict] = [{}, {}]
+            for i, t in enumerate(self.normal):
+                for bags, places, bag in zip(self.bags, self.places, _bags(t)):
+                    entries = [(x, k) for x, n in bag.items() for k in range(n)]  # each entry with its number among its equals
+                    bags.append(entries)
+                    for e in entries:
+                        places.setdefault(e, []).append(i)
+            self.sizes = [np.array([len(b) for b in bags]) for bags in self.bags]
+            same: dict[str, int] = {}
+            self.same = np.array([same.setdefault(t, len(same)) for t in self.normal])
+
+    def _of_distinct(self, i: int) -> np.ndarray:
+        n = len(self.distinct)
+        if not self.texts:
+            return np.array([self.alike(self.distinct[i], v) for v in self.distinct])
+        out = np.zeros(n)
+        for weight, bags, places, sizes in zip((0.45, 0.40), self.bags, self.places, self.sizes):
+            shared = np.zeros(n)
+            for e in bags[i]:
+                shared[places[e]] += 1  # an entry stands once in each place
+            both = sizes + sizes[i]
+            out += weight * np.where(both > 0, 2 * shared / np.maximum(both, 1), 1.0)
+        out[self.same == self.same[i]] = 1.0
+        return out
+
+    def row(self, k: int) -> np.ndarray:
+        """The similarities of value k to all values."""
+        i = int(self.of[k])
+        if i not in self.made:
+            if len(self.made) >= 512:
+                self.made.clear()
+            self.made[i] = self._of_distinct(i)
+        return self.made[i][self.of]
+
+    def block(self, rows: Sequence[int], columns: Sequence[int]) -> np.ndarray:
+        return np.array([self.row(k)[list(columns)] for k in rows]).reshape(len(rows), len(columns))
+
+
+def cluster(items: list[tuple[int, int, object]], threshold: float, alike: Callable[[object, object], float] | Similarities = similarity) -> list[list[int]]:
+    """In order of arrival each (trial, item, value) joins the cluster of the best mean similarity at the threshold that its trial isn't in yet, the first among equals."""
+    near = alike if isinstance(alike, Similarities) else Similarities([v for _, _, v in items], alike, alike is similarity)
+    labels, sizes = np.zeros(len(items), np.int64), np.zeros(len(items))
+    of_trial: dict[int, list[int]] = {}
+    count = 0
+    for k, (trial, _, _) in enumerate(items):
+        taken, label = of_trial.setdefault(trial, []), count
+        if count:
+            means = np.bincount(labels[:k], near.row(k)[:k], count) / sizes[:count]
+            means[taken] = -1.0
+            best = int(means.argmax())
+            if means[best] >= threshold - 1e-12:
+                label = best
+        labels[k] = label
+        sizes[label] += 1
+        count = max(count, label + 1)
+        taken.append(label)
+    return [np.flatnonzero(labels == c).tolist() for c in range(count)]
+
+
+def medoid(values: list, alike: Callable[[object, object], float] | Similarities = similarity, among: Sequence[int] | None = None) -> int:
     """The index of the highest mean similarity to the others, the first among equals."""
-    return max(range(len(values)), key=lambda i: (round(sum(alike(values[i], v) for v in values), 12), -i))
+    near = alike if isinstance(alike, Similarities) else Similarities(values, alike, alike is similarity)
+    among = range(len(values)) if among is None else among
+    return max(range(len(among)), key=lambda i: (round(float(near.row(among[i])[list(among)].sum()), 12), -i))
+
+
+def _mean_share(chosen: list[int], observed: list[list[int]], near: Similarities) -> tuple[float, list[float]]:
+    """The mean similarity of chosen values to the observed arrays, and the matched total of each."""
+    from .scoring import greedy_total
+
+    shares, totals = [], []
+    for o in observed:
+        total = greedy_total(near.block(chosen, o)) if chosen and o else 0.0
+        totals.append(total)
+        shares.append(total / (len(chosen) + len(o) - total) if chosen and o else float(not chosen and not o))
+    return sum(shares) / max(1, len(observed)), totals
+
 
+def grown(candidates: list[int], observed: list[list[int]], near: Similarities) -> list[int]:
+    """Starting from none, the candidate is added that raises the mean similarity to the observed arrays most, while one does.
 
-def grown_array(candidates: list, observed: list[list], alike=similarity) -> list:
-    """Starting from none, the candidate is added that raises the mean similarity to the observed arrays most, while one does."""
-    chosen: list = []
-    score = sum(alike([], o) for o in observed) / max(1, len(observed))
+    A candidate raises an array's matched total by its best similarity there at
+    most; so those are tried first whose bound is highest, and the others left
+    once none can win.
+    """
+    chosen: list[int] = []
+    score, totals = _mean_share(chosen, observed, near)
     left = list(candidates)
+    best_in = {c: [float(near.row(c)[o].max()) if o else 0.0 for o in observed] for c in left}
     while left:
-        scored = [(sum(alike([*chosen, c], o) for o in observed) / len(observed), -i) for i, c in enumerate(left)]
-        best, i = max(scored)
+        size = len(chosen) + 1
+        bounds = []
+        for c in left:
+            most = [min(t + b, size, len(o)) for t, b, o in zip(totals, best_in[c], observed)]
+            bounds.append(sum(m / (size + len(o) - m) for m, o in zip(most, observed)) / len(observed))
+        best, at, best_totals = -1.0, -1, totals
+        for i in sorted(range(len(left)), key=lambda i: (-bounds[i], i)):
+            if bounds[i] < best - 1e-12:
+                break
+            value, own = _mean_share([*chosen, left[i]], observed, near)
+            if value > best + 1e-12 or (abs(value - best) <= 1e-12 and i < at):
+                best, at, best_totals = value, i, own
         if best <= score + 1e-12:
             break
-        score = best
-        chosen.append(left.pop(-i))
+        score, totals = best, best_totals
+        chosen.append(left.pop(at))
     return chosen
 
 
-def picked_array(candidates: list[list], observed: list[list], within: float = 0.0, alike=similarity) -> list:
+def picked(candidates: list[list[int]], observed: list[list[int]], near: Similarities, within: float = 0.0) -> list[int]:
     """The candidate of the best mean similarity; with ``within``, the longest of those that come so near it."""
-    scores = [sum(alike(c, o) for o in observed) / max(1, len(observed)) for c in candidates]
+    scores = [_mean_share(c, observed, near)[0] for c in candidates]
     good = [i for i, s in enumerate(scores) if s >= max(scores) - within - 1e-12]
     return candidates[max(good, key=lambda i: (len(candidates[i]) if within else 0, round(scores[i], 12), -i))]
 
 
 @dataclass(frozen=True)
 class Options:
-    """Replaceable parts of the consensus of strings and arrays."""
+    """Thresholds and replaceable parts of the consensus: the similarity of texts, the choice among arrays, the identity of items."""
 
-    string_threshold: float = 0.65
+    scalar_threshold: float = 0.78
+    item_threshold: float = 0.78
+    object_threshold: float = 0.62
+    identity_threshold: float = 0.62
     duplicate_threshold: float = 0.96
     within: float = 0.06
-    alike: object = similarity
+    null_wins_ties: bool = False
+    optional_share: float = 0.5
+    texts: Callable[[str, str], float] = string_similarity
+    pick: Callable[..., list[int]] = picked
+    identity: Callable[[dict, dict], str | None] = identity_field
+
+
+@dataclass
+class Merger:
+    """The consensus of repeated values of one schema."""
+
+    root: dict | None = None
+    options: Options = field(default_factory=Options)
+
+    def __post_init__(self) -> None:
+        self.compare = Comparer(self.root, self.options.texts)
+
+    def near(self, values: Sequence, raw: dict | None) -> Similarities:
+        return Similarities(values, lambda a, b: self.compare(a, b, raw), self.options.texts is string_similarity and self.compare.kind(raw, *values) in ("string", ""))
+
+    def identity_of(self, raw: dict | None) -> str | None:
+        node = opened(raw, self.root or {})[0] if raw is not None else {}
+        return self.options.identity(node, self.root or {}) if node.get("properties") else None
+
+    def clusters(self, rows: list[tuple[int, int, object]], raw: dict | None, is_item: bool) -> tuple[list[list[int]], Similarities]:
+        """Clusters by falling support, the earliest first, and the similarities of the values."""
+        values = [v for _, _, v in rows]
+        near, kind, o = self.near(values, raw), self.compare.kind(raw, *values), self.options
+        exact = kind in ("enum", "integer", "number", "boolean")
+        threshold = 1.0 if exact else o.scalar_threshold if not is_item else o.item_threshold if kind in ("string", "") and all(isinstance(v, str) for v in values) else o.object_threshold
+        by, name = near, self.identity_of(raw)
+        if is_item and name and all(isinstance(v, dict) and name in v for v in values):
+            by, threshold = self.near([v[name] for v in values], self.compare.inner(raw, name)), o.identity_threshold
+        found = cluster(rows, threshold, by)
+        return sorted(found, key=lambda c: (-len({rows[k][0] for k in c}), c[0])), near
+
+    def chosen(self, members: list, near: Similarities, at: list[int], raw: dict | None):
+        """One value for a cluster: the medoid, or of objects and lists the consensus of what is in them."""
+        kind = self.compare.kind(raw, *members)
+        if raw is not None and kind == "object":
+            return self.object([m for m in members if isinstance(m, dict)], raw)
+        if raw is not None and kind == "array":
+            return self.array([m for m in members if isinstance(m, list)], raw)
+        return members[medoid(members, near, at)]
+
+    def scalar(self, rows: list[tuple[int, int, object]], raw: dict | None = None) -> tuple[object, int]:
+        """(value, support) of the cluster of most trials."""
+        found, near = self.clusters(rows, raw, False)
+        best = found[0]
+        return self.chosen([rows[k][2] for k in best], near, best, raw), len({rows[k][0] for k in best})
+
+    def items(self, rows: list[tuple[int, int, object]], raw: dict | None = None, n_trials: int | None = None) -> list:
+        """The array of the best expected similarity to the trials' arrays, of those by support floors and a grown one."""
+        near = self.near([v for _, _, v in rows], raw)
+        kept: list[int] = []
+        of_trial: dict[int, list[int]] = {}
+        for k, (trial, _, _) in enumerate(rows):  # what repeats within its trial goes
+            mine = of_trial.setdefault(trial, [])
+            if not mine or near.row(k)[mine].max() < self.options.duplicate_threshold:
+                mine.append(k)
+                kept.append(k)
+        rows = [rows[k] for k in kept]
+        if not rows:
+            return []
+        found, near = self.clusters(rows, raw, True)
+        support = [len({rows[k][0] for k in c}) for c in found]
+        values = [self.chosen([rows[k][2] for k in c], near, c, raw) for c in found]
+        trials = sorted({r[0] for r in rows})
+        n = n_trials or len(trials)
+        # The clusters' values stand behind the observed ones, so that both have similarities.
+        near = self.near([*(v for _, _, v in rows), *values], raw)
+        of_cluster = [len(rows) + c for c in range(len(found))]
+        observed = [[k for k, r in enumerate(rows) if r[0] == t] for t in trials] + [[]] * (n - len(trials))
+        floors = sorted({2, *(math.ceil(n * p / 10) for p in (4, 5, 6))})
+        candidates = [[v for v, s in zip(of_cluster, support) if s >= f] for f in floors] + [grown(of_cluster, observed, near)]
+        return [values[k - len(rows)] for k in self.options.pick(candidates, observed, near, self.options.within)]
+
+    def array(self, arrays: list[list], raw: dict) -> list:
+        rows = [(t, i, v) for t, items in enumerate(arrays) for i, v in enumerate(items)]
+        return self.items(rows, self.compare.inner(raw), len(arrays)) if arrays else []
+
+    def object(self, objects: list[dict], raw: dict, top: bool = False) -> dict:
+        """Field by field; an optional nested field needs its share of the objects, fields of the root always stay."""
+        node, out = opened(raw, self.root or {})[0], {}
+        for name, inner in node.get("properties", {}).items():
+            seen = [o[name] for o in objects if name in o]
+            needed = max(1, math.ceil(len(objects) * self.options.optional_share)) if not top and name not in node.get("required", []) else 0
+            if len(seen) >= needed:
+                out[name] = self.value(seen, inner)
+        return out
+
+    def value(self, values: list, raw: dict):
+        node, nullable = opened(raw, self.root or {})
+        there = [(t, 0, v) for t, v in enumerate(values) if v is not None]
+        kind, nulls = "enum" if "enum" in node else json_kind(node), len(values) - len(there)
+        if not there:
+            return None if nullable else {"array": [], "object": {}, "string": ""}.get(kind)
+        beaten = lambda support: nullable and (nulls >= support if self.options.null_wins_ties else nulls > support)
+        if kind in ("object", "array"):
+            wanted = [v for _, _, v in there if isinstance(v, dict if kind == "object" else list)]
+            return None if beaten(len(there)) else self.object(wanted, raw) if kind == "object" else self.array(wanted, raw)
+        found, support = self.scalar(there, raw)
+        return None if beaten(support) else found
+
+    def diagnosis(self, objects: list[dict], merged: dict, raw: dict, prefix: str = "") -> list[tuple]:
+        """(path, kind, strategy, n, nulls, least, most and final length, identity) of every field."""
+        node, out = opened(raw, self.root or {})[0], []
+        for name, inner in node.get("properties", {}).items():
+            seen = [o[name] for o in objects if name in o]
+            there = [v for v in seen if v is not None]
+            kind, final, path = self.compare.kind(inner), merged.get(name) if isinstance(merged, dict) else None, f"{prefix}{name}"
+            lengths = [len(v) for v in there if isinstance(v, list)] if kind == "array" else []
+            identity = self.identity_of(self.compare.inner(inner)) if kind == "array" else None
+            strategy = {"array": "items", "object": "fields"}.get(kind, "cluster medoid")
+            out.append((path, kind, strategy, len(seen), len(seen) - len(there), min(lengths, default=None), max(lengths, default=None), len(final) if isinstance(final, list) else None, identity))
+            if kind == "object":
+                out += self.diagnosis([v for v in there if isinstance(v, dict)], final, inner, f"{path}.")
+        return out
 
 
 def consensus_value(rows: list[tuple[int, int, object]], is_array: bool, options: Options = Options()) -> tuple[object, int]:
-    """(value, support) of (trial, item, value) rows of one field."""
+    """(value, support) of (trial, item, value) rows of one field without a schema."""
     rows = sorted(rows, key=lambda r: r[:2])
-    if is_array:  # items that repeat within their trial go first
-        kept: list = []
-        for trial, item, value in rows:
-            if not any(t == trial and options.alike(value, v) >= options.duplicate_threshold for t, _, v in kept):
-                kept.append((trial, item, value))
-        rows = kept
-    groups = sorted(cluster(rows, options.string_threshold, options.alike), key=lambda c: (-len({rows[k][0] for k in c}), c[0]))
-    chosen = [(rows[c[medoid([rows[k][2] for k in c], options.alike)]][2], len({rows[k][0] for k in c})) for c in groups]
-    if not is_array:
-        return chosen[0]
-    trials = sorted({r[0] for r in rows})
-    observed = [[v for t, _, v in rows if t == trial] for trial in trials]
-    floors = sorted({2, *(-(-len(trials) * p // 10) for p in (4, 5, 6))})
-    candidates = [[v for v, s in chosen if s >= f] for f in floors] + [grown_array([v for v, _ in chosen], observed, options.alike)]
-    return picked_array(candidates, observed, options.within, options.alike), len(trials)
+    merger = Merger(None, options)
+    return (merger.items(rows), len({r[0] for r in rows})) if is_array else merger.scalar(rows)
 
 
 def clustered_consensus(values: DataFrame, options: Options = Options()) -> DataFrame:
-    """(task_id, field, value, support, n_rows) of string and array fields; ``is_array`` marks the latter."""
+    """(task_id, field, value, support, n_rows) of string and array fields; ``is_array`` marks the latter.
+
+    Clustering goes by order of arrival, so a field of a task is one group.
+    Equal values of a trial's field are counted first, which bounds a group by
+    its distinct values; its memory grows with these, its time with their square.
+    """
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         parsed = [(int(t), int(i), json.loads(v)) for t, i, v in zip(rows["trial"], rows["item"], rows["value"])]
         value, n = consensus_value(parsed, bool(rows["is_array"].iloc[0]), options)
-        return pd.DataFrame([(rows["task_id"].iloc[0], rows["field"].iloc[0], json.dumps(value, ensure_ascii=False), n, len(rows))], columns=["task_id", "field", "value", "support", "n_rows"])
+        return pd.DataFrame([(rows["task_id"].iloc[0], rows["field"].iloc[0], json.dumps(value, ensure_ascii=False), n, int(rows["n"].sum()))], columns=["task_id", "field", "value", "support", "n_rows"])
 
-    kept = values.where("value <> 'null'").select("task_id", "field", "trial", "item", "value", "is_array")
+    kept = values.where("value <> 'null'").groupBy("task_id", "field", "trial", "value", "is_array").agg(F.min("item").alias("item"), F.count("*").alias("n"))
     return kept.groupBy("task_id", "field").applyInPandas(merge, "task_id long, field string, value string, support int, n_rows int")
 
 
+DIAGNOSIS = "path string, kind string, strategy string, n int, nulls int, least_length int, most_length int, final_length int, identity string"
+
+
+def record_consensus(trials: DataFrame, schema: str, options: Options = Options()) -> DataFrame:
+    """(task_id, output, n_trials, fields): one record per task from its valid trials' outputs, and how each field came about.
+
+    ``trials`` has (task_id, trial, output, errors); equal outputs of a task
+    are one row with their trials before they are grouped.
+    """
+    root = json.loads(schema)
+    names = [f.split()[0] for f in DIAGNOSIS.split(", ")]
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = sorted((int(t), o) for o, ts in zip(rows["output"], rows["trials"]) for t in ts)
+        parsed = {o: json.loads(o) for o in set(rows["output"])}
+        objects = [parsed[o] for _, o in ordered if isinstance(parsed[o], dict)]
+        merger = Merger(root, options)
+        merged = merger.object(objects, root, top=True)
+        told = [dict(zip(names, d)) for d in merger.diagnosis(objects, merged, root)]
+        return pd.DataFrame([(rows["task_id"].iloc[0], canonical(merged), len(objects), told)], columns=["task_id", "output", "n_trials", "fields"])
+
+    from ..functions.records import coerced_json
+
+    valid = valid_trials(trials).select("task_id", "trial", coerced_json(F.col("output"), F.lit(schema)).alias("output")).where("output is not null")
+    grouped = valid.groupBy("task_id", "output").agg(F.array_sort(F.collect_set("trial")).alias("trials"))
+    return grouped.groupBy("task_id").applyInPandas(merge, f"task_id long, output string, n_trials int, fields array<struct<{DIAGNOSIS.replace(', ', ',').replace(' ', ':')}>>")
+
+
 def records(fields: DataFrame) -> DataFrame:
     """One JSON record per task from its fields' values, with how many there are."""
     pairs = F.array_sort(F.collect_list(F.struct("field", "value")))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double; 0 where b is 0 or missing."""
@@ -116,12 +118,14 @@ def selected_metrics(rows: DataFrame, ids_col: str, keys: list[str]) -> DataFram
 def selection_counts(rows: DataFrame, ids_col: str) -> DataFrame:
     """How often each case is selected, with its place by count, then id."""
     counts = rows.select(F.explode(F.split(ids_col, ";")).alias("case_id")).where("case_id <> ''").groupBy("case_id").agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "case_id")))
+    from .ranking import numbered
+
+    return numbered(counts, "place", F.desc("n"), "case_id")
 
 
 def run_counts(rows: DataFrame, tasks: DataFrame, pipelines: DataFrame) -> DataFrame:
     """Predictions per task and pipeline, 0 where there are none, with the runs and the counts per source."""
-    grid = tasks.select("task_id").distinct().crossJoin(F.broadcast(pipelines.select("pipeline").distinct()))  # a few pipelines
+    grid = tasks.select("task_id").distinct().crossJoin(small(pipelines.select("pipeline").distinct()))
     per_source = rows.groupBy("task_id", "pipeline", "source").agg(F.count("*").alias("n"), F.collect_set("run").alias("runs"))
     counted = per_source.groupBy("task_id", "pipeline").agg(
         F.sum("n").alias("n_predictions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.array_sort(F.collect_list(F.concat_ws("=", "source", "n"))).alias("per_source")
@@ -201,3 +205,22 @@ def bins(value: Column, edges: list[tuple[float, str]], last: str) -> Column:
 def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in the drop set."""
     return rows.join(dropped, key, "left_anti")
+
+
+#: Parts of a model's name and the family that it stands for.
+FAMILIES = {"qwen": "qwen3-14b", "gemma": "gemma-4-e4b-it", "gema": "gemma-4-e4b-it"}
+
+
+def model_family(model: Column) -> Column:
+    """The family of a model's name, or the name itself."""
+    return reduce(lambda c, kv: c.when(F.lower(model).contains(kv[0]), kv[1]), list(FAMILIES.items())[1:], F.when(F.lower(model).contains("qwen"), FAMILIES["qwen"])).otherwise(model)
+
+
+def report_name_parts(path: Column) -> dict[str, Column]:
+    """Event, pipeline, model family and run mode of a report's file name ``event__pipeline__model__mode.json``, and what is wrong with it."""
+    parts = F.split(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), "__")
+    last = F.element_at(parts, -1)
+    return {
+        "event": F.get(parts, 0), "pipeline": F.get(parts, 1), "family": model_family(F.get(parts, 2)), "mode": F.when(last.isin("think", "nothink"), last).otherwise(""),
+        "problem": F.when(F.size(parts) != 4, "unexpected name"),
+    }

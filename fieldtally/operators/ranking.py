@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import durable
 from .metrics import gap_closed
 
 
@@ -18,6 +19,28 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFram
     return rows.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Rows with their place from 1 in a total order, without bringing them together.
+
+    Rows are sorted by range over all partitions; a partition's places begin
+    where those before it end, which takes one count a partition.
+    """
+    mark = F.monotonically_increasing_id()
+    placed = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mark", mark))
+    part = F.shiftright("__mark", 33)
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    starts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    both = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return both.withColumn(name, F.col("__start") + F.col("__mark").bitwiseAND(2**33 - 1) + 1).drop("__mark", "__part", "__start")
+
+
+def numbered_within(rows: DataFrame, key: str, name: str, *order: Column | str) -> DataFrame:
+    """Rows with their place from 1 within their key, however many rows one key has."""
+    everywhere = numbered(rows, "__place", key, *order)
+    firsts = everywhere.groupBy(key).agg(F.min("__place").alias("__first"))
+    return everywhere.join(firsts, key).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
+
+
 def baselines(reports: DataFrame, slug: str, pipeline: str = "baseline") -> DataFrame:
     """One baseline per model: the canonical slug first, then the highest F1; ``n_baselines`` over 1 is a collision."""
     found = reports.where(F.col("pipeline") == pipeline)
@@ -33,7 +56,7 @@ def ranked_entries(reports: DataFrame, base: DataFrame, pipeline: str = "baselin
     """
     entries = reports.join(base, "model").where(~((F.col("pipeline") == pipeline) & F.col("slug").eqNullSafe(F.col("baseline_slug"))))
     gap = gap_closed(F.col("f1"), F.col("baseline_f1"))
-    return entries.withColumn("gap", gap).withColumn("place", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("gap"), "file")))
+    return numbered_within(entries.withColumn("gap", gap), "model", "place", F.desc("gap"), "file")
 
 
 def leaderboard(entries: DataFrame, value: str) -> DataFrame:

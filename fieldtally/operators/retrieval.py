@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import records, text
+from .schemas import field_tags
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -78,7 +81,7 @@ def pair_score(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
 
 
 def complementary_pairs(cands: DataFrame) -> DataFrame:
-    """Per query the pair of cases of the highest pair score; ties by the sum of scores, then the lower ids.
+    """Per query the pair of cases of the highest pair score; ties by the sum of scores, then the least sum of ids, then the lower ids.
 
     The squared pair score is at most four times the sum of the squared norms.
     So with the best partner of the highest-scoring case as a bound, each case
@@ -92,13 +95,17 @@ def complementary_pairs(cands: DataFrame) -> DataFrame:
     other = kept.select("query", *[F.col(c).alias(f"b_{c}") for c in ("case_id", "vec", "score")])
     pairs = kept.join(other, "query").where("case_id < b_case_id")
     scored = pairs.select("query", F.col("case_id").alias("a"), F.col("b_case_id").alias("b"), pair_score(F.col("vec"), F.col("b_vec"), F.col("score"), F.col("b_score")).alias("pair_score"), F.round(F.col("score") + F.col("b_score"), 9).alias("score_sum"))
-    return best(scored, ["query"], 1, F.desc("pair_score"), F.desc("score_sum"), "a", "b").drop("place")
+    return best(scored, ["query"], 1, F.desc(F.round("pair_score", 7)), F.desc("score_sum"), F.col("a") + F.col("b"), "a").drop("place")
+
 
+def diverse_top(cands: DataFrame, k: int = 2, excluded: DataFrame | None = None) -> DataFrame:
+    """The complementary pair first, then the rest by score; where no pair scores above 0, all by score.
 
-def diverse_top(cands: DataFrame, k: int = 2) -> DataFrame:
-    """The complementary pair first, then the rest by score."""
-    pairs = complementary_pairs(cands).select("query", F.explode(F.array("a", "b")).alias("case_id")).withColumn("in_pair", F.lit(True))
-    ranked = cands.join(pairs, ["query", "case_id"], "left").withColumn("in_pair", F.coalesce("in_pair", F.lit(False)))
+    ``excluded`` has (query, case_id) rows that aren't candidates.
+    """
+    rows = cands if excluded is None else remaining(cands, excluded)
+    pairs = complementary_pairs(rows).where("pair_score > 0").select("query", F.explode(F.array("a", "b")).alias("case_id")).withColumn("in_pair", F.lit(True))
+    ranked = rows.join(pairs, ["query", "case_id"], "left").withColumn("in_pair", F.coalesce("in_pair", F.lit(False)))
     return best(ranked, ["query"], k, F.desc("in_pair"), F.desc("score"), "case_id")
 
 
@@ -125,22 +132,49 @@ def selections_compared(default: DataFrame, independent: DataFrame) -> DataFrame
     )
 
 
-def lexical_ranked(tasks: DataFrame, cases: DataFrame, k: int = 2) -> DataFrame:
+def schema_profiles(rows: DataFrame, schema_col: str) -> DataFrame:
+    """(fingerprint, fields, names, tags, words) of every distinct schema: its exact form, the exact forms of its top-level fields, their names, tags and words.
+
+    Schemas are few against the rows that have them; each is walked once.
+    """
+    distinct = rows.select(fingerprint(schema_col).alias("fingerprint"), F.col(schema_col).alias("schema")).dropDuplicates(["fingerprint"])
+    fields = records.schema_fields(distinct, "fingerprint", "schema").where("depth = 0")
+    said = text.terms(F.concat_ws(" ", "name", "description"))
+    return fields.select("fingerprint", F.concat_ws("=", "name", F.sha1("own_form")).alias("field"), "name", field_tags().alias("t"), said.alias("w")).groupBy("fingerprint").agg(
+        F.array_sort(F.collect_set("field")).alias("fields"), F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("tags"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("words")
+    )  # an object's top-level fields
+
+
+def fingerprint(schema_col: str) -> Column:
+    return F.sha1(records.canonical_json(F.col(schema_col)))
+
+
+def profiles(rows: DataFrame, schema_col: str, said: Column, tags: Column | None = None) -> DataFrame:
+    """Rows with the profile of their schema; ``said`` adds words to its terms, ``tags`` a row's own tags to the schema's."""
+    own = rows.withColumns({"fingerprint": fingerprint(schema_col), "__terms": text.terms(said), "__tags": tags if tags is not None else F.array().cast("array<string>")})
+    both = own.join(schema_profiles(rows, schema_col), "fingerprint")
+    return both.withColumns({"terms": F.array_union("__terms", "words"), "tags": F.array_union("tags", "__tags")}).drop("__terms", "__tags", "words", schema_col)
+
+
+def lexical_ranked(tasks: DataFrame, cases: DataFrame, k: int = 2, largest: int | None = None) -> DataFrame:
     """Cases by schema, equal fields, shared tags, names, terms and domain, less their length; only scores above 0.
 
-    Tasks have fingerprint, fields, tags, names, terms and domain; cases these
-    and n_chars.  Each task is ranked against every case, in the task's
-    partition: cases meet tasks through a salted key, never all in one place.
+    Tasks and cases have a profile, cases a domain and n_chars besides; a
+    domain counts if one of its words is among the task's terms.  With
+    ``largest`` only cases of at most so many characters are ranked.  Tasks are
+    a stated set; each is ranked against every case, in blocks: cases meet
+    tasks through a salted key, never all in one place.
     """
     shared = lambda c: F.size(F.array_intersect(F.col(c), F.col(f"c_{c}")))
     salts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    right = cases.select("case_id", "n_chars", F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int").alias("salt"), *[F.col(c).alias(f"c_{c}") for c in ("fingerprint", "fields", "tags", "names", "terms", "domain")])
+    fitting = cases if largest is None else cases.where(F.col("n_chars") <= largest)
+    right = fitting.select("case_id", "n_chars", F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int").alias("salt"), text.terms(F.replace("domain", F.lit("_"), F.lit(" "))).alias("c_domain"), *[F.col(c).alias(f"c_{c}") for c in ("fingerprint", "fields", "tags", "names", "terms")])
     # Few bytes, much work: the number of partitions is set, so that adaptive execution doesn't merge them.
-    left = tasks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(salts, "salt")
+    left = tasks.select("task_id", "fingerprint", "fields", "tags", "names", "terms", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).repartition(salts, "salt")
     pairs = left.join(right.repartition(salts, "salt"), "salt")
     score = (
         F.when(F.col("fingerprint") == F.col("c_fingerprint"), 100.0).otherwise(0.0) + 8.0 * shared("fields") + 4.0 * shared("tags") + 2.0 * shared("names")
-        + 0.5 * F.least(shared("terms"), F.lit(12)) + F.when(F.col("domain") == F.col("c_domain"), 2.0).otherwise(0.0) - F.least(F.col("n_chars") / 10000.0, F.lit(2.0))
+        + 0.5 * F.least(shared("terms"), F.lit(12)) + F.when(F.arrays_overlap("c_domain", "terms"), 2.0).otherwise(0.0) - F.least(F.col("n_chars") / 10000.0, F.lit(2.0))
     )
     return best(pairs.select("task_id", "case_id", F.round(score, 9).alias("score")).where("score > 0"), ["task_id"], k, F.desc("score"), "case_id")
 
@@ -157,11 +191,6 @@ def routed(tasks: DataFrame, schema: DataFrame, fields: DataFrame, lexical: Data
     return done.unionByName(failed)
 
 
-def within_size(ranked: DataFrame, cases: DataFrame, limit: int, k: int) -> DataFrame:
-    """The first k of the ranked cases whose size fits the limit."""
-    return best(ranked.drop("place").join(cases.where(F.col("n_chars") <= limit).select("case_id"), "case_id", "left_semi"), ["task_id"], k, F.desc("score"), "case_id")
-
-
 def stratified_sample(rows: DataFrame, id_col: str, stratum: str, fraction: float, order: Column) -> DataFrame:
     """max(1, round-half-even(n * fraction)) rows of each stratum by a fixed order, so that samples of rising fractions are nested."""
     w = Window.partitionBy(stratum)

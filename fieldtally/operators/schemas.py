@@ -11,20 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.sizes import small
 
-#: Words that mark a field's tag, in its name or description.
+#: Words in a field's name or description that give it a tag.
 TAG_WORDS = {
-    "date": ["date", "fecha", "day", "year", "time"],
-    "verbatim": ["verbatim", "exact", "literal", "quote", "textual"],
-    "entity": ["person", "people", "organization", "place", "location", "name", "entity"],
-    "count": ["count", "number", "total", "amount", "quantity"],
+    "date_normalization": ["date", "fecha", "year", "año", "ano"],
+    "long_verbatim_evidence": ["verbatim", "source", "evidence", "fragment", "fragmento", "span", "texto", "evidencia"],
+    "sentinel_pattern": ["sentinel", "marker", "code", "codigo", "código", "registry", "registro"],
 }
+ENTITY_WORDS = ["entity", "entities", "entidad", "entidades", "person", "persona", "organization", "organizacion", "organización"]
+#: Fields with one of these tags are answered directly, all others with a reasoning.
+DIRECT_TAGS = ["entity_array", "enum_classification", "complex_object_array"]
 
 
-def field_text(name: Column, type_class: Column, description: Column, enum: Column) -> Column:
-    """What stands for a field in an embedding."""
-    values = F.when(F.size(enum) > 0, F.concat(F.lit("one of "), F.array_join(enum, ", ")))
-    return F.concat_ws(" | ", F.replace(name, F.lit("_"), F.lit(" ")), type_class, F.when(description != "", description), values)
+def field_text(name: Column, type_text: Column, description: Column) -> Column:
+    """What stands for a field in an embedding: its name, its type in words and its description."""
+    head = F.concat(name, F.lit(" ("), type_text, F.lit(")"))
+    return F.when(F.coalesce(description, F.lit("")) != "", F.concat(head, F.lit(": "), F.trim(description))).otherwise(head)
 
 
 def task_text(fields: DataFrame, key: str, instruction: Column) -> DataFrame:
@@ -33,12 +36,25 @@ def task_text(fields: DataFrame, key: str, instruction: Column) -> DataFrame:
     return fields.groupBy(key).agg(F.concat_ws("\n", F.first(instruction), lines).alias("text"))
 
 
-def field_tags(name: Column, description: Column, type_class: Column, bounded: Column) -> Column:
-    """Tags by rules on words, type and bounds, sorted."""
-    words = text.terms(F.concat_ws(" ", F.replace(name, F.lit("_"), F.lit(" ")), description))
-    hit = [F.when(F.arrays_overlap(words, F.array(*map(F.lit, marks))), tag) for tag, marks in TAG_WORDS.items()]
-    rules = [F.when(type_class == "enum", "choice"), F.when(type_class == "array", "list"), F.when(bounded, "bounded"), F.when(type_class.isin("integer", "number"), "numeric")]
-    return F.array_sort(F.array_compact(F.array(*hit, *rules)))
+def field_tags(**columns: Column) -> Column:
+    """Sorted tags of a field row of ``records.schema_fields``; ``columns`` stand in for columns of other names."""
+    of = lambda name: columns.get(name, F.col(name))
+    kind, nullable, has_enum = of("json_type"), F.coalesce(of("nullable"), F.lit(False)), of("enum").isNotNull()
+    words = text.terms(F.concat_ws(" ", of("name"), of("description")))
+    is_array, item = kind == "array", F.coalesce(of("item_type"), F.lit(""))
+    rules = {
+        "grounded_null": nullable, "nullable": nullable, "enum_classification": has_enum, "numeric_normalization": kind.isin("integer", "number"), "boolean_inference": kind == "boolean",
+        "nullable_boolean": (kind == "boolean") & nullable, "direct_string": kind == "string", "bounded_score": of("minimum").isNotNull() | of("maximum").isNotNull(),
+        **{tag: F.arrays_overlap(words, F.array(*map(F.lit, marks))) for tag, marks in TAG_WORDS.items()},
+        "simple_array": is_array & (item != "object"), "enum_array": is_array & of("item_enum"), "complex_object_array": is_array & (item == "object"),
+        "nested_numeric_object_array": is_array & (item == "object") & of("item_numbers"), "entity_array": is_array & (item != "") & F.arrays_overlap(words, F.array(*map(F.lit, ENTITY_WORDS))),
+    }
+    return F.array_sort(F.array_compact(F.array(*[F.when(rule, tag) for tag, rule in rules.items()])))
+
+
+def is_direct(tags: Column) -> Column:
+    """Whether a field of these tags is answered without a reasoning."""
+    return F.arrays_overlap(tags, F.array(*map(F.lit, DIRECT_TAGS)))
 
 
 def coarse_types(leaves: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,44 +75,117 @@ def kept_fields(fields: DataFrame, kept: DataFrame, keys: list[str]) -> DataFram
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("position")) - 1)
 
 
+def kept_examples(examples: Column, names: Column) -> Column:
+    """The examples of the fields that are named; the schema's side is ``kept_fields`` and ``kept_schema``."""
+    return F.map_filter(examples, lambda k, v: F.array_contains(names, k))
+
+
+def kept_schema(schema: Column, names: Column) -> Column:
+    """A schema's JSON with the named properties only, in its own order, and what of them is required."""
+
+    @F.pandas_udf("string")
+    def reduce(schemas: pd.Series, kept: pd.Series) -> pd.Series:
+        out = []
+        for text_, wanted in zip(schemas, kept):
+            node = json.loads(text_)
+            node["properties"] = {k: v for k, v in node.get("properties", {}).items() if k in set(wanted)}
+            if "required" in node:
+                node["required"] = [k for k in node["required"] if k in node["properties"]]
+            out.append(json.dumps(node, ensure_ascii=False))
+        return pd.Series(out, dtype=object)
+
+    return reduce(schema, names)
+
+
 def unwrapped(output: Column) -> tuple[Column, Column]:
     """(values, reasonings) of a record whose fields are {reasoning, value}, as maps of texts."""
     entries = F.from_json(output, "map<string, struct<reasoning:string, value:string>>")
     return F.transform_values(entries, lambda k, v: v["value"]), F.transform_values(entries, lambda k, v: v["reasoning"])
 
 
-def validation_errors(leaves: DataFrame, fields: DataFrame, texts: DataFrame, records: DataFrame) -> DataFrame:
-    """(task_id, path, error) rows: required missing or null, enum, length and pattern rules, strings that aren't in the text.
+def unwrap_value(value, reasonings: dict[str, str], path: str = "", deep: bool = False):
+    """The value without its {reasoning, value} wrappers; what they reasoned goes to ``reasonings`` by path."""
+    if isinstance(value, dict) and set(value) == {"reasoning", "value"}:
+        reasonings[path] = value["reasoning"]
+        value = value["value"]
+    if deep and isinstance(value, dict):
+        return {k: unwrap_value(v, reasonings, f"{path}.{k}" if path else k, True) for k, v in value.items()}
+    if deep and isinstance(value, list):
+        return [unwrap_value(v, reasonings, f"{path}[{i}]", True) for i, v in enumerate(value)]
+    return value
 
-    ``fields`` has (path, required, enum, pattern, most_length, grounded) of
-    one schema; ``records`` all task ids, also of records without leaves.
+
+def unwrapped_records(output: Column, fields: Column, deep: bool = False) -> Column:
+    """A struct (output, reasonings, error) of a wrapped record.
+
+    ``fields`` names the top-level fields that a reasoning goes with: all, or
+    those that aren't answered directly.  One that is missing, or that has no
+    wrapper, is an error; so is a record that doesn't parse.  ``deep`` unwraps
+    what is nested too.
     """
-    needed = records.select("task_id").crossJoin(F.broadcast(fields.where("required").select("path")))  # a schema's fields
-    present = leaves.where("value is not null").select("task_id", "path")
-    missing = needed.join(present, ["task_id", "path"], "left_anti").withColumn("error", F.lit("required"))
-    ruled = leaves.where("value is not null").join(F.broadcast(fields), "path")
+
+    @F.pandas_udf("output string, reasonings map<string,string>, error string")
+    def unwrap(outputs: pd.Series, names: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text_, wanted in zip(outputs, names):
+            try:
+                record = json.loads(text_)
+                absent = [n for n in wanted if n not in record]
+                bare = [n for n in wanted if n in record and not (isinstance(record[n], dict) and "value" in record[n] and "reasoning" in record[n])]
+            except (TypeError, ValueError):
+                rows.append((None, None, "no record"))
+                continue
+            if absent or bare:
+                rows.append((None, None, f"missing field: {absent[0]}" if absent else f"no reasoning: {bare[0]}"))
+                continue
+            told: dict[str, str] = {}
+            plain = {k: unwrap_value(v, told, k, deep) if k in set(wanted) or deep else v for k, v in record.items()}
+            rows.append((json.dumps(plain, ensure_ascii=False, sort_keys=True, separators=(",", ":")), told, None))
+        return pd.DataFrame(rows, columns=["output", "reasonings", "error"])
+
+    return unwrap(output, fields)
+
+
+def validation_errors(leaves: DataFrame, fields: DataFrame, texts: DataFrame, records: DataFrame) -> DataFrame:
+    """(task_id, path, error) rows: required missing or null, enum, length and pattern rules, wrong shapes, texts that aren't in the source.
+
+    ``leaves`` has (task_id, path, value, kind) with lists walked item by item
+    (``tags[0]``); ``fields`` (path, required, kind, enum, pattern,
+    least_length, most_length) of one schema, items of lists under ``tags[]``;
+    ``texts`` (task_id, text); ``records`` all task ids, also of records
+    without leaves.  Every text leaf that the schema knows must stand in the
+    source, but for case, form and spaces.
+    """
+    needed = records.select("task_id").crossJoin(small(fields.where("required and not contains(path, '[]')").select("path")))
+    present = leaves.where("value is not null").select("task_id", F.regexp_replace("path", r"\[\d+\].*$", "").alias("path"))
+    # An object is there if anything of it is.
+    above = present.select("task_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda i: F.array_join(F.slice(F.split("path", r"\."), 1, i), "."))).alias("path")).distinct()
+    missing = needed.join(above, ["task_id", "path"], "left_anti").withColumn("error", F.lit("required"))
+    general = F.regexp_replace("path", r"\[\d+\]", "[]")
+    ruled = leaves.where("value is not null").withColumn("rule", general).join(fields.withColumnRenamed("path", "rule").withColumnRenamed("kind", "due"), "rule")
+    is_text, composite = F.col("kind") == "string", F.col("due").isin("object", "array")
     checks = F.array_compact(F.array(
-        F.when(F.col("enum").isNotNull() & ~F.array_contains("enum", F.col("value")), "enum"),
-        F.when(F.length("value") > F.col("most_length"), "length"),
-        F.when(F.col("pattern").isNotNull() & ~F.rlike("value", F.col("pattern")), "pattern"),
+        F.when(composite, "shape"),  # a leaf where an object or a list is due
+        F.when(~composite & F.col("enum").isNotNull() & ~F.array_contains("enum", F.col("value")), "enum"),
+        F.when(~composite & is_text & (F.length("value") < F.col("least_length")), "too short"),
+        F.when(~composite & is_text & (F.length("value") > F.col("most_length")), "too long"),
+        F.when(~composite & is_text & F.col("pattern").isNotNull() & ~F.rlike("value", F.col("pattern")), "pattern"),
     ))
     broken = ruled.select("task_id", "path", F.explode(checks).alias("error"))
-    said = ruled.where("grounded").select("task_id", "path", "value").join(texts, "task_id")
-    normal = said.select("task_id", "path", text.normalized(F.col("value")).alias("v"), text.normalized(F.col("text")).alias("t"))
-    loose = normal.where((F.col("v") != "") & (F.instr("t", F.col("v")) == 0)).select("task_id", "path", F.lit("not in text").alias("error"))
+    said = ruled.where(is_text & ~composite & (F.col("value") != "")).select("task_id", "path", "value").join(texts, "task_id")
+    folded = said.select("task_id", "path", text.folded(F.col("value")).alias("v"), text.folded(F.col("text")).alias("t"))
+    loose = folded.where((F.col("v") == "") | (F.instr("t", F.col("v")) == 0)).select("task_id", "path", F.lit("not in text").alias("error"))
     return missing.unionByName(broken).unionByName(loose)
 
 
 def hashed_vectors(texts: list[str | None], size: int = 256) -> np.ndarray:
     """Unit vectors of hashed character trigrams; an empty text has the zero vector."""
-    import zlib
-
-    out = np.zeros((len(texts), size), np.float32)
+    out = np.zeros((len(texts), size), np.float64)
     for i, t in enumerate(texts):
-        t = f" {(t or '').lower()} " if t else ""
-        for k in range(len(t) - 2):
-            h = zlib.crc32(t[k : k + 3].encode())
-            out[i, h % size] += 1 if h >> 31 else -1
+        codes = np.frombuffer(f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) if t else np.empty(0, np.uint64)
+        if len(codes) > 2:
+            h = (codes[:-2] * np.uint64(0x9E3779B1) ^ codes[1:-1] * np.uint64(0x85EBCA77) ^ codes[2:] * np.uint64(0xC2B2AE3D)) * np.uint64(0x27D4EB2F165667C5)
+            out[i] = np.bincount((h >> np.uint64(33)).astype(np.int64) % size, np.where(h >> np.uint64(63), 1.0, -1.0), size)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms > 0, norms, 1)
 
@@ -114,7 +203,7 @@ def embedded(rows: DataFrame, text_col: str, embed=hashed_vectors) -> DataFrame:
 
     keyed = rows.withColumn("__key", F.sha2(F.coalesce(text_col, F.lit("")), 256))
     distinct = keyed.groupBy("__key").agg(F.any_value(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
-    return keyed.join(distinct.mapInPandas(vectors, "__key string, vec array<float>"), "__key").drop("__key")
+    return keyed.join(distinct.mapInPandas(vectors, "__key string, vec array<double>"), "__key").drop("__key")
 
 
 def pair_similarity(pairs: DataFrame, a: str, b: str, embed=None) -> DataFrame:
@@ -137,40 +226,36 @@ def hybrid_similarity(pairs: DataFrame, a: str, b: str, embed=hashed_vectors) ->
     return rows.withColumn("hybrid", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.6 * F.col("similarity") + 0.4 * lexical))).drop("__x", "__y")
 
 
-def instance_scores(rows: DataFrame, gold: str, system: str, schema: str) -> DataFrame:
-    """Rows with ``tps``, ``gold_keys`` and ``system_keys`` of two JSON records under a schema; a system record that doesn't parse scores 0."""
-    from ..functions import records
-    from .scoring import item_similarity, list_score
+def instance_scores(rows: DataFrame, gold: str, system: str, schema: str, semantic=None) -> DataFrame:
+    """Rows with ``tps``, ``gold_keys``, ``system_keys`` and these by top-level field, of two JSON records under a schema.
+
+    Lists are matched item by item under their item schema, whatever is nested
+    in them; free texts score by ``semantic``, if given, and words.  A system
+    record that doesn't parse scores 0, an empty gold record by emptiness.
+    """
+    from .scoring import RecordScorer
 
     @F.pandas_udf("tps double, gold_keys int, system_keys int, by_field array<struct<field:string,tps:double,gold_keys:int,system_keys:int>>")
     def score(golds: pd.Series, systems: pd.Series, schemas: pd.Series) -> pd.DataFrame:
-        rigid: dict[str, dict] = {}
+        scorers: dict[str, RecordScorer] = {}
         out = []
         for g, s, sc in zip(golds, systems, schemas):
-            if sc not in rigid:
+            if sc not in scorers:
                 try:
-                    rigid[sc] = {f["path"]: f["rigid"] for f in records.fields(json.loads(sc))}
+                    scorers[sc] = RecordScorer(json.loads(sc), semantic)
                 except (TypeError, ValueError):
-                    rigid[sc] = {}
+                    scorers[sc] = RecordScorer({}, semantic)
             try:
-                a = dict(records.flatten(json.loads(g)))
+                parsed = json.loads(g)
             except (TypeError, ValueError):
                 out.append((None, None, None, None))
                 continue
             try:
-                b = dict(records.flatten(json.loads(s)))
+                fields = scorers[sc].record(parsed, json.loads(s))
             except (TypeError, ValueError):
-                b = {}
-            fields: dict[str, list] = {}
-            for path in {**a, **b}:
-                own = fields.setdefault(path.split(".")[0], [0.0, 0, 0])
-                own[1] += path in a
-                own[2] += path in b
-                if path in a and path in b:
-                    x, y = a[path], b[path]
-                    own[0] += list_score(x, y) if isinstance(x, list) and isinstance(y, list) else item_similarity(x, y, free_text=not rigid[sc].get(path, True))
+                fields = scorers[sc].record(parsed, {})
             sums = [sum(f[k] for f in fields.values()) for k in range(3)]
-            out.append((float(sums[0]), sums[1], sums[2], [{"field": n, "tps": float(t), "gold_keys": p, "system_keys": q} for n, (t, p, q) in fields.items()]))
+            out.append((float(sums[0]) if sums[1] else float(not sums[2]), sums[1], sums[2], [{"field": n, "tps": float(t), "gold_keys": p, "system_keys": q} for n, (t, p, q) in fields.items()]))
         return pd.DataFrame(out, columns=["tps", "gold_keys", "system_keys", "by_field"])
 
     return rows.withColumn("__s", score(F.col(gold), F.col(system), F.col(schema))).select(*rows.columns, "__s.*")

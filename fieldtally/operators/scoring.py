@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import records, text
 
 Similarity = Callable[[Column, Column], Column]
 
@@ -46,57 +49,131 @@ def leaf_scores(gold: DataFrame, system: DataFrame, keys: list[str], similarity:
 def entity_scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Exact-match counts and scores of entity lists (task_id, category, item); nothing against nothing scores 1."""
     match = ["task_id", "category", "item"]
-    rows = gold.select(*match).distinct().withColumn("g", F.lit(1)).join(predicted.select(*match).distinct().withColumn("p", F.lit(1)), match, "full_outer")
-    g, p = F.col("g").isNotNull(), F.col("p").isNotNull()
-    out = rows.groupBy(*keys).agg(F.count_if(g & p).alias("tp"), F.count_if(p & ~g).alias("fp"), F.count_if(g & ~p).alias("fn"))
+    sides = gold.select(*match, F.lit(1).alias("side")).unionByName(predicted.select(*match, F.lit(2).alias("side")))
+    rows = sides.groupBy(*match).agg(F.bit_or("side").alias("sides"))  # each item once: 1 gold, 2 predicted, 3 both
+    out = rows.groupBy(*keys).agg(*[F.count_if(F.col("sides") == v).alias(n) for v, n in ((3, "tp"), (2, "fp"), (1, "fn"))])
+    return with_scores(out)
+
+
+def with_scores(counts: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of tp, fp and fn."""
     whole = lambda n, d: F.when(d > 0, n / d).otherwise(1.0)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return out.withColumns({"precision": whole(tp, tp + fp), "recall": whole(tp, tp + fn), "f1": whole(2 * tp, 2 * tp + fp + fn)})
-
+    return counts.withColumns({"precision": whole(tp, tp + fp), "recall": whole(tp, tp + fn), "f1": whole(2 * tp, 2 * tp + fp + fn)})
 
-def greedy_total(similarity: np.ndarray) -> float:
-    """The summed similarity of a greedy matching: the best pair first, the lowest indices among equals."""
-    left, total = similarity.astype(float).copy(), 0.0
-    for _ in range(min(left.shape)):
-        i, j = np.unravel_index(int(left.argmax()), left.shape)
-        if left[i, j] <= 0:
-            break
-        total += left[i, j]
-        left[i, :] = left[:, j] = -1.0
-    return total
 
+def entity_differences(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(task_id, category, item, issue): items that are missing from the prediction, and extra ones."""
+    match = ["task_id", "category", "item"]
+    g, p = gold.select(*match).distinct(), predicted.select(*match).distinct()
+    return g.join(p, match, "left_anti").withColumn("issue", F.lit("missing")).unionByName(p.join(g, match, "left_anti").withColumn("issue", F.lit("extra")))
 
-def item_similarity(a, b, free_text: bool = True) -> float:
-    """Of two list items; objects by their shared keys over the larger count of keys."""
-    if isinstance(a, dict) and isinstance(b, dict):
-        shared = [k for k in a if k in b]
-        return sum(item_similarity(a[k], b[k], free_text) for k in shared) / max(len(a), len(b)) if a or b else 1.0
-    if a is None or b is None:
-        return float(a is b)
-    if a == b:
-        return 1.0
-    if free_text and isinstance(a, str) and isinstance(b, str):
-        import re
 
-        x, y = (set(re.findall(r"\w+", s.lower())) for s in (a, b))
-        return len(x & y) / len(x | y) if x | y else 1.0
-    return 0.0
+def entity_corpus(by_category: DataFrame) -> DataFrame:
+    """Micro scores of all categories together, and macro F1 over the active ones, those with an item on either side."""
+    active = F.col("tp") + F.col("fp") + F.col("fn") > 0
+    sums = by_category.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.avg(F.when(active, F.col("f1"))).alias("macro_f1"), F.count_if(active).alias("n_active"))
+    return with_scores(sums)
 
 
-def list_score(gold: list, system: list) -> float:
-    """Matched similarity over the items of both less the matched; an empty gold list scores by emptiness."""
-    if not gold or not system:
-        return float(not gold and not system)
-    matched = greedy_total(np.array([[item_similarity(g, s) for s in system] for g in gold]))
-    return matched / (len(gold) + len(system) - matched)
+def greedy_total(similarity: np.ndarray) -> float:
+    """The summed similarity of a greedy matching: the best pair first, the lowest indices among equals."""
+    total, width = 0.0, similarity.shape[1]
+    left, right = set(), set()
+    for k in np.argsort(-similarity, axis=None, kind="stable").tolist():
+        i, j = divmod(k, width)
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            total += float(similarity[i, j])
+            if len(left) == min(similarity.shape):
+                break
+    return total
 
 
-def list_scores(gold: Column, system: Column) -> Column:
-    """The order-free score of two JSON lists."""
-    import json
+def word_overlap(a, b) -> float:
+    """Jaccard of the words of two values."""
+    x, y = (set(re.findall(r"\w+", str(v).lower())) for v in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@dataclass(frozen=True)
+class RecordScorer:
+    """Scores a record against a gold one by the rules of a schema; without one all texts are free.
+
+    ``semantic`` maps two texts to a similarity and takes the larger part of a
+    free text's score; without it the words alone count.
+    """
+
+    root: dict | None = None
+    semantic: Callable[[str, str], float] | None = None
+    share: float = 0.7
+
+    def node(self, raw: dict | None) -> dict | None:
+        return None if self.root is None else records.resolve(raw or {}, self.root)
+
+    def value(self, gold, system, node: dict | None) -> float:
+        if gold is None or system is None:
+            return float(gold is system)
+        if gold == system:
+            return 1.0
+        free = isinstance(gold, str) and isinstance(system, str) if node is None else not records.is_rigid(node)
+        if not free:
+            return 0.0
+        lexical_part = word_overlap(gold, system)
+        meant = lexical_part if self.semantic is None else max(0.0, self.semantic(str(gold), str(system)))
+        return self.share * meant + (1 - self.share) * lexical_part
+
+    def leaf(self, gold, system, node: dict | None) -> float:
+        """Of two values of one path: objects by their leaves, lists by their items, whatever the order."""
+        if isinstance(gold, dict):
+            return self.item(gold, system, node) if isinstance(system, dict) else 0.0
+        if isinstance(gold, list):
+            return self.items(gold, system, node) if isinstance(system, list) else 0.0
+        return self.value(gold, system, node)
+
+    def item(self, gold: dict, system: dict, node: dict | None) -> float:
+        """Shared leaves over the larger count of leaves."""
+        g, s = dict(records.flatten(gold)), dict(records.flatten(system))
+        if not g:
+            return float(not s)
+        fields = {} if node is None else node.get("properties", {})
+        return sum(self.leaf(v, s[k], self.node(fields.get(k))) for k, v in g.items() if k in s) / max(len(g), len(s))
+
+    def items(self, gold: list, system: list, node: dict | None) -> float:
+        """Matched similarity over the items of both less the matched; an empty gold list scores by emptiness."""
+        if not gold or not system:
+            return float(not gold and not system)
+        inner = None if node is None else self.node(node.get("items"))
+        matched = greedy_total(np.array([[self.leaf(g, s, inner) for s in system] for g in gold]))
+        return matched / (len(gold) + len(system) - matched)
+
+    def record(self, gold: dict, system: dict) -> dict[str, list]:
+        """[tps, gold keys, system keys] of every top-level field."""
+        g, s = (dict(records.flatten(v)) if isinstance(v, dict) else {} for v in (gold, system))
+        properties = {} if self.root is None else records.resolve(self.root, self.root).get("properties", {})
+        out: dict[str, list] = {}
+        for path in {**g, **s}:
+            own = out.setdefault(path.split(".")[0], [0.0, 0, 0])
+            own[1] += path in g
+            own[2] += path in s
+            if path in g and path in s:
+                own[0] += self.leaf(g[path], s[path], self.node(properties.get(path)))
+        return out
+
+
+def list_score(gold: list, system: list, item_schema: dict | None = None, semantic: Callable[[str, str], float] | None = None) -> float:
+    """The order-free score of two lists."""
+    scorer = RecordScorer(item_schema, semantic)
+    return scorer.items(gold, system, None if item_schema is None else {"items": item_schema})
+
+
+def list_scores(gold: Column, system: Column, item_schema: str | None = None, semantic: Callable[[str, str], float] | None = None) -> Column:
+    """The order-free score of two JSON lists, whose items have a schema or are free."""
+    items = None if item_schema is None else json.loads(item_schema)
 
     @F.pandas_udf("double")
     def score(golds: pd.Series, systems: pd.Series) -> pd.Series:
-        return pd.Series([None if g is None or s is None else list_score(json.loads(g), json.loads(s)) for g, s in zip(golds, systems)], dtype="float64")
+        return pd.Series([None if g is None or s is None else list_score(json.loads(g), json.loads(s), items, semantic) for g, s in zip(golds, systems)], dtype="float64")
 
     return score(gold, system)

@@ -15,7 +15,7 @@ CANDS_SQL = f"""{FIELDS_SQL}, q AS (SELECT * FROM fields WHERE owner % 100 = 0),
 aligned AS (SELECT q.owner AS query, c.owner AS case_id, q.position AS field, max(round(greatest(0.0::DOUBLE, list_dot_product(q.vec, c.vec)), 9)) AS similarity, arg_min(c.name, {{'a': -round(greatest(0.0::DOUBLE, list_dot_product(q.vec, c.vec)), 9), 'b': c.name}}) AS case_field FROM q JOIN c ON q.type_class = c.type_class AND q.owner <> c.owner GROUP BY ALL),
 cands AS (SELECT query, case_id, [coalesce(max(similarity) FILTER (field = 0), 0), coalesce(max(similarity) FILTER (field = 1), 0), coalesce(max(similarity) FILTER (field = 2), 0), coalesce(max(similarity) FILTER (field = 3), 0), coalesce(max(similarity) FILTER (field = 4), 0)] AS vec, round(sqrt(sum(similarity * similarity)), 9) AS score FROM aligned GROUP BY ALL)"""
 PAIR = "round(sqrt(greatest(0, x.score ** 2 + y.score ** 2 + 2 * list_dot_product(x.vec, y.vec))) + sqrt(greatest(0, x.score ** 2 + y.score ** 2 - 2 * list_dot_product(x.vec, y.vec))), 9)"
-BEST_SQL = f"""{CANDS_SQL}, pairs AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(pair_score, 7) DESC, score_sum DESC, a, b) AS rn FROM (SELECT x.query, x.case_id AS a, y.case_id AS b, {PAIR} AS pair_score, round(x.score + y.score, 9) AS score_sum FROM cands x JOIN cands y ON x.query = y.query AND x.case_id < y.case_id)),
+BEST_SQL = f"""{CANDS_SQL}, pairs AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(pair_score, 7) DESC, score_sum DESC, a + b, a) AS rn FROM (SELECT x.query, x.case_id AS a, y.case_id AS b, {PAIR} AS pair_score, round(x.score + y.score, 9) AS score_sum FROM cands x JOIN cands y ON x.query = y.query AND x.case_id < y.case_id)),
 ind AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, case_id) AS place FROM cands) WHERE place <= 2),
 div AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.query ORDER BY (c.case_id = a OR c.case_id = b) DESC, score DESC, case_id) AS place FROM cands c LEFT JOIN (SELECT * FROM pairs WHERE rn = 1) p ON c.query = p.query) WHERE place <= 2)"""
 
@@ -113,20 +113,36 @@ def _(spark, d):
     return retrieval.stratified_sample(table(spark, d, "part").select("p_brand", "p_partkey"), "p_partkey", "p_brand", 0.15, order)
 
 
-PROFILE_SQL = """profile AS (SELECT {id} AS id, {fp} AS fingerprint, list_distinct(list_transform(w[1:5], lambda x: x[1:2])) AS fields, [{tag}] AS tags, list_distinct(w[1:3]) AS names, w AS terms, {dom} AS domain, length(text) AS n_chars FROM (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')), lambda x: length(x) >= 2) AS w0 FROM {t}), LATERAL (SELECT list_sort(w0) AS w))"""
-LEX_SQL = f"""t{PROFILE_SQL.format(id='item_id', fp='item_id % 7', tag="'en'", dom="'src' || (item_id % 20)", t='benchmark')}, c{PROFILE_SQL.format(id='doc_id', fp='doc_id % 11', tag='lang', dom='source', t='documents')},
-scored AS (SELECT t.id AS task_id, c.id AS case_id, c.n_chars, round(CASE WHEN t.fingerprint = c.fingerprint THEN 100 ELSE 0 END + 8 * len(list_intersect(t.fields, c.fields)) + 4 * len(list_intersect(t.tags, c.tags)) + 2 * len(list_intersect(t.names, c.names)) + 0.5::DOUBLE * least(len(list_intersect(t.terms, c.terms)), 12) + CASE WHEN t.domain = c.domain THEN 2 ELSE 0 END - least(c.n_chars / 10000.0::DOUBLE, 2), 9) AS score FROM tprofile t CROSS JOIN cprofile c)"""
+@query("r6_excluded", f"WITH {BEST_SQL}, x AS (SELECT query, case_id FROM ind WHERE place = 1), left_ AS (SELECT * FROM cands ANTI JOIN x USING (query, case_id)), p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(pair_score, 7) DESC, score_sum DESC, a + b, a) AS rn FROM (SELECT x.query, x.case_id AS a, y.case_id AS b, {PAIR} AS pair_score, round(x.score + y.score, 9) AS score_sum FROM left_ x JOIN left_ y ON x.query = y.query AND x.case_id < y.case_id)) WHERE rn = 1 AND pair_score > 0) SELECT query, case_id, place FROM (SELECT c.query, c.case_id, row_number() OVER (PARTITION BY c.query ORDER BY coalesce(c.case_id = a OR c.case_id = b, false) DESC, score DESC, case_id) AS place FROM left_ c LEFT JOIN p2 p ON c.query = p.query) WHERE place <= 3")
+def _(spark, d):
+    """The best single case of each query is no candidate."""
+    rows = cands(spark, d)
+    return retrieval.diverse_top(rows, 3, excluded=retrieval.independent_top(rows, 1)).select("query", "case_id", "place")
 
 
-def profiles(spark, d):
-    def profile(rows, id_col, name, fp, tag, domain):
-        w = F.array_sort(text.terms(F.col("text")))
-        rows = rows.select(F.col(id_col).alias(name), fp.alias("fingerprint"), F.array(tag).alias("tags"), domain.alias("domain"), F.length("text").alias("n_chars"), w.alias("terms"))
-        return rows.withColumns({"fields": F.array_distinct(F.transform(F.slice("terms", 1, 5), lambda x: F.substring(x, 1, 2))), "names": F.array_distinct(F.slice("terms", 1, 3))})
+def diverse_for(spark, d, n: int):
+    """The diverse selection of the first n owners against all: the retrieval that the bench times."""
+    rows = fields(spark, d)
+    wanted = rows.where(F.col("owner") < n)
+    found = retrieval.alignment(wanted, rows).where("query <> case_id")
+    return retrieval.diverse_top(retrieval.candidates(found, wanted))
+
 
-    item = F.col("item_id")
-    a = profile(table(spark, d, "benchmark"), "item_id", "task_id", item % 7, F.lit("en"), F.concat(F.lit("src"), (item % 20).cast("string"))).drop("n_chars")
-    return a, profile(table(spark, d, "documents"), "doc_id", "case_id", F.col("doc_id") % 11, F.col("lang"), F.col("source"))
+#: A row's schema by its number: a whole number that is required, and a text or a choice.
+ROW_SCHEMA = """concat('{{"type":"object","required":["a', {0} % 5, '"],"properties":{{"a', {0} % 5, '":{{"type":"integer"}},"b', {0} % 7, '":', if({0} % 7 % 2 = 0, '{{"enum":["x","y"]}}', '{{"type":"string","description":"free words"}}'), '}}}}')"""
+PROFILE_SQL = """profile AS (SELECT {id} AS id, {id} % 35 AS fingerprint, ['a' || ({id} % 5), 'b' || ({id} % 7)] AS names, list_distinct(list_concat(['numeric_normalization', CASE WHEN {id} % 7 % 2 = 0 THEN 'enum_classification' ELSE 'direct_string' END], {tags})) AS tags, {dom} AS domain, length(text) AS n_chars,
+list_distinct(list_concat(list_filter(regexp_extract_all(lower({said}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2), ['a' || ({id} % 5), 'b' || ({id} % 7)], CASE WHEN {id} % 7 % 2 = 0 THEN [] ELSE ['free', 'words'] END)) AS terms FROM {t})"""
+TASK_PROFILE = "t" + PROFILE_SQL.format(id="item_id", tags="[]", dom="''", said="text || ' src' || (item_id % 20)", t="benchmark")
+CASE_PROFILE = "c" + PROFILE_SQL.format(id="doc_id", tags="[lang]", dom="source", said="text || ' ' || doc_id || ' ' || source", t="documents")
+LEX_SQL = f"""{TASK_PROFILE}, {CASE_PROFILE},
+scored AS (SELECT t.id AS task_id, c.id AS case_id, c.n_chars, round(CASE WHEN t.fingerprint = c.fingerprint THEN 100 ELSE 0 END + 10 * len(list_intersect(t.names, c.names)) + 4 * len(list_intersect(t.tags, c.tags)) + 0.5::DOUBLE * least(len(list_intersect(t.terms, c.terms)), 12) + CASE WHEN list_contains(t.terms, lower(c.domain)) THEN 2 ELSE 0 END - least(c.n_chars / 10000.0::DOUBLE, 2), 9) AS score FROM tprofile t CROSS JOIN cprofile c)"""
+
+
+def profiles(spark, d):
+    """Benchmark items as tasks and documents as cases, each with a schema and its profile."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), F.expr(ROW_SCHEMA.format("item_id")).alias("schema"), F.concat(F.col("text"), F.lit(" src"), (F.col("item_id") % 20).cast("string")).alias("said"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.expr(ROW_SCHEMA.format("doc_id")).alias("schema"), F.col("source").alias("domain"), F.length("text").alias("n_chars"), "lang", F.concat_ws(" ", "text", F.col("doc_id").cast("string"), "source").alias("said"))
+    return retrieval.profiles(items, "schema", F.col("said")).drop("said"), retrieval.profiles(docs, "schema", F.col("said"), F.array("lang")).drop("said", "lang")
 
 
 @query("r2_lexical_ranked", f"WITH {LEX_SQL} SELECT task_id, case_id, round(score, 6) AS score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, case_id) AS place FROM scored WHERE score > 0 QUALIFY place <= 3")
@@ -134,31 +150,36 @@ def _(spark, d):
     return rounded(retrieval.lexical_ranked(*profiles(spark, d), k=3))
 
 
-@query("r8_within_size", f"WITH {LEX_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, case_id) AS p FROM scored WHERE score > 0 QUALIFY p <= 10) SELECT task_id, case_id, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, case_id) AS place FROM r WHERE n_chars <= 1500 QUALIFY place <= 2")
+@query("r8_within_size", f"WITH {LEX_SQL} SELECT task_id, case_id, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, case_id) AS place FROM scored WHERE score > 0 AND n_chars <= 1500 QUALIFY place <= 2")
 def _(spark, d):
-    a, b = profiles(spark, d)
-    return retrieval.within_size(retrieval.lexical_ranked(a, b, k=10), b, 1500, 2).select("task_id", "case_id", "place")
+    return retrieval.lexical_ranked(*profiles(spark, d), k=2, largest=1500).select("task_id", "case_id", "place")
 
 
-ROUTED_SQL = f"""{TASKS}, {LEX_SQL}, wanted AS (SELECT item_id AS task_id FROM benchmark UNION ALL SELECT 100000),
-sim AS (SELECT task_id, case_id, row_number() OVER (PARTITION BY task_id ORDER BY similarity DESC, case_id) AS place FROM (SELECT a.task_id, b.task_id AS case_id, round(list_dot_product(a.vec, b.vec), 9) AS similarity FROM tasks a JOIN tasks b USING (fingerprint) WHERE a.task_id IN (SELECT task_id FROM wanted) AND a.task_id <> b.task_id) WHERE similarity >= 0.2 QUALIFY place <= 2),
+ROUTED_SQL = f"""{TASKS}, {LEX_SQL}, {CANDS_SQL.replace("owner % 100 = 0", "owner % 3 = 0 AND owner IN (SELECT item_id FROM benchmark)")}, wanted AS (SELECT item_id AS task_id FROM benchmark UNION ALL SELECT 100000),
+sim AS (SELECT task_id, case_id, row_number() OVER (PARTITION BY task_id ORDER BY similarity DESC, case_id) AS place FROM (SELECT a.task_id, b.task_id AS case_id, round(list_dot_product(a.vec, b.vec), 9) AS similarity FROM tasks a JOIN tasks b USING (fingerprint) WHERE a.task_id IN (SELECT task_id FROM wanted) AND a.task_id <> b.task_id) WHERE similarity >= 0.35 QUALIFY place <= 2),
 s AS (SELECT * FROM sim WHERE task_id IN (SELECT task_id FROM sim GROUP BY task_id HAVING count(*) >= 2)),
+fld AS (SELECT query AS task_id, case_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, case_id) AS place FROM cands QUALIFY place <= 2),
 lex AS (SELECT task_id, case_id, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, case_id) AS place FROM scored WHERE score > 0 QUALIFY place <= 2)"""
 
 
-@query("r7_routed", f"""WITH {ROUTED_SQL}, done AS (SELECT *, 'same_schema' AS route FROM s UNION ALL SELECT *, 'lexical' FROM lex WHERE task_id NOT IN (SELECT task_id FROM s))
+@query("r7_routed", f"""WITH {ROUTED_SQL}, done AS (SELECT *, 'same_schema' AS route FROM s UNION ALL SELECT *, 'fields' FROM fld WHERE task_id NOT IN (SELECT task_id FROM s) UNION ALL SELECT *, 'lexical' FROM lex WHERE task_id NOT IN (SELECT task_id FROM s) AND task_id NOT IN (SELECT task_id FROM fld))
 SELECT task_id, case_id, place, route FROM done UNION ALL SELECT task_id, NULL, NULL, 'retrieval_failed' FROM wanted WHERE task_id NOT IN (SELECT task_id FROM done)""")
 def _(spark, d):
+    """Each route serves some tasks: near enough cases of the schema, field vectors where a task has an index, words; one task finds nothing."""
     a, b = profiles(spark, d)
     wanted = a.select("task_id").unionByName(spark.range(100000, 100001).select(F.col("id").alias("task_id")))
     every = tasks(spark, d)[1]
-    schema = retrieval.same_schema_ranked(every.withColumnRenamed("case_id", "task_id").join(wanted, "task_id", "left_semi"), every, threshold=0.2, k=2)
-    none = schema.where("false").select("task_id", "case_id", "place")
-    return retrieval.routed(wanted, schema, none, retrieval.lexical_ranked(a, b, k=2))
+    schema = retrieval.same_schema_ranked(every.withColumnRenamed("case_id", "task_id").join(wanted, "task_id", "left_semi"), every, threshold=0.35, k=2)
+    rows = fields(spark, d)
+    indexed = rows.where("owner % 3 = 0").join(wanted.select(F.col("task_id").alias("owner")), "owner", "left_semi")
+    found = retrieval.candidates(retrieval.alignment(indexed, rows).where("query <> case_id"), indexed)
+    by_fields = retrieval.independent_top(found).withColumnRenamed("query", "task_id")
+    return retrieval.routed(wanted, schema, by_fields, retrieval.lexical_ranked(a, b, k=2))
 
 
-@query("r1_profiles", f"WITH t{PROFILE_SQL.format(id='item_id', fp='item_id % 7', tag=chr(39) + 'en' + chr(39), dom=chr(39) + 'src' + chr(39) + ' || (item_id % 20)', t='benchmark')} SELECT id AS task_id, fingerprint, len(fields) AS n_fields, len(names) AS n_names, len(terms) AS n_terms, domain, terms[1] AS first_term FROM tprofile")
+@query("r1_profiles", f"WITH {TASK_PROFILE} SELECT id AS task_id, array_to_string(names, ',') AS names, array_to_string(list_sort(tags), ',') AS tags, 2::BIGINT AS n_fields, len(terms) AS n_terms, count(*) OVER (PARTITION BY fingerprint) AS n_same FROM tprofile")
 def _(spark, d):
     rows = profiles(spark, d)[0]
+    same = rows.groupBy("fingerprint").agg(F.count("*").alias("n_same"))
     size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    return rows.select("task_id", "fingerprint", size("fields"), size("names"), size("terms"), "domain", F.element_at("terms", 1).alias("first_term"))
+    return rows.join(same, "fingerprint").select("task_id", F.array_join("names", ",").alias("names"), F.array_join(F.array_sort("tags"), ",").alias("tags"), size("fields"), size("terms"), "n_same")

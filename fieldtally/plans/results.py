@@ -285,6 +285,16 @@ def _(spark, d):
     return rows.select("task_id", F.regexp_replace("id", "_[0-9]+$", "").alias("domain"), F.element_at(F.split("id", "_"), 1).alias("prefix"))
 
 
+@query("p14_report_names", """SELECT c_custkey, 'ev' || (c_custkey % 7) AS event, CASE WHEN c_custkey % 2 = 0 THEN 'think' ELSE 'nothink' END AS mode, 'p' || (c_custkey % 4) AS pipeline, CASE c_custkey % 3 WHEN 0 THEN 'qwen3-14b' WHEN 1 THEN 'gemma-4-e4b-it' ELSE c_mktsegment END AS family, CASE WHEN c_custkey % 5 = 0 THEN 'unexpected name' END AS problem FROM customer""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    model = F.when(k % 3 == 0, "Qwen-Long").when(k % 3 == 1, "my-gemma").otherwise(F.col("c_mktsegment"))
+    rest = F.when(k % 5 == 0, F.concat_ws("__", model, F.lit("x"), F.when(k % 2 == 0, "think").otherwise("nothink"))).otherwise(F.concat_ws("__", model, F.when(k % 2 == 0, "think").otherwise("nothink")))
+    name = F.concat_ws("__", F.concat(F.lit("ev"), (k % 7).cast("string")), F.concat(F.lit("p"), (k % 4).cast("string")), rest)
+    parts = metrics.report_name_parts(F.concat(F.lit("/reports/"), name, F.lit(".json")))
+    return table(spark, d, "customer").select("c_custkey", *[c.alias(n) for n, c in parts.items()])
+
+
 @query("p15_drop_set", f"WITH {TASK_RESULTS_SQL} SELECT run, count(*) AS n FROM task_results WHERE domain NOT IN ('1-URGENT', '5-LOW') GROUP BY run")
 def _(spark, d):
     dropped = table(spark, d, "orders").where("o_orderpriority in ('1-URGENT', '5-LOW')").select(F.col("o_orderpriority").alias("domain")).distinct()

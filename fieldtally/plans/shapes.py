@@ -25,7 +25,7 @@ def _(spark, d):
     return rows.groupBy((F.col("p_size") % 5).alias("minimum"), "p_type").agg(F.count("*").alias("n"), F.countDistinct("fingerprint").alias("fingerprints"))
 
 
-FIELD_ROWS = "f AS (SELECT * FROM (VALUES ('size', 0, true, 'integer', false, true), ('kind', 0, true, 'string', true, true), ('brand', 0, false, 'enum', false, true), ('parts', 0, false, 'array', false, true), ('parts[].name', 1, false, 'string', false, true)) t(path, depth, required, type_class, nullable, rigid))"
+FIELD_ROWS = "f AS (SELECT * FROM (VALUES ('size', 0, true, 'numeric', false, true), ('kind', 0, true, 'string', true, true), ('brand', 0, false, 'enum', false, true), ('parts', 0, false, 'array[object]', false, true), ('parts[].name', 1, false, 'string', false, true)) t(path, depth, required, type_class, nullable, rigid))"
 
 
 @query("p8_p13_schema_fields", f"WITH s AS (SELECT DISTINCT p_size % 5 AS m, p_type FROM part), {FIELD_ROWS} SELECT path, depth, required, type_class, nullable, rigid, count(*) AS n FROM s CROSS JOIN f GROUP BY ALL")
@@ -33,29 +33,43 @@ def _(spark, d):
     return records.schema_fields(part_schemas(spark, d), "fingerprint", "schema").groupBy("path", "depth", "required", "type_class", "nullable", "rigid").agg(F.count("*").alias("n"))
 
 
-@query("p9_field_texts", "SELECT p_partkey, replace(lower(p_type), '_', ' ') || ' | ' || CASE WHEN p_size % 2 = 0 THEN 'string' ELSE 'enum' END || ' | ' || p_name || CASE WHEN p_size % 2 = 1 THEN ' | one of ' || p_brand || ', x' ELSE '' END AS text FROM part")
+FIELD_TEXTS_SQL = """x AS (SELECT p_partkey, unnest([{'i': 0, 't': 'size (integer): ' || p_partkey}, {'i': 1, 't': 'kind (string|null)'}, {'i': 2, 't': 'brand (enum)'}, {'i': 3, 't': 'parts (array of object)'}]) AS f FROM part)"""
+
+
+def part_fields(spark, d):
+    """The top-level fields of every part's own schema."""
+    own = part_schemas(spark, d).select(F.col("p_partkey").cast("string").alias("p_partkey"), "schema")
+    rows = records.schema_fields(own, "p_partkey", "schema").where("depth = 0")
+    return rows.withColumn("text", schemas.field_text(F.col("name"), F.col("type_text"), F.col("description")))
+
+
+@query("p9_field_texts", f"WITH {FIELD_TEXTS_SQL} SELECT p_partkey::VARCHAR AS p_partkey, f.i::INT AS position, f.t AS text FROM x")
 def _(spark, d):
-    odd = F.col("p_size") % 2 == 1
-    enum = F.when(odd, F.array("p_brand", F.lit("x")))
-    return table(spark, d, "part").select("p_partkey", schemas.field_text(F.lower("p_type"), F.when(odd, "enum").otherwise("string"), F.col("p_name"), enum).alias("text"))
+    return part_fields(spark, d).select("p_partkey", "position", "text")
 
 
-@query("p9_task_texts", "SELECT l_orderkey AS task_id, 'do it' || chr(10) || string_agg(l_partkey::VARCHAR, chr(10) ORDER BY l_linenumber, l_partkey::VARCHAR) AS text FROM lineitem GROUP BY l_orderkey")
+@query("p9_task_texts", f"WITH {FIELD_TEXTS_SQL} SELECT p_partkey::VARCHAR AS task_id, 'do it' || chr(10) || string_agg(f.t, chr(10) ORDER BY f.i) AS text FROM x GROUP BY p_partkey")
 def _(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").cast("string").alias("text"))
-    return schemas.task_text(rows, "task_id", F.lit("do it"))
+    return schemas.task_text(part_fields(spark, d).withColumnRenamed("p_partkey", "task_id"), "task_id", F.lit("do it"))
 
 
 TAGGED = " ".join(f"CASE WHEN list_has_any(w, {marks}) THEN '{tag}' END," for tag, marks in schemas.TAG_WORDS.items())
 
 
-@query("p11_field_tags", f"""WITH r AS (SELECT p_partkey, ['date','year','verbatim','person','total','plain'][(p_partkey % 6) + 1] AS name, ['enum','array','integer','string'][(p_size % 4) + 1] AS kind, p_size % 3 = 0 AS bounded FROM part), x AS (SELECT *, [name, 'a', 'word'] AS w FROM r),
-t AS (SELECT p_partkey, [{TAGGED} CASE WHEN kind = 'enum' THEN 'choice' END, CASE WHEN kind = 'array' THEN 'list' END, CASE WHEN bounded THEN 'bounded' END, CASE WHEN kind = 'integer' THEN 'numeric' END] AS tags FROM x)
-SELECT p_partkey, array_to_string(list_sort(list_filter(tags, lambda v: v IS NOT NULL)), ',') AS tags FROM t""")
+@query("p11_field_tags", f"""WITH r AS (SELECT p_partkey, ['fecha','year','verbatim','person','código','plain'][(p_partkey % 6) + 1] AS name, ['string','array','integer','boolean'][(p_size % 4) + 1] AS kind, p_size % 3 = 0 AS bounded, p_size % 5 = 0 AS nullable, p_size % 7 = 0 AS has_enum, ['string','object','enum'][(p_size // 4) % 3 + 1] AS item FROM part), x AS (SELECT *, [name, 'word'] AS w FROM r),
+t AS (SELECT p_partkey, [{TAGGED} CASE WHEN nullable THEN 'grounded_null' END, CASE WHEN nullable THEN 'nullable' END, CASE WHEN has_enum THEN 'enum_classification' END, CASE WHEN kind = 'integer' THEN 'numeric_normalization' END, CASE WHEN kind = 'boolean' THEN 'boolean_inference' END, CASE WHEN kind = 'boolean' AND nullable THEN 'nullable_boolean' END, CASE WHEN kind = 'string' THEN 'direct_string' END, CASE WHEN bounded THEN 'bounded_score' END,
+CASE WHEN kind = 'array' AND item <> 'object' THEN 'simple_array' END, CASE WHEN kind = 'array' AND item = 'enum' THEN 'enum_array' END, CASE WHEN kind = 'array' AND item = 'object' THEN 'complex_object_array' END, CASE WHEN kind = 'array' AND item = 'object' THEN 'nested_numeric_object_array' END, CASE WHEN kind = 'array' AND name = 'person' THEN 'entity_array' END] AS tags FROM x),
+u AS (SELECT p_partkey, list_sort(list_filter(tags, lambda v: v IS NOT NULL)) AS tags FROM t) SELECT p_partkey, array_to_string(tags, ',') AS tags, list_has_any(tags, ['entity_array', 'enum_classification', 'complex_object_array']) AS direct FROM u""")
 def _(spark, d):
-    name = F.get(F.array(*map(F.lit, ("date", "year", "verbatim", "person", "total", "plain"))), F.col("p_partkey") % 6)
-    kind = F.get(F.array(*map(F.lit, ("enum", "array", "integer", "string"))), F.col("p_size") % 4)
-    return table(spark, d, "part").select("p_partkey", F.array_join(schemas.field_tags(name, F.lit("a word"), kind, F.col("p_size") % 3 == 0), ",").alias("tags"))
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    z = F.col("p_size")
+    item = pick(("string", "object", "enum"), F.floor(z / 4) % 3)
+    tags = schemas.field_tags(
+        name=pick(("fecha", "year", "verbatim", "person", "código", "plain"), F.col("p_partkey") % 6), description=F.lit("a word"), json_type=pick(("string", "array", "integer", "boolean"), z % 4), nullable=z % 5 == 0,
+        enum=F.when(z % 7 == 0, F.array(F.lit("x"))), minimum=F.when(z % 3 == 0, 1.0), maximum=F.lit(None).cast("double"), item_type=item, item_enum=item == "enum", item_numbers=F.lit(True),
+    )
+    rows = table(spark, d, "part").select("p_partkey", tags.alias("t"))
+    return rows.select("p_partkey", F.array_join("t", ",").alias("tags"), schemas.is_direct(F.col("t")).alias("direct"))
 
 
 @query("p12_a3_coarse_types", f"""WITH l AS (SELECT o_orderkey AS task_id, 'm' || (o_orderkey % 2) AS run, ['count','when','tags','other','kind'][(o_orderkey % 5) + 1] AS path, 1 AS gold_keys, (o_orderkey % 3 > 0)::INT AS system_keys, (o_orderkey % 3 = 1)::INT::DOUBLE AS tps FROM orders),
@@ -86,13 +100,53 @@ def _(spark, d):
     return schemas.kept_fields(fields, fields.where("p_size > 25"), ["owner"]).select("owner", "name", "position")
 
 
-@query("p20_validation", """WITH f AS (SELECT event_id AS task_id, event_type AS kind, CASE WHEN event_id % 3 > 0 THEN upper(event_type[1:3]) END AS code, CASE WHEN event_id % 5 > 0 THEN props ELSE 'elsewhere' END AS quote FROM events)
+@query("p16_deep_unwrapped", """SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 5 > 0 THEN '{"items":["' || o_orderstatus || '"],"status":"' || o_orderstatus || '"}' END AS output, CASE WHEN o_orderkey % 5 > 0 THEN 'because ' || o_orderpriority END AS reason, CASE WHEN o_orderkey % 5 > 0 THEN 'seen' END AS inner_reason, CASE WHEN o_orderkey % 5 = 0 THEN 'missing field: status' END AS error FROM orders""")
+def _(spark, d):
+    """Wrappers at all depths go, with what they reasoned by path; a record without a due field is an error row."""
+    status, k = F.col("o_orderstatus"), F.col("o_orderkey")
+    wrapped = lambda reason, value: F.struct(reason.alias("reasoning"), value.alias("value"))
+    record = F.struct(F.when(k % 5 > 0, wrapped(F.concat(F.lit("because "), "o_orderpriority"), status)).alias("status"), F.array(wrapped(F.lit("seen"), status)).alias("items"))
+    rows = table(spark, d, "orders").select(k.alias("task_id"), F.to_json(record).alias("output"))
+    out = rows.select("task_id", schemas.unwrapped_records(F.col("output"), F.array(F.lit("status")), deep=True).alias("u"))
+    return out.select("task_id", "u.output", F.col("u.reasonings")["status"].alias("reason"), F.col("u.reasonings")["items[0]"].alias("inner_reason"), "u.error")
+
+
+@query("p16_selective_unwrapped", """SELECT o_orderkey AS task_id, '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS output, 1 AS n_reasons FROM orders""")
+def _(spark, d):
+    """Only the fields that aren't answered directly carry a reasoning."""
+    reasoned = F.struct(F.lit("so").alias("reasoning"), F.col("o_orderstatus").alias("value"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.to_json(F.struct(F.col("o_orderkey").alias("key"), reasoned.alias("status"))).alias("output"))
+    out = rows.select("task_id", schemas.unwrapped_records(F.col("output"), F.array(F.lit("status"))).alias("u"))
+    return out.select("task_id", "u.output", F.size("u.reasonings").alias("n_reasons"))
+
+
+@query("p17_kept_cases", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'kind,size' ELSE 'size' END AS examples, CASE WHEN p_size % 2 = 0 THEN 'size,kind' ELSE 'size' END AS properties, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS n_required FROM part""")
+def _(spark, d):
+    """The case side: examples and the reduced schema of the named fields."""
+    names = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("size"), F.lit("kind"))).otherwise(F.array(F.lit("size"), F.lit("unknown")))
+    examples = F.create_map(*[F.lit(x) for n in ("size", "kind", "brand") for x in (n, "value")])
+    rows = part_schemas(spark, d).select("p_partkey", schemas.kept_schema(F.col("schema"), names).alias("schema"), schemas.kept_examples(examples, names).alias("examples"))
+    return rows.select("p_partkey", F.array_join(F.array_sort(F.map_keys("examples")), ",").alias("examples"), F.array_join(F.json_object_keys(F.get_json_object("schema", "$.properties")), ",").alias("properties"), F.json_array_length(F.get_json_object("schema", "$.required")).alias("n_required"))
+
+
+@query("p20_validation", """WITH f AS (SELECT event_id AS task_id, event_type AS kind, CASE WHEN event_id % 3 > 0 THEN upper(event_type[1:3]) END AS code, CASE WHEN event_id % 5 > 0 THEN props ELSE 'elsewhere' END AS quote, event_id % 7 = 0 AS flat FROM events)
 SELECT task_id, 'code' AS path, 'required' AS error FROM f WHERE code IS NULL UNION ALL SELECT task_id, 'kind', 'enum' FROM f WHERE kind NOT IN ('click', 'view') UNION ALL SELECT task_id, 'code', 'pattern' FROM f WHERE code IS NOT NULL AND NOT regexp_matches(code, '^[A-P]+$')
-UNION ALL SELECT task_id, 'kind', 'length' FROM f WHERE length(kind) > 6 UNION ALL SELECT task_id, 'quote', 'not in text' FROM f WHERE quote = 'elsewhere'""")
+UNION ALL SELECT task_id, 'kind', 'too long' FROM f WHERE length(kind) > 6 UNION ALL SELECT task_id, 'kind', 'too short' FROM f WHERE length(kind) < 5 UNION ALL SELECT task_id, 'quote', 'not in text' FROM f WHERE quote = 'elsewhere'
+UNION ALL SELECT task_id, 'tags', 'shape' FROM f WHERE flat UNION ALL SELECT task_id, 'tags[1]', 'enum' FROM f WHERE NOT flat AND kind <> 'click' UNION ALL SELECT task_id, 'tags[1]', 'not in text' FROM f WHERE NOT flat AND quote = 'elsewhere' UNION ALL SELECT task_id, 'state.level', 'required' FROM f WHERE flat""")
 def _(spark, d):
-    rows = table(spark, d, "events").select(F.col("event_id").alias("task_id"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 3 > 0, F.upper(F.substring("event_type", 1, 3))).alias("code"), F.when(F.col("event_id") % 5 > 0, F.col("props")).otherwise("elsewhere").alias("quote"), F.concat(F.lit("Said: "), F.upper("props")).alias("text"))
-    leaves = rows.select("task_id", F.explode(F.create_map(F.lit("kind"), "kind", F.lit("code"), "code", F.lit("quote"), "quote")).alias("path", "value"))
-    fields = spark.createDataFrame([("kind", True, ["click", "view"], None, 6, False), ("code", True, None, "^[A-P]+$", None, False), ("quote", False, None, None, None, True)], "path string, required boolean, enum array<string>, pattern string, most_length int, grounded boolean")
+    k, kind = F.col("event_id"), F.col("event_type")
+    quote = F.when(k % 5 > 0, F.col("props")).otherwise("elsewhere")
+    flat = k % 7 == 0
+    text_ = F.concat_ws(" ", F.lit("Said: "), F.upper("props"), F.upper(kind), F.lit(" fine"), F.when(k % 5 > 0, F.lit("none-click")))
+    second = F.when(kind == "click", F.when(k % 5 > 0, "none-click").otherwise("none-click-else")).otherwise(F.when(k % 5 > 0, F.upper(kind)).otherwise("none-at-all"))
+    leaf = lambda path, value, of: F.struct(F.lit(path).alias("path"), value.alias("value"), F.lit(of).alias("kind"))
+    tags = F.when(flat, leaf("tags", F.lit("7"), "integer")).otherwise(leaf("tags[0]", F.lit("fine"), "string"))
+    code = F.when(k % 3 > 0, F.upper(F.substring("event_type", 1, 3)))
+    found = F.array(leaf("kind", kind, "string"), leaf("code", code, "string"), leaf("quote", quote, "string"), tags, F.when(~flat, leaf("tags[1]", second, "string")), F.when(~flat, leaf("state.level", F.lit("3"), "integer")))
+    rows = table(spark, d, "events").select(k.alias("task_id"), text_.alias("text"), found.alias("l"))
+    leaves = rows.select("task_id", F.explode(F.array_compact("l")).alias("x")).select("task_id", "x.*")
+    spec = [("kind", True, "string", ["click", "view"], None, 5, 6), ("code", True, "string", None, "^[A-P]+$", None, None), ("quote", False, "string", None, None, None, None), ("tags", True, "array", None, None, None, None), ("tags[]", True, "string", ["fine", "none-click", "none-click-else"], None, None, None), ("state", False, "object", None, None, None, None), ("state.level", True, "integer", None, None, None, None)]
+    fields = spark.createDataFrame(spec, "path string, required boolean, kind string, enum array<string>, pattern string, least_length int, most_length int")
     return schemas.validation_errors(leaves, fields, rows.select("task_id", "text"), rows)
 
 
@@ -101,6 +155,22 @@ def _(spark, d):
     return rounded(schemas.pair_similarity(text_pairs(spark, d), "a", "b").select("doc_id", "similarity"))
 
 
+LETTERS = "aeiou"
+LETTER_SQL = "[" + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{x}', '')))::DOUBLE" for x in LETTERS) + "]"
+
+
+def letter_vectors(texts):
+    """A small embedding that SQL can follow: how often five letters occur."""
+    import numpy as np
+
+    return np.array([[float((t or "").count(x)) for x in LETTERS] for t in texts])
+
+
+@query("v3_embedded", f"WITH {PAIRS_SQL}, v AS (SELECT doc_id, {LETTER_SQL.format('a')} AS x, {LETTER_SQL.format('b')} AS y FROM pairs) SELECT doc_id, round(CASE WHEN list_dot_product(x, x) * list_dot_product(y, y) > 0 THEN list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) ELSE 0 END, 6) AS similarity FROM v")
+def _(spark, d):
+    return rounded(schemas.pair_similarity(text_pairs(spark, d), "a", "b", embed=letter_vectors).select("doc_id", "similarity"))
+
+
 @query("v3_v9_u1_hybrid")
 def _(spark, d):
     return rounded(schemas.hybrid_similarity(text_pairs(spark, d), "a", "b").select("doc_id", "similarity", "hybrid"))
@@ -113,6 +183,41 @@ def _(spark, d):
     return rounded(table(spark, d, "events").groupBy("user_id").agg(side(2).alias("g"), side(3).alias("s")).select("user_id", scoring.list_scores(F.col("g"), F.col("s")).alias("score")))
 
 
+WORD_SHARE = "len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1})))"
+ITEM_SQL = f"""w AS (SELECT o_orderkey AS task_id, list_distinct(regexp_extract_all(lower('order ' || o_orderpriority), '[a-z0-9]+')) AS g, list_distinct(regexp_extract_all(lower(CASE WHEN o_orderkey % 3 = 0 THEN 'order of long ago' ELSE 'order ' || o_orderpriority END), '[a-z0-9]+')) AS s, o_orderkey % 4 > 0 AS same FROM orders),
+i AS (SELECT task_id, same, ({WORD_SHARE.format('g', 's')} + same::INT) / 2 AS item FROM w)"""
+
+
+def item_records(spark, d):
+    """Records with a list of one object: a free text and a label of an enum."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    name = F.concat(F.lit("order "), "o_orderpriority")
+    item = lambda text_, label: F.array(F.struct(text_.alias("text"), label.alias("label")))
+    gold, found = item(name, status), item(F.when(k % 3 == 0, "order of long ago").otherwise(name), F.when(k % 4 == 0, "Z").otherwise(status))
+    rows = table(spark, d, "orders").select(k.alias("task_id"), gold.alias("g"), found.alias("s"), name.alias("note"), F.when(k % 3 == 0, "order of long ago").otherwise(name).alias("other"))
+    return rows
+
+
+ITEM_SCHEMA = '{"type":"object","properties":{"text":{"type":"string"},"label":{"enum":["F","O","P","Z"]}}}'
+
+
+@query("v5_object_items", f"WITH {ITEM_SQL} SELECT task_id, round(item / (2 - item), 6) AS score FROM i")
+def _(spark, d):
+    """Items score by their own schema: a free text in part, a label by equality."""
+    return rounded(item_records(spark, d).select("task_id", scoring.list_scores(F.to_json("g"), F.to_json("s"), ITEM_SCHEMA).alias("score")))
+
+
+@query("v6_v7_partial_scores", f"WITH {ITEM_SQL}, x AS (SELECT task_id, item / (2 - item) AS list, 2 * item - same::INT AS note FROM i) SELECT task_id, round(list + note, 6) AS tps, round(list, 6) AS items_tps, round(note, 6) AS note_tps FROM x")
+def _(spark, d):
+    """Partial credit in lists of objects under a referenced item schema, and in a free text."""
+    schema = '{"type":"object","properties":{"items":{"type":"array","items":{"$ref":"#/$defs/Item"}},"note":{"type":"string"}},"$defs":{"Item":' + ITEM_SCHEMA + "}}"
+    record = lambda items, note: F.to_json(F.struct(F.col(items).alias("items"), F.col(note).alias("note")))
+    rows = item_records(spark, d).select("task_id", record("g", "note").alias("gold"), record("s", "other").alias("system"), F.lit(schema).alias("schema"))
+    scored = schemas.instance_scores(rows, "gold", "system", "schema")
+    own = lambda name: F.filter("by_field", lambda f: f["field"] == name)[0]["tps"].alias(f"{name}_tps")
+    return rounded(scored.select("task_id", "tps", own("items"), own("note")))
+
+
 INSTANCE_SQL = """i AS (SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 1 + (o_orderkey % 3 > 0)::INT + (o_orderkey % 2)::DOUBLE END AS tps, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 3 + (o_orderkey % 7 = 0)::INT END AS system_keys FROM orders)"""
 
 

@@ -124,3 +124,49 @@ def _(spark, d):
 
     index = files.write_field_index(fields(spark, d), files.shared_folder(spark, "index"))
     return index.groupBy("type_class").agg(F.count("*").alias("n"), F.min("owner").alias("first_owner"))
+
+
+@query("snk4_case_index", """SELECT CASE p_size % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS side, 4 * count(*) AS n_fields, count(*) AS n_cases, 1.0::DOUBLE AS longest FROM part GROUP BY ALL""")
+def _(spark, d):
+    """Fields of real schemas through texts and vectors into an index, beside the table of its cases."""
+    from .shapes import part_schemas
+
+    cases = part_schemas(spark, d).select(F.col("p_partkey").alias("owner"), "schema", "p_size")
+    fields, owners = files.build_field_index(cases.select("owner", "schema"), files.shared_folder(spark, "cases-index"))
+    side = cases.select("owner", F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("side"))
+    norm = F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 6)
+    a = fields.join(side, "owner").groupBy("side").agg(F.count("*").alias("n_fields"), F.max(norm).alias("longest"))
+    return a.join(owners.join(side, "owner").groupBy("side").agg(F.count("*").alias("n_cases")), "side")
+
+
+@query("src5_predictions", """SELECT s_suppkey::VARCHAR AS task_id, 'direct' AS source, '' AS step, s_nationkey::VARCHAR AS found FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT s_suppkey::VARCHAR, 'mixed', 'trial_' || (s_suppkey % 2), s_nationkey::VARCHAR FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 4 > 0""")
+def _(spark, d):
+    """Files of direct runs and of mixed trials; trials with an error and tasks that aren't golden stay out."""
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(F.lit("p").alias("pipeline"), F.lit("r1").alias("run"), k.cast("string").alias("task_id"), F.concat(F.lit("trial_"), (k % 2).cast("string")).alias("step"), F.struct(F.col("s_nationkey").cast("string").alias("n")).alias("output"), F.lit("strict").alias("extraction"), F.when(k % 4 == 0, "failed").alias("error"))
+    path = files.shared_folder(spark, "runs")
+    rows.drop("step").repartition(16, "task_id").write.partitionBy("pipeline", "run", "task_id").json(f"{path}/direct")
+    rows.repartition(16, "task_id").write.partitionBy("pipeline", "run", "task_id", "step").json(f"{path}/mixed")
+    golden = rows.where("cast(task_id as int) % 3 > 0").select("task_id")
+    return files.read_predictions(spark, path, golden).select("task_id", "source", "step", F.get_json_object("output", "$.n").alias("found"))
+
+
+@query("src6_details", """SELECT s_suppkey::VARCHAR AS task_id, s_name AS gold, CASE WHEN s_suppkey % 2 = 0 THEN 'pred' ELSE 'prediction' END AS of FROM supplier WHERE s_suppkey % 5 > 0""")
+def _(spark, d):
+    """Folders of task, gold and prediction; those without a prediction are left out, ``pred`` goes before ``prediction``."""
+    k = F.col("s_suppkey")
+    names = F.array_compact(F.array(F.lit("task"), F.lit("gold"), F.when((k % 5 > 0) & (k % 2 == 0), "pred"), F.when(k % 5 > 0, "prediction")))
+    rows = table(spark, d, "supplier").select(k.alias("task_id"), F.explode(names).alias("name"), "s_name").select("task_id", "name", F.col("name").alias("of"), "s_name")
+    path = files.shared_folder(spark, "details")
+    rows.repartition(16, "task_id").write.partitionBy("task_id", "name").json(path)
+    return files.read_details(spark, path).select("task_id", F.get_json_object("gold", "$.s_name").alias("gold"), F.get_json_object("prediction", "$.of").alias("of"))
+
+
+@query("st3_top_three", f"""WITH {REPORTS_SQL}, b AS (SELECT team AS slug, model, max(f1) AS best_f1 FROM reports GROUP BY ALL) SELECT slug, model, best_f1, row_number() OVER (PARTITION BY model ORDER BY best_f1 DESC, slug) AS place FROM b QUALIFY place <= 3""")
+def _(spark, d):
+    """The three best teams of each model over the state of the stream."""
+    path = files.shared_folder(spark, "status")
+    rows = reports(spark, d).select(F.col("team").alias("slug"), "pipeline", "model", F.lit("done").alias("status"), "f1")
+    rows.repartition(6).write.json(path)
+    stream = spark.readStream.schema(logs.STATUS_SCHEMA).option("maxFilesPerTrigger", 2).json(path)
+    return logs.top(logs.latest(logs.progress(stream), "top", ["slug", "model"]), ["model"], 3)

@@ -18,9 +18,20 @@ SIDECARS = r"[._-](review|audit|grounding)\.json$"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares; a local one only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-files-')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
 
 
 def _whole(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -57,15 +68,22 @@ def read_usage(spark: SparkSession, path: str, api_key: str | None = None) -> Da
     return rows if api_key is None else rows.where(F.col("api_key") == api_key)
 
 
+#: The end of a file's name: its own, or that of a part that Spark wrote into a folder of that name.
+_END = r"(?:\.json|/part-[^/]+\.json)$"
+
+
 def read_predictions(spark: SparkSession, path: str, golden: DataFrame) -> DataFrame:
     """Predictions of direct runs (.../direct/<pipeline>/<run>/<task>.json) and mixed trials (.../mixed/<pipeline>/<run>/<task>/<step>.json).
 
-    Of mixed trials those count whose step begins with ``trial`` and that carry
-    no error and a known extraction.  Only golden tasks stay.
+    Folders may be named as Spark's writers name partitions
+    (``pipeline=<pipeline>``).  Of mixed trials those count whose step begins
+    with ``trial`` and that carry no error and a known extraction.  Only golden
+    tasks stay.
     """
     rows = _whole(spark, path, "*.json")
     part = lambda pattern, i: F.regexp_extract("file", pattern, i)
-    direct, mixed = r"/direct/([^/]+)/([^/]+)/([^/]+)\.json$", r"/mixed/([^/]+)/([^/]+)/([^/]+)/(trial[^/]*)\.json$"
+    runs = r"/(?:pipeline=)?([^/]+)/(?:run=)?([^/]+)/(?:task_id=)?"
+    direct, mixed = f"/direct{runs}([^/]+?){_END}", f"/mixed{runs}([^/]+)/(?:step=)?(trial[^/]*?){_END}"
     a = rows.where(F.col("file").rlike(direct)).select(F.lit("direct").alias("source"), *[part(direct, i + 1).alias(n) for i, n in enumerate(("pipeline", "run", "task_id"))], F.lit("").alias("step"), _field("output").alias("output"))
     known = _field("error").isNull() & _field("extraction").isin("strict", "salvaged")
     b = rows.where(F.col("file").rlike(mixed) & known).select(F.lit("mixed").alias("source"), *[part(mixed, i + 1).alias(n) for i, n in enumerate(("pipeline", "run", "task_id", "step"))], _field("output").alias("output"))
@@ -73,9 +91,10 @@ def read_predictions(spark: SparkSession, path: str, golden: DataFrame) -> DataF
 
 
 def read_details(spark: SparkSession, path: str) -> DataFrame:
-    """(task_id, task, gold, prediction) of complete folders <task>/{task,gold,pred|prediction}.json; ``pred`` goes first."""
+    """(task_id, task, gold, prediction) of complete folders <task>/{task,gold,pred|prediction}.json, or <task_id=...>/<name=...>/; ``pred`` goes first."""
     names = ["task", "gold", "pred", "prediction"]
-    rows = _whole(spark, path, "*.json").withColumns({"task_id": F.element_at(F.split("file", "/"), -2), "name": F.regexp_extract("file", r"/([^/]+)\.json$", 1)})
+    key = rf"/(?:task_id=)?([^/]+)/(?:name=)?({'|'.join(names)}){_END}"
+    rows = _whole(spark, path, "*.json").withColumns({"task_id": F.regexp_extract("file", key, 1), "name": F.regexp_extract("file", key, 2)}).where("name <> ''")
     wide = rows.groupBy("task_id").pivot("name", names).agg(F.first("value"))
     return wide.select("task_id", "task", "gold", F.coalesce("pred", "prediction").alias("prediction")).where("task is not null and gold is not null and prediction is not null")
 
@@ -115,3 +134,20 @@ def write_field_index(fields: DataFrame, path: str) -> DataFrame:
     """The field index as Parquet, read again."""
     fields.write.parquet(path)
     return fields.sparkSession.read.parquet(path)
+
+
+def build_field_index(cases: DataFrame, path: str, embed=None) -> tuple[DataFrame, DataFrame]:
+    """The index of a set of cases (owner, schema): the vectors of their fields' texts, and a table of the cases.
+
+    Every case's top-level fields get a row with type class, name, text and a
+    unit vector; equal texts are embedded once.
+    """
+    from ..functions import records
+    from ..operators import schemas
+
+    own = cases.withColumn("fingerprint", F.sha1(records.canonical_json(F.col("schema"))))
+    fields = records.schema_fields(own, "fingerprint", "schema").where("depth = 0")
+    texts = fields.select("fingerprint", "position", "type_class", "name", schemas.field_text(F.col("name"), F.col("type_text"), F.col("description")).alias("text"))
+    vectors = schemas.embedded(texts, "text", embed or schemas.hashed_vectors)
+    rows = own.select("owner", "fingerprint").join(vectors, "fingerprint").drop("fingerprint")
+    return write_field_index(rows, f"{path}/fields"), write_field_index(own.select("owner", "fingerprint"), f"{path}/cases")

@@ -7,7 +7,7 @@ returns its table, which equals the batch result as long as nothing is late.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import USAGE_SCHEMA, shared_folder
@@ -36,6 +36,12 @@ def progress(rows: DataFrame) -> DataFrame:
     return rows.groupBy("slug", "model").agg(F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"), F.max("f1").alias("best_f1"), F.max_by("pipeline", F.struct("f1", "pipeline")).alias("best_pipeline"))
 
 
+def top(state: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """The k teams of the best F1 so far in each group of a state of ``progress``."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("best_f1"), "slug"))
+    return state.select("slug", "model", "best_f1", place.alias("place")).where(F.col("place") <= k)
+
+
 def available_now(stream: DataFrame, name: str) -> DataFrame:
     """What an append-mode stream yields over all files that are there, through a Parquet sink."""
     spark = stream.sparkSession

@@ -130,12 +130,12 @@ def test_words_are_unicode(spark):
 
 def test_consensus_of_strings_and_arrays():
     rows = [(0, 0, "dolor de cabeza"), (1, 0, "dolor de la cabeza"), (2, 0, "cefalea aislada")]
-    assert consensus.consensus_value(rows, False)[0].startswith("dolor")
+    assert consensus.consensus_value(rows, False, consensus.Options(scalar_threshold=0.65))[0].startswith("dolor")
     lists = [["fatiga", "cefalea", "dolor lumbar"], ["fatiga", "cefalea"], ["fatiga", "dolor lumbar leve", "cefalea"]]
-    got = consensus.consensus_value([(t, i, v) for t, items in enumerate(lists) for i, v in enumerate(items)], True)[0]
+    got = consensus.consensus_value([(t, i, v) for t, items in enumerate(lists) for i, v in enumerate(items)], True, consensus.Options(item_threshold=0.65))[0]
     assert {"fatiga", "cefalea"} <= set(got) and any(v.startswith("dolor") for v in got)
     objects = [(t, 0, {"text": "Nakatomi", "label": label}) for t, label in enumerate(["LOCATION", "LOCATION", "MISCELLANEOUS"])]
-    assert consensus.consensus_value(objects, True, consensus.Options(string_threshold=0.4))[0] == [{"text": "Nakatomi", "label": "LOCATION"}]
+    assert consensus.consensus_value(objects, True, consensus.Options(object_threshold=0.4))[0] == [{"text": "Nakatomi", "label": "LOCATION"}]
     assert consensus.cluster([(0, 0, "a b"), (0, 1, "a b")], 0.5) == [[0], [1]]
 
 
