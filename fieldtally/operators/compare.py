@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import by_families, with_scores
+from .ranking import quantiles
 
 
 def join_diagnostics(results: DataFrame, diagnostics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,10 +46,9 @@ def paired_summary(pairs: DataFrame, families: dict[str, Column]) -> DataFrame:
 
 def overview(pairs: DataFrame, keys: list[str], large: float = 0.1) -> DataFrame:
     """Mean and median delta, and how many are large."""
-    return pairs.groupBy(*keys).agg(
-        F.count("*").alias("n_tasks"), F.avg("delta").alias("mean_delta"), F.percentile(F.col("delta"), F.lit(0.5)).alias("median_delta"),
-        F.count_if(F.col("delta") >= large).alias("large_gains"), F.count_if(F.col("delta") <= -large).alias("large_losses"),
-    )
+    sums = pairs.groupBy(*keys).agg(F.count("*").alias("n_tasks"), F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") >= large).alias("large_gains"), F.count_if(F.col("delta") <= -large).alias("large_losses"))
+    medians = quantiles(pairs, keys, "delta", [0.5]).select(*keys, F.col("q")[0].alias("median_delta"))
+    return sums.join(medians, keys, "left")
 
 
 def extremes(pairs: DataFrame, keys: list[str], limit: int = 8) -> DataFrame:

@@ -142,6 +142,19 @@ def trace_metrics(spans: DataFrame) -> DataFrame:
     )
 
 
+def run_count_spread(counts: DataFrame) -> DataFrame:
+    """Least, most and mean count of predictions a task, per pipeline."""
+    return counts.groupBy("pipeline").agg(F.min("n_predictions").alias("least"), F.max("n_predictions").alias("most"), F.avg("n_predictions").alias("mean"), F.count("*").alias("n_tasks"))
+
+
+def schema_tasks(tasks: DataFrame, part_tasks: int = 1000) -> DataFrame:
+    """The tasks and titles of every schema, in parts of about ``part_tasks``, so that no list grows with a schema."""
+    parts = tasks.groupBy("fingerprint").agg(F.ceil(F.count("*") / part_tasks).alias("n_parts"))
+    rows = tasks.join(parts, "fingerprint").withColumn("part", F.pmod(F.xxhash64("task_id"), F.col("n_parts")))
+    text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
+    return rows.groupBy("fingerprint", "part").agg(text(F.col("task_id")).alias("task_ids"), text(F.col("title")).alias("titles"), F.count("*").alias("n_tasks"))
+
+
 def schema_overlap(tasks: DataFrame, seen: DataFrame) -> DataFrame:
     """Per fingerprint: tasks, domains and whether it was seen before."""
     grouped = tasks.groupBy("fingerprint").agg(F.count("*").alias("n_tasks"), F.array_join(F.array_sort(F.collect_set("domain")), ";").alias("domains"), F.min("task_id").alias("first_task"))
@@ -166,10 +179,25 @@ def subset_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def describe(rows: DataFrame, col: str, keys: list[str] | None = None) -> DataFrame:
     """Count, extremes, mean and exact linear quartiles of a column."""
-    grouped = rows.where(F.col(col).isNotNull()).groupBy(*(keys or []))
-    q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = grouped.agg(F.count("*").alias("n"), F.min(col).cast("double").alias("lowest"), q.alias("q"), F.avg(col).alias("mean"), F.max(col).cast("double").alias("highest"))
-    return out.select(*(keys or []), "n", "lowest", F.col("q")[0].alias("p25"), "mean", F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "highest")
+    from .ranking import quantiles
+
+    keys = keys or []
+    known = rows.where(F.col(col).isNotNull())
+    sums = known.groupBy(*keys).agg(F.min(col).cast("double").alias("lowest"), F.avg(col).alias("mean"), F.max(col).cast("double").alias("highest"))
+    q = quantiles(known, keys, col, [0.25, 0.5, 0.75])
+    both = _beside(sums, q, keys)
+    return both.select(*keys, "n", "lowest", F.col("q")[0].alias("p25"), "mean", F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "highest")
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of one row a group side by side, null keys too."""
+    if not keys:
+        return a.crossJoin(b)  # one row each
+    named = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return a.join(named, on).drop(*[f"__{k}" for k in keys])
 
 
 def gap_closed(system: Column, baseline: Column) -> Column:
@@ -191,7 +219,10 @@ def pivot_table(rows: DataFrame, group_col: str, pipelines: list[str]) -> DataFr
 def tertiles(rows: DataFrame, id_col: str, value_col: str, name: str) -> DataFrame:
     """Adds low, mid or high by the thirds of the values of distinct ids; blank if fewer than three have one."""
     values = rows.select(id_col, value_col).where(F.col(value_col).isNotNull()).dropDuplicates([id_col])
-    cut = values.agg(F.percentile(F.col(value_col), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__q"), F.count("*").alias("__n"))
+    from .ranking import quantiles
+
+    found = quantiles(values, [], value_col, [1 / 3, 2 / 3]).select(F.col("q").alias("__q"), F.col("n").alias("__n"))
+    cut = found.agg(F.first("__q").alias("__q"), F.coalesce(F.first("__n"), F.lit(0)).alias("__n"))  # one row, also without values
     value, q = F.col(value_col), F.col("__q")
     bins = F.when((F.col("__n") < 3) | value.isNull(), F.lit(None)).when(value <= q[0], "low").when(value <= q[1], "mid").otherwise("high")
     return rows.crossJoin(F.broadcast(cut)).withColumn(name, bins).drop("__q", "__n")  # one row

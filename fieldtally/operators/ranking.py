@@ -41,6 +41,26 @@ def numbered_within(rows: DataFrame, key: str, name: str, *order: Column | str)
     return everywhere.join(firsts, key).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, n, q): exact quantiles with linear interpolation of every group's values, however many values one group has.
+
+    The values are placed in order by range; each quantile then takes the one
+    or two places that it lies between.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    placed = numbered(known, "__p", *keys, "__v")
+    spans = placed.groupBy(*keys).agg(F.min("__p").alias("__first"), F.count("*").alias("n"))
+    spread = spans.select("*", F.posexplode(F.array(*map(F.lit, shares))).alias("__i", "__share"))
+    at = F.col("__share") * (F.col("n") - 1)
+    low = F.floor(at)
+    ends = F.array(F.struct((F.col("__first") + low).alias("place"), (1 - (at - low)).alias("weight")), F.struct((F.col("__first") + F.ceil(at)).alias("place"), (at - low).alias("weight")))
+    wanted = spread.select(*keys, "n", "__i", F.explode(ends).alias("e")).select(*keys, "n", "__i", F.col("e.place").alias("__place"), F.col("e.weight").alias("__w"))
+    met = wanted.join(placed.select(F.col("__p").alias("__place"), "__v"), "__place")
+    found = met.groupBy(*keys, "n", "__i").agg(F.sum(F.col("__w") * F.col("__v")).alias("__q"))
+    q = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda x: x["__q"])
+    return found.groupBy(*keys, "n").agg(q.alias("q"))
+
+
 def baselines(reports: DataFrame, slug: str, pipeline: str = "baseline") -> DataFrame:
     """One baseline per model: the canonical slug first, then the highest F1; ``n_baselines`` over 1 is a collision."""
     found = reports.where(F.col("pipeline") == pipeline)

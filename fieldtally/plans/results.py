@@ -171,6 +171,12 @@ def _(spark, d):
     return metrics.schema_overlap(tasks, tasks.where("task_id % 97 = 0"))
 
 
+@query("a14_schema_tasks", "SELECT p_type AS fingerprint, string_agg(DISTINCT p_partkey::VARCHAR, ';' ORDER BY p_partkey::VARCHAR) AS task_ids, string_agg(DISTINCT p_container, ';' ORDER BY p_container) AS titles, count(*) AS n_tasks FROM (SELECT *, 'title ' || (p_size % 3) AS p_container FROM part) GROUP BY p_type")
+def _(spark, d):
+    tasks = table(spark, d, "part").select(F.col("p_type").alias("fingerprint"), F.col("p_partkey").alias("task_id"), F.concat(F.lit("title "), (F.col("p_size") % 3).cast("string")).alias("title"))
+    return metrics.schema_tasks(tasks.withColumn("task_id", F.col("task_id").cast("string")), 100_000).drop("part")
+
+
 @query("a14_overlap_summary", """WITH o AS (SELECT p_type, count(*) AS n, bool_or(p_partkey % 97 = 0) AS seen FROM part GROUP BY p_type)
 SELECT count(*) AS n_schemas, count_if(seen)::BIGINT AS seen_schemas, sum(n)::BIGINT AS n_tasks, sum(CASE WHEN seen THEN n ELSE 0 END)::BIGINT AS seen_tasks, round(sum(CASE WHEN seen THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS seen_task_share FROM o""")
 def _(spark, d):
@@ -266,6 +272,15 @@ def _(spark, d):
     return compare.common_tasks(rows.where("run = 'm0/schema'"), rows.where("run = 'm1/vote'"))
 
 
+@query("a4_count_spread", """WITH rows AS (SELECT user_id AS task_id, 'p' || (event_id % 3) AS pipeline FROM events WHERE event_type <> 'view'), n AS (SELECT g.task_id, g.pipeline, count(r.task_id) AS n FROM (SELECT DISTINCT user_id AS task_id, p.pipeline FROM events CROSS JOIN (SELECT DISTINCT pipeline FROM rows) p) g LEFT JOIN rows r ON r.task_id = g.task_id AND r.pipeline = g.pipeline GROUP BY ALL)
+SELECT pipeline, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, count(*) AS n_tasks FROM n GROUP BY pipeline""")
+def _(spark, d):
+    e = F.col("event_id")
+    events = table(spark, d, "events")
+    rows = events.where("event_type <> 'view'").select(F.col("user_id").alias("task_id"), F.concat(F.lit("p"), (e % 3).cast("string")).alias("pipeline"), F.concat(F.lit("r"), (e % 7).cast("string")).alias("run"), F.col("event_type").alias("source"))
+    return rounded(metrics.run_count_spread(metrics.run_counts(rows, events.select(F.col("user_id").alias("task_id")), rows)))
+
+
 @query("s3_union", f"WITH {TASK_RESULTS_SQL} SELECT task_id, 'direct' AS source FROM task_results WHERE run_no = 1 UNION ALL SELECT task_id, 'mixed' FROM task_results WHERE run_no = 2 AND NOT failed")
 def _(spark, d):
     rows = task_results(spark, d)

@@ -9,7 +9,7 @@ from ..operators import metrics, schemas, scoring
 from .registry import query
 from .results import rounded, scores
 from .standins import table
-from .texts import PAIRS_SQL, WORDS, text_pairs
+from .texts import BAG, GRAMS, NORM, PAIRS_SQL, WORDS, text_pairs
 
 #: A part's schema depends on its size and type; so there are a few dozen schemas.
 PART_SCHEMA = """concat('{"type":"object","required":["', if(p_size % 2 = 0, 'size","kind', 'kind","size'), '"],"properties":{"size":{"type":"integer","minimum":', p_size % 5, ',"description":"', p_partkey, '"},"kind":{"anyOf":[{"type":"string"},{"type":"null"}]},"brand":{"enum":["', p_type, '"]},"parts":{"type":"array","items":{"type":"object","properties":{"name":{"type":"string"}}}}}}')"""
@@ -171,6 +171,14 @@ def _(spark, d):
     return rounded(schemas.pair_similarity(text_pairs(spark, d), "a", "b", embed=letter_vectors).select("doc_id", "similarity"))
 
 
+@query("v9_hybrid", f"""WITH {PAIRS_SQL}, v AS (SELECT doc_id, {LETTER_SQL.format('a')} AS x, {LETTER_SQL.format('b')} AS y FROM pairs), c AS (SELECT doc_id, CASE WHEN list_dot_product(x, x) * list_dot_product(y, y) > 0 THEN list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) ELSE 0 END AS cosine FROM v),
+n AS (SELECT doc_id, {NORM.format('a')} AS a, {NORM.format('b')} AS b FROM pairs), {BAG.format(n=1, a=WORDS.format('a'), b=WORDS.format('b'))}, {BAG.format(n=2, a=GRAMS.format('a'), b=GRAMS.format('b'))}
+SELECT doc_id, round(0.6::DOUBLE * cosine + 0.4::DOUBLE * CASE WHEN a = b THEN 1 ELSE 0.45::DOUBLE * 2 * coalesce(bag1.shared, 0) / (len({WORDS.format('a')}) + len({WORDS.format('b')})) + 0.4::DOUBLE * 2 * coalesce(bag2.shared, 0) / (len({GRAMS.format('a')}) + len({GRAMS.format('b')})) END, 5) AS hybrid FROM n JOIN c USING (doc_id) LEFT JOIN bag1 USING (doc_id) LEFT JOIN bag2 USING (doc_id)""")
+def _(spark, d):
+    found = schemas.hybrid_similarity(text_pairs(spark, d), "a", "b", embed=letter_vectors)
+    return found.select("doc_id", F.round("hybrid", 5).alias("hybrid"))
+
+
 @query("v3_v9_u1_hybrid")
 def _(spark, d):
     return rounded(schemas.hybrid_similarity(text_pairs(spark, d), "a", "b").select("doc_id", "similarity", "hybrid"))

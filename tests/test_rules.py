@@ -119,6 +119,39 @@ def test_rows_of_similarities_equal_pairs():
         assert near.row(i).tolist() == pytest.approx([consensus.string_similarity(v, w) for w in values])
 
 
+def test_clusters_equal_plain_ones():
+    import random
+
+    rng = random.Random(6)
+    words = ["dolor", "de", "cabeza", "fatiga", "leve", "aguda"]
+    for _ in range(40):
+        items = sorted((rng.randrange(5), i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for i in range(14))
+        plain: list[list[int]] = []
+        for k, (trial, _, value) in enumerate(items):
+            scored = [(round(sum(consensus.string_similarity(value, items[m][2]) for m in c) / len(c), 12), -n) for n, c in enumerate(plain) if all(items[m][0] != trial for m in c)]
+            best = max(scored, default=(-1.0, 0))
+            if best[0] >= 0.6:
+                plain[-best[1]].append(k)
+            else:
+                plain.append([k])
+        assert consensus.cluster(items, 0.6) == plain
+        values = [v for _, _, v in items]
+        assert consensus.medoid(values) == max(range(14), key=lambda i: (round(sum(consensus.string_similarity(values[i], v) for v in values), 12), -i))
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v)) for k, n in (("hot", 501), ("a", 2), ("b", 1), (None, 40)) for v in rng.integers(0, 50, n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    for r in ranking.quantiles(df, ["k"], "v", [0.25, 0.5, 1 / 3]).collect():
+        own = [v for k, v in rows if k == r.k and v is not None]
+        assert r.n == len(own) and r.q == pytest.approx(np.quantile(own, [0.25, 0.5, 1 / 3]).tolist())
+    assert ranking.quantiles(df, [], "v", [0.1]).first().q == pytest.approx([np.quantile([v for _, v in rows if v is not None], 0.1)])
+    assert len(metrics.describe(df, "v", ["k"]).collect()) == 4
+
+
 def test_grown_arrays_equal_trying_all():
     import random
 
