@@ -34,11 +34,11 @@ def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     return both.withColumn(name, F.col("__start") + F.col("__mark").bitwiseAND(2**33 - 1) + 1).drop("__mark", "__part", "__start")
 
 
-def numbered_within(rows: DataFrame, key: str, name: str, *order: Column | str) -> DataFrame:
-    """Rows with their place from 1 within their key, however many rows one key has."""
-    everywhere = numbered(rows, "__place", key, *order)
-    firsts = everywhere.groupBy(key).agg(F.min("__place").alias("__first"))
-    return everywhere.join(firsts, key).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
+def numbered_within(rows: DataFrame, keys: list[str], name: str, *order: Column | str) -> DataFrame:
+    """Rows with their place from 1 within their keys, however many rows one key has."""
+    everywhere = numbered(rows, "__place", *keys, *order)
+    firsts = everywhere.groupBy(*keys).agg(F.min("__place").alias("__first"))
+    return everywhere.join(firsts, keys).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
@@ -76,7 +76,7 @@ def ranked_entries(reports: DataFrame, base: DataFrame, pipeline: str = "baselin
     """
     entries = reports.join(base, "model").where(~((F.col("pipeline") == pipeline) & F.col("slug").eqNullSafe(F.col("baseline_slug"))))
     gap = gap_closed(F.col("f1"), F.col("baseline_f1"))
-    return numbered_within(entries.withColumn("gap", gap), "model", "place", F.desc("gap"), "file")
+    return numbered_within(entries.withColumn("gap", gap), ["model"], "place", F.desc("gap"), "file")
 
 
 def leaderboard(entries: DataFrame, value: str) -> DataFrame:
@@ -92,11 +92,10 @@ def leaderboard(entries: DataFrame, value: str) -> DataFrame:
 def dataset_boards(reports: DataFrame) -> DataFrame:
     """Per model and dataset: the place among all pipelines, and among each team's best (null for the others)."""
     keys = ["model", "dataset"]
-    everyone = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("f1"), "file"))
-    own = F.row_number().over(Window.partitionBy(*keys, "team").orderBy(F.desc("f1"), "file"))
-    rows = reports.withColumns({"place": everyone, "own": own})
-    best = F.row_number().over(Window.partitionBy(*keys, F.col("own") == 1).orderBy(F.desc("f1"), "file"))
-    return rows.withColumn("team_place", F.when(F.col("own") == 1, best)).drop("own")
+    placed = numbered_within(reports, keys, "place", F.desc("f1"), "file")
+    best = reports.groupBy(*keys, "team").agg(F.min(F.struct((-F.col("f1")).alias("f"), "file")).alias("b")).select(*keys, (-F.col("b.f")).alias("f1"), F.col("b.file").alias("file"))
+    teams = numbered_within(best, keys, "team_place", F.desc("f1"), "file").select(*keys, "file", "team_place")
+    return placed.join(teams, [*keys, "file"], "left")
 
 
 def unique_cells(reports: DataFrame, keys: list[str]) -> DataFrame:

@@ -47,12 +47,14 @@ def nth_same_schema(tasks: DataFrame, cases: DataFrame, n: int) -> DataFrame:
     return best(same_schema(tasks, cases), ["task_id"], n, "case_id").where(F.col("place") == n).select("task_id", "case_id")
 
 
-def alignment(queries: DataFrame, cases: DataFrame, salts: int = 8) -> DataFrame:
+def alignment(queries: DataFrame, cases: DataFrame, salts: int | None = None) -> DataFrame:
     """Per query, case and query field: the best similarity (at least 0) to a case field of the same class, and that field.
 
     A few classes hold most fields, so the join key is (class, salt): a case
-    lies in one salt, each query field in all.  Nothing needs to be broadcast.
+    lies in one salt, each query field in all, as many as there are shuffle
+    partitions.  Nothing needs to be broadcast.
     """
+    salts = salts or int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = queries.select(F.col("owner").alias("query"), F.col("position").alias("field"), "type_class", "vec", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     right = cases.select(F.col("owner").alias("case_id"), F.col("name").alias("case_field"), "type_class", F.col("vec").alias("case_vec"), F.pmod(F.xxhash64("owner"), F.lit(salts)).cast("int").alias("salt"))
     pairs = left.join(right, ["type_class", "salt"]).select("query", "case_id", "field", "case_field", F.round(F.greatest(F.lit(0.0), dot(F.col("vec"), F.col("case_vec"))), 9).alias("similarity"))

@@ -80,11 +80,12 @@ def _(spark, d):
     return files.read_cases(spark, _single_files(rows, files.shared_folder(spark, "cases"))).select("id", "domain", F.col("field_examples")["size"]["value"].alias("size"))
 
 
-@query("src3_reports", f"WITH {REPORTS_SQL} SELECT team, model, pipeline, f1 FROM reports")
+@query("src3_reports", f"WITH {REPORTS_SQL} SELECT team, model, pipeline, f1, CASE WHEN file % 2 = 0 THEN slug || '-' || file ELSE slug END AS slug FROM reports")
 def _(spark, d):
-    rows = reports(spark, d).select(F.col("file").alias("k"), F.struct(F.col("team").alias("team_name")).alias("participant"), F.struct("model", "pipeline").alias("config"), F.struct("f1").alias("metrics"))
+    name = F.when(F.col("file") % 2 == 0, F.concat_ws("-", "slug", F.concat(F.col("file").cast("string"), F.lit("--m__x")))).otherwise(F.concat_ws("__", "slug", F.col("file").cast("string")))
+    rows = reports(spark, d).select(name.alias("k"), F.struct(F.col("team").alias("team_name")).alias("participant"), F.struct("model", "pipeline").alias("config"), F.struct("f1").alias("metrics"))
     found = files.read_reports(spark, _single_files(rows, files.shared_folder(spark, "report-files")))
-    return found.select(F.col("participant.team_name").alias("team"), "config.model", "config.pipeline", "metrics.f1")
+    return found.select(F.col("participant.team_name").alias("team"), "config.model", "config.pipeline", "metrics.f1", "slug")
 
 
 @query("snk1_csv", f"WITH {REPORTS_SQL} SELECT team, model, pipeline, f1, file FROM reports")

@@ -55,8 +55,13 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report files with participant, configuration and metrics; ``slug`` is the file name before the first ``--``, else before ``__``."""
-    rows = _whole(spark, path, "*.json").select(F.from_json("value", REPORT_SCHEMA).alias("r"), F.element_at(F.split("file", "/"), -1).alias("file"))
+    """Report files with participant, configuration and metrics; ``slug`` is the file name before the first ``--``, else before ``__``.
+
+    The name of a part that Spark wrote is that of its folder.
+    """
+    parts = F.split("file", "/")
+    name = F.when(F.element_at(parts, -1).startswith("part-"), F.regexp_replace(F.element_at(parts, -2), "^[^=]*=", "")).otherwise(F.element_at(parts, -1))
+    rows = _whole(spark, path, "*.json").select(F.from_json("value", REPORT_SCHEMA).alias("r"), name.alias("file"))
     name = F.regexp_replace("file", r"\.json$", "")
     slug = F.when(name.contains("--"), F.split_part(name, F.lit("--"), F.lit(1))).otherwise(F.split_part(name, F.lit("__"), F.lit(1)))
     return rows.where("r.participant is not null and r.config is not null and r.metrics is not null").select("r.*", "file", slug.alias("slug"))

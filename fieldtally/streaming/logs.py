@@ -25,10 +25,16 @@ def running_tokens(rows: DataFrame, window: str = "1 hour", late: str = "10 minu
     return sums.select(F.col("w.start").alias("started"), "api_key", "prompt_tokens", "completion_tokens", "calls")
 
 
-def attributed(rows: DataFrame, tasks: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Log rows with the task in whose window [started, ended) of their key they fall; ``tasks`` is a static table."""
-    on = (F.col("api_key") == F.col("key")) & (F.col("ts") >= F.col("started")) & (F.col("ts") < F.col("ended"))
-    return rows.withWatermark("ts", late).join(tasks, on).select("task_id", "ts", "api_key", "prompt_tokens")
+def attributed(rows: DataFrame, tasks: DataFrame, late: str = "10 minutes", bucket_s: int = 3600) -> DataFrame:
+    """Log rows with the task in whose window [started, ended) of their key they fall; ``tasks`` is a static table.
+
+    A window stands in each time bucket that it touches, so that rows of a hot
+    key meet it by (key, bucket) and are spread over the key's buckets.
+    """
+    bucket = lambda c: F.floor(F.unix_timestamp(c) / bucket_s)
+    spread = tasks.withColumn("bucket", F.explode(F.sequence(bucket("started"), bucket("ended"))))
+    marked = rows.withWatermark("ts", late).withColumn("bucket", bucket("ts")).withColumnRenamed("api_key", "key")
+    return marked.join(spread, ["key", "bucket"]).where("ts >= started and ts < ended").select("task_id", "ts", F.col("key").alias("api_key"), "prompt_tokens")
 
 
 def progress(rows: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def test_places_over_many_partitions(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("v"), F.when(F.col("id") % 3 == 0, "rare").otherwise("hot").alias("k")).repartition(9)
     want = sorted(((-(i % 7), i) for i in range(1000)))
     assert [(-r.v, r.id) for r in ranking.numbered(df, "place", F.desc("v"), "id").orderBy("place").collect()] == want
-    within = ranking.numbered_within(df, "k", "place", F.desc("v"), "id").collect()
+    within = ranking.numbered_within(df, ["k"], "place", F.desc("v"), "id").collect()
     for key in ("rare", "hot"):
         mine = sorted((r.place, -r.v, r.id) for r in within if r.k == key)
         assert [m[0] for m in mine] == list(range(1, len(mine) + 1)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
