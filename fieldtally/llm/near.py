@@ -12,12 +12,13 @@ similarity of 0.8 or more.
    that the trees can't see.  All sets are sorted in one order, shingles that a
    bounded sample shows to be common last; two sets of similarity s or more
    share one of the first n - ceil(s * n) + 1 shingles of each.  Only these are
-   dealt out, packed into buckets of shingles; a bucket returns the shingles
-   that several nodes have.  Common shingles are not gathered: they are dealt
-   out by node.
-4. A shingle's nodes are first compared with one of them, the pivot; what that
-   links needs no more comparisons, so a dense group costs rows, not pairs.
-   When little is left, all pairs of different components are compared.
+   dealt out, packed into buckets of shingles.  A bucket returns the pairs of
+   nodes of the shingles that few have, each pair once, and of the others the
+   members.  Common shingles are not gathered: they are dealt out by node.
+4. The members of a shingle that many nodes have are first compared with one of
+   them, the pivot; what that links needs no more comparisons, so a dense group
+   costs rows, not pairs.  When little is left, all pairs of different
+   components are compared.
 5. Candidates whose sizes, or whose counts of hashes by remainder, bound the
    overlap too low go; of the rest the whole sets are compared.  So the links
    are exact, whichever way a candidate came.
@@ -49,12 +50,14 @@ SHINGLE_WORDS = 5
 SIMILAR = (4, 5)
 #: Texts of the sample that shows which shingles are common, texts of it that a common one is in at least, and common shingles at most.
 SAMPLE_ROWS, COMMON_TEXTS, COMMON_MOST = 8_192, 3, 65_536
-#: Remainders by which hashes are counted.
-COUNTS = 64
+#: Remainders by which hashes are counted, each up to a byte.
+COUNTS = 256
 #: Shingles of a bucket aimed at, and shingles that a task gathers before it deals them out.
 BUCKET_ITEMS, GATHERED = 250_000, 400_000
 #: Rounds with pivots at most, and pairs that are compared at once without more of them.
-PIVOT_ROUNDS, FEW_PAIRS = 4, 2_000_000
+PIVOT_ROUNDS, FEW_PAIRS = 4, 300_000
+#: Nodes of a shingle whose pairs are compared without a pivot.
+SHORT = 8
 #: Rows that a Python function hands back at a time.
 SLICE = 512
 #: Rows of 16 bytes that are broadcast at most; more are joined by a shuffle.
@@ -96,9 +99,9 @@ def _prints(texts: DataFrame) -> DataFrame:
             for i, text in zip(batch["doc_id"], batch["text"]):
                 blocks = list(simhash.shingle_hashes(text, SHINGLE_WORDS))
                 hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
-                counts = np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS).astype("<u4")
+                counts = np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
                 key, fp = set_key(hashes), int.from_bytes(simhash.majority_bits(iter(blocks)), "big", signed=True)
-                out.append((i, key, _part(key), len(hashes), fp, counts.tobytes()))
+                out.append((i, key, _part(key), len(hashes), fp, np.minimum(counts, 255).astype(np.uint8).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "key", "part", "n", "fp", "counts"])
 
     return texts.mapInPandas(rows, "doc_id long, key binary, part long, n int, fp long, counts binary")
@@ -165,26 +168,35 @@ def _dealt(texts: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _shared(texts: DataFrame, common: np.ndarray, items: int) -> DataFrame:
-    """(shingle, part) of the shingles that several nodes have in their prefixes, and of all common ones."""
+    """(pair, x, y): pairs of parts that share a shingle which few nodes have; else a shingle and a part that has it, of common ones and those that many have."""
     buckets = items // BUCKET_ITEMS + 1
 
     def several(rows: pd.DataFrame) -> pd.DataFrame:
         both = np.unique(np.stack([np.frombuffer(b"".join(rows[c]), np.int64) for c in ("shingles", "parts")], axis=1), axis=0)
-        if rows["bucket"].iloc[0] < buckets and len(both):
-            same = both[1:, 0] == both[:-1, 0]
-            both = both[np.append(same, False) | np.append(False, same)]
-        return pd.DataFrame({"shingle": both[:, 0], "part": both[:, 1]})
-
-    return _dealt(texts, common, buckets).groupBy("bucket").applyInPandas(several, "shingle long, part long")
+        shingles, parts = both[:, 0], both[:, 1]
+        if rows["bucket"].iloc[0] >= buckets or not len(both):
+            return pd.DataFrame({"pair": False, "x": shingles, "y": parts})
+        starts = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1]))
+        lengths = np.repeat(np.diff(np.append(starts, len(shingles))), np.diff(np.append(starts, len(shingles))))
+        pairs = [np.empty((0, 2), np.int64)]
+        for d in range(1, SHORT):  # neighbours at every distance within a short run; parts ascend there
+            at = np.flatnonzero((shingles[:-d] == shingles[d:]) & (lengths[:-d] <= SHORT))
+            pairs.append(np.stack([parts[at], parts[at + d]], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        many = lengths > SHORT
+        return pd.DataFrame({"pair": np.repeat([True, False], [len(pairs), int(many.sum())]), "x": np.append(pairs[:, 0], shingles[many]), "y": np.append(pairs[:, 1], parts[many])})
+
+    return _dealt(texts, common, buckets).groupBy("bucket").applyInPandas(several, "pair boolean, x long, y long")
 
 
 @F.pandas_udf(BooleanType())
-def _may_be_alike(a: pd.Series, b: pd.Series) -> pd.Series:
+def _may_be_alike(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """Whether the counts allow the least overlap; a count of 255 may be more and rules nothing out."""
     out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-        most = int(np.minimum(x, y).sum())
-        out.append(most * SIMILAR[1] >= (int(x.sum()) + int(y.sum()) - most) * SIMILAR[0])
+    for x, y, p, q in zip(a, b, n, m):
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        most = int(np.minimum(x, y).sum(dtype=np.int64))
+        out.append(most * SIMILAR[1] >= (p + q - most) * SIMILAR[0] or bool((np.minimum(x, y) == 255).any()))
     return pd.Series(out, dtype="bool")
 
 
@@ -198,72 +210,80 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+def _beside(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("key").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        pairs = pairs.join(rows.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have the least similarity."""
-    near = durable(_beside(pairs.distinct(), nodes, "counts").where(_may_be_alike("counts_a", "counts_b")).select("a", "b"))
-    wanted = durable(near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "doc_id"), "key"))
+    """The pairs (a, b) of nodes whose sets have the least similarity.
+
+    A set goes to each of its pairs that counts don't rule out, once; the two
+    sets of a pair meet by its number.
+    """
+    may = _beside(pairs.distinct(), nodes, "counts", "n").where(_may_be_alike("counts_a", "counts_b", "n_a", "n_b"))
+    near = durable(may.select("a", "b").withColumn("pair", F.monotonically_increasing_id()))
+    sides = near.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("s"))
+    sides = durable(sides.select("pair", "s.side", "s.node").join(nodes.select("node", "key", "doc_id"), "node").drop("node"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _sliced(batches):
             hashes = [shingle_set(t) for t in batch["text"]]
             yield pd.DataFrame({"key": [set_key(h) for h in hashes], "hashes": [h.view(np.int64) for h in hashes]})
 
-    ids = durable(wanted.select("doc_id").distinct())
-    found = texts.join(_small(ids), "doc_id", "left_semi").mapInPandas(sets, "key binary, hashes array<long>")
-    found = durable(found.join(_small(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"]))
-    shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    enough = shared * SIMILAR[1] >= (F.size("hashes_a") + F.size("hashes_b") - shared) * SIMILAR[0]
-    return durable(_beside(_small(near), found, "hashes").where(enough).select("a", "b"))
+    found = texts.join(_small(sides.select("doc_id").distinct()), "doc_id", "left_semi").mapInPandas(sets, "key binary, hashes array<long>")
+    met = found.join(_small(sides.select("key", "pair", "side")), "key")
+    both = met.groupBy("pair").agg(*[F.max(F.when(F.col("side") == k, F.col("hashes"))).alias(n) for k, n in enumerate("xy")])  # repeated rows count once
+    shared = F.size(F.array_intersect("x", "y"))
+    enough = both.where(shared * SIMILAR[1] >= (F.size("x") + F.size("y") - shared) * SIMILAR[0]).select("pair")
+    return durable(near.join(enough, "pair").select("a", "b"))
 
 
 def _tree_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b) of nodes with equal fingerprints, and of those that the vantage-point trees link."""
-    first = durable(nodes.groupBy("fp").agg(F.min("key").alias("first")))
-    equal = nodes.join(first, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    links = simhash.links(first.select("fp", F.col("fp").alias("node")))
-    named = links
-    for side in ("a", "b"):
-        named = named.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"key_{side}")), side)
-    return equal.unionByName(named.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    first = durable(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return equal.unionByName(simhash.links(first.select("fp", F.col("first").alias("node"))))
 
 
 def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
     """(node, component) of every node with a link."""
     items = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1)).first()[0] or 0
-    shared = _shared(texts, _common(texts, total), int(items))
-    members = durable(shared.join(nodes.select("part", "key", "n"), "part").select("shingle", "key", "n"))
-    extra: DataFrame | None = _tree_pairs(nodes)
-    links = found = None
+    shared = durable(_shared(texts, _common(texts, total), int(items)))
+    of = nodes.select("part", "node", "n")
+    few = shared.where("pair").select("x", "y").distinct()
+    few = few.join(of.select(F.col("part").alias("x"), F.col("node").alias("a"), "n"), "x").join(of.select(F.col("part").alias("y"), F.col("node").alias("b"), F.col("n").alias("m")), "y")
+    members = durable(shared.where("not pair").select(F.col("x").alias("shingle"), F.col("y").alias("part")).distinct().join(of, "part").select("shingle", "node", "n"))
     fits = F.least("n", "m") * SIMILAR[1] >= F.greatest("n", "m") * SIMILAR[0]
+    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    extra: DataFrame | None = few.where("a <> b").where(fits).select(*ordered).unionByName(_tree_pairs(nodes).select(*ordered))
+    links = found = None
     for turn in range(PIVOT_ROUNDS + 1):
-        named = members.withColumn("component", F.col("key")) if found is None else members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        pivots = named.groupBy("shingle").agg(F.min(F.struct("key", "n", "component")).alias("p"), F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        pivots = durable(pivots.select("shingle", F.col("p.key").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("of"), "k"))
+        named = members.withColumn("component", F.col("node")) if found is None else members.join(_small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = durable(named)
+        pivots = named.groupBy("shingle").agg(F.min(F.struct("node", "n", "component")).alias("p"), F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        pivots = durable(pivots.select("shingle", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("of"), "k"))
         pairs_left = pivots.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
         if not pairs_left and extra is None:
             break
         last = turn == PIVOT_ROUNDS or (pairs_left or 0) <= FEW_PAIRS
-        live = durable(named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle"))
+        live = named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle")
         if last:
-            others = live.select("shingle", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
-            pairs = live.join(others, "shingle").where(F.col("key") > F.col("b"))
+            others = live.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
+            pairs = live.join(others, "shingle").where(F.col("node") > F.col("b"))
         else:
-            pairs = live.join(pivots, "shingle").where(F.col("key") != F.col("b"))
-        pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b"))
+            live = durable(live)
+            pairs = live.join(pivots, "shingle").where(F.col("node") != F.col("b"))
+        pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         if extra is not None:
-            pairs, extra = pairs.unionByName(extra.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), None
+            pairs, extra = pairs.unionByName(extra), None
         new = _verified(pairs, nodes, texts)
         links = new if links is None else links.unionByName(new)
         found = simhash.components(links)
         if last:
             break
-        members = live.where(F.col("key") != F.col("pivot")).select("shingle", "key", "n")  # the pivot has met all others
+        members = live.where(F.col("node") != F.col("pivot")).select("shingle", "node", "n")  # the pivot has met all others
     return found
 
 
@@ -271,11 +291,13 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, key, component_id) of every row with an id; rows of one component are linked by pairs of the least similarity."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     rows = durable(_prints(texts))
-    nodes = durable(rows.groupBy("key", "part", "n", "fp", "counts").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    nodes = rows.groupBy("key", "part", "n", "fp", "counts").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))  # short numbers, fixed from here on
     total = nodes.agg(F.sum("copies")).first()[0] or 0
     found = _links(nodes, texts, total) if total else None
-    prints = rows.select("doc_id", "key")
-    named = prints.withColumn("component", F.col("key")) if found is None else prints.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    own = nodes.select("key", "node")
+    own = own.withColumn("component", F.col("node")) if found is None else own.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = rows.select("doc_id", "key").join(own.drop("node"), "key")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "component").select("doc_id", "key", "component_id", "component")
 
@@ -284,7 +306,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """One row of each component of ``docs``, that of the smallest id and then key; rows without an id stay.
 
     The choice is made on ids and keys alone; the texts are shuffled once, by
-    id.  Only ids that occur more than once need a look at their rows.
+    id, or not at all while the kept ids are few enough to be broadcast.  Only
+    ids that occur more than once need a look at their rows.
     """
     rows = durable(near_copies(docs, id_col=id_col, text_col=text_col))
     of_id = F.count("*").alias("rows")
@@ -292,7 +315,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     chosen = durable(chosen.join(rows.groupBy("doc_id").agg(of_id), "doc_id"))
     name, key = fresh_name(docs, "kept"), fresh_name(docs, "kept_key")
     mine = F.col(id_col).cast("long") == F.col(name)
-    once = docs.join(chosen.where("rows = 1").select(F.col("doc_id").alias(name)), mine, "left_semi")
+    once = docs.join(_small(chosen.where("rows = 1").select(F.col("doc_id").alias(name))), mine, "left_semi")
     kept = once.unionByName(docs.where(F.col(id_col).cast("long").isNull()))
     repeated = chosen.where("rows > 1").select(F.col("doc_id").alias(name), F.col("key").alias(key))
     if not repeated.isEmpty():
