@@ -101,18 +101,22 @@ def followers(rows: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, next_text): each row beside the next by ascending id, the last beside the first.
 
-    The order is found on ids and hashes; the texts are shuffled twice, as rows
-    and as what follows, and meet by equal keys.
+    The order is found on ids and hashes.  The texts are shuffled twice: once
+    by their own key, where each row waits for its next one and learns whose
+    next one it is itself, and once as what follows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
-    follow = durable(followers(known))
-    own = known.join(follow, ["doc_id", "hash"])
+    # Under names of their own, both uses of the rows have one plan, and Spark shuffles them once for both.
+    known = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("own_text")).where("own_id is not null")
+    known = known.select("own_id", F.xxhash64("own_text").alias("own_hash"), "own_text")
+    before = durable(followers(known.select(F.col("own_id").alias("doc_id"), F.col("own_hash").alias("hash"))))
     # Of repeated rows one text stands for all; the aggregation has nothing to do where keys are unique.
-    unique = known.groupBy("doc_id", "hash").count().where("count > 1").isEmpty()
-    after = known if unique else known.groupBy("doc_id", "hash").agg(F.min("text").alias("text"))
-    after = after.select(F.col("doc_id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("text").alias("next_text"))
-    beside = own.join(after, ["next_id", "next_hash"]).select("doc_id", "text", "next_text")
+    unique = known.groupBy("own_id", "own_hash").count().where("count > 1").isEmpty()
+    once = known if unique else known.groupBy("own_id", "own_hash").agg(F.min("own_text").alias("own_text"))
+    told = before.select(F.col("next_id").alias("own_id"), F.col("next_hash").alias("own_hash"), F.col("doc_id").alias("first_id"), F.col("hash").alias("first_hash"))
+    after = once.join(told.hint("merge"), ["own_id", "own_hash"]).select("first_id", "first_hash", F.col("own_text").alias("next_text"))
+    beside = known.join(after.hint("merge"), (F.col("own_id") == F.col("first_id")) & (F.col("own_hash") == F.col("first_hash")))
+    beside = beside.select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), "next_text")
     return beside.unionByName(rows.where("doc_id is null").withColumn("next_text", F.lit(None).cast("string")))
 
 
