@@ -253,7 +253,6 @@ NOTICES = (
     ("cc-by-sa", "by sa", "creativecommons org licen[sc]es by sa(?: [1-4] [05])?"),
     ("cc-by", "creativecommons", "creativecommons org licen[sc]es by(?: [1-4] [05])?"),
     ("creative-commons", "creative commons", "this work is licen[sc]ed under a creative commons"),
-    ("beerware", "buy me a beer", "you can buy me a beer in return"),
     ("artistic-2.0", "artistic", "under the terms of the artistic licen[sc]e"),
     ("python-2.0", "python software foundation", "python software foundation all rights reserved"),
     ("openssl", "openssl", "this product includes software developed by the openssl project"),
@@ -283,13 +282,15 @@ BSD-3-Clause BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-
 CECILL-2.1 CPL-1.0 ECL-2.0 EFL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 ICU IJG ImageMagick ISC JSON LGPL-2.0 LGPL-2.1 LGPL-3.0
 Libpng LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA ODbL-1.0 OFL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0
 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
-#: Parts of words of which each match of a rule holds one, but for cc with by; so a text without them has no detection, whatever stands between its words.
+#: Parts of words of which each match of a rule holds one, but for those of PAIRS; so a text without them has no detection, whatever stands between its words.
 ROOTS = (
     "licen", "permission", "gpl", "redistrib", "commons", "public", "bsd", "reserved", "confidential", "commercial", "warrant", "copyright", "exception",
     "noninfring", "misrepresent", "deutschland", "restriction", "advertis", "foundation", "prohibited", "derivative", "respective", "shareware",
     "invariant", "openssl", "trademark", "copyleft", "openrail", "endorse", "mozilla", "affero", "etalab", "waives", "jpeg", "liliq", "alike", "llvm",
-    "nasa", "beer", "cc0", "bsl", "ofl", "agreement", "research", "event",
+    "cc0", "bsl", "agreement", "research", "event",
 )
+#: Two short words that count only one after the other.
+PAIRS = (("cc", "by"), ("sil", "ofl"))
 #: (priority, sentence): how a name is declared; the bare name comes last, notices and tags stand between and above.
 SENTENCES = (
     (80, "(?:this (?:work|file|code|software|program|text|document|project) is )?(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{})"),
@@ -312,9 +313,11 @@ def rules() -> list[tuple[int, str, str, str]]:
 
 def gate(lower: Column) -> Column:
     """False only for lower-cased texts without a detection."""
-    held = F.contains(lower, F.lit("cc")) & F.rlike(lower, F.lit(f"cc{NOT_WORD}by"))  # two short words that only count together
+    held = F.lit(False)
     for root in ROOTS:
         held |= F.contains(lower, F.lit(root))
+    for first, second in PAIRS:
+        held |= F.contains(lower, F.lit(first)) & F.rlike(lower, F.lit(f"{first}{NOT_WORD}{second}"))
     return held
 
 
