@@ -119,6 +119,20 @@ def test_rows_of_similarities_equal_pairs():
         assert near.row(i).tolist() == pytest.approx([consensus.string_similarity(v, w) for w in values])
 
 
+def test_rows_of_objects_equal_pairs():
+    import random
+
+    rng = random.Random(5)
+    item = {"type": "object", "properties": {"text": {"type": "string"}, "n": {"anyOf": [{"type": "integer"}, {"type": "null"}]}, "tags": {"type": "array", "items": {"type": "string"}}, "label": {"enum": ["x", "y"]}}}
+    every = {"text": ["dolor de cabeza", "dolor", "fatiga leve", None], "n": [1, 2, None], "tags": [["a"], ["a", "b"], []], "label": ["x", "y"]}
+    values = [{k: rng.choice(v) for k, v in every.items() if rng.random() < 0.8} for _ in range(40)]
+    merger = consensus.Merger(item)
+    near = merger.near(values, item)
+    assert isinstance(near, consensus.FieldSimilarities)
+    for i, v in enumerate(values):
+        assert near.row(i).tolist() == pytest.approx([merger.compare(v, w, item) for w in values])
+
+
 def test_clusters_equal_plain_ones():
     import random
 
