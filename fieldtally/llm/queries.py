@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, licenses, packing, quality, secrets, simhash, sketch, sql, toxicity
+from . import audio, bpe, chat, licenses, packing, quality, resampling, secrets, simhash, sketch, sql, toxicity
 from .common import crc_remainder, documents
 
 
@@ -71,8 +71,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.toxicity_score(model, F.col("text")), toxicity.MODULUS, toxicity.HELD_OUT, toxicity.THRESHOLD)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_chat, op3_quality, op4_simhash, op5_audio, op6_licenses, op7_secrets, op8_bpe, op9_sketch, op10_toxicity)
+    every = (op1_packing, op2_chat, op3_quality, op4_simhash, op5_audio, op6_licenses, op7_secrets, op8_bpe, op9_sketch, op10_toxicity, op11_resampling)
     return {f.__name__: f for f in every}
 
 

@@ -27,5 +27,21 @@ greatest(coalesce(priority / 100.0::DOUBLE, 0), CASE WHEN n_base > 0 THEN 0.5 EL
 FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN p ON p.doc_id = w.doc_id"""
 
 
+def resampling_sql() -> str:
+    """The resampling digest: every distinct run of words hashed byte by byte, counted and weighed by joins."""
+    grams = lambda t, key: f"""SELECT {key}, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS gram FROM {t}"""
+    words = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"""
+    return f"""WITH crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, {words} AS ws FROM documents), e AS (SELECT {words} AS ws FROM benchmark),
+dg AS (SELECT doc_id, gram, count(*) AS n FROM ({grams('d', 'doc_id')}) GROUP BY ALL), eg AS (SELECT gram, count(*) AS n FROM ({grams('e', '0 AS one')}) GROUP BY gram),
+distinct_grams AS (SELECT gram, list_transform(range(strlen(gram)), lambda i: ('0x' || hex(gram)[2 * i + 1:2 * i + 2])::BIGINT) AS bytes FROM (SELECT gram FROM dg UNION SELECT gram FROM eg)),
+hashed AS (SELECT gram, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM distinct_grams, crc_table),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM dg JOIN hashed USING (gram) GROUP BY bucket), t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM eg JOIN hashed USING (gram) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM dg JOIN hashed USING (gram) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w ON w.doc_id = d.doc_id)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (5 * able) // 100 THEN place END AS rank FROM (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS able FROM r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses_sql()}
+    return {"op6_licenses": licenses_sql(), "op11_resampling": resampling_sql()}
