@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, licenses, packing, quality, resampling, secrets, simhash, sketch, sql, toxicity
+from . import audio, bpe, chat, licenses, negatives, packing, quality, resampling, secrets, simhash, sketch, sql, toxicity
 from .common import crc_remainder, documents
 
 
@@ -75,8 +75,13 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_chat, op3_quality, op4_simhash, op5_audio, op6_licenses, op7_secrets, op8_bpe, op9_sketch, op10_toxicity, op11_resampling)
+    every = (op1_packing, op2_chat, op3_quality, op4_simhash, op5_audio, op6_licenses, op7_secrets, op8_bpe, op9_sketch, op10_toxicity, op11_resampling, op12_hard_negatives)
     return {f.__name__: f for f in every}
 
 

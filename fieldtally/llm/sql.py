@@ -43,5 +43,15 @@ r AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (5 * able) // 100 THEN place END AS rank FROM (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS able FROM r)"""
 
 
+def negatives_sql() -> str:
+    """The hard negatives: every anchor against every row."""
+    ok = "vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings WHERE {ok}),
+p AS (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor, other, score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT pos.anchor AS anchor_id, pos.other AS positive_id, row_number() OVER (PARTITION BY pos.anchor, pos.other ORDER BY p.score DESC, p.other)::INT AS rank, p.other AS negative_id, pos.score AS positive_score, p.score AS negative_score
+FROM pos JOIN p ON p.anchor = pos.anchor AND NOT same AND 80 * pos.score <= 100 * p.score AND p.score <= pos.score QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses_sql(), "op11_resampling": resampling_sql()}
+    return {"op6_licenses": licenses_sql(), "op11_resampling": resampling_sql(), "op12_hard_negatives": negatives_sql()}
