@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, licenses, negatives, packing, quality, resampling, secrets, simhash, sketch, sql, toxicity
+from . import audio, bpe, chat, langid, licenses, negatives, packing, quality, resampling, secrets, simhash, sketch, sql, toxicity
 from .common import crc_remainder, documents
 
 
@@ -80,8 +80,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label=moved)
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train_languages(docs)
+    rows = docs.select("doc_id", F.coalesce(crc_remainder("doc_id", langid.MODULUS) == langid.HELD_OUT, F.lit(False)).alias("held_out"), langid.language(model, F.col("text")).alias("l"))
+    return rows.select("doc_id", "held_out", "l.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_chat, op3_quality, op4_simhash, op5_audio, op6_licenses, op7_secrets, op8_bpe, op9_sketch, op10_toxicity, op11_resampling, op12_hard_negatives)
+    every = (op1_packing, op2_chat, op3_quality, op4_simhash, op5_audio, op6_licenses, op7_secrets, op8_bpe, op9_sketch, op10_toxicity, op11_resampling, op12_hard_negatives, op13_language)
     return {f.__name__: f for f in every}
 
 
