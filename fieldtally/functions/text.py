@@ -52,10 +52,17 @@ def terms(text: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    """Overlapping n-grams of a normal text; a shorter text is its own, an empty one has none."""
-    size = F.length(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(grams)
+    """Overlapping n-grams of a normal text; a shorter text is its own, an empty one has none.
+
+    The text is cut into characters once, under a name, and each n-gram joins
+    n of them, so that the time grows with the text.
+    """
+
+    def grams(chars: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.when(F.size(chars) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)])))
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), grams), 0)
 
 
 def jaccard(a: Column, b: Column) -> Column:

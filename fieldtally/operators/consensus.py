@@ -191,8 +191,8 @@ def identity_scores(fields: DataFrame, least: float = 8.0, margin: float = 3.0)
     return best.select("owner", F.when(first >= least, F.get("b", 0)["name"]).alias("name"), first.alias("score"), ahead.alias("margin"), sure.alias("confidence"))
 
 
-def identity_field(node: dict, root: dict, least: float = 8.0) -> str | None:
-    """The same choice for one object schema."""
+def identity_points(node: dict, root: dict) -> list[tuple[float, str]]:
+    """(less the score, name) of the fields of one object schema, the best first."""
     scored = []
     for name, raw in node.get("properties", {}).items():
         inner = opened(raw, root)[0]
@@ -203,7 +203,12 @@ def identity_field(node: dict, root: dict, least: float = 8.0) -> str | None:
             "attribute type": has_enum or kind in ("integer", "number", "boolean"), "attribute name": any(x in name.lower() for x in ATTRIBUTE_NAMES),
         }
         scored.append((-sum(IDENTITY_POINTS[k] for k, v in told.items() if v), name))
-    best = min(scored, default=(0, ""))
+    return sorted(scored)
+
+
+def identity_field(node: dict, root: dict, least: float = 8.0) -> str | None:
+    """The same choice for one object schema."""
+    best = min(identity_points(node, root), default=(0, ""))
     return best[1] if -best[0] >= least else None
 
 
@@ -404,22 +409,35 @@ class FieldSimilarities(Similarities):
         return self.made[k]
 
 
+class IdentitySimilarities(Similarities):
+    """The similarities of items by the field that identifies them, of pairs that both have it, and whole of all others."""
+
+    def __init__(self, whole: Similarities, named: Similarities, has: Sequence[bool]):
+        self.whole, self.named, self.has = whole, named, np.array(has, bool)
+
+    def row(self, k: int) -> np.ndarray:
+        if not self.has[k]:
+            return self.whole.row(k)
+        by_name = self.named.row(k)
+        return by_name if self.has.all() else np.where(self.has, by_name, self.whole.row(k))
+
+
 def cluster(items: list[tuple[int, int, object]], threshold: float, alike: Callable[[object, object], float] | Similarities = similarity) -> list[list[int]]:
-    """In order of arrival each (trial, item, value) joins the cluster of the best mean similarity at the threshold that its trial isn't in yet, the first among equals."""
+    """In order of arrival each (trial, item, value) joins the cluster whose nearest member is most similar, if at the threshold and without a value of its trial; the first among equals."""
     near = alike if isinstance(alike, Similarities) else Similarities([v for _, _, v in items], alike, alike is similarity)
-    labels, sizes = np.zeros(len(items), np.int64), np.zeros(len(items))
+    labels = np.zeros(len(items), np.int64)
     of_trial: dict[int, list[int]] = {}
     count = 0
     for k, (trial, _, _) in enumerate(items):
         taken, label = of_trial.setdefault(trial, []), count
         if count:
-            means = np.bincount(labels[:k], near.row(k)[:k], count) / sizes[:count]
-            means[taken] = -1.0
-            best = int(means.argmax())
-            if means[best] >= threshold - 1e-12:
+            nearest = np.full(count, -1.0)
+            np.maximum.at(nearest, labels[:k], near.row(k)[:k])
+            nearest[taken] = -1.0
+            best = int(nearest.argmax())
+            if nearest[best] >= threshold - 1e-12:
                 label = best
         labels[k] = label
-        sizes[label] += 1
         count = max(count, label + 1)
         taken.append(label)
     return [np.flatnonzero(labels == c).tolist() for c in range(count)]
@@ -518,15 +536,24 @@ class Merger:
         node = opened(raw, self.root or {})[0] if raw is not None else {}
         return self.options.identity(node, self.root or {}) if node.get("properties") else None
 
+    def identity_margin(self, raw: dict | None) -> tuple[float, float]:
+        """The score of the best field of an item's schema and its lead over the next; 0 for items without fields."""
+        node = opened(raw, self.root or {})[0] if raw is not None else {}
+        points = [-p for p, _ in identity_points(node, self.root or {})]
+        return (float(points[0]), float(points[0] - (points[1] if len(points) > 1 else 0))) if points else (0.0, 0.0)
+
     def clusters(self, rows: list[tuple[int, int, object]], raw: dict | None, is_item: bool) -> tuple[list[list[int]], Similarities]:
         """Clusters by falling support, the earliest first, and the similarities of the values."""
         values = [v for _, _, v in rows]
         near, kind, o = self.near(values, raw), self.compare.kind(raw, *values), self.options
         exact = kind in ("enum", "integer", "number", "boolean")
-        threshold = 1.0 if exact else o.scalar_threshold if not is_item else o.item_threshold if kind in ("string", "") and all(isinstance(v, str) for v in values) else o.object_threshold
+        told = "string" if kind == "" and all(isinstance(v, str) for v in values) else kind or "object"  # what values are where no schema says it
+        threshold = 1.0 if exact else o.scalar_threshold if not is_item else {"string": o.item_threshold, "object": o.object_threshold}.get(told, 1.0)
         by, name = near, self.identity_of(raw)
-        if is_item and name and all(isinstance(v, dict) and name in v for v in values):
-            by, threshold = self.near([v[name] for v in values], self.compare.inner(raw, name)), o.identity_threshold
+        if is_item and name:
+            has = [isinstance(v, dict) and name in v for v in values]
+            named = self.near([v[name] if h else None for v, h in zip(values, has)], self.compare.inner(raw, name))
+            by, threshold = IdentitySimilarities(near, named, has), o.identity_threshold
         found = cluster(rows, threshold, by)
         return sorted(found, key=lambda c: (-len({rows[k][0] for k in c}), c[0])), near
 
@@ -548,8 +575,8 @@ class Merger:
         return self.chosen([rows[k][2] for k in best], near, best, raw), len({rows[k][0] for k in best})
 
     def items(self, rows: list[tuple[int, int, object]], raw: dict | None = None, n_trials: int | None = None) -> list:
-        """The array of the best expected similarity to the trials' arrays, of those by support floors and a grown one."""
-        near = self.near([v for _, _, v in rows], raw)
+        """The array of the best expected similarity to the trials' arrays as they came, of those by support floors and a grown one."""
+        came, near = rows, self.near([v for _, _, v in rows], raw)
         kept: list[int] = []
         of_trial: dict[int, list[int]] = {}
         for k, (trial, _, _) in enumerate(rows):  # what repeats within its trial goes
@@ -563,15 +590,17 @@ class Merger:
         found, near = self.clusters(rows, raw, True)
         support = [len({rows[k][0] for k in c}) for c in found]
         values = [self.chosen([rows[k][2] for k in c], near, c, raw) for c in found]
-        trials = sorted({r[0] for r in rows})
-        n = n_trials or len(trials)
+        arrays: dict[int, list[int]] = {}
+        for k, (trial, _, _) in enumerate(came):
+            arrays.setdefault(trial, []).append(k)
+        n = n_trials or len(arrays)
         # The clusters' values stand behind the observed ones, so that both have similarities.
-        near = self.near([*(v for _, _, v in rows), *values], raw)
-        of_cluster = [len(rows) + c for c in range(len(found))]
-        observed = [[k for k, r in enumerate(rows) if r[0] == t] for t in trials] + [[]] * (n - len(trials))
-        floors = sorted({2, *(math.ceil(n * p / 10) for p in (4, 5, 6))})
+        near = self.near([*(v for _, _, v in came), *values], raw)
+        of_cluster = [len(came) + c for c in range(len(found))]
+        observed = [arrays[t] for t in sorted(arrays)] + [[]] * (n - len(arrays))
+        floors = sorted({max(1, min(n, f)) for f in (2, *(math.ceil(n * p) for p in (0.4, 0.5, 0.6)))})
         candidates = [[v for v, s in zip(of_cluster, support) if s >= f] for f in floors] + [grown(of_cluster, observed, near)]
-        return [values[k - len(rows)] for k in self.options.pick(candidates, observed, near, self.options.within)]
+        return [values[k - len(came)] for k in self.options.pick(candidates, observed, near, self.options.within)]
 
     def array(self, arrays: list[list], raw: dict) -> list:
         rows = [(t, i, v) for t, items in enumerate(arrays) for i, v in enumerate(items)]
@@ -592,7 +621,7 @@ class Merger:
         there = [(t, 0, v) for t, v in enumerate(values) if v is not None]
         kind, nulls = "enum" if "enum" in node else json_kind(node), len(values) - len(there)
         if not there:
-            return None if nullable else {"array": [], "object": {}, "string": ""}.get(kind)
+            return None if nullable else {"array": [], "object": {}}.get(kind)
         beaten = lambda support: nullable and (nulls >= support if self.options.null_wins_ties else nulls > support)
         if kind in ("object", "array"):
             wanted = [v for _, _, v in there if isinstance(v, dict if kind == "object" else list)]
@@ -601,7 +630,7 @@ class Merger:
         return None if beaten(support) else found
 
     def diagnosis(self, objects: list[dict], merged: dict, raw: dict, prefix: str = "") -> list[tuple]:
-        """(path, kind, strategy, n, nulls, least, most and final length, identity) of every field."""
+        """Of every field: path, kind, strategy, n, nulls, least, most and final length, and of a list how its items were clustered, by which field, with what score and margin."""
         node, out = opened(raw, self.root or {})[0], []
         for name, inner in node.get("properties", {}).items():
             seen = [o[name] for o in objects if name in o]
@@ -609,8 +638,10 @@ class Merger:
             kind, final, path = self.compare.kind(inner), merged.get(name) if isinstance(merged, dict) else None, f"{prefix}{name}"
             lengths = [len(v) for v in there if isinstance(v, list)] if kind == "array" else []
             identity = self.identity_of(self.compare.inner(inner)) if kind == "array" else None
+            by = None if kind != "array" else "identity field" if identity else "whole items"
+            score, margin = self.identity_margin(self.compare.inner(inner)) if kind == "array" else (None, None)
             strategy = {"array": "items", "object": "fields"}.get(kind, "cluster medoid")
-            out.append((path, kind, strategy, len(seen), len(seen) - len(there), min(lengths, default=None), max(lengths, default=None), len(final) if isinstance(final, list) else None, identity))
+            out.append((path, kind, strategy, len(seen), len(seen) - len(there), min(lengths, default=None), max(lengths, default=None), len(final) if isinstance(final, list) else None, identity, by, score, margin))
             if kind == "object":
                 out += self.diagnosis([v for v in there if isinstance(v, dict)], final, inner, f"{path}.")
         return out
@@ -627,20 +658,22 @@ def clustered_consensus(values: DataFrame, options: Options = Options()) -> Data
     """(task_id, field, value, support, n_rows) of string and array fields; ``is_array`` marks the latter.
 
     Clustering goes by order of arrival, so a field of a task is one group.
-    Equal values of a trial's field are counted first, which bounds a group by
-    its distinct values; its memory grows with these, its time with their square.
+    Equal values of a trial's field become one row with their places first; a
+    group's memory grows with its places and distinct values, its time with the
+    square of the latter.
     """
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        parsed = [(int(t), int(i), json.loads(v)) for t, i, v in zip(rows["trial"], rows["item"], rows["value"])]
+        once = {v: json.loads(v) for v in set(rows["value"])}
+        parsed = [(int(t), int(i), once[v]) for t, at, v in zip(rows["trial"], rows["items"], rows["value"]) for i in at]
         value, n = consensus_value(parsed, bool(rows["is_array"].iloc[0]), options)
         return pd.DataFrame([(rows["task_id"].iloc[0], rows["field"].iloc[0], json.dumps(value, ensure_ascii=False), n, int(rows["n"].sum()))], columns=["task_id", "field", "value", "support", "n_rows"])
 
-    kept = values.where("value <> 'null'").groupBy("task_id", "field", "trial", "value", "is_array").agg(F.min("item").alias("item"), F.count("*").alias("n"))
+    kept = values.where("value <> 'null'").groupBy("task_id", "field", "trial", "value", "is_array").agg(F.when(F.col("is_array"), F.array_sort(F.collect_list("item"))).otherwise(F.array(F.min("item"))).alias("items"), F.count("*").alias("n"))
     return kept.groupBy("task_id", "field").applyInPandas(merge, "task_id long, field string, value string, support int, n_rows int")
 
 
-DIAGNOSIS = "path string, kind string, strategy string, n int, nulls int, least_length int, most_length int, final_length int, identity string"
+DIAGNOSIS = "path string, kind string, strategy string, n int, nulls int, least_length int, most_length int, final_length int, identity string, clustered_by string, identity_score double, identity_margin double"
 
 
 def record_consensus(trials: DataFrame, schema: str, options: Options = Options()) -> DataFrame:

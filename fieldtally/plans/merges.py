@@ -176,14 +176,12 @@ r AS (SELECT task_id, role FROM (SELECT task_id, role, count(DISTINCT trial) AS
 z AS (SELECT task_id, size, n FROM (SELECT task_id, size, count(DISTINCT trial) AS n, min(trial) AS first FROM t WHERE size IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC, first) = 1),
 u AS (SELECT task_id, turn FROM (SELECT task_id, turn, count(DISTINCT trial) AS n, min(trial) AS first FROM t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC, first) = 1),
 n AS (SELECT task_id, count(DISTINCT trial) AS n_trials, count(DISTINCT CASE WHEN size IS NULL THEN trial END) AS nulls FROM t GROUP BY task_id)
-SELECT task_id, n_trials, nulls, '{"role":"' || role || '","shape":{"turn":' || turn || '},"size":' || CASE WHEN size IS NULL OR nulls > n THEN 'null' ELSE size::VARCHAR END || '}' AS output FROM n JOIN r USING (task_id) JOIN u USING (task_id) LEFT JOIN z USING (task_id)""")
+SELECT task_id, n_trials, nulls, '{"head":null,"parts":[],"role":"' || role || '","shape":{"turn":' || turn || '},"size":' || CASE WHEN size IS NULL OR nulls > n THEN 'null' ELSE size::VARCHAR END || '}' AS output FROM n JOIN r USING (task_id) JOIN u USING (task_id) LEFT JOIN z USING (task_id)""")
 def _(spark, d):
     rows = record_trials(spark, d, "role", "size", "shape").dropDuplicates(["task_id", "trial"])
     found = consensus.record_consensus(rows, RECORD_SCHEMA)
     nulls = F.filter("fields", lambda f: f["path"] == "size")[0]["nulls"]
-    # Fields without any value are null (none is nullable here but size), empty or an empty list; they are left out.
-    kept = F.regexp_replace(F.regexp_replace("output", r'"head":"",', ""), r'"parts":\[\],', "")
-    return found.select("task_id", F.col("n_trials").cast("long").alias("n_trials"), nulls.cast("long").alias("nulls"), kept.alias("output"))
+    return found.select("task_id", F.col("n_trials").cast("long").alias("n_trials"), nulls.cast("long").alias("nulls"), "output")
 
 
 @query("c3_null_ties", f"""WITH {VALUES_SQL}, nulls AS (SELECT task_id, field, count(DISTINCT CASE WHEN value = 'null' THEN trial END) AS nulls FROM vals GROUP BY ALL)
@@ -241,3 +239,34 @@ def _(spark, d):
     b = F.to_json(F.struct((k % 2).alias("k"), F.when(k % 5 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("s"), F.when(k % 2 == 0, F.array(F.lit("x"), F.lit("yyy"))).otherwise(F.array(F.lit("x"))).alias("t")))
     rows = table(spark, d, "orders").select(k.alias("task_id"), a.alias("a"), b.alias("b"))
     return rows.select("task_id", F.round(consensus.value_similarities(F.col("a"), F.col("b"), schema), 6).alias("similarity"))
+
+
+ITEMS_SCHEMA = """{"type":"object","properties":{"parts":{"type":"array","items":{"type":"object","required":["text","kind"],"properties":{"text":{"type":"string"},"kind":{"enum":["a","b"]}}}}}}"""
+ITEMS_SQL = """t AS (SELECT conv_id AS task_id, turn AS trial, upper(role) AS text, CASE WHEN turn % 3 = 0 THEN 'b' ELSE 'a' END AS kind FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role) = 1), n AS (SELECT task_id, count(*) AS n, greatest(1, least(2, ceil(count(*) * 0.4::DOUBLE)::INT)) AS floor FROM t GROUP BY task_id)"""
+
+
+def item_records(spark, d):
+    """Turns as trials with one item each, its role and a kind; one row a turn."""
+    rows = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    item = F.struct(F.upper("role").alias("text"), F.when(F.col("turn") % 3 == 0, "b").otherwise("a").alias("kind"))
+    return rows.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("trial"), F.to_json(F.struct(F.array(item).alias("parts"))).alias("output"), F.array().cast("array<string>").alias("errors"))
+
+
+def first_candidate(candidates, observed, near, within):
+    """Another choice among arrays: that of the lowest support floor."""
+    return candidates[0]
+
+
+EQUAL = {"texts": lambda a, b: float(a == b), "pick": first_candidate, "identity_threshold": 1.0, "object_threshold": 1.0}
+
+
+@query("u3_other_pick", f"WITH {ITEMS_SQL}, g AS (SELECT task_id, text, count(*) AS support, min(trial) AS first FROM t GROUP BY ALL), k AS (SELECT task_id, text, kind FROM (SELECT task_id, text, kind, count(*) AS n, min(trial) AS first FROM t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task_id, text ORDER BY n DESC, first) = 1) SELECT task_id, '{{\"parts\":[' || coalesce(string_agg('{{\"kind\":\"' || kind || '\",\"text\":\"' || text || '\"}}', ',' ORDER BY support DESC, first) FILTER (support >= floor), '') || ']}}' AS output FROM g JOIN k USING (task_id, text) JOIN n USING (task_id) GROUP BY task_id")
+def _(spark, d):
+    """Items meet by the field that identifies them, their kinds are voted on, and a chosen rule picks the array."""
+    return consensus.record_consensus(item_records(spark, d), ITEMS_SCHEMA, consensus.Options(**EQUAL)).select("task_id", "output")
+
+
+@query("u3_other_identity", f"WITH {ITEMS_SQL}, g AS (SELECT task_id, text, kind, count(*) AS support, min(trial) AS first FROM t GROUP BY ALL) SELECT task_id, '{{\"parts\":[' || coalesce(string_agg('{{\"kind\":\"' || kind || '\",\"text\":\"' || text || '\"}}', ',' ORDER BY support DESC, first) FILTER (support >= floor), '') || ']}}' AS output FROM g JOIN n USING (task_id) GROUP BY task_id")
+def _(spark, d):
+    """Another rule of identity, here none: items meet only if they are equal as a whole."""
+    return consensus.record_consensus(item_records(spark, d), ITEMS_SCHEMA, consensus.Options(**EQUAL, identity=lambda node, root: None)).select("task_id", "output")

@@ -22,9 +22,9 @@ def duck(sf_dir):
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 5)
+        return round(float(v), 9)
     return tuple(map(plain, v)) if isinstance(v, list) else v
 
 

@@ -1,6 +1,8 @@
 """Rules with fixed expectations: scores under schemas, types, tags, profiles, consensus of records, places."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,7 +90,7 @@ def test_records_are_merged_field_by_field():
     merger = consensus.Merger(schema)
     merged = merger.object(outputs, schema, top=True)
     assert merged == {"entities": [{"text": "Nakatomi", "label": "LOCATION"}]}
-    assert merger.diagnosis(outputs, merged, schema) == [("entities", "array", "items", 3, 0, 1, 1, 1, "text")]
+    assert merger.diagnosis(outputs, merged, schema) == [("entities", "array", "items", 3, 0, 1, 1, 1, "text", "identity field", 10.0, 14.0)]
 
 
 def test_optional_nested_fields_and_nulls():
@@ -110,8 +112,6 @@ def test_similarity_under_a_schema():
 
 
 def test_rows_of_similarities_equal_pairs():
-    import random
-
     rng = random.Random(3)
     values = [" ".join(rng.choice(["dolor", "Dólor", "de", "cabeza", "fatiga", "leve", ""]) for _ in range(rng.randint(0, 5))) for _ in range(40)]
     near = consensus.Similarities(values)
@@ -120,8 +120,6 @@ def test_rows_of_similarities_equal_pairs():
 
 
 def test_rows_of_objects_equal_pairs():
-    import random
-
     rng = random.Random(5)
     item = {"type": "object", "properties": {"text": {"type": "string"}, "n": {"anyOf": [{"type": "integer"}, {"type": "null"}]}, "tags": {"type": "array", "items": {"type": "string"}}, "label": {"enum": ["x", "y"]}}}
     every = {"text": ["dolor de cabeza", "dolor", "fatiga leve", None], "n": [1, 2, None], "tags": [["a"], ["a", "b"], []], "label": ["x", "y"]}
@@ -134,15 +132,13 @@ def test_rows_of_objects_equal_pairs():
 
 
 def test_clusters_equal_plain_ones():
-    import random
-
     rng = random.Random(6)
     words = ["dolor", "de", "cabeza", "fatiga", "leve", "aguda"]
     for _ in range(40):
         items = sorted((rng.randrange(5), i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for i in range(14))
         plain: list[list[int]] = []
         for k, (trial, _, value) in enumerate(items):
-            scored = [(round(sum(consensus.string_similarity(value, items[m][2]) for m in c) / len(c), 12), -n) for n, c in enumerate(plain) if all(items[m][0] != trial for m in c)]
+            scored = [(max(consensus.string_similarity(value, items[m][2]) for m in c), -n) for n, c in enumerate(plain) if all(items[m][0] != trial for m in c)]
             best = max(scored, default=(-1.0, 0))
             if best[0] >= 0.6:
                 plain[-best[1]].append(k)
@@ -153,6 +149,99 @@ def test_clusters_equal_plain_ones():
         assert consensus.medoid(values) == max(range(14), key=lambda i: (round(sum(consensus.string_similarity(values[i], v) for v in values), 12), -i))
 
 
+def plain_consensus(arrays, alike, threshold, duplicate, by=None):
+    """The array consensus restated step by step: arrays of values, a similarity, and one for clustering."""
+    by = by or alike
+    kept = []
+    for trial, items in enumerate(arrays):
+        mine = []
+        for v in items:
+            if all(alike(v, w) < duplicate for w in mine):
+                mine.append(v)
+        kept += [(trial, v) for v in mine]
+    clusters = []
+    for trial, v in kept:
+        near = [(max(by(v, w) for _, w in c), -k) for k, c in enumerate(clusters) if all(t != trial for t, _ in c)]
+        best = max(near, default=(-1.0, 0))
+        clusters[-best[1]].append((trial, v)) if best[0] >= threshold else clusters.append([(trial, v)])
+    clusters = sorted(enumerate(clusters), key=lambda c: (-len(c[1]), c[0]))
+    middle = lambda c: max(range(len(c)), key=lambda i: (round(sum(alike(c[i][1], w) for _, w in c), 12), -i))
+    values = [c[middle(c)][1] for _, c in clusters]
+
+    def share(a, b):
+        if not a or not b:
+            return float(not a and not b)
+        left, right, total = list(range(len(a))), list(range(len(b))), 0.0
+        while left and right:
+            s, i, j = max(((alike(a[i], b[j]), -i, -j) for i in left for j in right))
+            total += s
+            left.remove(-i)
+            right.remove(-j)
+        return total / (len(a) + len(b) - total)
+
+    score = lambda chosen: sum(share(chosen, a) for a in arrays) / len(arrays)
+    n = len(arrays)
+    candidates = [[v for v, (_, c) in zip(values, clusters) if len(c) >= f] for f in sorted({max(1, min(n, f)) for f in (2, *(math.ceil(n * p) for p in (0.4, 0.5, 0.6)))})]
+    chosen, left = [], list(range(len(values)))
+    while left:
+        tried = [(round(score([*chosen, values[i]]), 12), -i) for i in left]
+        if max(tried)[0] <= score(chosen) + 1e-12:
+            break
+        left.remove(-max(tried)[1])
+        chosen.append(values[-max(tried)[1]])
+    candidates.append(chosen)
+    scores = [score(c) for c in candidates]
+    good = [i for i, s in enumerate(scores) if s >= max(scores) - 0.06 - 1e-12]
+    return candidates[max(good, key=lambda i: (len(candidates[i]), round(scores[i], 12), -i))]
+
+
+def test_array_consensus_equals_the_plain_rule():
+    """Texts whose members differ, choices with repeats within a trial, thousands of random groups."""
+    rng = random.Random(12)
+    words = ["dolor", "de", "cabeza", "leve", "fatiga"]
+    strings, choices = {"type": "array", "items": {"type": "string"}}, {"type": "array", "items": {"enum": ["a", "b", "c", "d"]}}
+    for k in range(3000):
+        if k % 3:
+            arrays = [[rng.choice("abcd") for _ in range(rng.randrange(4))] for _ in range(rng.randint(1, 5))]
+            assert consensus.Merger(choices).array(arrays, choices) == plain_consensus(arrays, lambda a, b: float(a == b), 1.0, 1.0)
+        else:
+            arrays = [[" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(rng.randrange(4))] for _ in range(rng.randint(1, 4))]
+            assert consensus.Merger(strings).array(arrays, strings) == plain_consensus(arrays, consensus.string_similarity, 0.78, 0.96)
+    assert consensus.Merger(choices).array([["d", "d"], []], choices) == []
+
+
+def test_scalar_consensus_joins_the_nearest_member():
+    near = {("a", "b"): 0.8, ("b", "c"): 0.8, ("a", "c"): 0.2}
+    alike = lambda x, y: 1.0 if x == y else near[min(x, y), max(x, y)]
+    assert consensus.cluster([(0, 0, "a"), (1, 0, "b"), (2, 0, "c")], 0.78, alike) == [[0, 1, 2]]
+
+
+def test_items_are_identified_pair_by_pair():
+    """An item without the identifying field is compared whole; the others still by their field."""
+    item = {"type": "object", "required": ["name", "kind"], "properties": {"name": {"type": "string"}, "kind": {"type": "string"}}}
+    schema = {"type": "array", "items": item}
+    items = [{"name": "alpha beta", "kind": "one"}, {"kind": "q"}, {"name": "alpha beta", "kind": "zzz"}]
+    merger = consensus.Merger(schema)
+    rows = [(t, 0, v) for t, v in enumerate(items)]
+    assert merger.clusters(rows, item, True)[0] == [[0, 2], [1]]
+    assert consensus.Merger(schema).array([[v] for v in items], schema)[0]["kind"] == "one"
+    compare = consensus.Comparer(item)
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = [(t, 0, {k: rng.choice(["alpha", "alpha beta", "zz"]) for k in ("name", "kind") if rng.random() < 0.8}) for t in range(5)]
+        plain: list[list[int]] = []
+        for k, (_, _, v) in enumerate(rows):
+            alike = lambda w: compare(v["name"], w["name"], item["properties"]["name"]) if "name" in v and "name" in w else compare(v, w, item)  # noqa: B023, E731
+            best = max(((max(alike(rows[m][2]) for m in c), -n) for n, c in enumerate(plain)), default=(-1.0, 0))
+            plain[-best[1]].append(k) if best[0] >= 0.62 else plain.append([k])
+        assert merger.clusters(rows, item, True)[0] == sorted(plain, key=lambda c: (-len(c), c[0]))
+
+
+def test_fields_without_values():
+    schema = {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}, "list": {"type": "array"}, "inner": {"type": "object"}}}
+    assert consensus.Merger(schema).object([], schema, top=True) == {"text": None, "list": [], "inner": {}}
+
+
 def test_quantiles_are_exact(spark):
     import numpy as np
 
@@ -167,8 +256,6 @@ def test_quantiles_are_exact(spark):
 
 
 def test_grown_arrays_equal_trying_all():
-    import random
-
     import numpy as np
 
     rng = random.Random(4)
