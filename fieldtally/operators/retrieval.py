@@ -6,10 +6,14 @@ unit vector.  Queries are a stated set of owners, ranked against all cases.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records, text
+from ..sources.files import durable
+from .lexical import LexicalIndex, lexical_ranked  # noqa: F401
 from .schemas import field_tags
 
 
@@ -135,16 +139,27 @@ def selections_compared(default: DataFrame, independent: DataFrame) -> DataFrame
 
 
 def schema_profiles(rows: DataFrame, schema_col: str) -> DataFrame:
-    """(fingerprint, fields, names, tags, words) of every distinct schema: its exact form, the exact forms of its top-level fields, their names, tags and words.
+    """(fingerprint, fields, names, tags, words) of every distinct schema: its exact form, the exact forms of its top-level fields, their names, tags and words, and the words of its description.
 
     Schemas are few against the rows that have them; each is walked once.
     """
     distinct = rows.select(fingerprint(schema_col).alias("fingerprint"), F.col(schema_col).alias("schema")).dropDuplicates(["fingerprint"])
     fields = records.schema_fields(distinct, "fingerprint", "schema").where("depth = 0")
     said = text.terms(F.concat_ws(" ", "name", "description"))
-    return fields.select("fingerprint", F.concat_ws("=", "name", F.sha1("own_form")).alias("field"), "name", field_tags().alias("t"), said.alias("w")).groupBy("fingerprint").agg(
-        F.array_sort(F.collect_set("field")).alias("fields"), F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("tags"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("words")
-    )  # an object's top-level fields
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  an object's top-level fields
+    own = fields.select("fingerprint", F.concat_ws("=", "name", F.sha1("own_form")).alias("field"), "name", field_tags().alias("t"), said.alias("w")).groupBy("fingerprint").agg(
+        F.array_sort(F.collect_set("field")).alias("fields"), F.array_sort(F.collect_set("name")).alias("names"), every("t").alias("tags"), every("w").alias("words")
+    )
+    described = distinct.select("fingerprint", text.terms(F.coalesce(F.get_json_object("schema", "$.description"), F.lit(""))).alias("d"))
+    return own.join(described, "fingerprint").withColumn("words", F.array_sort(F.array_union("words", "d"))).drop("d")
+
+
+def case_tags(tags: str, examples: str, judge: str) -> Column:
+    """A case's own tags, those of its field examples (a map of structs) and those of its judge (JSON by field)."""
+    none = F.array().cast("array<string>")
+    of = lambda found: F.flatten(F.transform(F.map_values(found), lambda x: F.coalesce(x["tags"], none)))
+    judged = F.from_json(judge, "fields map<string, struct<tags: array<string>>>")["fields"]
+    return F.array_distinct(F.concat(*[F.coalesce(x, none) for x in (F.col(tags), of(F.col(examples)), of(judged))]))
 
 
 def fingerprint(schema_col: str) -> Column:
@@ -158,39 +173,21 @@ def profiles(rows: DataFrame, schema_col: str, said: Column, tags: Column | None
     return both.withColumns({"terms": F.array_union("__terms", "words"), "tags": F.array_union("tags", "__tags")}).drop("__terms", "__tags", "words", schema_col)
 
 
-def lexical_ranked(tasks: DataFrame, cases: DataFrame, k: int = 2, largest: int | None = None) -> DataFrame:
-    """Cases by schema, equal fields, shared tags, names, terms and domain, less their length; only scores above 0.
+def routed(tasks: DataFrame, schema: DataFrame, fields: DataFrame, lexical: Callable[[DataFrame], DataFrame], least: int = 2) -> DataFrame:
+    """One selection per task: same-schema if it has enough cases, else fields, else lexical, else failed, with the route.
 
-    Tasks and cases have a profile, cases a domain and n_chars besides; a
-    domain counts if one of its words is among the task's terms.  With
-    ``largest`` only cases of at most so many characters are ranked.  Tasks are
-    a stated set; each is ranked against every case, in blocks: cases meet
-    tasks through a salted key, never all in one place.
+    Each route is made once and kept; ``lexical`` gets only the tasks that the
+    others leave.
     """
-    shared = lambda c: F.size(F.array_intersect(F.col(c), F.col(f"c_{c}")))
-    salts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fitting = cases if largest is None else cases.where(F.col("n_chars") <= largest)
-    right = fitting.select("case_id", "n_chars", F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int").alias("salt"), text.terms(F.replace("domain", F.lit("_"), F.lit(" "))).alias("c_domain"), *[F.col(c).alias(f"c_{c}") for c in ("fingerprint", "fields", "tags", "names", "terms")])
-    # Few bytes, much work: the number of partitions is set, so that adaptive execution doesn't merge them.
-    left = tasks.select("task_id", "fingerprint", "fields", "tags", "names", "terms", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).repartition(salts, "salt")
-    pairs = left.join(right.repartition(salts, "salt"), "salt")
-    score = (
-        F.when(F.col("fingerprint") == F.col("c_fingerprint"), 100.0).otherwise(0.0) + 8.0 * shared("fields") + 4.0 * shared("tags") + 2.0 * shared("names")
-        + 0.5 * F.least(shared("terms"), F.lit(12)) + F.when(F.arrays_overlap("c_domain", "terms"), 2.0).otherwise(0.0) - F.least(F.col("n_chars") / 10000.0, F.lit(2.0))
-    )
-    return best(pairs.select("task_id", "case_id", F.round(score, 9).alias("score")).where("score > 0"), ["task_id"], k, F.desc("score"), "case_id")
-
-
-def routed(tasks: DataFrame, schema: DataFrame, fields: DataFrame, lexical: DataFrame, least: int = 2) -> DataFrame:
-    """One selection per task: same-schema if it has enough cases, else fields, else lexical, else failed, with the route."""
     pick = lambda df, route: df.select("task_id", "case_id", "place").withColumn("route", F.lit(route))
-    enough = schema.groupBy("task_id").count().where(F.col("count") >= least).select("task_id")
-    first = pick(schema.join(enough, "task_id", "left_semi"), "same_schema")
-    second = pick(fields.join(first, "task_id", "left_anti"), "fields")
-    third = pick(lexical.join(first, "task_id", "left_anti").join(second, "task_id", "left_anti"), "lexical")
-    done = first.unionByName(second).unionByName(third)
-    failed = tasks.select("task_id").join(done, "task_id", "left_anti").select("task_id", F.lit(None).cast("long").alias("case_id"), F.lit(None).cast("int").alias("place"), F.lit("retrieval_failed").alias("route"))
-    return done.unionByName(failed)
+    kept = durable(schema.select("task_id", "case_id", "place"))
+    enough = kept.groupBy("task_id").count().where(F.col("count") >= least).select("task_id")
+    first = pick(kept.join(enough, "task_id", "left_semi"), "same_schema")
+    done = durable(first.unionByName(pick(fields.join(enough, "task_id", "left_anti"), "fields")))
+    left = durable(tasks.select("task_id").join(done, "task_id", "left_anti"))
+    third = durable(pick(lexical(left), "lexical"))
+    failed = left.join(third, "task_id", "left_anti").select("task_id", F.lit(None).cast("long").alias("case_id"), F.lit(None).cast("int").alias("place"), F.lit("retrieval_failed").alias("route"))
+    return done.unionByName(third).unionByName(failed)
 
 
 def stratified_sample(rows: DataFrame, id_col: str, stratum: str, fraction: float, order: Column) -> DataFrame:

@@ -174,7 +174,7 @@ def _(spark, d):
     indexed = rows.where("owner % 3 = 0").join(wanted.select(F.col("task_id").alias("owner")), "owner", "left_semi")
     found = retrieval.candidates(retrieval.alignment(indexed, rows).where("query <> case_id"), indexed)
     by_fields = retrieval.independent_top(found).withColumnRenamed("query", "task_id")
-    return retrieval.routed(wanted, schema, by_fields, retrieval.lexical_ranked(a, b, k=2))
+    return retrieval.routed(wanted, schema, by_fields, lambda left: retrieval.lexical_ranked(a.join(left, "task_id", "left_semi"), b, k=2))
 
 
 @query("r1_profiles", f"WITH {TASK_PROFILE} SELECT id AS task_id, array_to_string(names, ',') AS names, array_to_string(list_sort(tags), ',') AS tags, 2::BIGINT AS n_fields, len(terms) AS n_terms, count(*) OVER (PARTITION BY fingerprint) AS n_same FROM tprofile")
@@ -183,3 +183,16 @@ def _(spark, d):
     same = rows.groupBy("fingerprint").agg(F.count("*").alias("n_same"))
     size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
     return rows.join(same, "fingerprint").select("task_id", F.array_join("names", ",").alias("names"), F.array_join(F.array_sort("tags"), ",").alias("tags"), size("fields"), size("terms"), "n_same")
+
+
+@query("r1_case_profiles", """SELECT doc_id AS case_id, 2 + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_tags, array_to_string(list_sort(list_filter([CASE WHEN doc_id % 3 > 0 THEN 'shown' || (doc_id % 3) END, CASE WHEN doc_id % 2 = 0 THEN 'judged' END, lang], lambda x: x IS NOT NULL)), ',') AS own_tags, array_to_string(list_sort(['dose', 'told', 'kind' || (doc_id % 4), 'said']), ',') AS terms FROM documents""")
+def _(spark, d):
+    """Cases with a described schema, tagged field examples and a judge."""
+    k = F.col("doc_id")
+    schema = F.concat(F.lit('{"type":"object","description":"Told: kind'), (k % 4).cast("string"), F.lit('","properties":{"dose":{"type":"string"}}}'))
+    shown = F.when(k % 3 > 0, F.array(F.concat(F.lit("shown"), (k % 3).cast("string"))))
+    judge = F.when(k % 2 == 0, '{"fields":{"dose":{"tags":["judged"]}}}')
+    rows = table(spark, d, "documents").select(k.alias("case_id"), schema.alias("schema"), F.array("lang").alias("own"), F.create_map(F.lit("dose"), F.struct(shown.alias("tags"))).alias("examples"), judge.alias("judge"))
+    found = retrieval.profiles(rows.withColumn("every", retrieval.case_tags("own", "examples", "judge")), "schema", F.lit("said"), F.col("every"))
+    of_case = F.array_join(F.array_sort("every"), ",")
+    return found.select("case_id", F.size("tags").cast("int").alias("n_tags"), of_case.alias("own_tags"), F.array_join(F.array_sort("terms"), ",").alias("terms"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.functions import records, text
-from fieldtally.operators import consensus, metrics, ranking, retrieval, schemas, scoring
+from fieldtally.operators import consensus, lexical, metrics, ranking, retrieval, schemas, scoring
 
 ENTITIES = {
     "$defs": {"Entity": {"type": "object", "properties": {"text": {"type": "string"}, "label": {"enum": ["PERSON", "ORG", "LOC"]}}}},
@@ -308,6 +308,46 @@ def test_size_goes_before_rank(spark):
     assert [r.case_id for r in retrieval.lexical_ranked(tasks, df, k=2).orderBy("place").collect()] == [0, 1]
 
 
+def test_profiles_take_descriptions_and_all_tags(spark):
+    schema = '{"type":"object","description":"Side Effects of drugs","properties":{"dose":{"type":"string","description":"as told"}}}'
+    row = (1, schema, ["own"], {"dose": {"value": "1", "tags": ["shown", "own"]}, "form": {"value": None, "tags": None}}, '{"fields":{"dose":{"tags":["judged"],"verdict":true},"form":{}}}')
+    cases = spark.createDataFrame([row, (2, schema, None, None, "no json")], "case_id long, schema string, tags array<string>, examples map<string, struct<value string, tags array<string>>>, judge string")
+    every = retrieval.case_tags("tags", "examples", "judge")
+    got = {r.case_id: r for r in retrieval.profiles(cases.withColumn("all", every).drop("tags"), "schema", F.lit("said"), F.col("all")).collect()}
+    assert {"side", "effects", "of", "drugs", "dose", "as", "told", "said"} == set(got[1].terms)
+    assert {"own", "shown", "judged"} <= set(got[1].tags) and len(got[1].tags) == len(set(got[1].tags))
+    assert not {"own", "shown", "judged"} & set(got[2].tags)
+
+
+def test_bounded_search_equals_every_pair(spark, monkeypatch):
+    """Many tasks and cases, hot groups, tasks without a schema in common, ties; against every pair."""
+    rng = random.Random(9)
+    monkeypatch.setattr(lexical, "FIRST_CASES", 2)
+    monkeypatch.setattr(lexical, "FIRST_GROUPS", 3)
+    words = [f"w{i}" for i in range(40)]
+
+    def profile(k):
+        if k % 5 == 0:
+            return ["none" + str(k), [], [], []]
+        kind = 0 if k % 3 else rng.randrange(6)  # one schema has most rows
+        return [f"s{kind}", [f"f{kind}", "f"], rng.sample(["t0", "t1", "t2"], rng.randrange(3)), [f"n{kind % 2}"]]
+
+    tasks = [(k, *profile(k), rng.sample(words, rng.choice([0, 1, 20]))) for k in range(30)]
+    cases = [(k, *profile(k), rng.sample(words, rng.choice([0, 2, 15, 30])), rng.choice([5, 40, 900, 12_000, 90_000]), rng.choice(["w1", "w2_w3", "far", None])) for k in range(400)]
+    schema = "fingerprint string, fields array<string>, tags array<string>, names array<string>, terms array<string>"
+    found = retrieval.lexical_ranked(spark.createDataFrame(tasks, f"task_id long, {schema}"), spark.createDataFrame(cases, f"case_id long, {schema}, n_chars long, domain string"), k=3)
+    expected = []
+    for t, tf, tfields, ttags, tnames, tterms in tasks:
+        scores = []
+        for c, cf, cfields, ctags, cnames, cterms, n, domain in cases:
+            both = lambda a, b: len(set(a) & set(b))
+            score = 100 * (tf == cf) + 8 * both(tfields, cfields) + 4 * both(ttags, ctags) + 2 * both(tnames, cnames) + 0.5 * min(12, both(tterms, cterms)) + 2 * bool(set((domain or "").split("_")) & set(tterms)) - min(n / 10_000, 2)
+            scores.append((-round(score, 9), c))
+        expected += [(t, c, -s, place) for place, (s, c) in enumerate(sorted(scores)[:3], 1) if s < 0]
+    got = sorted((r.task_id, r.case_id, r.score, r.place) for r in found.collect())
+    assert got == sorted(expected)
+
+
 def test_grounding_and_shapes(spark):
     leaves = [(1, "code", "ZZZ", "string"), (2, "code", "ABC", "string"), (2, "tags[0]", " ", "string"), (2, "tags[1]", "ﬁne", "string"), (3, "tags", "x", "string")]
     df = spark.createDataFrame(leaves, "task_id long, path string, value string, kind string")
