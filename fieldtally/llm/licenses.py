@@ -1,8 +1,9 @@
 """License scans: ordered signature rules, in DataFrame functions only.
 
 A text becomes its words, A-Z in lower case, each between two spaces.  Rules are
-regular expressions over that form: tags with identifiers, sentences of the
-licenses' own texts, and names of licenses, alone and as they are declared.  A
+regular expressions over that form: identifiers behind their tag, in an expression, as
+they are declared and alone, sentences of the licenses' own texts, and names of
+licenses, alone and as they are declared.  A
 rule runs only on texts that hold its keyword, which is a part of all that it
 matches.  Of detections one of which lies within another, the higher priority
 stays, among equals the longer one.
@@ -35,25 +36,26 @@ NAMES = {
     "mit-x11": ("x11", "(?:mit )?x11 licen[sc]e"),
     "expat": ("expat", "expat licen[sc]e"),
     "apache-2.0": ("apache", "apache (?:software )?licen[sc]e (?:version |v )?(?:2|v2)(?: 0)?"),
-    "apache-1.1": ("apache", "apache (?:software )?licen[sc]e (?:version |v )?1 1"),
-    "apache-1.0": ("apache", "apache (?:software )?licen[sc]e (?:version |v )?1 0"),
+    "apache-1.1": ("apache", "apache (?:software )?licen[sc]e (?:version |v )?v?1 1"),
+    "apache-1.0": ("apache", "apache (?:software )?licen[sc]e (?:version |v )?v?1 0"),
     "apache": ("apache", "apache (?:software )?licen[sc]e"),
     "gpl-3.0": ("general public", "(?:gnu )?general public licen[sc]e (?:version |v )?(?:3|v3)(?: 0)?"),
     "gpl-2.0": ("general public", "(?:gnu )?general public licen[sc]e (?:version |v )?(?:2|v2)(?: 0)?"),
     "gpl-1.0": ("general public", "(?:gnu )?general public licen[sc]e (?:version |v )?(?:1|v1)(?: 0)?"),
     "gpl": ("general public", "(?:gnu )?general public licen[sc]e"),
-    "gplv3": ("gpl", "(?:gnu )?(?:gplv3|gpl (?:version |v )?3)(?: 0)?(?: only| or later)?"),
-    "gplv2": ("gpl", "(?:gnu )?(?:gplv2|gpl (?:version |v )?2)(?: 0)?(?: only| or later)?"),
-    "lgpl-3.0": ("lesser general", "(?:gnu )?lesser general public licen[sc]e (?:version |v )?3(?: 0)?"),
-    "lgpl-2.1": ("lesser general", "(?:gnu )?lesser general public licen[sc]e (?:version |v )?2 1"),
-    "lgpl-2.0": ("library general", "(?:gnu )?library general public licen[sc]e(?: (?:version |v )?2(?: 0)?)?"),
+    "gplv3": ("gpl", "(?:gnu )?(?:gplv3|gpl (?:version |v )?v?3)(?: 0)?(?: only| or later)?"),
+    "gplv2": ("gpl", "(?:gnu )?(?:gplv2|gpl (?:version |v )?v?2)(?: 0)?(?: only| or later)?"),
+    "lgpl-3.0": ("lesser general", "(?:gnu )?lesser general public licen[sc]e (?:version |v )?v?3(?: 0)?"),
+    "lgpl-2.1": ("lesser general", "(?:gnu )?lesser general public licen[sc]e (?:version |v )?v?2 1"),
+    "lgpl-2.0": ("library general", "(?:gnu )?library general public licen[sc]e(?: (?:version |v )?v?2(?: 0)?)?"),
     "lgpl": ("lesser general", "(?:gnu )?lesser general public licen[sc]e"),
-    "lgplv3": ("lgpl", "(?:gnu )?(?:lgplv3|lgpl3|lgpl (?:version |v )?3)(?: 0)?(?: only| or later)?"),
-    "lgplv2": ("lgpl", "(?:gnu )?(?:lgplv2|lgpl2|lgpl (?:version |v )?2)(?: [01])?(?: only| or later)?"),
-    "agpl-3.0": ("affero", "(?:gnu )?affero general public licen[sc]e(?: (?:version |v )?3(?: 0)?)?"),
-    "agplv3": ("agpl", "agplv3|agpl(?: (?:version |v )?3(?: 0)?)?"),
-    "gfdl-1.3": ("free documentation", "(?:gnu )?free documentation licen[sc]e (?:version |v )?1 3"),
-    "gfdl-1.2": ("free documentation", "(?:gnu )?free documentation licen[sc]e (?:version |v )?1 2"),
+    "lgplv3": ("lgpl", "(?:gnu )?(?:lgplv3|lgpl3|lgpl (?:version |v )?v?3)(?: 0)?(?: only| or later)?"),
+    "lgplv2": ("lgpl", "(?:gnu )?(?:lgplv2|lgpl2|lgpl (?:version |v )?v?2)(?: 0)?(?: only| or later)?"),
+    "lgplv2.1": ("lgpl", "(?:gnu )?(?:lgplv2|lgpl2|lgpl (?:version |v )?v?2) 1(?: only| or later)?"),
+    "agpl-3.0": ("affero", "(?:gnu )?affero general public licen[sc]e(?: (?:version |v )?v?3(?: 0)?)?"),
+    "agplv3": ("agpl", "agplv3|agpl(?: (?:version |v )?v?3(?: 0)?)?"),
+    "gfdl-1.3": ("free documentation", "(?:gnu )?free documentation licen[sc]e (?:version |v )?v?1 3"),
+    "gfdl-1.2": ("free documentation", "(?:gnu )?free documentation licen[sc]e (?:version |v )?v?1 2"),
     "gfdl": ("free documentation", "(?:gnu )?free documentation licen[sc]e"),
     "bsd-4-clause": ("bsd", "(?:original|old|4 clause|four clause) bsd licen[sc]e|bsd 4 clause(?: licen[sc]e)?"),
     "bsd-3-clause": ("bsd", "(?:new|modified|revised|3 clause|three clause) bsd licen[sc]e|bsd 3 clause(?: licen[sc]e)?"),
@@ -65,48 +67,48 @@ NAMES = {
     "isc": ("isc", "isc licen[sc]e"),
     "zlib": ("zlib", "zlib(?: libpng)? licen[sc]e"),
     "libpng": ("png", "(?:png|libpng) (?:reference library )?licen[sc]e(?: version 2)?"),
-    "mpl-2.0": ("mozilla", "mozilla public licen[sc]e (?:version |v )?2(?: 0)?"),
-    "mpl-1.1": ("mozilla", "mozilla public licen[sc]e (?:version |v )?1 1"),
-    "mpl-1.0": ("mozilla", "mozilla public licen[sc]e (?:version |v )?1 0"),
+    "mpl-2.0": ("mozilla", "mozilla public licen[sc]e (?:version |v )?v?2(?: 0)?"),
+    "mpl-1.1": ("mozilla", "mozilla public licen[sc]e (?:version |v )?v?1 1"),
+    "mpl-1.0": ("mozilla", "mozilla public licen[sc]e (?:version |v )?v?1 0"),
     "mpl": ("mozilla", "mozilla public licen[sc]e"),
-    "epl-2.0": ("eclipse", "eclipse public licen[sc]e (?:version |v )?2(?: 0)?"),
-    "epl-1.0": ("eclipse", "eclipse public licen[sc]e (?:version |v )?1(?: 0)?"),
+    "epl-2.0": ("eclipse", "eclipse public licen[sc]e (?:version |v )?v?2(?: 0)?"),
+    "epl-1.0": ("eclipse", "eclipse public licen[sc]e (?:version |v )?v?1(?: 0)?"),
     "epl": ("eclipse", "eclipse public licen[sc]e"),
-    "edl-1.0": ("eclipse", "eclipse distribution licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "eupl-1.2": ("european union", "european union public licen[sc]e (?:version |v )?1 2"),
+    "edl-1.0": ("eclipse", "eclipse distribution licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "eupl-1.2": ("european union", "european union public licen[sc]e (?:version |v )?v?1 2"),
     "eupl": ("european union", "european union public licen[sc]e"),
-    "cddl-1.1": ("distribution licen", "common development and distribution licen[sc]e (?:version |v )?1 1"),
-    "cddl-1.0": ("distribution licen", "common development and distribution licen[sc]e(?: (?:version |v )?1 0)?"),
-    "cpl-1.0": ("common public", "common public licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "ipl-1.0": ("ibm public", "ibm public licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "artistic-2.0": ("artistic", "(?:perl )?artistic licen[sc]e (?:version |v )?2(?: 0)?"),
-    "artistic-1.0": ("artistic", "(?:perl )?artistic licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "bsl-1.0": ("boost", "boost software licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "busl-1.1": ("business source", "business source licen[sc]e(?: (?:version |v )?1 1)?"),
-    "sspl-1.0": ("server side", "server side public licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "elastic-2.0": ("elastic", "elastic licen[sc]e(?: (?:version |v )?2(?: 0)?)?"),
+    "cddl-1.1": ("distribution licen", "common development and distribution licen[sc]e (?:version |v )?v?1 1"),
+    "cddl-1.0": ("distribution licen", "common development and distribution licen[sc]e(?: (?:version |v )?v?1 0)?"),
+    "cpl-1.0": ("common public", "common public licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "ipl-1.0": ("ibm public", "ibm public licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "artistic-2.0": ("artistic", "(?:perl )?artistic licen[sc]e (?:version |v )?v?2(?: 0)?"),
+    "artistic-1.0": ("artistic", "(?:perl )?artistic licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "bsl-1.0": ("boost", "boost software licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "busl-1.1": ("business source", "business source licen[sc]e(?: (?:version |v )?v?1 1)?"),
+    "sspl-1.0": ("server side", "server side public licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "elastic-2.0": ("elastic", "elastic licen[sc]e(?: (?:version |v )?v?2(?: 0)?)?"),
     "unlicense": ("unlicen", "(?:the )?unlicen[sc]e"),
     "wtfpl": ("want to public", "do what the fuck you want to public licen[sc]e|do what the f you want to public licen[sc]e"),
-    "python-2.0": ("python", "python (?:software foundation )?licen[sc]e(?: (?:version |v )?2(?: 0)?)?"),
-    "php-3.0": ("php", "php licen[sc]e(?: (?:version |v )?3(?: 0[01]?)?)?"),
+    "python-2.0": ("python", "python (?:software foundation )?licen[sc]e(?: (?:version |v )?v?2(?: 0)?)?"),
+    "php-3.0": ("php", "php licen[sc]e(?: (?:version |v )?v?3(?: 0[01]?)?)?"),
     "ruby": ("ruby", "ruby licen[sc]e"),
     "openssl": ("openssl", "openssl(?: ssleay)? licen[sc]e"),
-    "openldap": ("openldap", "openldap public licen[sc]e(?: (?:version |v )?2 [0-9])?"),
+    "openldap": ("openldap", "openldap public licen[sc]e(?: (?:version |v )?v?2 [0-9])?"),
     "postgresql": ("postgresql", "postgresql licen[sc]e"),
     "vim": ("vim", "vim licen[sc]e"),
-    "ofl-1.1": ("open font", "(?:sil )?open font licen[sc]e(?: (?:version |v )?1 [01])?"),
-    "odbl-1.0": ("open database", "open (?:data commons open )?database licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "odc-by-1.0": ("data commons", "open data commons attribution licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "ecl-2.0": ("educational", "educational community licen[sc]e(?: (?:version |v )?2(?: 0)?)?"),
+    "ofl-1.1": ("open font", "(?:sil )?open font licen[sc]e(?: (?:version |v )?v?1 [01])?"),
+    "odbl-1.0": ("open database", "open (?:data commons open )?database licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "odc-by-1.0": ("data commons", "open data commons attribution licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "ecl-2.0": ("educational", "educational community licen[sc]e(?: (?:version |v )?v?2(?: 0)?)?"),
     "ncsa": ("illinois", "(?:university of illinois|illinois) (?:ncsa )?open source licen[sc]e"),
     "ms-pl": ("microsoft public", "microsoft public licen[sc]e"),
     "ms-rl": ("microsoft reciprocal", "microsoft reciprocal licen[sc]e"),
-    "apsl-2.0": ("apple public", "apple public source licen[sc]e(?: (?:version |v )?2(?: 0)?)?"),
-    "qpl-1.0": ("q public", "q public licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "afl-3.0": ("academic free", "academic free licen[sc]e(?: (?:version |v )?3(?: 0)?)?"),
-    "osl-3.0": ("open software", "open software licen[sc]e(?: (?:version |v )?3(?: 0)?)?"),
-    "upl-1.0": ("universal permissive", "universal permissive licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
-    "cecill-2.1": ("cecill", "cecill(?: free software)? licen[sc]e(?: (?:version |v )?2(?: [01])?)?"),
+    "apsl-2.0": ("apple public", "apple public source licen[sc]e(?: (?:version |v )?v?2(?: 0)?)?"),
+    "qpl-1.0": ("q public", "q public licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "afl-3.0": ("academic free", "academic free licen[sc]e(?: (?:version |v )?v?3(?: 0)?)?"),
+    "osl-3.0": ("open software", "open software licen[sc]e(?: (?:version |v )?v?3(?: 0)?)?"),
+    "upl-1.0": ("universal permissive", "universal permissive licen[sc]e(?: (?:version |v )?v?1(?: 0)?)?"),
+    "cecill-2.1": ("cecill", "cecill(?: free software)? licen[sc]e(?: (?:version |v )?v?2(?: [01])?)?"),
     "cc0-1.0": ("cc0", "cc0(?: 1 0)?(?: universal)?"),
     "cc-by-nc-nd": ("cc by nc nd", "cc by nc nd(?: [1-4] [05])?"),
     "cc-by-nc-sa": ("cc by nc sa", "cc by nc sa(?: [1-4] [05])?"),
@@ -123,9 +125,9 @@ NAMES = {
     "copyright": ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
     "copyleft": ("copyleft", "copyleft"),
     "agpl": ("affero", "affero (?:gpl|licen[sc]e)"),
-    "gplv1": ("gpl", "(?:gnu )?(?:gplv1|gpl (?:version |v )?1)(?: 0)?"),
-    "gnu-gpl": ("gpl", "gnu gpl"),
-    "gnu-lgpl": ("lgpl", "gnu lgpl"),
+    "gplv1": ("gpl", "(?:gnu )?(?:gplv1|gpl (?:version |v )?v?1)(?: 0)?"),
+    "gnu-gpl": ("gpl", "(?:gnu )?gpl"),
+    "gnu-lgpl": ("lgpl", "(?:gnu )?lgpl"),
     "gnu-all-permissive": ("all permissive", "gnu all permissive licen[sc]e"),
     "gpl-classpath": ("classpath exception", "(?:gnu )?classpath exception"),
     "llvm-exception": ("llvm exception", "llvm exceptions?"),
@@ -135,8 +137,8 @@ NAMES = {
     "pddl-1.0": ("dedication", "(?:open data commons )?public domain dedication and licen[sc]e"),
     "cdla-permissive": ("community data", "community data licen[sc]e agreement(?: permissive)?"),
     "cdla-sharing": ("community data", "community data licen[sc]e agreement sharing"),
-    "ogl-uk": ("open government", "open government licen[sc]e(?: (?:version |v )?[1-3](?: 0)?)?"),
-    "ogl-roleplay": ("open game", "open game(?:ing)? licen[sc]e(?: (?:version |v )?1 0a?)?"),
+    "ogl-uk": ("open government", "open government licen[sc]e(?: (?:version |v )?v?[1-3](?: 0)?)?"),
+    "ogl-roleplay": ("open game", "open game(?:ing)? licen[sc]e(?: (?:version |v )?v?1 0a?)?"),
     "openrail": ("openrail", "(?:creativeml |bigscience |bigcode )?openrail(?: m)?"),
     "rail": ("responsible ai", "responsible ai licen[sc]es?"),
     "llama-community": ("community license", "llama [234](?: [0-9])? community license(?: agreement)?"),
@@ -158,45 +160,45 @@ NAMES = {
     "unicode": ("unicode", "unicode (?:data files and software |terms of use |v3 )?licen[sc]e(?: agreement)?"),
     "icu": ("icu", "icu licen[sc]e"),
     "tcl": ("tcl", "tcl(?: tk)? licen[sc]e"),
-    "zpl-2.1": ("zope", "zope public licen[sc]e(?: (?:version |v )?2 [01])?"),
+    "zpl-2.1": ("zope", "zope public licen[sc]e(?: (?:version |v )?v?2 [01])?"),
     "w3c": ("w3c", "w3c (?:software |document )?(?:notice and )?licen[sc]e"),
     "sleepycat": ("sleepycat", "sleepycat(?: public)? licen[sc]e"),
-    "watcom-1.0": ("watcom", "sybase open watcom public licen[sc]e(?: (?:version |v )?1 0)?"),
-    "nasa-1.3": ("nasa", "nasa open source agreement(?: (?:version |v )?1 3)?"),
-    "netscape-1.1": ("netscape", "netscape public licen[sc]e(?: (?:version |v )?1 [01])?"),
+    "watcom-1.0": ("watcom", "sybase open watcom public licen[sc]e(?: (?:version |v )?v?1 0)?"),
+    "nasa-1.3": ("nasa", "nasa open source agreement(?: (?:version |v )?v?1 3)?"),
+    "netscape-1.1": ("netscape", "netscape public licen[sc]e(?: (?:version |v )?v?1 [01])?"),
     "nokia": ("nokia", "nokia open source licen[sc]e"),
     "intel": ("intel", "intel (?:open source|simplified software) licen[sc]e"),
     "nvidia": ("nvidia", "nvidia (?:source code|software) licen[sc]e(?: agreement)?"),
     "oracle-upl": ("oracle", "oracle (?:technology network|binary code) licen[sc]e(?: agreement)?"),
     "adobe": ("adobe", "adobe (?:source libraries|glyph list) licen[sc]e"),
-    "lppl-1.3c": ("latex", "latex project public licen[sc]e(?: (?:version |v )?1 [0-3][ac]?)?"),
+    "lppl-1.3c": ("latex", "latex project public licen[sc]e(?: (?:version |v )?v?1 [0-3][ac]?)?"),
     "gust-font": ("gust font", "gust font(?: source)? licen[sc]e"),
     "bitstream-vera": ("bitstream", "bitstream vera(?: font)? licen[sc]e"),
-    "ubuntu-font": ("ubuntu font", "ubuntu font licen[sc]e(?: (?:version |v )?1 0)?"),
-    "sil-ofl": ("ofl", "sil ofl(?: (?:version |v )?1 [01])?"),
-    "cern-ohl": ("cern open", "cern open hardware licen[sc]e(?: (?:version |v )?[12](?: [0-2])?)?"),
-    "solderpad": ("solderpad", "solderpad hardware licen[sc]e(?: (?:version |v )?[02] [0-9])?"),
+    "ubuntu-font": ("ubuntu font", "ubuntu font licen[sc]e(?: (?:version |v )?v?1 0)?"),
+    "sil-ofl": ("ofl", "sil ofl(?: (?:version |v )?v?1 [01])?"),
+    "cern-ohl": ("cern open", "cern open hardware licen[sc]e(?: (?:version |v )?v?[12](?: [0-2])?)?"),
+    "solderpad": ("solderpad", "solderpad hardware licen[sc]e(?: (?:version |v )?v?[02] [0-9])?"),
     "tapr-ohl": ("tapr", "tapr open hardware licen[sc]e"),
     "liliq-p": ("liliq", "liliq (?:p|r|rplus)(?: 1 1)?"),
     "etalab": ("etalab", "etalab(?: open licen[sc]e)?(?: 2 0)?"),
     "dl-de-by": ("deutschland", "datenlizenz deutschland(?: namensnennung| zero)?(?: 2 0)?"),
-    "hippocratic": ("hippocratic", "hippocratic licen[sc]e(?: (?:version |v )?[123] [01])?"),
-    "anti-996": ("996", "anti 996 licen[sc]e(?: (?:version |v )?1 0)?"),
+    "hippocratic": ("hippocratic", "hippocratic licen[sc]e(?: (?:version |v )?v?[123] [01])?"),
+    "anti-996": ("996", "anti 996 licen[sc]e(?: (?:version |v )?v?1 0)?"),
     "beerware": ("beer", "(?:beerware|beer ware) licen[sc]e"),
     "jsonlicense": ("json", "json licen[sc]e"),
     "x-consortium": ("x consortium", "x consortium licen[sc]e"),
     "naist": ("naist", "naist 2003 licen[sc]e"),
     "rpl-1.5": ("reciprocal public", "reciprocal public licen[sc]e(?: 1 [15])?"),
-    "cpal-1.0": ("common public attribution", "common public attribution licen[sc]e(?: (?:version |v )?1 0)?"),
+    "cpal-1.0": ("common public attribution", "common public attribution licen[sc]e(?: (?:version |v )?v?1 0)?"),
     "cua-opl": ("cua office", "cua office public licen[sc]e"),
     "sugarcrm": ("sugarcrm", "sugarcrm public licen[sc]e"),
-    "spl-1.0": ("sun public", "sun public licen[sc]e(?: (?:version |v )?1 0)?"),
+    "spl-1.0": ("sun public", "sun public licen[sc]e(?: (?:version |v )?v?1 0)?"),
     "sissl": ("sun industry", "sun industry standards source licen[sc]e"),
-    "vsl-1.0": ("vovida", "vovida software licen[sc]e(?: (?:version |v )?1 0)?"),
+    "vsl-1.0": ("vovida", "vovida software licen[sc]e(?: (?:version |v )?v?1 0)?"),
     "xnet": ("x net", "x net licen[sc]e"),
-    "eiffel-2": ("eiffel", "eiffel forum licen[sc]e(?: (?:version |v )?[12])?"),
+    "eiffel-2": ("eiffel", "eiffel forum licen[sc]e(?: (?:version |v )?v?[12])?"),
     "fair": ("fair", "fair licen[sc]e"),
-    "ecos-2.0": ("ecos", "ecos licen[sc]e(?: (?:version |v )?2 0)?"),
+    "ecos-2.0": ("ecos", "ecos licen[sc]e(?: (?:version |v )?v?2 0)?"),
     "shareware": ("shareware", "shareware"),
     "freeware": ("freeware", "freeware licen[sc]e"),
     "eula": ("end user", "end user licen[sc]e agreement"),
@@ -262,8 +264,6 @@ NOTICES = (
     ("proprietary", "confidential and", "confidential and proprietary"),
     ("proprietary", "prohibited", "unauthori[sz]ed copying of this file via any medium is strictly prohibited"),
     ("proprietary", "without permission", "(?:may not|must not|no part may) be (?:reproduced|copied|distributed) without permission"),
-    ("proprietary", "written permission", "without (?:the )?(?:prior|express) written permission"),
-    ("proprietary", "registered trademark", "is a registered trademark of"),
     ("copyright", "copyright", "copyright notice"),
     ("copyright", "copyright all rights", "copyright all rights reserved"),
     ("public-domain", "public domain", "dedicated to the public domain"),
@@ -282,33 +282,64 @@ BSD-3-Clause BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-
 CECILL-2.1 CPL-1.0 ECL-2.0 EFL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 ICU IJG ImageMagick ISC JSON LGPL-2.0 LGPL-2.1 LGPL-3.0
 Libpng LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA ODbL-1.0 OFL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0
 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
+#: Labels of names that are other names of a license, and the one label that it gets; versions of Creative Commons licenses are one.
+SYNONYMS = {
+    "gplv1": "gpl-1.0", "gplv2": "gpl-2.0", "gplv3": "gpl-3.0", "lgplv2": "lgpl-2.0", "lgplv2.1": "lgpl-2.1", "lgplv3": "lgpl-3.0", "agplv3": "agpl-3.0", "gnu-gpl": "gpl", "gnu-lgpl": "lgpl", "expat": "mit",
+    "mit-x11": "x11", "berkeley": "bsd", "sil-ofl": "ofl-1.1", "cc0": "cc0-1.0", "bsl-mariadb": "busl-1.1", "jsonlicense": "json", "psf-2.0": "python-2.0", "php-3.01": "php-3.0", "cc-attribution": "cc-by",
+    "cc-attribution-sharealike": "cc-by-sa", "cc-attribution-noderivatives": "cc-by-nd", "cc-attribution-noncommercial": "cc-by-nc",
+}
+#: Identifiers that are words or products too: alone, and one beside the other, they tell nothing.
+PRODUCTS = frozenset("0BSD ICU IJG ImageMagick ISC JSON Libpng MIT MIT-0 NCSA OpenSSL PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby Unlicense Vim W3C X11 Zlib MS-PL MS-RL Elastic-2.0 BSL-1.0".split())
+#: Those of them that a choice of two licenses may consist of.
+CHOSEN = frozenset("0BSD ISC MIT MIT-0 Unlicense X11 Zlib".split())
 #: Parts of words of which each match of a rule holds one, but for those of PAIRS; so a text without them has no detection, whatever stands between its words.
 ROOTS = (
     "licen", "permission", "gpl", "redistrib", "commons", "public", "bsd", "reserved", "confidential", "commercial", "warrant", "copyright", "exception",
     "noninfring", "misrepresent", "deutschland", "restriction", "advertis", "foundation", "prohibited", "derivative", "respective", "shareware",
     "invariant", "openssl", "trademark", "copyleft", "openrail", "endorse", "mozilla", "affero", "etalab", "waives", "jpeg", "liliq", "alike", "llvm",
-    "cc0", "bsl", "agreement", "research", "event",
+    "cc0", "bsl", "agreement", "research", "event", "wtfpl",
 )
 #: Two short words that count only one after the other.
 PAIRS = (("cc", "by"), ("sil", "ofl"))
+#: Beginnings of identifiers that count before a number, wherever no root stands.
+HEADS = "afl|apache|apsl|artistic|blueoak|busl|cc0|cddl|cecill|cpl|ecl|efl|epl|eupl|gfdl|lppl|mpl|odbl|ofl|osl|qpl|sspl|upl|zpl"
 #: (priority, sentence): how a name is declared; the bare name comes last, notices and tags stand between and above.
 SENTENCES = (
     (80, "(?:this (?:work|file|code|software|program|text|document|project) is )?(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{})"),
     (60, "(?:{})"),
 )
-TAG, NOTICE = 90, 70
+TAG, DECLARED, NOTICE, BARE = 90, 85, 70, 55
 #: Words of a piece of a text, and words of the longest match at most.
 CORE, REACH = 256, 32
 
 
+def identifier_rules() -> list[tuple[int, str, str, str]]:
+    """Identifiers behind the tag, as parts of an expression, as they are declared, and alone where they can't mean anything else."""
+    words = {i: " ".join(re.findall("[a-z0-9]+", i.lower())) for i in IDENTIFIERS}
+    label = lambda i: re.sub(r"^(cc-by\S*?)-[0-9.]+$", r"\1", i.lower())
+    any_of = lambda ids: "|".join(sorted((words[i] for i in ids), key=len, reverse=True))
+    every, plain = any_of(IDENTIFIERS), any_of(i for i in IDENTIFIERS if i not in PRODUCTS or i in CHOSEN)
+    certain = any_of(i for i in IDENTIFIERS if i not in PRODUCTS)
+    end = "(?: only| or later)?"
+    out = []
+    for i, w in words.items():
+        out += [(TAG, label(i), f"identifier {w}", f"spdx licen[sc]e identifier {w}{end}"), (DECLARED, label(i), w, f"licen[sc]e[sd]?(?: under| is| as)?(?: the)? {w}{end}")]
+        before = every if i not in PRODUCTS else plain if i in CHOSEN else certain
+        out += [(TAG, label(i), f"{both} {w}", f"(?:{before}){end} {both} {w}{end}") for both in ("and", "or")]
+        if i in CHOSEN:
+            out += [(TAG, label(i), f"{w} {both}", f"{w} {both} (?:{certain}){end}") for both in ("and", "or")]
+        if i not in PRODUCTS:
+            out.append((BARE, label(i), w, f"{w}{end}"))
+    return out
+
+
 def rules() -> list[tuple[int, str, str, str]]:
     """(priority, label, keyword, pattern), by priority; in patterns and keywords every word stands between two spaces of its own."""
-    words = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
-    single = [(TAG, i.lower(), words(i), f"spdx licen[sc]e identifier {words(i)}(?: only| or later)?") for i in IDENTIFIERS]
+    single = identifier_rules()
     single += [(NOTICE, label, keyword, sentence) for label, keyword, sentence in NOTICES]
     single += [(priority, label, keyword, sentence.format(name)) for priority, sentence in SENTENCES for label, (keyword, name) in NAMES.items()]
     double = lambda t: t.replace(" ", "  ")
-    return sorted(((p, label, double(k), f" (?:{double(x)}) ") for p, label, k, x in single), key=lambda r: -r[0])
+    return sorted(((p, SYNONYMS.get(label, label), double(k), f" (?:{double(x)}) ") for p, label, k, x in single), key=lambda r: -r[0])
 
 
 def gate(lower: Column) -> Column:
@@ -318,7 +349,7 @@ def gate(lower: Column) -> Column:
         held |= F.contains(lower, F.lit(root))
     for first, second in PAIRS:
         held |= F.contains(lower, F.lit(first)) & F.rlike(lower, F.lit(f"{first}{NOT_WORD}{second}"))
-    return held
+    return held | F.rlike(lower, F.lit(f"(?:{HEADS}){NOT_WORD}v?[0-9]"))
 
 
 def base_places(words: Column) -> Column:

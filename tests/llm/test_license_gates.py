@@ -7,6 +7,7 @@ import re
 from fieldtally.llm import licenses
 
 PARSER = re._parser
+RULES = [(p, label, re.compile(x)) for p, label, _, x in licenses.rules()]
 
 
 def samples(parsed):
@@ -32,7 +33,7 @@ def samples(parsed):
 def brute(text):
     words = re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     normal = f" {'  '.join(words)} " if words else ""
-    found = [(p, label, m.start(), m.end()) for p, label, _, x in licenses.rules() for m in re.finditer(x, normal)]
+    found = [(p, label, m.start(), m.end()) for p, label, x in RULES for m in x.finditer(normal)]
     left = [a for a in found if not any(b[2] <= a[2] and b[3] >= a[3] and (b[0] > a[0] or (b[0] == a[0] and b[3] - b[2] > a[3] - a[2])) for b in found)]
     base = {label for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()}
     return ",".join(sorted(base | {a[1] for a in left})), max([a[0] / 100 for a in left] + [0.5 * bool(base)])
@@ -51,6 +52,36 @@ def test_keywords_and_roots_are_in_every_match():
             assert len(text.split()) + 9 <= licenses.REACH  # with the words that declare it
 
 
+def held(text):
+    return any(r in text for r in licenses.ROOTS) or any(f"{a} {b}" in text for a, b in licenses.PAIRS) or bool(re.search(f"(?:{licenses.HEADS}) v?[0-9]", text))
+
+
+def test_identifiers_pass_the_gate_and_hold_their_keyword():
+    short = "(?:mpl 2 0|epl 1 0)"  # in place of the long lists of identifiers before or behind "and" and "or"
+    for _, label, keyword, pattern in licenses.identifier_rules():
+        for text in samples(PARSER.parse(re.sub(r"\(\?:[^()]{200,}\)", short, pattern))):
+            assert keyword in text and len(text.split()) <= licenses.REACH
+            assert held(text), text
+
+
+#: (text, labels): how licenses are named most often, and sentences that name none.
+TOLD = (
+    ("Licensed under Apache-2.0", "apache-2.0"), ("License: MIT", "mit"), ("MPL-2.0", "mpl-2.0"), ("EPL-2.0", "epl-2.0"), ("WTFPL", "wtfpl"), ("LGPL v2.1+", "lgpl-2.1"), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"), ("GPL-3.0-or-later", "gpl-3.0"), ("GPLv2", "gpl-2.0"), ("license = \"BSD-3-Clause\"", "bsd-3-clause"), ("MIT OR Apache-2.0 OR ISC", "apache-2.0,isc,mit"),
+    ("SPDX-License-Identifier: LGPL-2.1-only AND MIT AND BSD-2-Clause", "bsd-2-clause,lgpl-2.1,mit"), ("released under the GPL", "gpl"), ("CC-BY-SA-4.0", "cc-by-sa"), ("Creative Commons Attribution 4.0", "cc-by"), ("GNU AGPLv3", "agpl-3.0"),
+    ("License: Unlicense", "unlicense"), ("license: ISC", "isc"), ("Mozilla Public License v2.0", "mpl-2.0"), ("Apache License, Version 2.0", "apache,apache-2.0"),
+    ("She studied at MIT and works with Ruby or JSON.", ""), ("They entered the house without express written permission of the owner.", ""), ("Acme is a registered trademark of Acme Corp.", ""), ("For example, 2 of them are public.", ""), ("a simple 3 step plan", ""),
+    ("Python 2.0 was released in 2000.", ""), ("The research group reserved a table.", ""),
+)
+
+
+def test_common_declarations_and_ordinary_sentences(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TOLD)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_digest(docs).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(TOLD)] == list(TOLD)
+    assert [brute(t)[0] for t, _ in TOLD] == [x for _, x in TOLD]
+
+
 def test_every_alternative_is_found(spark):
     rng = random.Random(1)
     texts = ["Released under BSD-3-Clause.", "CC_BY 4.0", "CC/BY-SA", "under CC\nBY", "CC  BY-NC", "This file: 0BSD", "png licence", "All rights are reserved", "Berkeley Software Distribution License", "SPDX-License-Identifier: BSD-3-Clause", "success by", "accby", "nothing", "K\u212aelvin mit \u212aicense"]

@@ -329,6 +329,8 @@ def test_hysteresis():
 
 # licenses
 
+LICENSE_RULES = [(p, label, re.compile(x)) for p, label, _, x in licenses.rules()]
+
 
 def brute_base(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -340,7 +342,7 @@ def brute_base(text):
 def brute_labels(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     normal = "".join(f" {w} " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
-    found = [(p, label, m.start(), m.end()) for p, label, _, x in licenses.rules() for m in re.finditer(x, normal)]
+    found = [(p, label, m.start(), m.end()) for p, label, x in LICENSE_RULES for m in x.finditer(normal)]
     inside = lambda a, b: b[2] <= a[2] and b[3] >= a[3] and (b[0] > a[0] or b[0] == a[0] and b[3] - b[2] > a[3] - a[2])
     return {a[1] for a in found if not any(inside(a, b) for b in found)}
 
