@@ -657,8 +657,8 @@ def consensus_value(rows: list[tuple[int, int, object]], is_array: bool, options
 def clustered_consensus(values: DataFrame, options: Options = Options()) -> DataFrame:
     """(task_id, field, value, support, n_rows) of string and array fields; ``is_array`` marks the latter.
 
-    Clustering goes by order of arrival, so a field of a task is one group.
-    Equal values of a trial's field become one row with their places first; a
+    Text fields with one value a trial are clustered by joins (``clusters``).
+    Other fields go by order of arrival in one group for a field of a task: equal values of a trial's field become one row with their places first; a
     group's memory grows with its places and distinct values, its time with the
     square of the latter.
     """
@@ -669,8 +669,17 @@ def clustered_consensus(values: DataFrame, options: Options = Options()) -> Data
         value, n = consensus_value(parsed, bool(rows["is_array"].iloc[0]), options)
         return pd.DataFrame([(rows["task_id"].iloc[0], rows["field"].iloc[0], json.dumps(value, ensure_ascii=False), n, int(rows["n"].sum()))], columns=["task_id", "field", "value", "support", "n_rows"])
 
-    kept = values.where("value <> 'null'").groupBy("task_id", "field", "trial", "value", "is_array").agg(F.when(F.col("is_array"), F.array_sort(F.collect_list("item"))).otherwise(F.array(F.min("item"))).alias("items"), F.count("*").alias("n"))
-    return kept.groupBy("task_id", "field").applyInPandas(merge, "task_id long, field string, value string, support int, n_rows int")
+    from . import clusters
+
+    values = values.where("value <> 'null'")
+    joined = None
+    if options.texts is string_similarity and options.scalar_threshold > clusters.LEAST:
+        told = clusters.by_joins(values)
+        joined = clusters.text_consensus(values.join(told, ["task_id", "field"], "left_semi"), options.scalar_threshold)
+        values = values.join(told, ["task_id", "field"], "left_anti")
+    kept = values.groupBy("task_id", "field", "trial", "value", "is_array").agg(F.when(F.col("is_array"), F.array_sort(F.collect_list("item"))).otherwise(F.array(F.min("item"))).alias("items"), F.count("*").alias("n"))
+    grouped = kept.groupBy("task_id", "field").applyInPandas(merge, "task_id long, field string, value string, support int, n_rows int")
+    return grouped if joined is None else grouped.unionByName(joined)
 
 
 DIAGNOSIS = "path string, kind string, strategy string, n int, nulls int, least_length int, most_length int, final_length int, identity string, clustered_by string, identity_score double, identity_margin double"

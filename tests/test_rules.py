@@ -216,6 +216,25 @@ def test_scalar_consensus_joins_the_nearest_member():
     assert consensus.cluster([(0, 0, "a"), (1, 0, "b"), (2, 0, "c")], 0.78, alike) == [[0, 1, 2]]
 
 
+def test_text_fields_by_joins_equal_groups(spark):
+    """Random fields, chains, marks and case, texts without words, a field with most rows; against the walk in one group."""
+    rng = random.Random(8)
+    words = ["dolor", "de", "cabeza", "leve", "fatiga", "aguda", "Dólor", "en", "la", "noche"]
+    rows = []
+    for task in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([1, 3, 9, 14]))]
+        for trial in range(120 if task == 7 else rng.randint(1, 9)):
+            own = [w if rng.random() < 0.9 else rng.choice(words) for w in base]
+            value = rng.choice(["", "!?", "!? ...", "  "]) if rng.random() < 0.1 else " ".join(own)
+            rows.append((task, "f", trial, 0, json.dumps(value, ensure_ascii=False), False))
+    df = spark.createDataFrame(rows, "task_id long, field string, trial int, item int, value string, is_array boolean").repartition(3)
+    got = {r.task_id: (r.value, r.support, r.n_rows) for r in consensus.clustered_consensus(df).collect()}
+    for task in range(60):
+        own = [(t, i, json.loads(v)) for k, _, t, i, v, _ in rows if k == task]
+        value, support = consensus.consensus_value(own, False)
+        assert got[task] == (json.dumps(value, ensure_ascii=False), support, len(own)), task
+
+
 def test_items_are_identified_pair_by_pair():
     """An item without the identifying field is compared whole; the others still by their field."""
     item = {"type": "object", "required": ["name", "kind"], "properties": {"name": {"type": "string"}, "kind": {"type": "string"}}}
