@@ -27,11 +27,49 @@ def folded(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
+        return texts.map(_folded, na_action="ignore")
 
     return fold(text)
 
 
+def _folded(t: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", t).casefold().split())
+
+
+#: Strings that are looked for one by one; more go through one automaton.
+FEW_STRINGS = 8
+
+
+def found_in(values: list[str], source: str) -> list[bool]:
+    """Which of the folded strings stand in the folded source; blank ones never do."""
+    if len(values) <= FEW_STRINGS:
+        return [bool(v) and v in source for v in values]
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    wanted = {v for v in values if v}
+    for v in wanted:
+        automaton.add_word(v, v)
+    seen: set[str] = set()
+    if wanted:
+        automaton.make_automaton()
+        for _, v in automaton.iter(source):
+            seen.add(v)
+            if len(seen) == len(wanted):
+                break
+    return [v in seen for v in values]
+
+
+def stands_in(values: Column | str, source: Column | str) -> Column:
+    """For each of an array of strings whether it stands in a text, both folded; the text is folded and read once for all of them."""
+
+    @F.pandas_udf("array<boolean>")
+    def find(lists: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([found_in([_folded(v) for v in vs], _folded(t or "")) for vs, t in zip(lists, texts)])
+
+    return find(values, source)
+
+
 def normalized(text: Column) -> Column:
     """Lower case without marks, with single spaces."""
     return F.trim(F.regexp_replace(F.lower(without_marks(text)), r"(?U)\s+", " "))

@@ -52,12 +52,15 @@ def overview(pairs: DataFrame, keys: list[str], large: float = 0.1) -> DataFrame
 
 
 def extremes(pairs: DataFrame, keys: list[str], limit: int = 8) -> DataFrame:
-    """The largest gains and losses of each comparison."""
-    gain = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("delta"), "task_id"))
-    loss = F.row_number().over(Window.partitionBy(*keys).orderBy("delta", "task_id"))
-    ranked = pairs.withColumns({"gain": gain, "loss": loss})
-    side = lambda name: ranked.where(F.col(name) <= limit).select(*keys, "task_id", "delta", F.lit(name).alias("side"), F.col(name).alias("place"))
-    return side("gain").unionByName(side("loss"))
+    """The largest gains and losses of each comparison.
+
+    Both ends go through one ranking; Spark keeps the first few of each
+    partition before it brings a comparison together.
+    """
+    ends = F.array(F.struct(F.lit("gain").alias("side"), (-F.col("delta")).alias("order")), F.struct(F.lit("loss").alias("side"), F.col("delta").alias("order")))
+    rows = pairs.select(*keys, "task_id", "delta", F.explode(ends).alias("e")).select(*keys, "task_id", "delta", "e.*")
+    place = F.row_number().over(Window.partitionBy(*keys, "side").orderBy("order", "task_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= limit).select(*keys, "task_id", "delta", "side", "place")
 
 
 def never_called(results: DataFrame) -> DataFrame:

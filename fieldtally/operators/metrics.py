@@ -218,14 +218,22 @@ def pivot_table(rows: DataFrame, group_col: str, pipelines: list[str]) -> DataFr
 
 def tertiles(rows: DataFrame, id_col: str, value_col: str, name: str) -> DataFrame:
     """Adds low, mid or high by the thirds of the values of distinct ids; blank if fewer than three have one."""
-    values = rows.select(id_col, value_col).where(F.col(value_col).isNotNull()).dropDuplicates([id_col])
+    return tertile_bins(rows, id_col, {value_col: name})
+
+
+def tertile_bins(rows: DataFrame, id_col: str, names: dict[str, str]) -> DataFrame:
+    """The same for several columns, by the names of their bins; the values of all are placed in order in one pass."""
     from .ranking import quantiles
 
-    found = quantiles(values, [], value_col, [1 / 3, 2 / 3]).select(F.col("q").alias("__q"), F.col("n").alias("__n"))
-    cut = found.agg(F.first("__q").alias("__q"), F.coalesce(F.first("__n"), F.lit(0)).alias("__n"))  # one row, also without values
-    value, q = F.col(value_col), F.col("__q")
-    bins = F.when((F.col("__n") < 3) | value.isNull(), F.lit(None)).when(value <= q[0], "low").when(value <= q[1], "mid").otherwise("high")
-    return rows.crossJoin(F.broadcast(cut)).withColumn(name, bins).drop("__q", "__n")  # one row
+    every = F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in names])
+    values = rows.select(id_col, F.explode(every).alias("x")).select(id_col, "x.of", "x.v").where("v is not null").dropDuplicates([id_col, "of"])
+    found = quantiles(values, ["of"], "v", [1 / 3, 2 / 3])
+    cut = found.agg(F.map_from_entries(F.collect_list(F.struct("of", F.struct("q", "n")))).alias("__cuts"))  # one entry a column, also without values
+    out = rows.crossJoin(F.broadcast(cut))  # one row
+    for c, name in names.items():
+        own, value = F.try_element_at("__cuts", F.lit(c)), F.col(c)
+        out = out.withColumn(name, F.when((F.coalesce(own["n"], F.lit(0)) < 3) | value.isNull(), F.lit(None)).when(value <= own["q"][0], "low").when(value <= own["q"][1], "mid").otherwise("high"))
+    return out.drop("__cuts")
 
 
 def bins(value: Column, edges: list[tuple[float, str]], last: str) -> Column:

@@ -150,11 +150,13 @@ def validation_errors(leaves: DataFrame, fields: DataFrame, texts: DataFrame, re
     """(task_id, path, error) rows: required missing or null, enum, length and pattern rules, wrong shapes, texts that aren't in the source.
 
     ``leaves`` has (task_id, path, value, kind) with lists walked item by item
-    (``tags[0]``); ``fields`` (path, required, kind, enum, pattern,
-    least_length, most_length) of one schema, items of lists under ``tags[]``;
-    ``texts`` (task_id, text); ``records`` all task ids, also of records
-    without leaves.  Every text leaf that the schema knows must stand in the
-    source, but for case, form and spaces.
+    (``tags[0]``), also nulls; ``fields`` (path, required, kind, enum, pattern,
+    least_length, most_length) of one schema, items of lists under ``tags[]``,
+    the kind null where the schema allows several; ``texts`` (task_id, text);
+    ``records`` all task ids, also of records without leaves.  A null is no
+    object and no list, and belongs to an enum only if that lists it.  Every
+    text leaf that the schema knows must stand in the source, but for case,
+    form and spaces; a task's texts are looked for in one pass over its source.
     """
     needed = records.select("task_id").crossJoin(small(fields.where("required and not contains(path, '[]')").select("path")))
     present = leaves.where("value is not null").select("task_id", F.regexp_replace("path", r"\[\d+\].*$", "").alias("path"))
@@ -162,19 +164,20 @@ def validation_errors(leaves: DataFrame, fields: DataFrame, texts: DataFrame, re
     above = present.select("task_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda i: F.array_join(F.slice(F.split("path", r"\."), 1, i), "."))).alias("path")).distinct()
     missing = needed.join(above, ["task_id", "path"], "left_anti").withColumn("error", F.lit("required"))
     general = F.regexp_replace("path", r"\[\d+\]", "[]")
-    ruled = leaves.where("value is not null").withColumn("rule", general).join(fields.withColumnRenamed("path", "rule").withColumnRenamed("kind", "due"), "rule")
-    is_text, composite = F.col("kind") == "string", F.col("due").isin("object", "array")
+    ruled = leaves.withColumn("rule", general).join(fields.withColumnRenamed("path", "rule").withColumnRenamed("kind", "due"), "rule")
+    is_text, composite = F.coalesce(F.col("kind") == "string", F.lit(False)) & F.col("value").isNotNull(), F.coalesce(F.col("due").isin("object", "array"), F.lit(False))
+    listed = F.exists("enum", lambda x: x.eqNullSafe(F.col("value")))
     checks = F.array_compact(F.array(
         F.when(composite, "shape"),  # a leaf where an object or a list is due
-        F.when(~composite & F.col("enum").isNotNull() & ~F.array_contains("enum", F.col("value")), "enum"),
+        F.when(~composite & F.col("enum").isNotNull() & ~listed, "enum"),
         F.when(~composite & is_text & (F.length("value") < F.col("least_length")), "too short"),
         F.when(~composite & is_text & (F.length("value") > F.col("most_length")), "too long"),
         F.when(~composite & is_text & F.col("pattern").isNotNull() & ~F.rlike("value", F.col("pattern")), "pattern"),
     ))
     broken = ruled.select("task_id", "path", F.explode(checks).alias("error"))
-    said = ruled.where(is_text & ~composite & (F.col("value") != "")).select("task_id", "path", "value").join(texts, "task_id")
-    folded = said.select("task_id", "path", text.folded(F.col("value")).alias("v"), text.folded(F.col("text")).alias("t"))
-    loose = folded.where((F.col("v") == "") | (F.instr("t", F.col("v")) == 0)).select("task_id", "path", F.lit("not in text").alias("error"))
+    said = ruled.where(is_text & ~composite & (F.col("value") != "")).groupBy("task_id").agg(F.collect_list("path").alias("paths"), F.collect_list("value").alias("values"))  # a record's leaves
+    marked = said.join(texts, "task_id").select("task_id", F.explode(F.arrays_zip("paths", text.stands_in("values", "text").alias("there"))).alias("x"))
+    loose = marked.where("not x.there").select("task_id", F.col("x.paths").alias("path"), F.lit("not in text").alias("error"))
     return missing.unionByName(broken).unionByName(loose)
 
 

@@ -100,10 +100,13 @@ CASE WHEN coverage_gain <= 0 THEN 'none' WHEN coverage_gain <= 1 THEN 'some' ELS
 FAMILIES = {"all": "'all'", "route": "route", "similarity": "similarity_bin", "pair_gain": "gain_bin", "coverage": "coverage", "domain": "domain", "schema": "schema"}
 
 
+BINS = {"similarity": "similarity_bin", "pair_gain": "gain_bin"}
+
+
 def binned(spark, d) -> DataFrame:
     """Results with diagnostics and their bins."""
     rows = diagnostics(spark, d)
-    rows = metrics.tertiles(metrics.tertiles(rows, "task_id", "similarity", "similarity_bin"), "task_id", "pair_gain", "gain_bin")
+    rows = metrics.tertile_bins(rows, "task_id", BINS)
     rows = rows.withColumn("coverage", metrics.bins(F.col("coverage_gain"), [(0, "none"), (1, "some")], "much"))
     return compare.join_diagnostics(task_results(spark, d), rows)[0]
 
@@ -132,13 +135,16 @@ CASE WHEN round(b.f1 - a.f1, 9) > 0 THEN 'improved' WHEN round(b.f1 - a.f1, 9) <
 FROM rated a JOIN rated b ON a.model = b.model AND a.task_id = b.task_id AND a.pipeline = 'baseline' AND b.pipeline = 'schema')"""
 
 
-def rated_pairs(spark, d) -> DataFrame:
+def rated_pairs(spark, d, with_bins: bool = False) -> DataFrame:
+    """Paired runs of tasks with diagnostics; the bins are made for those who group by them."""
     rows = task_results(spark, d)
     p, r = metrics.ratio(F.col("tps"), F.col("system_keys")), metrics.ratio(F.col("tps"), F.col("gold_keys"))
     rated = rows.withColumns({"p": p, "r": r}).withColumn("f1", metrics.f1(F.col("p"), F.col("r")))
     pairs = compare.paired(rated, "baseline", "schema")
     tasks = diagnostics(spark, d)
-    tasks = metrics.tertiles(metrics.tertiles(tasks, "task_id", "similarity", "similarity_bin"), "task_id", "pair_gain", "gain_bin")
+    if not with_bins:
+        return pairs.join(tasks.select("task_id"), "task_id")
+    tasks = metrics.tertile_bins(tasks, "task_id", BINS)
     return pairs.join(tasks.withColumn("coverage", metrics.bins(F.col("coverage_gain"), [(0, "none"), (1, "some")], "much")), "task_id")
 
 
@@ -151,7 +157,7 @@ sums AS (SELECT model, family, grp, scope, count(*) AS n_tasks, {SIDES}, count_i
 scored AS (SELECT *, {scores('a_')}, {scores('b_')} FROM sums) SELECT * EXCLUDE (grp), grp AS "group" FROM scored""")
 def _(spark, d):
     every = {n: c for n, c in families().items() if n != "schema"}
-    return rounded(compare.paired_summary(rated_pairs(spark, d), every)).drop("delta_f1")
+    return rounded(compare.paired_summary(rated_pairs(spark, d, with_bins=True), every)).drop("delta_f1")
 
 
 @query("a13_overview", f"""WITH {PAIRS_SQL} SELECT model, count(*) AS n_tasks, round(avg(delta), 6) AS mean_delta, round(median(delta), 6) AS median_delta, count_if(delta >= 0.1::DOUBLE)::BIGINT AS large_gains, count_if(delta <= -0.1::DOUBLE)::BIGINT AS large_losses FROM pairs GROUP BY model""")
@@ -289,7 +295,7 @@ def _(spark, d):
 
 @query("w8_tertiles", f"WITH {BINNED} SELECT DISTINCT task_id, similarity_bin, gain_bin FROM binned")
 def _(spark, d):
-    rows = metrics.tertiles(metrics.tertiles(diagnostics(spark, d), "task_id", "similarity", "similarity_bin"), "task_id", "pair_gain", "gain_bin")
+    rows = metrics.tertile_bins(diagnostics(spark, d), "task_id", BINS)
     return rows.select("task_id", "similarity_bin", "gain_bin")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.functions import records, text
-from fieldtally.operators import consensus, lexical, metrics, ranking, retrieval, schemas, scoring
+from fieldtally.operators import compare, consensus, lexical, metrics, ranking, retrieval, schemas, scoring
 
 ENTITIES = {
     "$defs": {"Entity": {"type": "object", "properties": {"text": {"type": "string"}, "label": {"enum": ["PERSON", "ORG", "LOC"]}}}},
@@ -376,6 +376,30 @@ def test_grounding_and_shapes(spark):
     assert got == {(1, "code", "not in text"), (1, "tags", "required"), (2, "tags[0]", "too short"), (2, "tags[0]", "not in text"), (3, "code", "required"), (3, "tags", "shape")}
 
 
+def test_nulls_break_enums_and_shapes(spark):
+    leaves = [(1, "kind", None, "null"), (1, "free", None, "null"), (1, "maybe", None, "null"), (1, "list", None, "null"), (1, "inner", None, "null"), (1, "either", None, "null"), (2, "kind", "a", "string")]
+    df = spark.createDataFrame(leaves, "task_id long, path string, value string, kind string")
+    spec = [("kind", False, "string", ["a"]), ("free", False, "string", None), ("maybe", False, None, ["a", None]), ("list", False, "array", None), ("inner", False, "object", None), ("either", False, None, None)]
+    fields = spark.createDataFrame([(*f, None, None, None) for f in spec], "path string, required boolean, kind string, enum array<string>, pattern string, least_length int, most_length int")
+    texts = spark.createDataFrame([(1, "a"), (2, "so: A")], "task_id long, text string")
+    got = {tuple(r) for r in schemas.validation_errors(df, fields, texts, texts).collect()}
+    assert got == {(1, "kind", "enum"), (1, "list", "shape"), (1, "inner", "shape")}
+
+
+def test_many_strings_in_one_text():
+    rng = random.Random(3)
+    for _ in range(200):
+        source = "".join(rng.choice("ab ") for _ in range(60))
+        values = ["".join(rng.choice("ab ") for _ in range(rng.randrange(6))) for _ in range(rng.randrange(30))]
+        assert text.found_in(values, source) == [bool(v) and v in source for v in values]
+
+
+def test_extremes_of_ties(spark):
+    rows = [("m", k, float(k % 3)) for k in range(30)] + [("n", 1, -1.0)]
+    got = compare.extremes(spark.createDataFrame(rows, "model string, task_id long, delta double").repartition(4), ["model"], 3).collect()
+    assert sorted((r.model, r.side, r.place, r.task_id) for r in got) == [("m", "gain", 1, 2), ("m", "gain", 2, 5), ("m", "gain", 3, 8), ("m", "loss", 1, 0), ("m", "loss", 2, 3), ("m", "loss", 3, 6), ("n", "gain", 1, 1), ("n", "loss", 1, 1)]
+
+
 def test_names_and_words(spark):
     parts = metrics.report_name_parts(F.lit("/x/ev__p__Qwen3-14B__think.json"))
     row = spark.range(1).select(*[c.alias(n) for n, c in parts.items()], text.folded(F.lit(" ＡB ß ")).alias("folded")).first()
