@@ -85,8 +85,15 @@ def resolve_aliases(ids: DataFrame, tasks: DataFrame, prefix: str = "test_") ->
 
 
 def attach_nearest(cells: DataFrame, reports: DataFrame, keys: list[str], tolerance: float = 1e-4) -> DataFrame:
-    """Each cell with the report of the same keys whose F1 is nearest, within the tolerance; ties by higher F1, then event."""
-    near = cells.join(reports.select(*keys, F.col("f1").alias("report_f1"), "event"), keys).where(F.abs(F.col("f1") - F.col("report_f1")) <= tolerance)
+    """Each cell with the report of the same keys whose F1 is nearest, within the tolerance; ties by higher F1, then event.
+
+    F1 falls into bands of twice the tolerance; a cell meets the reports of its
+    band and of both neighbours only.
+    """
+    band = lambda c: F.floor(F.col(c) / (2 * tolerance)).cast("long")
+    spread = cells.withColumn("__band", F.explode(F.array(*[band("f1") + k for k in (-1, 0, 1)])))
+    told = reports.select(*keys, F.col("f1").alias("report_f1"), "event", band("f1").alias("__band"))
+    near = spread.join(told, [*keys, "__band"]).drop("__band").where(F.abs(F.col("f1") - F.col("report_f1")) <= tolerance)
     order = Window.partitionBy(*keys, "cell_id").orderBy(F.abs(F.col("f1") - F.col("report_f1")), F.desc("report_f1"), "event")
     return near.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 

@@ -64,9 +64,9 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
 def baselines(reports: DataFrame, slug: str, pipeline: str = "baseline") -> DataFrame:
     """One baseline per model: the canonical slug first, then the highest F1; ``n_baselines`` over 1 is a collision."""
     found = reports.where(F.col("pipeline") == pipeline)
-    counts = F.count("*").over(Window.partitionBy("model"))
-    best = first_by(found.withColumn("n_baselines", counts), ["model"], F.desc(F.col("slug") == slug), F.desc("f1"), "file")
-    return best.select("model", F.col("slug").alias("baseline_slug"), F.col("f1").alias("baseline_f1"), F.col("file").alias("baseline_file"), "n_baselines")
+    order = F.struct((~F.coalesce(F.col("slug") == slug, F.lit(False))).alias("other"), F.coalesce(-F.col("f1"), F.lit(float("inf"))).alias("less"), "file", "slug", "f1")
+    best = found.groupBy("model").agg(F.min(order).alias("b"), F.count("*").alias("n_baselines"))  # no model's rows come together
+    return best.select("model", F.col("b.slug").alias("baseline_slug"), F.col("b.f1").alias("baseline_f1"), F.col("b.file").alias("baseline_file"), "n_baselines")
 
 
 def ranked_entries(reports: DataFrame, base: DataFrame, pipeline: str = "baseline") -> DataFrame:

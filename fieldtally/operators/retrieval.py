@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import records, text
 from ..sources.files import durable
 from .lexical import LexicalIndex, lexical_ranked  # noqa: F401
+from .ranking import numbered_within
 from .schemas import field_tags
 
 
@@ -33,22 +34,31 @@ def best(rows: DataFrame, keys: list[str], k: int, *order: Column | str) -> Data
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)
 
 
+def by_fingerprint(tasks: DataFrame, cases: DataFrame) -> DataFrame:
+    """Tasks beside the cases of their fingerprint, a hot one spread: a case lies in one salt, a task in all, as many as there are shuffle partitions."""
+    salts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = tasks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(cases.withColumn("__salt", F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int")), ["fingerprint", "__salt"]).drop("__salt")
+
+
 def same_schema(tasks: DataFrame, cases: DataFrame, min_count: int = 1) -> DataFrame:
     """(task_id, case_id, n) of equal fingerprints, for tasks with at least so many matches."""
-    pairs = tasks.select("task_id", "fingerprint").join(cases.select("case_id", "fingerprint"), "fingerprint")
-    return pairs.withColumn("n", F.count("*").over(Window.partitionBy("task_id"))).where(F.col("n") >= min_count).select("task_id", "case_id", "n")
+    counts = cases.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    wanted = tasks.select("task_id", "fingerprint").join(counts, "fingerprint")
+    return by_fingerprint(wanted, cases.select("case_id", "fingerprint")).select("task_id", "case_id", "n")
 
 
 def same_schema_ranked(tasks: DataFrame, cases: DataFrame, threshold: float = 0.6, k: int = 2) -> DataFrame:
     """Cases of a task's schema whose whole-task vector is near enough, the nearest first."""
-    pairs = tasks.select("task_id", "fingerprint", "vec").join(cases.select("case_id", "fingerprint", F.col("vec").alias("case_vec")), "fingerprint").where("task_id <> case_id")
+    pairs = by_fingerprint(tasks.select("task_id", "fingerprint", "vec"), cases.select("case_id", "fingerprint", F.col("vec").alias("case_vec"))).where("task_id <> case_id")
     scored = pairs.select("task_id", "case_id", dot(F.col("vec"), F.col("case_vec")).alias("similarity")).where(F.col("similarity") >= threshold)
     return best(scored, ["task_id"], k, F.desc(F.round("similarity", 9)), "case_id")
 
 
 def nth_same_schema(tasks: DataFrame, cases: DataFrame, n: int) -> DataFrame:
-    """The n-th case of a task's schema in corpus order."""
-    return best(same_schema(tasks, cases), ["task_id"], n, "case_id").where(F.col("place") == n).select("task_id", "case_id")
+    """The n-th case of a task's schema in corpus order; the cases of a schema are numbered once for all its tasks."""
+    nth = numbered_within(cases.select("fingerprint", "case_id"), ["fingerprint"], "place", "case_id").where(F.col("place") == n)
+    return tasks.select("task_id", "fingerprint").join(nth, "fingerprint").select("task_id", "case_id")
 
 
 def alignment(queries: DataFrame, cases: DataFrame, salts: int | None = None) -> DataFrame:
@@ -192,7 +202,7 @@ def routed(tasks: DataFrame, schema: DataFrame, fields: DataFrame, lexical: Call
 
 def stratified_sample(rows: DataFrame, id_col: str, stratum: str, fraction: float, order: Column) -> DataFrame:
     """max(1, round-half-even(n * fraction)) rows of each stratum by a fixed order, so that samples of rising fractions are nested."""
-    w = Window.partitionBy(stratum)
-    n, place = F.count("*").over(w), F.row_number().over(w.orderBy(order, id_col))
-    marked = rows.withColumns({"__n": n, "__place": place})
-    return marked.where(F.col("__place") <= F.greatest(F.lit(1.0), F.bround(F.col("__n") * fraction, 0))).drop("__n", "__place")
+    placed = numbered_within(rows.withColumn("__order", order), [stratum], "__at", "__order", id_col)
+    counts = rows.groupBy(stratum).agg(F.count("*").alias("__n"))
+    marked = placed.join(counts, stratum).where(F.col("__at") <= F.greatest(F.lit(1.0), F.bround(F.col("__n") * fraction, 0)))
+    return marked.select(*rows.columns)

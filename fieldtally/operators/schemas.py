@@ -193,20 +193,39 @@ def hashed_vectors(texts: list[str | None], size: int = 256) -> np.ndarray:
     return out / np.where(norms > 0, norms, 1)
 
 
-def embedded(rows: DataFrame, text_col: str, embed=hashed_vectors) -> DataFrame:
-    """Rows with ``vec``: each distinct text is embedded once and joined back by its hash.
-
-    ``embed`` maps a list of texts to unit vectors; a model takes the place of
-    the default, which needs none.
-    """
+def vectors_by_key(keyed: DataFrame, embed=hashed_vectors) -> DataFrame:
+    """(__key, vec) of every distinct key of (__key, __text)."""
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"__key": batch["__key"], "vec": list(embed(batch["__text"].tolist()))})
 
+    distinct = keyed.groupBy("__key").agg(F.any_value(F.coalesce("__text", F.lit(""))).alias("__text"))
+    return distinct.mapInPandas(vectors, "__key string, vec array<double>")
+
+
+def embedded(rows: DataFrame, text_col: str, embed=hashed_vectors, known: DataFrame | None = None) -> DataFrame:
+    """Rows with ``vec``: each distinct text is embedded once and joined back by its hash.
+
+    ``embed`` maps a list of texts to unit vectors; a model takes the place of
+    the default, which needs none.  ``known`` has (__key, vec) of texts that
+    were embedded before; only the others are embedded.
+    """
     keyed = rows.withColumn("__key", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    distinct = keyed.groupBy("__key").agg(F.any_value(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
-    return keyed.join(distinct.mapInPandas(vectors, "__key string, vec array<double>"), "__key").drop("__key")
+    wanted = keyed.select("__key", F.col(text_col).alias("__text"))
+    if known is None:
+        vecs = vectors_by_key(wanted, embed)
+    else:
+        vecs = known.join(wanted.select("__key").distinct(), "__key", "left_semi").unionByName(vectors_by_key(wanted.join(known.select("__key"), "__key", "left_anti"), embed))
+    return keyed.join(vecs, "__key").drop("__key")
+
+
+def grown_vectors(known: DataFrame | None, rows: DataFrame, text_col: str, embed=hashed_vectors) -> DataFrame:
+    """(__key, vec) of an index that grows: what is known and the vectors of the rows' texts that aren't."""
+    keyed = rows.select(F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("__key"), F.col(text_col).alias("__text"))
+    if known is None:
+        return vectors_by_key(keyed, embed)
+    return known.unionByName(vectors_by_key(keyed.join(known.select("__key"), "__key", "left_anti"), embed))
 
 
 def pair_similarity(pairs: DataFrame, a: str, b: str, embed=None) -> DataFrame:
@@ -216,10 +235,15 @@ def pair_similarity(pairs: DataFrame, a: str, b: str, embed=None) -> DataFrame:
     """
     if embed is None:
         return pairs.withColumn("similarity", text.jaccard(text.word_set(F.col(a)), text.word_set(F.col(b))))
-    every = pairs.select(F.col(a).alias("t")).unionByName(pairs.select(F.col(b).alias("t"))).distinct()
-    vecs = embedded(every, "t", embed)
-    both = pairs.join(vecs.select(F.col("t").alias(a), F.col("vec").alias("__a")), a).join(vecs.select(F.col("t").alias(b), F.col("vec").alias("__b")), b)
-    return both.withColumn("similarity", F.greatest(F.lit(0.0), text.cosine(F.col("__a"), F.col("__b")))).drop("__a", "__b")
+    from ..sources.files import durable  # the readers use this module
+
+    keyed = durable(pairs.withColumns({f"__k{c}": F.sha2(F.coalesce(c, F.lit("")), 256) for c in (a, b)}))
+    sides = keyed.select(F.explode(F.array(*[F.struct(F.col(f"__k{c}").alias("__key"), F.col(c).alias("__text")) for c in (a, b)])).alias("x")).select("x.*")
+    vecs = durable(vectors_by_key(sides, embed))
+    both = keyed
+    for c in (a, b):
+        both = both.join(vecs.select(F.col("__key").alias(f"__k{c}"), F.col("vec").alias(f"__v{c}")), f"__k{c}")
+    return both.withColumn("similarity", F.greatest(F.lit(0.0), text.cosine(F.col(f"__v{a}"), F.col(f"__v{b}")))).select(*pairs.columns, "similarity")
 
 
 def hybrid_similarity(pairs: DataFrame, a: str, b: str, embed=hashed_vectors) -> DataFrame:

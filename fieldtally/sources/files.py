@@ -141,11 +141,13 @@ def write_field_index(fields: DataFrame, path: str) -> DataFrame:
     return fields.sparkSession.read.parquet(path)
 
 
-def build_field_index(cases: DataFrame, path: str, embed=None) -> tuple[DataFrame, DataFrame]:
+def build_field_index(cases: DataFrame, path: str, embed=None, before: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The index of a set of cases (owner, schema): the vectors of their fields' texts, and a table of the cases.
 
     Every case's top-level fields get a row with type class, name, text and a
-    unit vector; equal texts are embedded once.
+    unit vector; equal texts are embedded once.  The vectors are kept by the
+    hash of their text, so that an index built with ``before``, the path of an
+    earlier one, embeds only the texts that the earlier one lacks.
     """
     from ..functions import records
     from ..operators import schemas
@@ -153,6 +155,9 @@ def build_field_index(cases: DataFrame, path: str, embed=None) -> tuple[DataFram
     own = cases.withColumn("fingerprint", F.sha1(records.canonical_json(F.col("schema"))))
     fields = records.schema_fields(own, "fingerprint", "schema").where("depth = 0")
     texts = fields.select("fingerprint", "position", "type_class", "name", schemas.field_text(F.col("name"), F.col("type_text"), F.col("description")).alias("text"))
-    vectors = schemas.embedded(texts, "text", embed or schemas.hashed_vectors)
+    embed = embed or schemas.hashed_vectors
+    known = None if before is None else cases.sparkSession.read.parquet(f"{before}/vectors")
+    kept = write_field_index(schemas.grown_vectors(known, texts, "text", embed), f"{path}/vectors")
+    vectors = schemas.embedded(texts, "text", embed, kept)
     rows = own.select("owner", "fingerprint").join(vectors, "fingerprint").drop("fingerprint")
     return write_field_index(rows, f"{path}/fields"), write_field_index(own.select("owner", "fingerprint"), f"{path}/cases")

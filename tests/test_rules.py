@@ -386,6 +386,81 @@ def test_nulls_break_enums_and_shapes(spark):
     assert got == {(1, "kind", "enum"), (1, "list", "shape"), (1, "inner", "shape")}
 
 
+def test_hot_fingerprints_and_strata(spark):
+    """One key has 90 % of the rows."""
+    cases = [(k, "hot" if k % 10 else f"f{k % 3}", [float(k % 7), 1.0]) for k in range(400)]
+    df = spark.createDataFrame(cases, "case_id long, fingerprint string, vec array<double>").repartition(5)
+    tasks = df.where("case_id % 50 < 2").withColumnRenamed("case_id", "task_id")
+    own = {i: f for i, f, _ in cases}
+    wanted = [i for i in own if i % 50 < 2]
+    of = lambda f: sorted(i for i in own if own[i] == f)
+    assert sorted((r.task_id, r.case_id, r.n) for r in retrieval.same_schema(tasks, df, 20).collect()) == sorted((t, c, len(of(own[t]))) for t in wanted if len(of(own[t])) >= 20 for c in of(own[t]))
+    assert sorted((r.task_id, r.case_id) for r in retrieval.nth_same_schema(tasks, df, 3).collect()) == sorted((t, of(own[t])[2]) for t in wanted)
+    sample = retrieval.stratified_sample(df, "case_id", "fingerprint", 0.1, F.col("case_id") % 13)
+    taken = {f: {r.case_id for r in sample.collect() if r.fingerprint == f} for f in set(own.values())}
+    assert taken == {f: set(sorted(of(f), key=lambda i: (i % 13, i))[: max(1, round(len(of(f)) * 0.1))]) for f in taken}
+
+
+def test_nearest_report_on_edges_of_bands(spark):
+    rng = random.Random(5)
+    cells = [(k, "m", round(rng.randrange(40) * 0.00005, 6)) for k in range(60)]
+    reports = [("m", round(rng.randrange(40) * 0.00005, 6), f"e{k}") for k in range(60)] + [("m", None, "none")]
+    got = compare.attach_nearest(spark.createDataFrame(cells, "cell_id long, model string, f1 double"), spark.createDataFrame(reports, "model string, f1 double, event string"), ["model"]).collect()
+    expected = {}
+    for k, _, f in cells:
+        near = [(abs(f - r), -r, e) for _, r, e in reports if r is not None and abs(f - r) <= 1e-4]
+        if near:
+            expected[k] = min(near)[2]
+    assert {r.cell_id: r.event for r in got} == expected
+
+
+def test_an_index_grows_by_unseen_texts_only(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def embed(texts):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text("\n".join(texts))
+        return schemas.hashed_vectors(texts)
+
+    old, new = spark.createDataFrame([("one",), ("two",), ("one",)], "t string"), spark.createDataFrame([("two",), ("three",), (None,)], "t string")
+    path = str(tmp_path / "index")
+    schemas.grown_vectors(None, old, "t", embed).write.parquet(path)
+    for f in calls.iterdir():
+        f.unlink()
+    known = spark.read.parquet(path)
+    grown = schemas.grown_vectors(known, new, "t", embed).collect()
+    assert sorted(x for f in calls.iterdir() for x in f.read_text().split("\n")) == ["", "three"]
+    whole = {r["__key"]: r.vec for r in schemas.grown_vectors(None, old.unionByName(new), "t").collect()}
+    assert {r["__key"]: r.vec for r in grown} == whole and len(grown) == 4
+    both = lambda **k: sorted((r.t or "", r.vec) for r in schemas.embedded(new, "t", **k).collect())
+    assert both(known=known) == both()
+
+
+def test_field_index_over_an_earlier_one(spark, tmp_path):
+    from fieldtally.sources import files
+
+    schema = lambda k: f'{{"type":"object","properties":{{"f{k}":{{"type":"string","description":"told {k}"}}}}}}'
+    cases = spark.createDataFrame([(k, schema(k % 4)) for k in range(8)], "owner long, schema string")
+    first, second, whole = (str(tmp_path / n) for n in ("first", "second", "whole"))
+    files.build_field_index(cases.where("owner % 4 < 2"), first)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def embed(texts):
+        import uuid
+
+        (seen / uuid.uuid4().hex).write_text("\n".join(texts))
+        return schemas.hashed_vectors(texts)
+
+    grown = files.build_field_index(cases, second, embed, before=first)
+    told = [t for f in seen.iterdir() for t in f.read_text().split("\n") if t]
+    assert len(told) == 2 and {x for t in told for x in ("f0", "f1", "f2", "f3") if x in t} == {"f2", "f3"}
+    full = files.build_field_index(cases, whole)
+    assert all(sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect())) for a, b in zip(grown, full))
+
+
 def test_many_strings_in_one_text():
     rng = random.Random(3)
     for _ in range(200):
