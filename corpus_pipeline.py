@@ -18,13 +18,13 @@ from fieldtally.llm.queries import tokenizer_file
 
 #: Rows that go to a Python worker at a time: documents are long, and a batch of them is held several times over.
 BATCH_ROWS = 1000
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to what a worker of a small executor can hold."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(BATCHES)) <= BATCH_ROWS:
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what lies between them is kept in the shared folder that spark.checkpoint.dir names."""
     shared = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(BATCHES)
+    try:
+        for name, stage in STAGES:
+            path = f"{shared}/{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(BATCHES, before)  # the session's own size of batches
     return docs

@@ -18,6 +18,10 @@ from .ranking import numbered_within
 from .schemas import field_tags
 
 
+#: Cases of the highest scores that bound a query's best pair, and bands of squared norms.
+FIRST_CASES, NORM_BANDS = 4, 64
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -100,16 +104,23 @@ def complementary_pairs(cands: DataFrame) -> DataFrame:
     """Per query the pair of cases of the highest pair score; ties by the sum of scores, then the least sum of ids, then the lower ids.
 
     The squared pair score is at most four times the sum of the squared norms.
-    So with the best partner of the highest-scoring case as a bound, each case
-    whose norm can't reach it with any partner is left out before pairing.
+    The best partners of the highest-scoring cases give a bound; a case whose
+    norm can't reach it with any partner goes.  The others meet in bands of
+    their squared norm: each meets only the bands, from its own downwards, in
+    which a partner's norm could still make up for what its own lacks.
     """
-    own = cands.select("query", "case_id", "vec", "score")
-    top = best(own, ["query"], 1, F.desc("score"), "case_id").select("query", F.col("case_id").alias("t_id"), F.col("vec").alias("t_vec"), F.col("score").alias("t_score"))
+    own = durable(cands.select("query", "case_id", "vec", "score"))
+    top = best(own, ["query"], FIRST_CASES, F.desc("score"), "case_id").select("query", F.col("case_id").alias("t_id"), F.col("vec").alias("t_vec"), F.col("score").alias("t_score"))
     met = own.join(top, "query").where("case_id <> t_id")
-    bound = met.groupBy("query").agg(F.max(pair_score(F.col("vec"), F.col("t_vec"), F.col("score"), F.col("t_score"))).alias("bound"), F.first("t_score").alias("t_score"))
-    kept = own.join(bound, "query").where("4 * (score * score + t_score * t_score) >= bound * bound - 1e-6").select("query", "case_id", "vec", "score")
-    other = kept.select("query", *[F.col(c).alias(f"b_{c}") for c in ("case_id", "vec", "score")])
-    pairs = kept.join(other, "query").where("case_id < b_case_id")
+    bound = durable(met.groupBy("query").agg(F.max(pair_score(F.col("vec"), F.col("t_vec"), F.col("score"), F.col("t_score"))).alias("bound"), F.max("t_score").alias("t_score")))
+    kept = own.join(bound, "query").where("4 * (score * score + t_score * t_score) >= bound * bound - 1e-6").withColumn("lacks", F.col("bound") * F.col("bound") / 4 - 1e-6 - F.col("score") * F.col("score"))
+    band = lambda square: F.floor(square * NORM_BANDS / F.greatest(F.col("t_score") * F.col("t_score"), F.lit(1e-12))).cast("int")
+    square = F.col("score") * F.col("score")
+    left = kept.select("query", "case_id", "vec", "score", "lacks", F.explode(F.sequence(F.least(band(F.greatest("lacks", F.lit(0.0))), band(square)), band(square))).alias("band"))
+    other = kept.select("query", *[F.col(c).alias(f"b_{c}") for c in ("case_id", "vec", "score")], band(square).alias("band"))
+    smaller = (F.col("b_score") < F.col("score")) | ((F.col("b_score") == F.col("score")) & (F.col("case_id") < F.col("b_case_id")))
+    pairs = left.join(other, ["query", "band"]).where(smaller & (F.col("b_score") * F.col("b_score") >= F.col("lacks")))
+    pairs = pairs.select("query", *[F.when(F.col("case_id") < F.col("b_case_id"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("case_id", "b_case_id"), ("vec", "b_vec"), ("score", "b_score"))], *[F.when(F.col("case_id") < F.col("b_case_id"), F.col(b)).otherwise(F.col(a)).alias(b) for a, b in (("case_id", "b_case_id"), ("vec", "b_vec"), ("score", "b_score"))])
     scored = pairs.select("query", F.col("case_id").alias("a"), F.col("b_case_id").alias("b"), pair_score(F.col("vec"), F.col("b_vec"), F.col("score"), F.col("b_score")).alias("pair_score"), F.round(F.col("score") + F.col("b_score"), 9).alias("score_sum"))
     return best(scored, ["query"], 1, F.desc(F.round("pair_score", 7)), F.desc("score_sum"), F.col("a") + F.col("b"), "a").drop("place")
 
