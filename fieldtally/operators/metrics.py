@@ -40,18 +40,46 @@ def micro_metrics(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
 def metric_buckets(rows: DataFrame, keys: list[str], tag_col: str | None = None) -> DataFrame:
     """Micro and mean metrics over all rows and per prefix, schema and tag: (keys, family, bucket).
 
-    One explode to (family, bucket) and one grouping; a row counts once for each of its tags.
+    One explode to (family, bucket) and one grouping; a row counts once for each
+    of its tags.  Distinct tasks are counted by bitmaps over numbered tasks: one
+    of 4 KB for every 32,768 tasks of a bucket, merged before the last grouping.
     """
+    from .ranking import numbered
+
+    ids = numbered(rows.select("task_id").distinct(), "__no", "task_id")
+    own = rows.withColumns({"p": ratio(F.col("tps"), F.col("system_keys")), "r": ratio(F.col("tps"), F.col("gold_keys"))}).withColumn("f", f1(F.col("p"), F.col("r")))
+    spread = in_buckets(own.join(ids, "task_id"), tag_col).withColumn("__bits", F.bitmap_bucket_number(F.col("__no")))
+    sums = {"tps": "tps", "gold_keys": "gold_keys", "system_keys": "system_keys", "p": "mean_precision", "r": "mean_recall", "f": "mean_f1"}
+    groups = [*keys, "family", "bucket"]
+    parts = spread.groupBy(*groups, "__bits").agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n_tasks"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("__no")))).alias("__seen"))
+    whole = parts.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in sums], F.sum("n_tasks").alias("n_tasks"), F.sum("__seen").alias("distinct_tasks"))
+    return with_scores(whole.select(*groups, *[(F.col(c) / F.col("n_tasks") if n.startswith("mean") else F.col(c)).alias(n) for c, n in sums.items()], "n_tasks", "distinct_tasks"))
+
+
+def in_buckets(rows: DataFrame, tag_col: str | None = None) -> DataFrame:
+    """Rows with their family and bucket: all, by prefix, by schema and by each tag."""
     pairs = [("overall", F.lit("all")), ("prefix", F.col("prefix")), ("schema", F.col("schema"))]
     families = F.array(*[F.struct(F.lit(n).alias("family"), c.cast("string").alias("bucket")) for n, c in pairs])
     if tag_col:
         families = F.concat(families, F.transform(F.col(tag_col), lambda t: F.struct(F.lit("tag").alias("family"), t.alias("bucket"))))
-    own = rows.withColumns({"p": ratio(F.col("tps"), F.col("system_keys")), "r": ratio(F.col("tps"), F.col("gold_keys"))}).withColumn("f", f1(F.col("p"), F.col("r")))
-    spread = own.select("*", F.explode(families).alias("e")).select("*", "e.family", "e.bucket")
-    return micro_metrics(
-        spread, [*keys, "family", "bucket"],
-        F.avg("p").alias("mean_precision"), F.avg("r").alias("mean_recall"), F.avg("f").alias("mean_f1"), F.countDistinct("task_id").alias("distinct_tasks"),
-    )
+    return rows.select("*", F.explode(families).alias("e")).select("*", "e.family", "e.bucket").drop("e")
+
+
+def bucket_tasks(rows: DataFrame, keys: list[str], tag_col: str | None = None, part_tasks: int = 1000, schemas: DataFrame | None = None) -> DataFrame:
+    """The tasks of every bucket in order, in parts of so many, so that no list grows with a bucket; of a schema's bucket its description too.
+
+    ``schemas`` has (schema, description).
+    """
+    from .ranking import numbered_within
+
+    groups = [*keys, "family", "bucket"]
+    tasks = numbered_within(in_buckets(rows, tag_col).select(*groups, "task_id").distinct(), groups, "__at", "task_id")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__at", F.col("task_id").cast("string").alias("t")))), lambda x: x["t"])
+    parts = tasks.withColumn("part", F.floor((F.col("__at") - 1) / part_tasks)).groupBy(*groups, "part").agg(F.array_join(ordered, ";").alias("tasks"), F.count("*").alias("n_tasks"))
+    if schemas is None:
+        return parts
+    told = schemas.select(F.lit("schema").alias("family"), F.col("schema").cast("string").alias("bucket"), "description")
+    return parts.join(told, ["family", "bucket"], "left")
 
 
 def timing_summary(rows: DataFrame, keys: list[str], budget_s: float) -> DataFrame:

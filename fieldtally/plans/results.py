@@ -47,6 +47,17 @@ def _(spark, d):
     return rounded(metrics.metric_buckets(rows, ["pipeline"], "tags"))
 
 
+@query("a2_bucket_tasks", f"""WITH {TASK_RESULTS_SQL}, tagged AS (SELECT *, CASE WHEN calls = 0 THEN ['idle'] WHEN calls > 3 THEN ['called','busy'] ELSE ['called'] END AS tags FROM task_results),
+spread AS (SELECT pipeline, task_id, 'overall' AS family, 'all' AS bucket FROM tagged UNION SELECT pipeline, task_id, 'prefix', domain[1:1] FROM tagged UNION SELECT pipeline, task_id, 'schema', schema FROM tagged UNION SELECT pipeline, task_id, 'tag', unnest(tags) FROM tagged),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY pipeline, family, bucket ORDER BY task_id) - 1) // 500 AS part FROM spread)
+SELECT pipeline, family, bucket, part, string_agg(task_id::VARCHAR, ';' ORDER BY task_id) AS tasks, count(*) AS n_tasks, CASE WHEN family = 'schema' THEN 'schema ' || bucket END AS description FROM placed GROUP BY pipeline, family, bucket, part""")
+def _(spark, d):
+    tags = F.array_compact(F.array(F.when(F.col("calls") == 0, "idle"), F.when(F.col("calls") > 0, "called"), F.when(F.col("calls") > 3, "busy")))
+    rows = task_results(spark, d).withColumns({"tags": tags, "prefix": F.substring("domain", 1, 1)})
+    described = rows.select("schema").distinct().withColumn("description", F.concat(F.lit("schema "), F.col("schema").cast("string")))
+    return metrics.bucket_tasks(rows, ["pipeline"], "tags", 500, described)
+
+
 @query("a5_timing", f"""WITH {TASK_RESULTS_SQL} SELECT run, count(elapsed_s) AS n_timed, round(avg(elapsed_s), 6) AS avg_s, max(elapsed_s) AS max_s, count_if(elapsed_s > 60)::BIGINT AS over_budget, avg(elapsed_s) <= 60 AS within_budget FROM task_results GROUP BY run""")
 def _(spark, d):
     return rounded(metrics.timing_summary(task_results(spark, d), ["run"], 60.0))
