@@ -170,6 +170,16 @@ def trace_metrics(spans: DataFrame) -> DataFrame:
     )
 
 
+def trace_steps(spans: DataFrame, part_steps: int = 1000) -> DataFrame:
+    """The steps of every task in order, in parts of so many, so that a task of any length is no row of its own length: (task_id, part, first_started, steps, n_steps)."""
+    from .ranking import numbered_within
+
+    placed = numbered_within(spans.select("task_id", "started", "step"), ["task_id"], "__at", "started", "step")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__at", "step"))), lambda x: x["step"])
+    parts = placed.withColumn("part", F.floor((F.col("__at") - 1) / part_steps)).groupBy("task_id", "part")
+    return parts.agg(F.min("started").alias("first_started"), F.array_join(ordered, ">").alias("steps"), F.count("*").alias("n_steps"))
+
+
 def run_count_spread(counts: DataFrame) -> DataFrame:
     """Least, most and mean count of predictions a task, per pipeline."""
     return counts.groupBy("pipeline").agg(F.min("n_predictions").alias("least"), F.max("n_predictions").alias("most"), F.avg("n_predictions").alias("mean"), F.count("*").alias("n_tasks"))

@@ -76,6 +76,13 @@ def _(spark, d):
     return rounded(metrics.trace_metrics(spans))
 
 
+@query("a7_trace_steps", """WITH placed AS (SELECT user_id AS task_id, ts, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) - 1) // 20 AS part FROM events)
+SELECT task_id, part, min(ts) AS first_started, string_agg(event_type, '>' ORDER BY ts, event_type) AS steps, count(*) AS n_steps FROM placed GROUP BY task_id, part""")
+def _(spark, d):
+    spans = table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("ts").alias("started"), F.col("event_type").alias("step"))
+    return metrics.trace_steps(spans, 20)
+
+
 HEADER_SQL = "header AS (SELECT key, sum(prompt_tokens + completion_tokens)::BIGINT + (key % 5) * 20000 AS header_tokens FROM usage_log WHERE key % 3 <> 0 GROUP BY key)"
 
 
