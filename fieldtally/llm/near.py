@@ -17,9 +17,17 @@ similarity of 0.8 or more.
    members.  Common shingles are not gathered: they are dealt out by node.
 4. The members of a shingle that many nodes have are first compared with one of
    them, the pivot; what that links needs no more comparisons, so a dense group
-   costs rows, not pairs.  When little is left, all pairs of different
-   components are compared.
-5. Candidates whose sizes, or whose counts of hashes by remainder, bound the
+   costs rows, not pairs.  When few pairs are left, or pivots link no more, all
+   pairs of different components are formed whose sizes and odd counts allow it.
+5. Where that would be far more work than there are shingles, shared shingles tell
+   little, as where texts are put together from common passages: there the
+   nodes left are dealt out by parts of their whole sets.  Sets
+   of sizes in a range that a similar pair can have differ in at most k elements;
+   with the shingles dealt out to more than k parts by their hashes, a similar
+   pair has a part in which both sets are the same and not empty.  The sum of a
+   part's hashes is its signature.  Only nodes of different components that share
+   a signature, and whose sizes and odd counts allow it, become pairs.
+6. Candidates whose sizes, odd counts or counts of hashes by remainder bound the
    overlap too low go; of the rest the whole sets are compared.  So the links
    are exact, whichever way a candidate came.
 
@@ -34,11 +42,12 @@ the text are not read, and may have any names.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
@@ -52,10 +61,13 @@ SIMILAR = (4, 5)
 SAMPLE_ROWS, COMMON_TEXTS, COMMON_MOST = 8_192, 3, 65_536
 #: Remainders by which hashes are counted, each up to a byte.
 COUNTS = 256
+ODD = [f"odd{i}" for i in range(COUNTS // 64)]
 #: Shingles of a bucket aimed at, and shingles that a task gathers before it deals them out.
 BUCKET_ITEMS, GATHERED = 250_000, 400_000
-#: Rounds with pivots at most, and pairs that are compared at once without more of them.
-PIVOT_ROUNDS, FEW_PAIRS = 4, 300_000
+#: Rounds with pivots at most, pairs that are compared at once without more of them, and the share of pairs that a round must leave out at least for another.
+PIVOT_ROUNDS, FEW_PAIRS, WORTH = 8, 300_000, 0.2
+#: Pairs for each shingle of the nodes left from which signatures cost less than pairs.
+PAIRS_PER_SHINGLE = 20
 #: Nodes of a shingle whose pairs are compared without a pivot.
 SHORT = 8
 #: Rows that a Python function hands back at a time.
@@ -73,6 +85,46 @@ def prefix_length(n: int) -> int:
     return n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1 if n else 0
 
 
+@cache
+def size_ranges() -> np.ndarray:
+    """The last sizes of ranges such that the sizes of a similar pair lie in one of them or in neighbours."""
+    last = [0]
+    while last[-1] < 2**40:
+        last.append(max(last[-1] + 1, (last[-1] + 1) * SIMILAR[1] // SIMILAR[0]))
+    return np.array(last[1:])
+
+
+def _mix(keys: np.ndarray, salt: int) -> np.ndarray:
+    """Well spread 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (keys ^ np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
+def signatures(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the parts of a set of distinct hashes; two similar sets, unless they are empty, share at least one.
+
+    For the range of its size and for the next, a set is cut into k + 1 + e
+    parts, where similar sets of that range and the one before differ in k
+    elements at most.  They agree on 1 + e parts, so on one that isn't empty if
+    either has at most e empty parts; a set with more tells its empty parts too.
+    """
+    own, out = int(np.searchsorted(size_ranges(), len(hashes))), [np.empty(0, np.uint64)]
+    for place in (own, own + 1) if len(hashes) else ():
+        k = int(2 * size_ranges()[place] * (SIMILAR[1] - SIMILAR[0]) // (SIMILAR[1] + SIMILAR[0]))
+        spare = 2 + k // 16
+        parts = k + 1 + spare
+        mixed = _mix(hashes, 2 * place + 1)
+        part = (mixed >> np.uint64(20)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        full, starts = np.unique(part[order], return_index=True)
+        with np.errstate(over="ignore"):
+            out.append(_mix(np.add.reduceat(_mix(hashes[order], 2), starts) + full, 2 * place + 4))
+        if parts - len(full) > spare:
+            out.append(_mix(np.setdiff1d(np.arange(parts, dtype=np.uint64), full), 2 * place + 5))
+    return np.unique(np.concatenate(out))
+
+
 def set_key(hashes: np.ndarray) -> bytes:
     import xxhash
 
@@ -91,7 +143,7 @@ def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _prints(texts: DataFrame) -> DataFrame:
-    """(doc_id, key, part, n, fp, counts) of every row."""
+    """(doc_id, key, part, n, fp, counts, odd) of every row; odd tells of which remainders there is an odd number."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _sliced(batches):
@@ -101,10 +153,17 @@ def _prints(texts: DataFrame) -> DataFrame:
                 hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
                 counts = np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
                 key, fp = set_key(hashes), int.from_bytes(simhash.majority_bits(iter(blocks)), "big", signed=True)
-                out.append((i, key, _part(key), len(hashes), fp, np.minimum(counts, 255).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "part", "n", "fp", "counts"])
+                odd = np.packbits(counts & 1).view(">i8").tolist()
+                out.append((i, key, _part(key), len(hashes), fp, np.minimum(counts, 255).astype(np.uint8).tobytes(), *odd))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "part", "n", "fp", "counts", *ODD])
+
+    return texts.mapInPandas(rows, "doc_id long, key binary, part long, n int, fp long, counts binary, " + ", ".join(f"{c} long" for c in ODD))
 
-    return texts.mapInPandas(rows, "doc_id long, key binary, part long, n int, fp long, counts binary")
+
+def _may_fit() -> Column:
+    """Whether the sizes and odd counts of nodes a and b allow the least similarity: each remainder whose counts differ in parity holds a shingle of one set only."""
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ODD), F.lit(0))
+    return apart * (SIMILAR[1] + SIMILAR[0]) <= (F.col("n_a") + F.col("n_b")) * (SIMILAR[1] - SIMILAR[0])
 
 
 def _common(texts: DataFrame, total: int) -> np.ndarray:
@@ -189,6 +248,73 @@ def _shared(texts: DataFrame, common: np.ndarray, items: int) -> DataFrame:
     return _dealt(texts, common, buckets).groupBy("bucket").applyInPandas(several, "pair boolean, x long, y long")
 
 
+def _across(rest: DataFrame, items: int) -> DataFrame:
+    """(a, b): pairs of nodes of different components that share a signature and may be similar.
+
+    ``rest`` has (text, part, node, component, n, odd).  What is dealt out is
+    packed: a bucket's signatures, each with the place of its node in a list.
+    """
+    buckets = items // BUCKET_ITEMS + 1
+    fields = pa.schema([("bucket", pa.int64()), ("items", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary())])
+    width = 3 + len(ODD)
+
+    def packed(items: list[np.ndarray], nodes: list[list[int]]) -> pa.RecordBatch:
+        h, at = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
+        every, bucket = np.array(nodes, np.int64), (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[order], return_index=True)
+        rows = []
+        for name, own in zip(names.tolist(), np.split(order, starts[1:])):
+            mine, places = np.unique(at[own], return_inverse=True)
+            rows.append((name, h[own].tobytes(), places.astype(np.int32).tobytes(), every[mine].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, nodes, gathered = [], [], 0
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("node", "component", "n", *ODD)], axis=1)
+            for k, (text, part) in enumerate(zip(batch.column("text"), batch.column("part").to_pylist())):
+                hashes = shingle_set(text.as_py())
+                if _part(set_key(hashes)) == part and len(hashes):  # not another text of the same id
+                    items.append(signatures(hashes))
+                    nodes.append(own[k].tolist())
+                    gathered += len(items[-1])
+                if gathered >= GATHERED:
+                    yield packed(items, nodes)
+                    items, nodes, gathered = [], [], 0
+        if items:
+            yield packed(items, nodes)
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(x) // (8 * width) for x in rows["nodes"]]
+        every = np.frombuffer(b"".join(rows["nodes"]), np.int64).reshape(-1, width)
+        h = np.frombuffer(b"".join(rows["items"]), np.uint64)
+        at = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + start for x, start in zip(rows["places"], np.cumsum([0, *sizes[:-1]]))])
+        both = np.unique(np.stack([h, every[at, 0].view(np.uint64)], axis=1), axis=0, return_index=True)[1]  # repeated rows count once
+        both = both[np.argsort(h[both], kind="stable")]
+        h, own = h[both], every[at[both]]
+        found = [np.empty((0, 2), np.int64)]
+        for a, b in zip(*(lambda s: (s, np.append(s[1:], len(h))))(np.flatnonzero(np.append(True, h[1:] != h[:-1]))) if len(h) else ((), ())):
+            group = own[a:b]
+            if b - a < 2 or (group[:, 1] == group[0, 1]).all():
+                continue
+            for k in range(0, len(group), 256):  # a block of them against those behind
+                x, y = group[k : k + 256], group[k:]
+                n, m = x[:, None, 2], y[None, :, 2]
+                ok = (x[:, None, 1] != y[None, :, 1]) & (np.minimum(n, m) * SIMILAR[1] >= np.maximum(n, m) * SIMILAR[0])
+                apart = sum(np.bitwise_count((x[:, None, 3 + c] ^ y[None, :, 3 + c]).view(np.uint64)).astype(np.int64) for c in range(len(ODD)))
+                i, j = np.nonzero(ok & (apart * (SIMILAR[1] + SIMILAR[0]) <= (n + m) * (SIMILAR[1] - SIMILAR[0])))
+                found.append(np.stack([x[i, 0], y[j, 0]], axis=1))
+            if sum(map(len, found)) > 1_000_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.concatenate(found)
+        pairs = np.unique(np.stack([pairs.max(axis=1, initial=-1), pairs.min(axis=1, initial=2**62)], axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = rest.select("text", "part", "node", "component", "n", *ODD).mapInArrow(deal, "bucket long, items binary, places binary, nodes binary")
+    return dealt.groupBy("bucket").applyInPandas(meet, "a long, b long")
+
+
 @F.pandas_udf(BooleanType())
 def _may_be_alike(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """Whether the counts allow the least overlap; a count of 255 may be more and rules nothing out."""
@@ -222,7 +348,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     A set goes to each of its pairs that counts don't rule out, once; the two
     sets of a pair meet by its number.
     """
-    may = _beside(pairs.distinct(), nodes, "counts", "n").where(_may_be_alike("counts_a", "counts_b", "n_a", "n_b"))
+    may = durable(_beside(pairs.distinct(), nodes, "n", *ODD).where(_may_fit()).select("a", "b"))
+    may = _beside(may, nodes, "counts", "n").where(_may_be_alike("counts_a", "counts_b", "n_a", "n_b"))
     near = durable(may.select("a", "b").withColumn("pair", F.monotonically_increasing_id()))
     sides = near.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("s"))
     sides = durable(sides.select("pair", "s.side", "s.node").join(nodes.select("node", "key", "doc_id"), "node").drop("node"))
@@ -258,7 +385,7 @@ def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
     fits = F.least("n", "m") * SIMILAR[1] >= F.greatest("n", "m") * SIMILAR[0]
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     extra: DataFrame | None = few.where("a <> b").where(fits).select(*ordered).unionByName(_tree_pairs(nodes).select(*ordered))
-    links = found = None
+    links = found = before = None
     for turn in range(PIVOT_ROUNDS + 1):
         named = members.withColumn("component", F.col("node")) if found is None else members.join(_small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = durable(named)
@@ -267,15 +394,27 @@ def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
         pairs_left = pivots.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
         if not pairs_left and extra is None:
             break
-        last = turn == PIVOT_ROUNDS or (pairs_left or 0) <= FEW_PAIRS
+        pairs_left = pairs_left or 0
+        last = pairs_left <= FEW_PAIRS or turn == PIVOT_ROUNDS or (before is not None and pairs_left > (1 - WORTH) * before)
+        before = pairs_left
         live = named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle")
         if last:
-            others = live.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
-            pairs = live.join(others, "shingle").where(F.col("node") > F.col("b"))
+            left = live.groupBy("node").agg(F.first("component").alias("component")).join(nodes.select("node", "part", "doc_id", "n", *ODD), "node")
+            left = durable(left.withColumnRenamed("doc_id", "own_id"))
+            several = left.agg(F.sum("n")).first()[0] or 0
+        if last and pairs_left > PAIRS_PER_SHINGLE * several:
+            rest = texts.join(_small(left), F.col("doc_id") == F.col("own_id"))
+            pairs = durable(_across(rest, int(several)))
+        elif last:
+            # Sizes, odd counts and components rule pairs out before they are formed.
+            own = live.select("shingle", "node").join(_small(left.select("node", "component", "n", *ODD)), "node")
+            one, two = ([F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("component", "n", *ODD)]] for side in "ab")
+            may = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * SIMILAR[1] >= F.greatest("n_a", "n_b") * SIMILAR[0]) & _may_fit()
+            pairs = own.select("shingle", *one).join(own.select(F.col("shingle").alias("same"), *two), (F.col("shingle") == F.col("same")) & may).select("a", "b")
         else:
             live = durable(live)
             pairs = live.join(pivots, "shingle").where(F.col("node") != F.col("b"))
-        pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+            pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         if extra is not None:
             pairs, extra = pairs.unionByName(extra), None
         new = _verified(pairs, nodes, texts)
@@ -291,7 +430,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, key, component_id) of every row with an id; rows of one component are linked by pairs of the least similarity."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     rows = durable(_prints(texts))
-    nodes = rows.groupBy("key", "part", "n", "fp", "counts").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    nodes = rows.groupBy("key", "part", "n", "fp", "counts", *ODD).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))  # short numbers, fixed from here on
     total = nodes.agg(F.sum("copies")).first()[0] or 0
     found = _links(nodes, texts, total) if total else None

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from fieldtally.llm import near
 
 
@@ -52,8 +53,9 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch):
     want, pairs = least(rows)
     assert pairs > 500
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for few in (near.FEW_PAIRS, 10):  # all pairs at once, and pivots first
+    for few, per_shingle in ((near.FEW_PAIRS, 20), (10, 20), (10, -1)):  # all pairs at once, pivots first, pivots and signatures
         monkeypatch.setattr(near, "FEW_PAIRS", few)
+        monkeypatch.setattr(near, "PAIRS_PER_SHINGLE", per_shingle)
         assert {r.doc_id: r.component_id for r in near.near_copies(docs).collect()} == want
 
 
@@ -85,3 +87,45 @@ def test_rows_of_one_id(spark):
     kept = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept string"))
     assert sorted((r.doc_id or 0, r.kept) for r in kept.collect()) == [(0, "f"), (5, "a"), (5, "c")]
     assert kept.columns == ["doc_id", "text", "kept"]
+
+
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 150))
+        numbers = rng.permutation(np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64)))
+        both, more = int(rng.integers(1, n + 1)), rng.integers(0, n // 5 + 1, 2)
+        a = np.unique(numbers[: both + more[0]])
+        b = np.unique(np.concatenate([numbers[:both], numbers[both + more[0] : both + more.sum()]]))
+        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            met += 1
+            assert len(np.intersect1d(near.signatures(a), near.signatures(b)))
+    assert met > 1000
+    assert not len(near.signatures(np.empty(0, np.uint64)))
+
+
+def passages(n, seed=2):
+    """Texts put together from five of 40 passages, few of which are similar."""
+    rng = random.Random(seed)
+    every = [" ".join(f"p{k}w{i}" for i in range(15)) for k in range(40)]
+    return [(i, " ".join(rng.sample(every, 5))) for i in range(n)]
+
+
+def test_common_passages_make_few_candidates(spark, monkeypatch):
+    """What reaches the comparison grows far less than the pairs with a passage in common, which grow with the square."""
+    seen, checked = [], near._verified
+
+    def counted(pairs, nodes, texts):
+        seen[-1] += pairs.count()
+        return checked(pairs, nodes, texts)
+
+    monkeypatch.setattr(near, "_verified", counted)
+    monkeypatch.setattr(near, "FEW_PAIRS", 1000)
+    for n in (1000, 2000):
+        rows = passages(n)
+        seen.append(0)
+        found = {r.doc_id: r.component_id for r in near.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        if n == 1000:
+            assert found == least(rows)[0]
+    assert seen[1] < 3.4 * seen[0] and seen[1] < 0.06 * 2000 * 2000 / 2, seen  # all pairs with a passage in common are half of all pairs
