@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..sources import files
-from ..streaming import logs
+from ..streaming import live, logs
 from .registry import query
 from .results import rounded, scores
 from .standins import REPORTS_SQL, TASK_RESULTS_SQL, USAGE_LOG_SQL, reports, table, task_results, usage_log
@@ -37,23 +38,45 @@ def _(spark, d):
     return logs.available_now(logs.running_tokens(stream), "running").withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("st2_attributed", f"WITH {USAGE_LOG_SQL}, w AS (SELECT user_id AS key, event_id AS task_id, ts AS started, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ended FROM events WHERE event_type = 'signup') SELECT w.task_id, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage_log u JOIN w ON u.key = w.key AND u.ts >= w.started AND u.ts < w.ended GROUP BY w.task_id")
-def _(spark, d):
-    from pyspark.sql import Window
+WINDOWS_SQL = f"WITH {USAGE_LOG_SQL}, w AS (SELECT user_id AS key, event_id AS task_id, ts AS started, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ended FROM events WHERE event_type = 'signup') SELECT w.task_id, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM usage_log u JOIN w ON u.key = w.key AND u.ts >= w.started AND u.ts < w.ended GROUP BY w.task_id"
+
 
+def _windows(spark, d):
+    """A task runs from one signup of its key to the next."""
     ended = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    tasks = table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("task_id"), F.col("ts").alias("started"), ended.alias("ended")).where("ended is not null")
-    rows = logs.available_now(logs.attributed(logs.usage_stream(spark, _usage_files(spark, d)), tasks), "attributed")
+    return table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("task_id"), F.col("ts").alias("started"), ended.alias("ended")).where("ended is not null")
+
+
+def _calls(rows):
     return rows.groupBy("task_id").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"))
 
 
+@query("st2_attributed", WINDOWS_SQL)
+def _(spark, d):
+    return _calls(logs.available_now(logs.attributed(logs.usage_stream(spark, _usage_files(spark, d)), _windows(spark, d)), "attributed"))
+
+
+@query("st2_two_streams", WINDOWS_SQL)
+def _(spark, d):
+    """The windows arrive as a stream too, in files of their own; lateness is as long as the log, so that the order of files drops nothing."""
+    path = files.shared_folder(spark, "windows")
+    _windows(spark, d).repartitionByRange(4, "started").write.parquet(path)
+    windows = spark.readStream.schema("key string, task_id bigint, started timestamp, ended timestamp").parquet(path)
+    met = live.attributed(logs.usage_stream(spark, _usage_files(spark, d)), windows, "40 days", "40 days", bucket_s=86400)
+    run = files.shared_folder(spark, "two-streams")
+    live.resume(met, run, "append")
+    return _calls(spark.read.schema(met.schema).parquet(f"{run}/out"))
+
+
 @query("st3_progress", f"""WITH {REPORTS_SQL} SELECT team AS slug, model, count_if(file % 6 > 0)::BIGINT AS done, count_if(file % 6 = 0)::BIGINT AS failed, max(f1) AS best_f1, arg_max(pipeline, {{'a': f1, 'b': pipeline}}) AS best_pipeline FROM reports GROUP BY ALL""")
 def _(spark, d):
     path = files.shared_folder(spark, "status")
     rows = reports(spark, d).select(F.col("team").alias("slug"), "pipeline", "model", F.when(F.col("file") % 6 == 0, "failed").otherwise("done").alias("status"), "f1")
     rows.repartition(6).write.json(path)
     stream = spark.readStream.schema(logs.STATUS_SCHEMA).option("maxFilesPerTrigger", 2).json(path)
-    return logs.latest(logs.progress(stream), "progress", ["slug", "model"])
+    run = files.shared_folder(spark, "progress")
+    live.resume(live.progress(stream), run, "append")
+    return live.progress_now(spark, run)
 
 
 @query("src1_tasks", "SELECT s_suppkey::VARCHAR AS id, s_name AS instruction, '{\"type\":\"object\"}' AS target_schema, s_nationkey::VARCHAR AS domain FROM supplier")
@@ -170,4 +193,6 @@ def _(spark, d):
     rows = reports(spark, d).select(F.col("team").alias("slug"), "pipeline", "model", F.lit("done").alias("status"), "f1")
     rows.repartition(6).write.json(path)
     stream = spark.readStream.schema(logs.STATUS_SCHEMA).option("maxFilesPerTrigger", 2).json(path)
-    return logs.top(logs.latest(logs.progress(stream), "top", ["slug", "model"]), ["model"], 3)
+    run = files.shared_folder(spark, "board")
+    live.resume(live.board(stream, 3), run, "update")
+    return live.board_now(spark, run, 3)
