@@ -62,6 +62,9 @@ SAMPLE_ROWS, COMMON_TEXTS, COMMON_MOST = 8_192, 3, 65_536
 #: Remainders by which hashes are counted, each up to a byte.
 COUNTS = 256
 ODD = [f"odd{i}" for i in range(COUNTS // 64)]
+#: Orders of shingles in which nodes have a least one, each by a constant (a multiple of the golden ratio's 64 bits, signed).
+ORDERS = [(k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for k in range(8)]
+LEAST = [f"least{k}" for k in range(len(ORDERS))]
 #: Shingles of a bucket aimed at, and shingles that a task gathers before it deals them out.
 BUCKET_ITEMS, GATHERED = 250_000, 400_000
 #: Rounds with pivots at most, pairs that are compared at once without more of them, and the share of pairs that a round must leave out at least for another.
@@ -332,8 +335,8 @@ def _key_of(texts: pd.Series) -> pd.Series:
 
 
 def _small(rows: DataFrame) -> DataFrame:
-    """Marked for a broadcast if its checked size allows it."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """Marked for a broadcast if its checked size, in rows of two columns, allows it."""
+    return F.broadcast(rows) if rows.count() * max(len(rows.columns), 2) <= 2 * BROADCAST_ROWS else rows
 
 
 def _beside(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -374,6 +377,24 @@ def _tree_pairs(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(simhash.links(first.select("fp", F.col("first").alias("node"))))
 
 
+def _least(shingle: str) -> list[Column]:
+    """A node's least shingle in each of several orders, one order for each constant that is flipped into the shingles."""
+    return [F.min(F.col(shingle).bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(name) for c, name in zip(ORDERS, LEAST)]
+
+
+def _first_met(shingle: str) -> Column:
+    """Whether a pair is formed at this shingle: only at the first least shingle that both have alike, or at all they share if no least one is alike.
+
+    A least shingle that both have alike is one that they share, so each pair
+    is still formed once at least.
+    """
+    at = F.col(shingle)
+    rule = F.when(F.col(f"{LEAST[0]}_a") == F.col(f"{LEAST[0]}_b"), at == F.col(f"{LEAST[0]}_a"))
+    for name in LEAST[1:]:
+        rule = rule.when(F.col(f"{name}_a") == F.col(f"{name}_b"), at == F.col(f"{name}_a"))
+    return rule.otherwise(F.lit(True))
+
+
 def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
     """(node, component) of every node with a link."""
     items = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1)).first()[0] or 0
@@ -399,7 +420,7 @@ def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
         before = pairs_left
         live = named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle")
         if last:
-            left = live.groupBy("node").agg(F.first("component").alias("component")).join(nodes.select("node", "part", "doc_id", "n", *ODD), "node")
+            left = live.groupBy("node").agg(F.first("component").alias("component"), *_least("shingle")).join(nodes.select("node", "part", "doc_id", "n", *ODD), "node")
             left = durable(left.withColumnRenamed("doc_id", "own_id"))
             several = left.agg(F.sum("n")).first()[0] or 0
         if last and pairs_left > PAIRS_PER_SHINGLE * several:
@@ -407,9 +428,9 @@ def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
             pairs = durable(_across(rest, int(several)))
         elif last:
             # Sizes, odd counts and components rule pairs out before they are formed.
-            own = live.select("shingle", "node").join(_small(left.select("node", "component", "n", *ODD)), "node")
-            one, two = ([F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("component", "n", *ODD)]] for side in "ab")
-            may = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * SIMILAR[1] >= F.greatest("n_a", "n_b") * SIMILAR[0]) & _may_fit()
+            own = live.select("shingle", "node").join(_small(left.select("node", "component", "n", *ODD, *LEAST)), "node")
+            one, two = ([F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("component", "n", *ODD, *LEAST)]] for side in "ab")
+            may = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * SIMILAR[1] >= F.greatest("n_a", "n_b") * SIMILAR[0]) & _may_fit() & _first_met("shingle")
             pairs = own.select("shingle", *one).join(own.select(F.col("shingle").alias("same"), *two), (F.col("shingle") == F.col("same")) & may).select("a", "b")
         else:
             live = durable(live)

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from fieldtally.llm import near
 
 
@@ -129,3 +130,18 @@ def test_common_passages_make_few_candidates(spark, monkeypatch):
         if n == 1000:
             assert found == least(rows)[0]
     assert seen[1] < 3.4 * seen[0] and seen[1] < 0.06 * 2000 * 2000 / 2, seen  # all pairs with a passage in common are half of all pairs
+
+
+def test_pairs_are_formed_where_their_least_shingle_says(spark):
+    """Every pair that shares a shingle is still formed, and most of them once only, where a shingle has many nodes."""
+    r = random.Random(5)
+    passages = [[r.randrange(-(2**63), 2**63) for _ in range(30)] for _ in range(6)]
+    own = {n: {s for p in r.sample(passages, 2) for s in p[: r.randint(5, 30)]} for n in range(60)}
+    live = spark.createDataFrame([(s, n) for n, shingles in own.items() for s in shingles], "shingle long, node long")
+    rows = live.join(live.groupBy("node").agg(*near._least("shingle")), "node")
+    one, two = ([F.col("shingle").alias(f"shingle_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", *near.LEAST)]] for x in "ab")
+    met = rows.select(*one).join(rows.select(*two), (F.col("shingle_a") == F.col("shingle_b")) & (F.col("node_a") > F.col("node_b")) & near._first_met("shingle_a"))
+    formed = [(x.node_a, x.node_b) for x in met.select("node_a", "node_b").collect()]
+    want = {(a, b) for a in own for b in own if a > b and own[a] & own[b]}
+    assert set(formed) == want
+    assert len(formed) < 0.3 * sum(len(own[a] & own[b]) for a, b in want)
