@@ -83,14 +83,29 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "supplier")
     task = [F.col("s_suppkey").cast("string").alias("id"), F.lit("text").alias("input_text"), F.col("s_name").alias("instruction"), F.struct(F.lit("object").alias("type")).alias("target_schema"), F.struct(F.col("s_nationkey").cast("string").alias("domain")).alias("metadata")]
-    path = _single_files(rows.select(F.col("s_suppkey").alias("k"), *task), files.shared_folder(spark, "tasks"))
+    path = _single_files(rows.select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").alias("__no"), *task), files.shared_folder(spark, "tasks"))
     return files.read_tasks(spark, path).select("id", "instruction", "target_schema", F.col("metadata")["domain"].alias("domain"))
 
 
+#: Documents with a number up to this stand in files of their own, all others packed, so that the folders don't grow with the table.
+SINGLE_FILES = 20
+
+
+def _documents(rows, path: str, name, folders: list[str]) -> str:
+    """One JSON document a row: of the first by ``__no`` a file each in its folders, of all others a packed row of this name."""
+    single = F.coalesce(F.col("__no") <= SINGLE_FILES, F.lit(False))
+    body = F.to_json(F.struct(*[c for c in rows.columns if c not in (*folders, "__no")]))
+    files.write_packed(rows.where(~single).select(name.alias("file"), body.alias("value")), f"{path}/packed")
+    rows.where(single).drop("__no").repartition(1).write.mode("append").partitionBy(*folders).json(path)
+    return path
+
+
 def _single_files(rows, path: str) -> str:
-    """One JSON file per row, each in a folder named by ``k``, and a file that isn't JSON."""
-    rows.repartition(32, "k").write.partitionBy("k").json(path)
-    rows.sparkSession.createDataFrame([("{not json",)], "value string").coalesce(1).write.text(f"{path}/k=bad")
+    """One JSON document a row, named by ``k``, and one that isn't JSON of either kind."""
+    spark = rows.sparkSession
+    _documents(rows, path, F.concat(F.lit("/"), F.col("k").cast("string"), F.lit(".json")), ["k"])
+    spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.text(f"{path}/k=bad")
+    files.write_packed(spark.createDataFrame([("/bad.json", "{not json")], files.PACKED_SCHEMA).coalesce(1), f"{path}/packed")
     return path
 
 
@@ -99,14 +114,14 @@ def _(spark, d):
     even = F.col("p_size") % 2 == 0
     schema = F.when(even, '{"type":"object","properties":{}}').otherwise('{"type":"array"}')
     example = F.create_map(F.lit("size"), F.struct(F.col("p_size").cast("string").alias("value"), F.array(F.lit("t")).alias("tags")))
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("domain"), schema.alias("schema"), example.alias("field_examples"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").alias("__no"), F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("domain"), schema.alias("schema"), example.alias("field_examples"))
     return files.read_cases(spark, _single_files(rows, files.shared_folder(spark, "cases"))).select("id", "domain", F.col("field_examples")["size"]["value"].alias("size"))
 
 
 @query("src3_reports", f"WITH {REPORTS_SQL} SELECT team, model, pipeline, f1, CASE WHEN file % 2 = 0 THEN slug || '-' || file ELSE slug END AS slug FROM reports")
 def _(spark, d):
     name = F.when(F.col("file") % 2 == 0, F.concat_ws("-", "slug", F.concat(F.col("file").cast("string"), F.lit("--m__x")))).otherwise(F.concat_ws("__", "slug", F.col("file").cast("string")))
-    rows = reports(spark, d).select(name.alias("k"), F.struct(F.col("team").alias("team_name")).alias("participant"), F.struct("model", "pipeline").alias("config"), F.struct("f1").alias("metrics"))
+    rows = reports(spark, d).select(name.alias("k"), F.col("file").alias("__no"), F.struct(F.col("team").alias("team_name")).alias("participant"), F.struct("model", "pipeline").alias("config"), F.struct("f1").alias("metrics"))
     found = files.read_reports(spark, _single_files(rows, files.shared_folder(spark, "report-files")))
     return found.select(F.col("participant.team_name").alias("team"), "config.model", "config.pipeline", "metrics.f1", "slug")
 

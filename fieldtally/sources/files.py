@@ -1,4 +1,7 @@
-"""Readers and writers of task, case, report, usage and prediction files, all as Spark reads and writes."""
+"""Readers and writers of task, case, report, usage and prediction files, all as Spark reads and writes.
+
+A document (a task, case, report or prediction) is a file of its own or, of many, a row (file name, text) of a packed table.
+"""
 
 from __future__ import annotations
 
@@ -34,8 +37,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Documents that stand packed, as rows of a Parquet table: the name of a file and its text.
+PACKED_SCHEMA = "file string, value string"
+
+
+def write_packed(documents: DataFrame, path: str) -> None:
+    """Documents (file, value) as rows of a few large files; a million files of one document each would cost a listing and an opening apiece."""
+    documents.select("file", "value").write.mode("append").parquet(path)
+
+
 def _whole(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    """(value, file) of all documents below a folder: files of their own, and those that ``write_packed`` put together."""
+    below = spark.read.option("recursiveFileLookup", "true")
+    own = below.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    packed = below.option("pathGlobFilter", "part-*.parquet").schema(PACKED_SCHEMA).parquet(path).where("value is not null")
+    return own.unionByName(packed)
 
 
 def _field(name: str) -> Column:

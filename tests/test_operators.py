@@ -196,3 +196,12 @@ def test_sources(spark, tmp_path):
     for i, schema in enumerate(({"type": "object", "properties": {}}, {"type": "array"})):
         (tmp_path / f"cases/{i}.json").write_text(json.dumps({"id": f"c{i}", "domain": "d", "schema": schema}))
     assert values(files.read_cases(spark, str(tmp_path / "cases")), "id") == [("c0",)]
+
+
+def test_many_documents_make_few_files(spark, tmp_path):
+    from fieldtally.plans import stores
+
+    rows = spark.range(1, 201).select(F.col("id").alias("k"), F.col("id").alias("__no"), F.col("id").cast("string").alias("id"))
+    path = stores._single_files(rows, str(tmp_path / "tasks"))
+    assert len(list((tmp_path / "tasks").rglob("part-*"))) < 60
+    assert files.read_tasks(spark, path).count() == 200
