@@ -205,3 +205,13 @@ def test_many_documents_make_few_files(spark, tmp_path):
     path = stores._single_files(rows, str(tmp_path / "tasks"))
     assert len(list((tmp_path / "tasks").rglob("part-*"))) < 60
     assert files.read_tasks(spark, path).count() == 200
+
+
+def test_packed_documents_read_as_files(spark, tmp_path):
+    (tmp_path / "reports").mkdir()
+    good = {"participant": {"team_name": "a"}, "config": {"model": "m"}, "metrics": {"f1": 0.5}}
+    (tmp_path / "reports/own--m.json").write_text(json.dumps(good))
+    names = ["/x__m.json", "/y--m__x.json"]
+    packed = spark.createDataFrame([*[(n, json.dumps(good)) for n in names], ("/bad.json", "{")], "file string, value string")
+    files.write_packed(packed, str(tmp_path / "reports/packed"))
+    assert values(files.read_reports(spark, str(tmp_path / "reports")), "slug") == [("own",), ("x",), ("y",)]
