@@ -197,7 +197,7 @@ def _(spark, d):
     names = F.array_compact(F.array(F.lit("task"), F.lit("gold"), F.when((k % 5 > 0) & (k % 2 == 0), "pred"), F.when(k % 5 > 0, "prediction")))
     rows = table(spark, d, "supplier").select(k.alias("task_id"), F.explode(names).alias("name"), "s_name").select("task_id", "name", F.col("name").alias("of"), "s_name")
     path = files.shared_folder(spark, "details")
-    rows.repartition(16, "task_id").write.partitionBy("task_id", "name").json(path)
+    _documents(rows.withColumn("__no", F.col("task_id")), path, F.concat_ws("/", F.lit(""), F.col("task_id").cast("string"), F.concat("name", F.lit(".json"))), ["task_id", "name"])
     return files.read_details(spark, path).select("task_id", F.get_json_object("gold", "$.s_name").alias("gold"), F.get_json_object("prediction", "$.of").alias("of"))
 
 

@@ -215,3 +215,12 @@ def test_packed_documents_read_as_files(spark, tmp_path):
     packed = spark.createDataFrame([*[(n, json.dumps(good)) for n in names], ("/bad.json", "{")], "file string, value string")
     files.write_packed(packed, str(tmp_path / "reports/packed"))
     assert values(files.read_reports(spark, str(tmp_path / "reports")), "slug") == [("own",), ("x",), ("y",)]
+
+
+def test_packed_details_go_with_single_files(spark, tmp_path):
+    (tmp_path / "details/b").mkdir(parents=True)
+    for f in ("task", "gold", "prediction"):
+        (tmp_path / f"details/b/{f}.json").write_text(json.dumps({"of": f}))
+    rows = [(f"/a/{f}.json", json.dumps({"of": f})) for f in ("task", "gold", "pred", "prediction")] + [("/c/task.json", "{}")]
+    files.write_packed(spark.createDataFrame(rows, files.PACKED_SCHEMA), str(tmp_path / "details/packed"))
+    assert values(files.read_details(spark, str(tmp_path / "details")), "task_id", "prediction") == [("a", '{"of": "pred"}'), ("b", '{"of": "prediction"}')]
