@@ -182,10 +182,12 @@ def _(spark, d):
 def _(spark, d):
     """Files of direct runs and of mixed trials; trials with an error and tasks that aren't golden stay out."""
     k = F.col("s_suppkey")
-    rows = table(spark, d, "supplier").select(F.lit("p").alias("pipeline"), F.lit("r1").alias("run"), k.cast("string").alias("task_id"), F.concat(F.lit("trial_"), (k % 2).cast("string")).alias("step"), F.struct(F.col("s_nationkey").cast("string").alias("n")).alias("output"), F.lit("strict").alias("extraction"), F.when(k % 4 == 0, "failed").alias("error"))
+    rows = table(spark, d, "supplier").select(k.alias("__no"), F.lit("p").alias("pipeline"), F.lit("r1").alias("run"), k.cast("string").alias("task_id"), F.concat(F.lit("trial_"), (k % 2).cast("string")).alias("step"), F.struct(F.col("s_nationkey").cast("string").alias("n")).alias("output"), F.lit("strict").alias("extraction"), F.when(k % 4 == 0, "failed").alias("error"))
     path = files.shared_folder(spark, "runs")
-    rows.drop("step").repartition(16, "task_id").write.partitionBy("pipeline", "run", "task_id").json(f"{path}/direct")
-    rows.repartition(16, "task_id").write.partitionBy("pipeline", "run", "task_id", "step").json(f"{path}/mixed")
+    name = lambda kind, folders: F.concat(F.concat_ws("/", F.lit(f"/{kind}"), *folders), F.lit(".json"))
+    run = ["pipeline", "run", "task_id"]
+    _documents(rows.drop("step"), f"{path}/direct", name("direct", run), run)
+    _documents(rows, f"{path}/mixed", name("mixed", [*run, "step"]), [*run, "step"])
     golden = rows.where("cast(task_id as int) % 3 > 0").select("task_id")
     return files.read_predictions(spark, path, golden).select("task_id", "source", "step", F.get_json_object("output", "$.n").alias("found"))
 

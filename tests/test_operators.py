@@ -224,3 +224,12 @@ def test_packed_details_go_with_single_files(spark, tmp_path):
     rows = [(f"/a/{f}.json", json.dumps({"of": f})) for f in ("task", "gold", "pred", "prediction")] + [("/c/task.json", "{}")]
     files.write_packed(spark.createDataFrame(rows, files.PACKED_SCHEMA), str(tmp_path / "details/packed"))
     assert values(files.read_details(spark, str(tmp_path / "details")), "task_id", "prediction") == [("a", '{"of": "pred"}'), ("b", '{"of": "prediction"}')]
+
+
+def test_packed_predictions(spark, tmp_path):
+    good = json.dumps({"output": {"a": 1}, "extraction": "strict"})
+    failed = json.dumps({"output": {}, "extraction": "strict", "error": "x"})
+    rows = [("/direct/p/r1/t_1.json", good), ("/mixed/p/r1/t_1/trial_1.json", good), ("/mixed/p/r1/t_1/trial_2.json", failed), ("/mixed/p/r1/t_1/judge.json", good), ("/direct/p/r1/t_9.json", good)]
+    files.write_packed(spark.createDataFrame(rows, files.PACKED_SCHEMA), str(tmp_path / "runs/packed"))
+    golden = spark.createDataFrame([("t_1",)], "task_id string")
+    assert values(files.read_predictions(spark, str(tmp_path / "runs"), golden), "source", "step") == [("direct", ""), ("mixed", "trial_1")]
