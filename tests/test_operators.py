@@ -233,3 +233,10 @@ def test_packed_predictions(spark, tmp_path):
     files.write_packed(spark.createDataFrame(rows, files.PACKED_SCHEMA), str(tmp_path / "runs/packed"))
     golden = spark.createDataFrame([("t_1",)], "task_id string")
     assert values(files.read_predictions(spark, str(tmp_path / "runs"), golden), "source", "step") == [("direct", ""), ("mixed", "trial_1")]
+
+
+def test_packed_tasks_leave_sidecars_out(spark, tmp_path):
+    task = json.dumps({"id": "t", "target_schema": {"b": 1, "a": 1.0}, "metadata": {"domain": "d"}})
+    rows = [("/t.json", task), ("/t.review.json", task), ("/bad.json", "{")]
+    files.write_packed(spark.createDataFrame(rows, files.PACKED_SCHEMA), str(tmp_path / "tasks"))
+    assert values(files.read_tasks(spark, str(tmp_path / "tasks")), "id", "target_schema") == [("t", '{"b":1,"a":1.0}')]
