@@ -186,11 +186,21 @@ def run_count_spread(counts: DataFrame) -> DataFrame:
 
 
 def schema_tasks(tasks: DataFrame, part_tasks: int = 1000) -> DataFrame:
-    """The tasks and titles of every schema, in parts of about ``part_tasks``, so that no list grows with a schema."""
-    parts = tasks.groupBy("fingerprint").agg(F.ceil(F.count("*") / part_tasks).alias("n_parts"))
-    rows = tasks.join(parts, "fingerprint").withColumn("part", F.pmod(F.xxhash64("task_id"), F.col("n_parts")))
-    text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
-    return rows.groupBy("fingerprint", "part").agg(text(F.col("task_id")).alias("task_ids"), text(F.col("title")).alias("titles"), F.count("*").alias("n_tasks"))
+    """The tasks and titles of every schema in order, in parts of at most ``part_tasks`` tasks, so that no list grows with a schema: (fingerprint, part, task_ids, titles, n_tasks)."""
+    from .ranking import numbered
+
+    once = tasks.groupBy("fingerprint", "task_id").agg(F.collect_set("title").alias("titles"), F.count("*").alias("n"))
+    placed = numbered(once, "__at", "fingerprint", "task_id").withColumn("part", F.floor((F.col("__at") - 1) / part_tasks))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("__at", "task_id"))), lambda x: x["task_id"])
+    text = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("titles")))), ";")
+    return placed.groupBy("fingerprint", "part").agg(F.array_join(ids, ";").alias("task_ids"), text.alias("titles"), F.sum("n").alias("n_tasks"))
+
+
+def whole_schema_tasks(parts: DataFrame) -> DataFrame:
+    """One row a schema of its parts: their texts one after the other, their titles once."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "task_ids"))), lambda x: x["task_ids"]), ";")
+    titles = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("titles", ";"))))), ";")
+    return parts.groupBy("fingerprint").agg(ids.alias("task_ids"), titles.alias("titles"), F.sum("n_tasks").alias("n_tasks"))
 
 
 def schema_overlap(tasks: DataFrame, seen: DataFrame) -> DataFrame:

@@ -240,3 +240,13 @@ def test_packed_tasks_leave_sidecars_out(spark, tmp_path):
     rows = [("/t.json", task), ("/t.review.json", task), ("/bad.json", "{")]
     files.write_packed(spark.createDataFrame(rows, files.PACKED_SCHEMA), str(tmp_path / "tasks"))
     assert values(files.read_tasks(spark, str(tmp_path / "tasks")), "id", "target_schema") == [("t", '{"b":1,"a":1.0}')]
+
+
+def test_schema_tasks_in_parts_join_to_whole_lists(spark):
+    ids = [str(i) for i in range(25)]
+    tasks = spark.createDataFrame([("a" if int(i) % 2 else None, i, f"t{int(i) % 3}") for i in ids] + [("a", "1", "t9")], "fingerprint string, task_id string, title string")
+    parts = metrics.schema_tasks(tasks, 5)
+    assert parts.count() > 4 and all(len(r.task_ids.split(";")) <= 5 for r in parts.collect())
+    found = {r.fingerprint: (r.task_ids, r.titles, r.n_tasks) for r in metrics.whole_schema_tasks(parts).collect()}
+    side = lambda odd: ";".join(sorted(i for i in ids if int(i) % 2 == odd))
+    assert found == {"a": (side(1), "t0;t1;t2;t9", 13), None: (side(0), "t0;t1;t2", 13)}
