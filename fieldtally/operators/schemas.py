@@ -216,8 +216,29 @@ def embedded(rows: DataFrame, text_col: str, embed=hashed_vectors, known: DataFr
     if known is None:
         vecs = vectors_by_key(wanted, embed)
     else:
-        vecs = known.join(wanted.select("__key").distinct(), "__key", "left_semi").unionByName(vectors_by_key(wanted.join(known.select("__key"), "__key", "left_anti"), embed))
-    return keyed.join(vecs, "__key").drop("__key")
+        vecs = known.hint("merge").join(wanted.select("__key").distinct(), "__key", "left_semi").unionByName(vectors_by_key(wanted.join(known.select("__key").hint("merge"), "__key", "left_anti"), embed))
+    return keyed.join(vecs.hint("merge"), "__key").drop("__key")
+
+
+#: A text of more rows than this is a frequent one; so many frequent texts at most are broadcast with their vectors.
+HOT_ROWS, MOST_HOT = 10_000, 1_000
+
+
+def with_known_vectors(rows: DataFrame, text_col: str, known: DataFrame) -> DataFrame:
+    """Rows with ``vec`` out of (__key, vec), which holds all their texts.
+
+    The most frequent texts' vectors, a bounded number, are broadcast, so that
+    no task gets all rows of one text; the others meet by a shuffle, whatever
+    the size of the vectors' files promises: vectors are far larger in memory.
+    """
+    from ..sources.files import durable  # the readers use this module
+
+    keyed = rows.withColumn("__key", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    hot = durable(keyed.groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "__key").limit(MOST_HOT).select("__key"))
+    near = known.join(F.broadcast(hot), "__key", "left_semi")
+    frequent = keyed.join(F.broadcast(near), "__key")
+    others = keyed.join(F.broadcast(hot), "__key", "left_anti").join(known.hint("merge"), "__key")
+    return frequent.unionByName(others).drop("__key")
 
 
 def grown_vectors(known: DataFrame | None, rows: DataFrame, text_col: str, embed=hashed_vectors) -> DataFrame:
@@ -225,7 +246,7 @@ def grown_vectors(known: DataFrame | None, rows: DataFrame, text_col: str, embed
     keyed = rows.select(F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("__key"), F.col(text_col).alias("__text"))
     if known is None:
         return vectors_by_key(keyed, embed)
-    return known.unionByName(vectors_by_key(keyed.join(known.select("__key"), "__key", "left_anti"), embed))
+    return known.unionByName(vectors_by_key(keyed.join(known.select("__key").hint("merge"), "__key", "left_anti"), embed))
 
 
 def pair_similarity(pairs: DataFrame, a: str, b: str, embed=None) -> DataFrame:

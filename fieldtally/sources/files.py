@@ -169,11 +169,10 @@ def build_field_index(cases: DataFrame, path: str, embed=None, before: str | Non
     from ..operators import schemas
 
     own = cases.withColumn("fingerprint", F.sha1(records.canonical_json(F.col("schema"))))
+    owners = write_field_index(own.select("owner", "fingerprint"), f"{path}/cases")
     fields = records.schema_fields(own, "fingerprint", "schema").where("depth = 0")
-    texts = fields.select("fingerprint", "position", "type_class", "name", schemas.field_text(F.col("name"), F.col("type_text"), F.col("description")).alias("text"))
-    embed = embed or schemas.hashed_vectors
+    texts = durable(fields.select("fingerprint", "position", "type_class", "name", schemas.field_text(F.col("name"), F.col("type_text"), F.col("description")).alias("text")))
     known = None if before is None else cases.sparkSession.read.parquet(f"{before}/vectors")
-    kept = write_field_index(schemas.grown_vectors(known, texts, "text", embed), f"{path}/vectors")
-    vectors = schemas.embedded(texts, "text", embed, kept)
-    rows = own.select("owner", "fingerprint").join(vectors, "fingerprint").drop("fingerprint")
-    return write_field_index(rows, f"{path}/fields"), write_field_index(own.select("owner", "fingerprint"), f"{path}/cases")
+    kept = write_field_index(schemas.grown_vectors(known, texts, "text", embed or schemas.hashed_vectors), f"{path}/vectors")
+    rows = owners.join(texts, "fingerprint").drop("fingerprint")  # before the vectors, which are wide
+    return write_field_index(schemas.with_known_vectors(rows, "text", kept), f"{path}/fields"), owners

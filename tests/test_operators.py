@@ -250,3 +250,16 @@ def test_schema_tasks_in_parts_join_to_whole_lists(spark):
     found = {r.fingerprint: (r.task_ids, r.titles, r.n_tasks) for r in metrics.whole_schema_tasks(parts).collect()}
     side = lambda odd: ";".join(sorted(i for i in ids if int(i) % 2 == odd))
     assert found == {"a": (side(1), "t0;t1;t2;t9", 13), None: (side(0), "t0;t1;t2", 13)}
+
+
+def test_frequent_and_rare_texts_get_their_vectors_without_a_wide_broadcast(spark, monkeypatch):
+    from fieldtally.operators import schemas
+
+    monkeypatch.setattr(schemas, "HOT_ROWS", 5)
+    monkeypatch.setattr(schemas, "MOST_HOT", 1)
+    rows = spark.createDataFrame([(i, "often" if i < 20 else "too" if i < 30 else f"rare {i}") for i in range(40)] + [(40, None)], "owner int, text string")
+    known = schemas.grown_vectors(None, rows, "text", lambda ts: [[float(len(t))] for t in ts])
+    found = schemas.with_known_vectors(rows, "text", known)
+    assert {r.owner: r.vec[0] for r in found.collect()} == {r.owner: float(len(r.text or "")) for r in rows.collect()} and found.count() == 41
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
