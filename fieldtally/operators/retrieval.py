@@ -130,7 +130,7 @@ def diverse_top(cands: DataFrame, k: int = 2, excluded: DataFrame | None = None)
 
     ``excluded`` has (query, case_id) rows that aren't candidates.
     """
-    rows = cands if excluded is None else remaining(cands, excluded)
+    rows = cands if excluded is None else durable(remaining(cands, excluded))
     pairs = complementary_pairs(rows).where("pair_score > 0").select("query", F.explode(F.array("a", "b")).alias("case_id")).withColumn("in_pair", F.lit(True))
     ranked = rows.join(pairs, ["query", "case_id"], "left").withColumn("in_pair", F.coalesce("in_pair", F.lit(False)))
     return best(ranked, ["query"], k, F.desc("in_pair"), F.desc("score"), "case_id")
@@ -143,6 +143,7 @@ def remaining(cands: DataFrame, selected: DataFrame) -> DataFrame:
 
 def selection_metrics(selected: DataFrame) -> DataFrame:
     """Score sum, fields covered and their share, mean and least best similarity of each query's selection."""
+    selected = durable(selected)  # a few rows a query, made once
     fields = selected.select("query", "case_id", "score", F.posexplode("vec").alias("field", "similarity"))
     tops = fields.groupBy("query", "field").agg(F.max("similarity").alias("top"))
     cover = tops.groupBy("query").agg(F.count_if(F.col("top") > 0).alias("covered"), F.avg((F.col("top") > 0).cast("double")).alias("covered_share"), F.avg("top").alias("mean_top"), F.min("top").alias("least_top"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import retrieval
+from ..sources.files import durable
 from .registry import query
 from .results import rounded
 from .standins import table
@@ -33,8 +34,9 @@ def aligned(rows):
 
 
 def cands(spark, d):
+    """The candidates of every query, made once and kept: all that selects among them reads them several times."""
     rows = fields(spark, d)
-    return retrieval.candidates(aligned(rows), rows.where(QUERIES))
+    return durable(retrieval.candidates(aligned(rows), rows.where(QUERIES)))
 
 
 @query("j6_r4_alignment", f"WITH {CANDS_SQL} SELECT query, case_id, field, round(similarity, 6) AS similarity, case_field FROM aligned WHERE similarity > 0")

@@ -279,3 +279,11 @@ def test_entity_lists_score_as_their_items(spark):
     found = scoring.entity_list_differences(*lists)
     assert values(found, *columns) == values(scoring.entity_differences(*items), *columns)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # lists of either side once, no item by itself
+
+
+def test_candidates_are_made_once_for_all_selections(spark, sf_dir):
+    from fieldtally.plans import lookups
+
+    found = lookups.cands(spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # kept, not joined and grouped again by each that reads it
