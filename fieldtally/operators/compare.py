@@ -10,8 +10,12 @@ from .ranking import quantiles
 
 
 def join_diagnostics(results: DataFrame, diagnostics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(results with their task's diagnostics, results that have none)."""
-    return results.join(diagnostics, "task_id"), results.join(diagnostics, "task_id", "left_anti")
+    """(results with their task's diagnostics, results that have none).
+
+    The second looks ids up by hash, so that no task sorts its share of the results.
+    """
+    known = diagnostics.select("task_id").hint("shuffle_hash")
+    return results.join(diagnostics, "task_id"), results.join(known, "task_id", "left_anti")
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:

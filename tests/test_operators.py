@@ -287,3 +287,11 @@ def test_candidates_are_made_once_for_all_selections(spark, sf_dir):
     found = lookups.cands(spark, sf_dir)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan  # kept, not joined and grouped again by each that reads it
+
+
+def test_results_without_diagnostics_are_found_without_a_sort(spark):
+    results = spark.range(12).select((F.col("id") % 6).alias("task_id"), F.col("id").alias("run"))
+    told = spark.createDataFrame([(0, "a"), (1, "a"), (1, "b"), (None, "c")], "task_id long, route string")
+    missing = compare.join_diagnostics(results, told)[1]
+    assert values(missing, "task_id", "run") == [(i % 6, i) for i in (2, 8, 3, 9, 4, 10, 5, 11)]
+    assert "strategy=shuffle_hash" in missing._jdf.queryExecution().optimizedPlan().toString()
