@@ -87,15 +87,15 @@ def _(spark, d):
     return files.read_tasks(spark, path).select("id", "instruction", "target_schema", F.col("metadata")["domain"].alias("domain"))
 
 
-#: Documents with a number up to this stand in files of their own, all others packed, so that the folders don't grow with the table.
+#: Documents with a number from 1 up to this stand in files of their own, all others packed, so that the folders don't grow with the table.
 SINGLE_FILES = 20
 
 
 def _documents(rows, path: str, name, folders: list[str]) -> str:
     """One JSON document a row: of the first by ``__no`` a file each in its folders, of all others a packed row of this name."""
-    single = F.coalesce(F.col("__no") <= SINGLE_FILES, F.lit(False))
+    single = F.coalesce(F.col("__no").between(1, SINGLE_FILES), F.lit(False))
     body = F.to_json(F.struct(*[c for c in rows.columns if c not in (*folders, "__no")]))
-    files.write_packed(rows.where(~single).select(name.alias("file"), body.alias("value")), f"{path}/packed")
+    files.write_packed(files.spread(rows.where(~single)).select(name.alias("file"), body.alias("value")), f"{path}/packed")
     rows.where(single).drop("__no").repartition(1).write.mode("append").partitionBy(*folders).json(path)
     return path
 

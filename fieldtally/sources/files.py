@@ -42,10 +42,15 @@ PACKED_SCHEMA = "file string, value string"
 
 
 def write_packed(documents: DataFrame, path: str) -> None:
-    """Documents (file, value) as rows of a few large files; a million files of one document each would cost a listing and an opening apiece."""
+    """Documents (file, value) as rows of a few files a core; a million files of one document each would cost a listing and an opening apiece, and one file of all is written and read by one task."""
     documents.select("file", "value").write.mode("append").parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, however few files they came from."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _whole(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(value, file) of all documents below a folder: files of their own, and those that ``write_packed`` put together."""
     below = spark.read.option("recursiveFileLookup", "true")
@@ -66,7 +71,7 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Case files whose schema is an object with properties."""
-    rows = _whole(spark, path, "*.json").select(F.from_json("value", CASE_SCHEMA).alias("c")).select("c.*").where("id is not null")
+    rows = _whole(spark, path, "*.json").select(F.explode(F.array(F.from_json("value", CASE_SCHEMA))).alias("c")).select("c.*").where("id is not null")  # parsed once, not for each condition
     return rows.where((F.get_json_object("schema", "$.type") == "object") & F.get_json_object("schema", "$.properties").isNotNull())
 
 
@@ -77,7 +82,7 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """
     parts = F.split("file", "/")
     name = F.when(F.element_at(parts, -1).startswith("part-"), F.regexp_replace(F.element_at(parts, -2), "^[^=]*=", "")).otherwise(F.element_at(parts, -1))
-    rows = _whole(spark, path, "*.json").select(F.from_json("value", REPORT_SCHEMA).alias("r"), name.alias("file"))
+    rows = _whole(spark, path, "*.json").select(F.explode(F.array(F.from_json("value", REPORT_SCHEMA))).alias("r"), name.alias("file"))  # parsed once, not for each condition
     name = F.regexp_replace("file", r"\.json$", "")
     slug = F.when(name.contains("--"), F.split_part(name, F.lit("--"), F.lit(1))).otherwise(F.split_part(name, F.lit("__"), F.lit(1)))
     return rows.where("r.participant is not null and r.config is not null and r.metrics is not null").select("r.*", "file", slug.alias("slug"))
