@@ -17,7 +17,7 @@ from fieldtally.llm.queries import tokenizer_file
 
 
 #: Rows that go to a Python worker at a time: documents are long, and a batch of them is held several times over.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

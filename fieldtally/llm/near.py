@@ -66,7 +66,7 @@ ODD = [f"odd{i}" for i in range(COUNTS // 64)]
 ORDERS = [(k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for k in range(8)]
 LEAST = [f"least{k}" for k in range(len(ORDERS))]
 #: Shingles of a bucket aimed at, and shingles that a task gathers before it deals them out.
-BUCKET_ITEMS, GATHERED = 250_000, 400_000
+BUCKET_ITEMS, GATHERED = 125_000, 200_000
 #: Rounds with pivots at most, pairs that are compared at once without more of them, and the share of pairs that a round must leave out at least for another.
 PIVOT_ROUNDS, FEW_PAIRS, WORTH = 8, 300_000, 0.2
 #: Pairs for each shingle of the nodes left from which signatures cost less than pairs.
@@ -74,7 +74,7 @@ PAIRS_PER_SHINGLE = 20
 #: Nodes of a shingle whose pairs are compared without a pivot.
 SHORT = 8
 #: Rows that a Python function hands back at a time.
-SLICE = 512
+SLICE = 128
 #: Rows of 16 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -420,15 +420,16 @@ def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
         before = pairs_left
         live = named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle")
         if last:
-            left = live.groupBy("node").agg(F.first("component").alias("component"), *_least("shingle")).join(nodes.select("node", "part", "doc_id", "n", *ODD), "node")
+            # A node's shingles stay in one row with what is told of the node, so that no join makes a row for each of them.
+            left = live.groupBy("node").agg(F.first("component").alias("component"), *_least("shingle"), F.collect_list("shingle").alias("shingles")).join(nodes.select("node", "part", "doc_id", "n", *ODD), "node")
             left = durable(left.withColumnRenamed("doc_id", "own_id"))
             several = left.agg(F.sum("n")).first()[0] or 0
         if last and pairs_left > PAIRS_PER_SHINGLE * several:
-            rest = texts.join(_small(left), F.col("doc_id") == F.col("own_id"))
+            rest = texts.join(_small(left.drop("shingles", *LEAST)), F.col("doc_id") == F.col("own_id"))
             pairs = durable(_across(rest, int(several)))
         elif last:
             # Sizes, odd counts and components rule pairs out before they are formed.
-            own = live.select("shingle", "node").join(_small(left.select("node", "component", "n", *ODD, *LEAST)), "node")
+            own = left.select(F.explode("shingles").alias("shingle"), "node", "component", "n", *ODD, *LEAST)
             one, two = ([F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("component", "n", *ODD, *LEAST)]] for side in "ab")
             may = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * SIMILAR[1] >= F.greatest("n_a", "n_b") * SIMILAR[0]) & _may_fit() & _first_met("shingle")
             pairs = own.select("shingle", *one).join(own.select(F.col("shingle").alias("same"), *two), (F.col("shingle") == F.col("same")) & may).select("a", "b")

@@ -1,9 +1,11 @@
 """What keeps steps in proportion to their input, with whole results."""
 
 import glob
+import re
 
 from pyspark.sql import functions as F
 
+from fieldtally.llm import near
 from fieldtally.plans import stores
 from fieldtally.sources import files
 
@@ -26,3 +28,15 @@ def test_report_is_parsed_once(spark, tmp_path):
     path = stores._single_files(_reports(spark, [1, 50]), f"{tmp_path}/r")
     plan = files.read_reports(spark, path).groupBy("slug").agg(F.max("metrics.f1"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_last_join_of_near_copies_takes_whole_nodes(spark, monkeypatch):
+    """No join makes a row for every shingle of a node; texts with a common passage stay apart, copies meet."""
+    passage = " ".join(f"common{i}" for i in range(40))
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    docs = spark.createDataFrame([(i, f"{passage} {own(i // 2)}" + (" tail" if i % 2 else "")) for i in range(60)], "doc_id long, text string")
+    plans, verified = [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, *more: (plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()), verified(pairs, *more))[1])
+    found = {r.doc_id: r.component_id for r in near.near_copies(docs).collect()}
+    assert found == {i: i // 2 * 2 for i in range(60)}
+    assert plans and not any(re.search(r"Join Inner, \(node#\d+L = node#\d+L\)", p) for p in plans)
