@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.sizes import small
+from ..functions.sizes import small, small_batches
 
 #: Words in a field's name or description that give it a tag.
 TAG_WORDS = {
@@ -258,9 +258,10 @@ def pair_similarity(pairs: DataFrame, a: str, b: str, embed=None) -> DataFrame:
         return pairs.withColumn("similarity", text.jaccard(text.word_set(F.col(a)), text.word_set(F.col(b))))
     from ..sources.files import durable  # the readers use this module
 
-    keyed = durable(pairs.withColumns({f"__k{c}": F.sha2(F.coalesce(c, F.lit("")), 256) for c in (a, b)}))
-    sides = keyed.select(F.explode(F.array(*[F.struct(F.col(f"__k{c}").alias("__key"), F.col(c).alias("__text")) for c in (a, b)])).alias("x")).select("x.*")
-    vecs = durable(vectors_by_key(sides, embed))
+    with small_batches(pairs.sparkSession):
+        keyed = durable(pairs.withColumns({f"__k{c}": F.sha2(F.coalesce(c, F.lit("")), 256) for c in (a, b)}))
+        sides = keyed.select(F.explode(F.array(*[F.struct(F.col(f"__k{c}").alias("__key"), F.col(c).alias("__text")) for c in (a, b)])).alias("x")).select("x.*")
+        vecs = durable(vectors_by_key(sides, embed))
     both = keyed
     for c in (a, b):
         both = both.join(vecs.select(F.col("__key").alias(f"__k{c}"), F.col("vec").alias(f"__v{c}")), f"__k{c}")
@@ -268,10 +269,14 @@ def pair_similarity(pairs: DataFrame, a: str, b: str, embed=None) -> DataFrame:
 
 
 def hybrid_similarity(pairs: DataFrame, a: str, b: str, embed=hashed_vectors) -> DataFrame:
-    """0.6 of the embeddings' and 0.4 of the lexical similarity, within 0 and 1."""
-    rows = pair_similarity(pairs, a, b, embed).withColumns({"__x": text.normalized(F.col(a)), "__y": text.normalized(F.col(b))})
-    lexical = text.lexical_similarity(F.col("__x"), F.col("__y"))
-    return rows.withColumn("hybrid", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.6 * F.col("similarity") + 0.4 * lexical))).drop("__x", "__y")
+    """0.6 of the embeddings' and 0.4 of the lexical similarity, within 0 and 1.
+
+    The lexical part is made where the pairs lie, so that their vectors meet
+    rows without texts.
+    """
+    lexical = text.lexical_similarity(text.normalized(F.col(a)), text.normalized(F.col(b)))
+    rows = pair_similarity(pairs.withColumn("__lexical", lexical), a, b, embed)
+    return rows.withColumn("hybrid", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.6 * F.col("similarity") + 0.4 * F.col("__lexical")))).drop("__lexical")
 
 
 def instance_scores(rows: DataFrame, gold: str, system: str, schema: str, semantic=None) -> DataFrame:
