@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small_batches
 from ..sources.files import durable
 from .consensus import normal_text, string_similarity
 
@@ -136,9 +137,10 @@ def medoids(members: DataFrame) -> DataFrame:
 
 def text_consensus(values: DataFrame, threshold: float) -> DataFrame:
     """(task_id, field, value, support, n_rows) of text fields with one value a trial, as JSON texts."""
-    found = durable(with_bags(classes(values)))
-    won = largest_clusters(found, similar_pairs(found, threshold))
-    members = durable(found.join(won, [*KEY, "c"]))
+    with small_batches(values.sparkSession):  # a text becomes hundreds of words and trigrams
+        found = durable(with_bags(classes(values)))
+        won = largest_clusters(found, similar_pairs(found, threshold))
+        members = durable(found.join(won, [*KEY, "c"]))
     total = found.groupBy(*KEY).agg(F.sum("n").alias("n_rows"))
     return medoids(members).join(total, KEY).select(*KEY, "value", F.col("cluster_support").cast("int").alias("support"), F.col("n_rows").cast("int").alias("n_rows"))
 
