@@ -6,7 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from fieldtally.llm import near
-from fieldtally.plans import stores
+from fieldtally.operators import consensus, schemas
+from fieldtally.plans import stores, texts
 from fieldtally.sources import files
 
 
@@ -40,3 +41,28 @@ def test_last_join_of_near_copies_takes_whole_nodes(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in near.near_copies(docs).collect()}
     assert found == {i: i // 2 * 2 for i in range(60)}
     assert plans and not any(re.search(r"Join Inner, \(node#\d+L = node#\d+L\)", p) for p in plans)
+
+
+def _few_at_a_time(values):
+    assert len(values) <= 256, "a batch grows with its task"
+    return schemas.hashed_vectors(values)
+
+
+def test_texts_are_embedded_in_small_batches(spark):
+    pairs = spark.range(3000, numPartitions=1).select("id", F.concat(F.lit("text "), "id").alias("a"), F.lit("text 7").alias("b"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = schemas.hybrid_similarity(pairs, "a", "b", embed=_few_at_a_time)
+    assert found.count() == 3000 and found.where("id = 7").first().hybrid == 1.0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_consensus_groups_are_dealt_over_all_cores(spark):
+    """Groups of few bytes take long, so adaptive execution must not join them into one task."""
+    rows = [(t, k, f'{{"head":"text {t}"}}', []) for t in range(40) for k in range(3)]
+    trials = spark.createDataFrame(rows, "task_id long, trial long, output string, errors array<string>")
+    merged = consensus.record_consensus(trials, '{"type":"object","properties":{"head":{"type":"string"}}}')
+    assert merged.count() == 40 and merged.rdd.getNumPartitions() == 4
+
+
+def test_records_are_walked_on_all_cores(spark, sf_dir):
+    assert texts.order_records(spark, sf_dir).rdd.getNumPartitions() == 4
