@@ -17,19 +17,23 @@ similarity of 0.8 or more.
    members.  Common shingles are not gathered: they are dealt out by node.
 4. The members of a shingle that many nodes have are first compared with one of
    them, the pivot; what that links needs no more comparisons, so a dense group
-   costs rows, not pairs.  When few pairs are left, or pivots link no more, all
-   pairs of different components are formed whose sizes and odd counts allow it.
+   costs rows, not pairs.  When few pairs are left, or pivots link no more, the
+   members of each shingle meet in one place with their sizes, odd counts and
+   counts by remainder, and only pairs of different components that these allow
+   leave it.  Of a node with many such pairs a few go first; what they link makes
+   components larger, and the others are looked at again only between those.
 5. Where that would be far more work than there are shingles, shared shingles tell
    little, as where texts are put together from common passages: there the
    nodes left are dealt out by parts of their whole sets.  Sets
    of sizes in a range that a similar pair can have differ in at most k elements;
    with the shingles dealt out to more than k parts by their hashes, a similar
    pair has a part in which both sets are the same and not empty.  The sum of a
-   part's hashes is its signature.  Only nodes of different components that share
-   a signature, and whose sizes and odd counts allow it, become pairs.
+   part's hashes is its signature.  Nodes that share a signature then meet as
+   those that share a shingle do.
 6. Candidates whose sizes, odd counts or counts of hashes by remainder bound the
    overlap too low go; of the rest the whole sets are compared.  So the links
-   are exact, whichever way a candidate came.
+   are exact, whichever way a candidate came.  The longer a text, the more
+   remainders it is counted by, since many hashes a remainder tell nothing.
 
 Cases: a null or empty text has the empty set; empty sets are equal.  A text of
 fewer than five words has one shingle of all its words.  A very long text is
@@ -41,7 +45,7 @@ the text are not read, and may have any names.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -59,8 +63,8 @@ SHINGLE_WORDS = 5
 SIMILAR = (4, 5)
 #: Texts of the sample that shows which shingles are common, texts of it that a common one is in at least, and common shingles at most.
 SAMPLE_ROWS, COMMON_TEXTS, COMMON_MOST = 8_192, 3, 65_536
-#: Remainders by which hashes are counted, each up to a byte.
-COUNTS = 256
+#: Remainders by which hashes are counted, each up to a byte; longer sets have twice as many until few hashes fall on one, up to a bound.
+COUNTS, PER_COUNT, COUNTS_MOST = 256, 4, 65_536
 ODD = [f"odd{i}" for i in range(COUNTS // 64)]
 #: Orders of shingles in which nodes have a least one, each by a constant (a multiple of the golden ratio's 64 bits, signed).
 ORDERS = [(k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for k in range(8)]
@@ -71,6 +75,8 @@ BUCKET_ITEMS, GATHERED = 125_000, 200_000
 PIVOT_ROUNDS, FEW_PAIRS, WORTH = 8, 300_000, 0.2
 #: Pairs for each shingle of the nodes left from which signatures cost less than pairs.
 PAIRS_PER_SHINGLE = 20
+#: Nodes and shingles of a bucket where nodes meet with their counts, and partners of a node there by passes; the last pass takes all.
+MEETING_ITEMS, PARTNERS = 25_000, (4, 8, 0)
 #: Nodes of a shingle whose pairs are compared without a pivot.
 SHORT = 8
 #: Rows that a Python function hands back at a time.
@@ -139,6 +145,31 @@ def _part(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
+def remainders(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each remainder, up to 255; the number of remainders grows with the set."""
+    size = COUNTS
+    while size < COUNTS_MOST and len(hashes) > PER_COUNT * size:
+        size *= 2
+    return np.minimum(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def may_be_alike(counts: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether counts allow the least overlap of the sets i and j; a count of 255 may be more and rules nothing out.
+
+    Sets that are counted by different numbers of remainders meet at the smaller.
+    """
+    out, sizes = np.zeros(len(i), bool), np.array([len(x) for x in counts])
+    full = np.array([bool((x == 255).any()) for x in counts])
+    level = np.minimum(sizes[i], sizes[j])
+    for size in np.unique(level):
+        for at in np.array_split(pairs := np.flatnonzero(level == size), 1 + len(pairs) * int(size) // 4_000_000):
+            own, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            table = np.stack([counts[k].reshape(-1, size).sum(axis=0, dtype=np.uint16) for k in own]) if len(own) else np.empty((0, size), np.uint16)
+            most = np.minimum(table[place[: len(at)]], table[place[len(at) :]]).sum(axis=1, dtype=np.int64)
+            out[at] = (most * SIMILAR[1] >= (n[i[at]] + n[j[at]] - most) * SIMILAR[0]) | full[i[at]] | full[j[at]]
+    return out
+
+
 def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for a in range(0, len(batch), SLICE):
@@ -154,10 +185,9 @@ def _prints(texts: DataFrame) -> DataFrame:
             for i, text in zip(batch["doc_id"], batch["text"]):
                 blocks = list(simhash.shingle_hashes(text, SHINGLE_WORDS))
                 hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
-                counts = np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
                 key, fp = set_key(hashes), int.from_bytes(simhash.majority_bits(iter(blocks)), "big", signed=True)
-                odd = np.packbits(counts & 1).view(">i8").tolist()
-                out.append((i, key, _part(key), len(hashes), fp, np.minimum(counts, 255).astype(np.uint8).tobytes(), *odd))
+                odd = np.packbits(np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS) & 1).view(">i8").tolist()
+                out.append((i, key, _part(key), len(hashes), fp, remainders(hashes).tobytes(), *odd))
             yield pd.DataFrame(out, columns=["doc_id", "key", "part", "n", "fp", "counts", *ODD])
 
     return texts.mapInPandas(rows, "doc_id long, key binary, part long, n int, fp long, counts binary, " + ", ".join(f"{c} long" for c in ODD))
@@ -251,17 +281,42 @@ def _shared(texts: DataFrame, common: np.ndarray, items: int) -> DataFrame:
     return _dealt(texts, common, buckets).groupBy("bucket").applyInPandas(several, "pair boolean, x long, y long")
 
 
-def _across(rest: DataFrame, items: int) -> DataFrame:
-    """(a, b): pairs of nodes of different components that share a signature and may be similar.
+def _by_signature(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for k, (text, part) in enumerate(zip(batch.column("text"), batch.column("part").to_pylist())):
+        hashes = shingle_set(text.as_py())
+        if _part(set_key(hashes)) == part and len(hashes):  # not another text of the same id
+            yield k, signatures(hashes)
+
+
+def _by_shingle(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for k, shingles in enumerate(batch.column("shingles")):
+        yield k, shingles.values.to_numpy().view(np.uint64)
+
 
-    ``rest`` has (text, part, node, component, n, odd).  What is dealt out is
-    packed: a bucket's signatures, each with the place of its node in a list.
+def _first_partners(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the first ``most`` of either of their nodes, in an order that is a node's own and another for another ``most``."""
+    out = np.zeros(len(x), bool)
+    for own, other in ((x, y), (y, x)):
+        order = np.lexsort((_mix(own.view(np.uint64) ^ _mix(other.view(np.uint64), 3), most), own))
+        starts = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))[: len(x)]
+        place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+        out[order[place < most]] = True
+    return out
+
+
+def _across(rest: DataFrame, items: int, items_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], most: int = 0) -> DataFrame:
+    """(a, b): pairs of nodes of different components that share an item and may be similar.
+
+    ``rest`` has (node, component, n, odd, counts) and what ``items_of`` reads.
+    What is dealt out is packed: a bucket's items, each with the place of its
+    node in a list.  With ``most`` a node that has more pairs gets that many,
+    and a row (node, node) tells that there are others.
     """
-    buckets = items // BUCKET_ITEMS + 1
-    fields = pa.schema([("bucket", pa.int64()), ("items", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary())])
+    buckets = items // MEETING_ITEMS + 1
+    fields = pa.schema([("bucket", pa.int64()), *((name, pa.binary()) for name in ("items", "places", "nodes", "sizes", "counts"))])
     width = 3 + len(ODD)
 
-    def packed(items: list[np.ndarray], nodes: list[list[int]]) -> pa.RecordBatch:
+    def packed(items: list[np.ndarray], nodes: list[list[int]], counts: list[bytes]) -> pa.RecordBatch:
         h, at = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
         every, bucket = np.array(nodes, np.int64), (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -269,64 +324,69 @@ def _across(rest: DataFrame, items: int) -> DataFrame:
         rows = []
         for name, own in zip(names.tolist(), np.split(order, starts[1:])):
             mine, places = np.unique(at[own], return_inverse=True)
-            rows.append((name, h[own].tobytes(), places.astype(np.int32).tobytes(), every[mine].tobytes()))
+            told = [counts[k] for k in mine]
+            rows.append((name, h[own].tobytes(), places.astype(np.int32).tobytes(), every[mine].tobytes(), np.array([len(x) for x in told], np.int32).tobytes(), b"".join(told)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, nodes, gathered = [], [], 0
+        items, nodes, counts, gathered = [], [], [], 0
         for batch in batches:
             own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("node", "component", "n", *ODD)], axis=1)
-            for k, (text, part) in enumerate(zip(batch.column("text"), batch.column("part").to_pylist())):
-                hashes = shingle_set(text.as_py())
-                if _part(set_key(hashes)) == part and len(hashes):  # not another text of the same id
-                    items.append(signatures(hashes))
-                    nodes.append(own[k].tolist())
-                    gathered += len(items[-1])
+            for k, found in items_of(batch):
+                items.append(found)
+                nodes.append(own[k].tolist())
+                counts.append(batch.column("counts")[k].as_py())
+                gathered += len(found) + len(counts[-1]) // 8
                 if gathered >= GATHERED:
-                    yield packed(items, nodes)
-                    items, nodes, gathered = [], [], 0
+                    yield packed(items, nodes, counts)
+                    items, nodes, counts, gathered = [], [], [], 0
         if items:
-            yield packed(items, nodes)
+            yield packed(items, nodes, counts)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = [len(x) // (8 * width) for x in rows["nodes"]]
         every = np.frombuffer(b"".join(rows["nodes"]), np.int64).reshape(-1, width)
+        ends = np.cumsum(np.frombuffer(b"".join(rows["sizes"]), np.int32).astype(np.int64))
+        told = np.frombuffer(b"".join(rows["counts"]), np.uint8)
+        counts = np.split(told, ends[:-1])
         h = np.frombuffer(b"".join(rows["items"]), np.uint64)
         at = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + start for x, start in zip(rows["places"], np.cumsum([0, *sizes[:-1]]))])
         both = np.unique(np.stack([h, every[at, 0].view(np.uint64)], axis=1), axis=0, return_index=True)[1]  # repeated rows count once
         both = both[np.argsort(h[both], kind="stable")]
-        h, own = h[both], every[at[both]]
-        found = [np.empty((0, 2), np.int64)]
+        h, at = h[both], at[both]
+        found = [np.empty((0, 2), np.int64)]  # as places in ``every``
         for a, b in zip(*(lambda s: (s, np.append(s[1:], len(h))))(np.flatnonzero(np.append(True, h[1:] != h[:-1]))) if len(h) else ((), ())):
-            group = own[a:b]
+            group = every[at[a:b]]
             if b - a < 2 or (group[:, 1] == group[0, 1]).all():
                 continue
             for k in range(0, len(group), 256):  # a block of them against those behind
                 x, y = group[k : k + 256], group[k:]
                 n, m = x[:, None, 2], y[None, :, 2]
-                ok = (x[:, None, 1] != y[None, :, 1]) & (np.minimum(n, m) * SIMILAR[1] >= np.maximum(n, m) * SIMILAR[0])
+                ok = (x[:, None, 1] != y[None, :, 1]) & (x[:, None, 0] < y[None, :, 0]) & (np.minimum(n, m) * SIMILAR[1] >= np.maximum(n, m) * SIMILAR[0])
                 apart = sum(np.bitwise_count((x[:, None, 3 + c] ^ y[None, :, 3 + c]).view(np.uint64)).astype(np.int64) for c in range(len(ODD)))
                 i, j = np.nonzero(ok & (apart * (SIMILAR[1] + SIMILAR[0]) <= (n + m) * (SIMILAR[1] - SIMILAR[0])))
-                found.append(np.stack([x[i, 0], y[j, 0]], axis=1))
+                found.append(np.stack([at[a + k + j], at[a + k + i]], axis=1))
             if sum(map(len, found)) > 1_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.concatenate(found)
-        pairs = np.unique(np.stack([pairs.max(axis=1, initial=-1), pairs.min(axis=1, initial=2**62)], axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                found = [distinct(np.concatenate(found))]
+        i, j = distinct(np.concatenate(found)).T
+        alike = may_be_alike(counts, every[:, 2], i, j)
+        x, y = every[i[alike], 0], every[j[alike], 0]
+        taken = _first_partners(x, y, most) if most else np.ones(len(x), bool)
+        waiting = np.unique(np.append(x[~taken], y[~taken]))
+        return pd.DataFrame({"a": np.append(x[taken], waiting), "b": np.append(y[taken], waiting)})
 
-    dealt = rest.select("text", "part", "node", "component", "n", *ODD).mapInArrow(deal, "bucket long, items binary, places binary, nodes binary")
-    return dealt.groupBy("bucket").applyInPandas(meet, "a long, b long")
+    def distinct(pairs: np.ndarray) -> np.ndarray:
+        return np.unique(pairs, axis=0)
+
+    read = rest.select("node", "component", "n", "counts", *ODD, *(c for c in ("text", "part", "shingles") if c in rest.columns))
+    names = ", ".join(f"{c} binary" for c in ("items", "places", "nodes", "sizes", "counts"))
+    return read.mapInArrow(deal, f"bucket long, {names}").groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 
 @F.pandas_udf(BooleanType())
 def _may_be_alike(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """Whether the counts allow the least overlap; a count of 255 may be more and rules nothing out."""
-    out = []
-    for x, y, p, q in zip(a, b, n, m):
-        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-        most = int(np.minimum(x, y).sum(dtype=np.int64))
-        out.append(most * SIMILAR[1] >= (p + q - most) * SIMILAR[0] or bool((np.minimum(x, y) == 255).any()))
-    return pd.Series(out, dtype="bool")
+    counts, k = [np.frombuffer(x, np.uint8) for c in (a, b) for x in c], np.arange(len(a))
+    return pd.Series(may_be_alike(counts, np.concatenate([n, m]).astype(np.int64), k, k + len(a)), dtype="bool")
 
 
 @F.pandas_udf(BinaryType())
@@ -421,29 +481,38 @@ def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
         live = named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle")
         if last:
             # A node's shingles stay in one row with what is told of the node, so that no join makes a row for each of them.
-            left = live.groupBy("node").agg(F.first("component").alias("component"), *_least("shingle"), F.collect_list("shingle").alias("shingles")).join(nodes.select("node", "part", "doc_id", "n", *ODD), "node")
+            left = live.groupBy("node").agg(F.first("component").alias("component"), F.collect_list("shingle").alias("shingles")).join(nodes.select("node", "part", "doc_id", "n", "counts", *ODD), "node")
             left = durable(left.withColumnRenamed("doc_id", "own_id"))
-            several = left.agg(F.sum("n")).first()[0] or 0
-        if last and pairs_left > PAIRS_PER_SHINGLE * several:
-            rest = texts.join(_small(left.drop("shingles", *LEAST)), F.col("doc_id") == F.col("own_id"))
-            pairs = durable(_across(rest, int(several)))
-        elif last:
-            # Sizes, odd counts and components rule pairs out before they are formed.
-            own = left.select(F.explode("shingles").alias("shingle"), "node", "component", "n", *ODD, *LEAST)
-            one, two = ([F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("component", "n", *ODD, *LEAST)]] for side in "ab")
-            may = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * SIMILAR[1] >= F.greatest("n_a", "n_b") * SIMILAR[0]) & _may_fit() & _first_met("shingle")
-            pairs = own.select("shingle", *one).join(own.select(F.col("shingle").alias("same"), *two), (F.col("shingle") == F.col("same")) & may).select("a", "b")
-        else:
-            live = durable(live)
-            pairs = live.join(pivots, "shingle").where(F.col("node") != F.col("b"))
-            pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+            several, entries = left.agg(F.sum("n"), F.sum(F.size("shingles"))).first()
+            dense = pairs_left > PAIRS_PER_SHINGLE * (several or 0)
+            for most in PARTNERS:
+                if dense:
+                    pairs = _across(texts.join(_small(left.drop("shingles")), F.col("doc_id") == F.col("own_id")), int(several or 0), _by_signature, most)
+                else:
+                    pairs = _across(left, int(entries or 0), _by_shingle, most)
+                pairs = durable(pairs.distinct())
+                waiting = durable(pairs.where("a = b").select(F.col("a").alias("node")))
+                pairs = pairs.where("a <> b")
+                if extra is not None:
+                    pairs, extra = pairs.unionByName(extra), None
+                new = _verified(pairs, nodes, texts)
+                links = new if links is None else links.unionByName(new)
+                found = simhash.components(links)
+                if waiting.isEmpty():
+                    break
+                # Only nodes with pairs left over meet again, by the components that there are now.
+                again = left.drop("component").join(_small(waiting), "node", "left_semi").join(_small(found), "node", "left")
+                left = durable(again.withColumn("component", F.coalesce("component", "node")))
+                several, entries = left.agg(F.sum("n"), F.sum(F.size("shingles"))).first()
+            break
+        live = durable(live)
+        pairs = live.join(pivots, "shingle").where(F.col("node") != F.col("b"))
+        pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         if extra is not None:
             pairs, extra = pairs.unionByName(extra), None
         new = _verified(pairs, nodes, texts)
         links = new if links is None else links.unionByName(new)
         found = simhash.components(links)
-        if last:
-            break
         members = live.where(F.col("node") != F.col("pivot")).select("shingle", "node", "n")  # the pivot has met all others
     return found
 

@@ -145,3 +145,40 @@ def test_pairs_are_formed_where_their_least_shingle_says(spark):
     want = {(a, b) for a in own for b in own if a > b and own[a] & own[b]}
     assert set(formed) == want
     assert len(formed) < 0.3 * sum(len(own[a] & own[b]) for a, b in want)
+
+
+def test_counts_tell_long_texts_apart():
+    """Long sets without a hash in common are ruled out by counts, similar ones are not."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (9000, 9100, 250, 240)]
+    sets += [np.unique(np.append(sets[0][400:], sets[1][:400])), np.unique(np.append(sets[2][10:], sets[3][:10]))]
+    counts, n = [near.remainders(x) for x in sets], np.array([len(x) for x in sets])
+    a, b = np.array([0, 2, 0, 2, 0]), np.array([1, 3, 4, 5, 2])
+    assert near.may_be_alike(counts, n, a, b).tolist() == [False, False, True, True, False]
+    edge = [np.arange(0, 8 * 1024, 2, dtype=np.uint64), np.arange(0, 8 * 1024 + 2, 2, dtype=np.uint64)]  # 256 and 512 remainders or more meet
+    edge[0] = edge[0][:1024]
+    edge[1] = edge[1][:1025]
+    counts = [near.remainders(x) for x in edge]
+    assert len(counts[0]) != len(counts[1])
+    assert near.may_be_alike(counts, np.array([1024, 1025]), np.array([0]), np.array([1])).all()
+
+
+def test_a_dense_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one text with edits, a part of whose pairs are similar: few of their pairs reach the comparison."""
+    seen, checked = [], near._verified
+
+    def counted(pairs, nodes, texts):
+        seen[-1] += pairs.where("a <> b").distinct().count()
+        return checked(pairs, nodes, texts)
+
+    monkeypatch.setattr(near, "_verified", counted)
+    monkeypatch.setattr(near, "FEW_PAIRS", 0)
+    monkeypatch.setattr(near, "PIVOT_ROUNDS", 0)
+    for n in (180,):
+        rng = random.Random(4)
+        base = [f"g{i}" for i in range(300)]
+        rows = [(i, " ".join(edited(rng, base, rng.randrange(3, 9)))) for i in range(n)]
+        seen.append(0)
+        found = {r.doc_id: r.component_id for r in near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == least(rows)[0]
+    assert seen[0] < 0.15 * 180 * 179 / 2, seen
