@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import small
+from ..sources.files import durable
+
+#: Rows in a range of tasks that becomes one list a bucket.
+RANGE_ROWS = 60_000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -68,14 +72,31 @@ def in_buckets(rows: DataFrame, tag_col: str | None = None) -> DataFrame:
 def bucket_tasks(rows: DataFrame, keys: list[str], tag_col: str | None = None, part_tasks: int = 1000, schemas: DataFrame | None = None) -> DataFrame:
     """The tasks of every bucket in order, in parts of so many, so that no list grows with a bucket; of a schema's bucket its description too.
 
-    ``schemas`` has (schema, description).
+    ``schemas`` has (schema, description).  Tasks are dealt out by range, once and
+    before they are spread over their buckets; each range makes one sorted list
+    a bucket, and only the counts of these lists are placed in order.  Null tasks
+    are counted, last, but have no text.
     """
-    from .ranking import numbered_within
-
     groups = [*keys, "family", "bucket"]
-    tasks = numbered_within(in_buckets(rows, tag_col).select(*groups, "task_id").distinct(), groups, "__at", "task_id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__at", F.col("task_id").cast("string").alias("t")))), lambda x: x["t"])
-    parts = tasks.withColumn("part", F.floor((F.col("__at") - 1) / part_tasks)).groupBy(*groups, "part").agg(F.array_join(ordered, ";").alias("tasks"), F.count("*").alias("n_tasks"))
+    slim = rows.select(*keys, "task_id", "prefix", "schema", *([tag_col] if tag_col else []))
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // RANGE_ROWS + 1)
+    spread = in_buckets(slim.repartitionByRange(ranges, F.col("task_id").asc_nulls_last()).withColumn("__range", F.spark_partition_id()), tag_col)
+    lists = spread.groupBy(*groups, "__range").agg(F.sort_array(F.collect_set("task_id")).alias("__ids"), F.max(F.col("task_id").isNull().cast("int")).alias("__null"))
+    lists = durable(lists.withColumns({"__n": F.size("__ids") + F.col("__null"), "__list": F.monotonically_increasing_id()}))
+    before = F.sum("__n").over(Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    starts = lists.select(*groups, "__range", "__n", "__list").select("__list", F.coalesce(before, F.lit(0)).alias("__start"))
+
+    def piece(part: Column) -> Column:
+        first = F.greatest(part * part_tasks - F.col("__start"), F.lit(0))
+        n = F.least((part + 1) * part_tasks - F.col("__start"), F.col("__n")) - first
+        last = F.least(first + n, F.size("__ids")) - 1
+        ids = F.transform(F.sequence(first, last), lambda i: F.get("__ids", i.cast("int")).cast("string"))  # a slice would unpack the whole list for each piece
+        return F.struct(part.alias("part"), n.alias("n"), F.when(first <= last, F.array_join(ids, ";")).alias("t"))
+
+    own = F.sequence(F.floor(F.col("__start") / part_tasks), F.floor((F.col("__start") + F.col("__n") - 1) / part_tasks))
+    pieces = lists.join(small(starts), "__list").select(*groups, "__range", F.explode(F.transform(own, piece)).alias("e")).select(*groups, "__range", "e.*")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__range", "t"))), lambda x: x["t"]), ";")
+    parts = pieces.groupBy(*groups, "part").agg(text.alias("tasks"), F.sum("n").alias("n_tasks"))
     if schemas is None:
         return parts
     told = schemas.select(F.lit("schema").alias("family"), F.col("schema").cast("string").alias("bucket"), "description")

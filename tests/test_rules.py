@@ -479,3 +479,23 @@ def test_names_and_words(spark):
     parts = metrics.report_name_parts(F.lit("/x/ev__p__Qwen3-14B__think.json"))
     row = spark.range(1).select(*[c.alias(n) for n, c in parts.items()], text.folded(F.lit(" ＡB ß ")).alias("folded")).first()
     assert tuple(row) == ("ev", "p", "qwen3-14b", "think", None, "ab ss")
+
+
+def test_bucket_tasks_keep_null_buckets_and_cross_ranges(spark, monkeypatch):
+    """Lists of many ranges make the same parts as one list a bucket; buckets without a name and null tasks stay."""
+    monkeypatch.setattr(metrics, "RANGE_ROWS", 7)
+    ids = [*range(40), *range(40), None]
+    data = [("p" if k % 3 else None, i, "ab"[(i or 0) % 2], None if i is None or i % 5 == 0 else "s", ["t"] if (i or 0) % 4 == 0 else []) for k, i in enumerate(ids)]
+    rows = spark.createDataFrame(data, "pipeline string, task_id long, prefix string, schema string, tags array<string>")
+    want = {}
+    for pipeline, i, prefix, schema, tags in data:
+        for family, bucket in [("overall", "all"), ("prefix", prefix), ("schema", schema), *(("tag", t) for t in tags)]:
+            want.setdefault((pipeline, family, bucket), set()).add(i)
+    parts = {}
+    for group, own in want.items():
+        order = sorted(own, key=lambda i: (i is None, i))
+        for k in range(0, len(order), 9):
+            parts[*group, k // 9] = (";".join(str(i) for i in order[k : k + 9] if i is not None), len(order[k : k + 9]))
+    got = metrics.bucket_tasks(rows, ["pipeline"], "tags", 9).collect()
+    assert len(got) == len(parts)
+    assert {(r.pipeline, r.family, r.bucket, r.part): (r.tasks, r.n_tasks) for r in got} == parts
