@@ -36,6 +36,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tasks of a step at least, where a shuffle makes as many partitions.
+LEAST_TASKS = 8
+
+
+def gathered(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """In tasks of ``each`` rows or so, if the partitions are more than such tasks.
+
+    A shuffle makes as many partitions as the session says, however few rows
+    there are, and each of them costs a task with files and log entries of its own.
+    """
+    tasks = LEAST_TASKS + rows // each
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

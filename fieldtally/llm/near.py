@@ -46,7 +46,7 @@ the text are not read, and may have any names.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
 from . import simhash
-from .common import durable, fresh_name
+from .common import durable, fresh_name, gathered
 
 SHINGLE_WORDS = 5
 #: Least similarity of linked texts, as a ratio of integers.
@@ -83,6 +83,8 @@ SHORT = 8
 SLICE = 128
 #: Rows of 16 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Documents or nodes, and entries of prefixes, that a task of a join or grouping has.
+TASK_NODES, TASK_ITEMS = 4_000, 50_000
 
 
 def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -399,9 +401,9 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() * max(len(rows.columns), 2) <= 2 * BROADCAST_ROWS else rows
 
 
-def _beside(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+def _beside(few: Callable[[DataFrame], DataFrame], pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        pairs = few(pairs.join(rows.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side))
     return pairs
 
 
@@ -411,29 +413,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     A set goes to each of its pairs that counts don't rule out, once; the two
     sets of a pair meet by its number.
     """
-    may = durable(_beside(pairs.distinct(), nodes, "n", *ODD).where(_may_fit()).select("a", "b"))
-    may = _beside(may, nodes, "counts", "n").where(_may_be_alike("counts_a", "counts_b", "n_a", "n_b"))
+    few = partial(gathered, rows=nodes.count(), each=TASK_NODES)
+    may = durable(_beside(few, few(pairs.distinct()), nodes, "n", *ODD).where(_may_fit()).select("a", "b"))
+    may = _beside(few, may, nodes, "counts", "n").where(_may_be_alike("counts_a", "counts_b", "n_a", "n_b"))
     near = durable(may.select("a", "b").withColumn("pair", F.monotonically_increasing_id()))
     sides = near.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("s"))
-    sides = durable(sides.select("pair", "s.side", "s.node").join(nodes.select("node", "key", "doc_id"), "node").drop("node"))
+    sides = durable(few(sides.select("pair", "s.side", "s.node").join(nodes.select("node", "key", "doc_id"), "node").drop("node")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _sliced(batches):
             hashes = [shingle_set(t) for t in batch["text"]]
             yield pd.DataFrame({"key": [set_key(h) for h in hashes], "hashes": [h.view(np.int64) for h in hashes]})
 
-    found = texts.join(_small(sides.select("doc_id").distinct()), "doc_id", "left_semi").mapInPandas(sets, "key binary, hashes array<long>")
+    found = texts.join(_small(few(sides.select("doc_id").distinct())), "doc_id", "left_semi").mapInPandas(sets, "key binary, hashes array<long>")
     met = found.join(_small(sides.select("key", "pair", "side")), "key")
     both = met.groupBy("pair").agg(*[F.max(F.when(F.col("side") == k, F.col("hashes"))).alias(n) for k, n in enumerate("xy")])  # repeated rows count once
     shared = F.size(F.array_intersect("x", "y"))
     enough = both.where(shared * SIMILAR[1] >= (F.size("x") + F.size("y") - shared) * SIMILAR[0]).select("pair")
-    return durable(near.join(enough, "pair").select("a", "b"))
+    return durable(few(near.join(enough, "pair").select("a", "b")))
 
 
-def _tree_pairs(nodes: DataFrame) -> DataFrame:
+def _tree_pairs(nodes: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b) of nodes with equal fingerprints, and of those that the vantage-point trees link."""
-    first = durable(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    equal = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    first = durable(few(nodes.groupBy("fp").agg(F.min("node").alias("first"))))
+    equal = few(nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
     return equal.unionByName(simhash.links(first.select("fp", F.col("first").alias("node"))))
 
 
@@ -458,31 +461,42 @@ def _first_met(shingle: str) -> Column:
 def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
     """(node, component) of every node with a link."""
     items = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1)).first()[0] or 0
-    shared = durable(_shared(texts, _common(texts, total), int(items)))
+    few = partial(gathered, rows=max(int(items), total * TASK_ITEMS // TASK_NODES), each=TASK_ITEMS)
+    shared = durable(few(_shared(texts, _common(texts, total), int(items))))
     of = nodes.select("part", "node", "n")
-    few = shared.where("pair").select("x", "y").distinct()
-    few = few.join(of.select(F.col("part").alias("x"), F.col("node").alias("a"), "n"), "x").join(of.select(F.col("part").alias("y"), F.col("node").alias("b"), F.col("n").alias("m")), "y")
-    members = durable(shared.where("not pair").select(F.col("x").alias("shingle"), F.col("y").alias("part")).distinct().join(of, "part").select("shingle", "node", "n"))
+    met = few(shared.where("pair").select("x", "y").distinct())
+    met = few(met.join(of.select(F.col("part").alias("x"), F.col("node").alias("a"), "n"), "x"))
+    met = few(met.join(of.select(F.col("part").alias("y"), F.col("node").alias("b"), F.col("n").alias("m")), "y"))
+    members = few(shared.where("not pair").select(F.col("x").alias("shingle"), F.col("y").alias("part")).distinct())
+    members = durable(few(members.join(of, "part").select("shingle", "node", "n")))
     fits = F.least("n", "m") * SIMILAR[1] >= F.greatest("n", "m") * SIMILAR[0]
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    extra: DataFrame | None = few.where("a <> b").where(fits).select(*ordered).unionByName(_tree_pairs(nodes).select(*ordered))
-    links = found = before = None
+    extra: DataFrame | None = met.where("a <> b").where(fits).select(*ordered).unionByName(_tree_pairs(nodes, few).select(*ordered))
+    found = before = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The components by what is known and by the similar ones of the pairs."""
+        new = _verified(pairs, nodes, texts)
+        if found is not None:
+            new = new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return simhash.components(new, new.count())
+
     for turn in range(PIVOT_ROUNDS + 1):
         named = members.withColumn("component", F.col("node")) if found is None else members.join(_small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = durable(named)
+        named = durable(few(named))
         pivots = named.groupBy("shingle").agg(F.min(F.struct("node", "n", "component")).alias("p"), F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        pivots = durable(pivots.select("shingle", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("of"), "k"))
+        pivots = durable(few(pivots.select("shingle", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("of"), "k")))
         pairs_left = pivots.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
         if not pairs_left and extra is None:
             break
         pairs_left = pairs_left or 0
         last = pairs_left <= FEW_PAIRS or turn == PIVOT_ROUNDS or (before is not None and pairs_left > (1 - WORTH) * before)
         before = pairs_left
-        live = named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle")
+        live = few(named.join(pivots.select("shingle", F.col("b").alias("pivot")), "shingle"))
         if last:
             # A node's shingles stay in one row with what is told of the node, so that no join makes a row for each of them.
             left = live.groupBy("node").agg(F.first("component").alias("component"), F.collect_list("shingle").alias("shingles")).join(nodes.select("node", "part", "doc_id", "n", "counts", *ODD), "node")
-            left = durable(left.withColumnRenamed("doc_id", "own_id"))
+            left = durable(few(left.withColumnRenamed("doc_id", "own_id")))
             several, entries = left.agg(F.sum("n"), F.sum(F.size("shingles"))).first()
             dense = pairs_left > PAIRS_PER_SHINGLE * (several or 0)
             for most in PARTNERS:
@@ -490,29 +504,25 @@ def _links(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame | None:
                     pairs = _across(texts.join(_small(left.drop("shingles")), F.col("doc_id") == F.col("own_id")), int(several or 0), _by_signature, most)
                 else:
                     pairs = _across(left, int(entries or 0), _by_shingle, most)
-                pairs = durable(pairs.distinct())
+                pairs = durable(few(few(pairs).distinct()))
                 waiting = durable(pairs.where("a = b").select(F.col("a").alias("node")))
                 pairs = pairs.where("a <> b")
                 if extra is not None:
                     pairs, extra = pairs.unionByName(extra), None
-                new = _verified(pairs, nodes, texts)
-                links = new if links is None else links.unionByName(new)
-                found = simhash.components(links)
+                found = linked(pairs)
                 if waiting.isEmpty():
                     break
                 # Only nodes with pairs left over meet again, by the components that there are now.
                 again = left.drop("component").join(_small(waiting), "node", "left_semi").join(_small(found), "node", "left")
-                left = durable(again.withColumn("component", F.coalesce("component", "node")))
+                left = durable(few(again.withColumn("component", F.coalesce("component", "node"))))
                 several, entries = left.agg(F.sum("n"), F.sum(F.size("shingles"))).first()
             break
         live = durable(live)
-        pairs = live.join(pivots, "shingle").where(F.col("node") != F.col("b"))
+        pairs = few(live.join(pivots, "shingle")).where(F.col("node") != F.col("b"))
         pairs = pairs.where(F.col("component") != F.col("of")).where(fits).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         if extra is not None:
             pairs, extra = pairs.unionByName(extra), None
-        new = _verified(pairs, nodes, texts)
-        links = new if links is None else links.unionByName(new)
-        found = simhash.components(links)
+        found = linked(pairs)
         members = live.where(F.col("node") != F.col("pivot")).select("shingle", "node", "n")  # the pivot has met all others
     return found
 
@@ -521,15 +531,16 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, key, component_id) of every row with an id; rows of one component are linked by pairs of the least similarity."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     rows = durable(_prints(texts))
-    nodes = rows.groupBy("key", "part", "n", "fp", "counts", *ODD).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    total = rows.count()
+    few = partial(gathered, rows=total, each=TASK_NODES)
+    nodes = few(rows.groupBy("key", "part", "n", "fp", "counts", *ODD).agg(F.min("doc_id").alias("doc_id")))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))  # short numbers, fixed from here on
-    total = nodes.agg(F.sum("copies")).first()[0] or 0
     found = _links(nodes, texts, total) if total else None
     own = nodes.select("key", "node")
     own = own.withColumn("component", F.col("node")) if found is None else own.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = rows.select("doc_id", "key").join(own.drop("node"), "key")
+    named = few(rows.select("doc_id", "key").join(few(own.drop("node")), "key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component").select("doc_id", "key", "component_id", "component")
+    return few(named.join(least, "component").select("doc_id", "key", "component_id", "component"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -540,9 +551,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     ids that occur more than once need a look at their rows.
     """
     rows = durable(near_copies(docs, id_col=id_col, text_col=text_col))
-    of_id = F.count("*").alias("rows")
-    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("c")).select("c.doc_id", "c.key")
-    chosen = durable(chosen.join(rows.groupBy("doc_id").agg(of_id), "doc_id"))
+    of_id, few = F.count("*").alias("rows"), partial(gathered, rows=rows.count(), each=TASK_NODES)
+    chosen = few(rows.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("c")).select("c.doc_id", "c.key"))
+    chosen = durable(few(chosen.join(rows.groupBy("doc_id").agg(of_id), "doc_id")))
     name, key = fresh_name(docs, "kept"), fresh_name(docs, "kept_key")
     mine = F.col(id_col).cast("long") == F.col(name)
     once = docs.join(_small(chosen.where("rows = 1").select(F.col("doc_id").alias(name))), mine, "left_semi")

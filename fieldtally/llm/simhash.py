@@ -29,13 +29,14 @@ the text are not read.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, gathered
 
 BITS = 2
 SHINGLE_WORDS = 3
@@ -47,6 +48,8 @@ LEAF = 128
 DIVIDES = 0.85
 #: A leaf of the tree with more rows than this share of a shard is dealt out by shared neighbours instead.
 CROWD = 4
+#: Edges that a task of a large-star or small-star step has.
+TASK_EDGES = 20_000
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -248,25 +251,30 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return nodes.mapInPandas(to_shards, "shard long, key long, node long").groupBy("shard").applyInPandas(within, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) of every node with a link: the smallest node that it reaches.
 
     Large-star and small-star steps in turn; each keeps what is connected and
-    brings every node nearer to its component's smallest one.
+    brings every node nearer to its component's smallest one.  The steps are
+    many, so each takes as many tasks as its edges need.  ``rows``: how many
+    edges there are, if that is known.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
-    edges = durable(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = durable(edges.distinct() if rows is None else gathered(gathered(edges, rows, TASK_EDGES).distinct(), rows, TASK_EDGES))
     now = state(edges)
     while now[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        few = partial(gathered, rows=now[0], each=TASK_EDGES)
+        both = few(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        large = few(few(large).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = durable(small.select("e.a", "e.b").where("a != b").distinct())
+        edges = durable(few(few(small.select("e.a", "e.b").where("a != b")).distinct()))
         before, now = now, state(edges)
         if now == before:
             break

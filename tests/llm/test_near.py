@@ -182,3 +182,26 @@ def test_a_dense_group_is_not_compared_pair_by_pair(spark, monkeypatch):
         found = {r.doc_id: r.component_id for r in near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert found == least(rows)[0]
     assert seen[0] < 0.15 * 180 * 179 / 2, seen
+
+
+def test_tasks_follow_rows_not_partitions(spark):
+    """A session of very many partitions gives the same components, in far fewer tasks than its partitions for each stage."""
+    rng = random.Random(7)
+    bases = [[f"b{k}w{i}" for i in range(60)] for k in range(20)]
+    rows = [(i, " ".join(edited(rng, bases[i % 20], rng.randrange(0, 4)))) for i in range(120)]
+    context, before = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("near-tasks", "near copies of few rows")
+    try:
+        found = {r.doc_id: r.component_id for r in near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want, pairs = least(rows)
+    assert pairs and found == want
+    told = context.statusTracker()
+    stages = [told.getStageInfo(s) for s in {s for j in told.getJobIdsForGroup("near-tasks") for s in told.getJobInfo(j).stageIds}]
+    tasks = sum(s.numCompletedTasks for s in stages if s)
+    assert 0 < tasks < 2500, tasks
