@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,6 +104,35 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), grams), 0)
 
 
+def char_ngram_counts(text: Column, n: int = 3) -> Column:
+    """How many n-grams ``char_ngrams`` gives, how many of them differ, the first and the last; no text's n-grams are held as a list of strings."""
+
+    @F.pandas_udf("n long, n_distinct long, first string, last string")
+    def counts(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            if not t:
+                rows.append((None, None, None, None) if t is None else (0, 0, None, None))
+            else:
+                rows.append((max(1, len(t) - n + 1), _distinct_ngrams(t, n), t[:n], t[-n:]))
+        return pd.DataFrame(rows, columns=["n", "n_distinct", "first", "last"]).astype({"n": "Int64", "n_distinct": "Int64"})
+
+    return counts(text)
+
+
+def _distinct_ngrams(t: str, n: int) -> int:
+    if len(t) <= n:
+        return 1
+    if n > 3:  # up to three code points of 21 bits fit a number
+        return len({t[i : i + n] for i in range(len(t) - n + 1)})
+    codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    keys = codes[: len(codes) - n + 1].copy()
+    for k in range(1, n):
+        keys = keys << np.uint64(21) | codes[k : len(codes) - n + 1 + k]
+    keys.sort()
+    return 1 + int(np.count_nonzero(keys[1:] != keys[:-1]))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 1 if both are empty."""
     union = F.size(F.array_union(a, b))

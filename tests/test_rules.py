@@ -499,3 +499,24 @@ def test_bucket_tasks_keep_null_buckets_and_cross_ranges(spark, monkeypatch):
     got = metrics.bucket_tasks(rows, ["pipeline"], "tags", 9).collect()
     assert len(got) == len(parts)
     assert {(r.pipeline, r.family, r.bucket, r.part): (r.tasks, r.n_tasks) for r in got} == parts
+
+
+def test_ngram_counts_equal_the_ngrams(spark):
+    texts = ["", None, "a", "ab", "abc", "abab" * 50, "x\U0001f600y" * 40, "no two alike"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    g, c = text.char_ngrams(F.col("t")), text.char_ngram_counts(F.col("t"))
+    for r in rows.select("t", g.alias("g"), c.alias("c")).collect():
+        expected = (None,) * 4 if r.t is None else (len(r.g), len(set(r.g)), r.g[0] if r.g else None, r.g[-1] if r.g else None)
+        assert tuple(r.c) == expected
+    long = spark.createDataFrame([("ab" * 1_000_000,)], "t string").select(text.char_ngram_counts(F.col("t")).alias("c")).first().c
+    assert tuple(long) == (1_999_998, 2, "aba", "bab")
+    assert text._distinct_ngrams("abcdabcd", 4) == 4
+
+
+def test_ngrams_of_documents_without_text(spark, tmp_path):
+    from fieldtally.plans import registry
+
+    spark.createDataFrame([(0, ""), (1, None), (2, "Ab")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "x"), (1, "y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = registry.queries()["p3_char_ngrams"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(0, 0, 0, None, None), (1, 1, 0, None, None), (2, 1, 1, "ab", "ab")]
