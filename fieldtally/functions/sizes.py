@@ -17,6 +17,11 @@ def small(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def meeting(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """The rows, marked for a broadcast if there are few enough, else for a merge: rows that come from a small file, or out of Python, look smaller to Spark than they are, and it would broadcast millions of them."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("merge")
+
+
 #: Rows and bytes that go to a Python worker at a time where rows are texts or become many tokens or numbers.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 256, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 

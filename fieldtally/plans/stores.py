@@ -172,7 +172,7 @@ def _(spark, d):
 
     cases = part_schemas(spark, d).select(F.col("p_partkey").alias("owner"), "schema", "p_size")
     fields, owners = files.build_field_index(cases.select("owner", "schema"), files.shared_folder(spark, "cases-index"))
-    side = cases.select("owner", F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("side"))
+    side = cases.select("owner", F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("side")).hint("merge")  # a row a case: a small file of many rows is no reason for a broadcast
     norm = F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 6)
     a = fields.select("owner", norm.alias("norm")).join(side, "owner").groupBy("side").agg(F.count("*").alias("n_fields"), F.max("norm").alias("longest"))
     return a.join(owners.join(side, "owner").groupBy("side").agg(F.count("*").alias("n_cases")), "side")

@@ -171,6 +171,7 @@ def build_field_index(cases: DataFrame, path: str, embed=None, before: str | Non
     earlier one, embeds only the texts that the earlier one lacks.
     """
     from ..functions import records
+    from ..functions.sizes import meeting
     from ..operators import schemas
 
     own = cases.withColumn("fingerprint", F.sha1(records.canonical_json(F.col("schema"))))
@@ -179,5 +180,5 @@ def build_field_index(cases: DataFrame, path: str, embed=None, before: str | Non
     texts = durable(fields.select("fingerprint", "position", "type_class", "name", schemas.field_text(F.col("name"), F.col("type_text"), F.col("description")).alias("text")))
     known = None if before is None else cases.sparkSession.read.parquet(f"{before}/vectors")
     kept = write_field_index(schemas.grown_vectors(known, texts, "text", embed or schemas.hashed_vectors), f"{path}/vectors")
-    rows = owners.join(texts, "fingerprint").drop("fingerprint")  # before the vectors, which are wide
+    rows = owners.join(meeting(texts), "fingerprint").drop("fingerprint")  # before the vectors, which are wide
     return write_field_index(schemas.with_known_vectors(rows, "text", kept), f"{path}/fields"), owners

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from fieldtally.functions import sizes
 from fieldtally.llm import near
 from fieldtally.operators import consensus, schemas
 from fieldtally.plans import stores, texts
@@ -66,3 +67,29 @@ def test_consensus_groups_are_dealt_over_all_cores(spark):
 
 def test_records_are_walked_on_all_cores(spark, sf_dir):
     assert texts.order_records(spark, sf_dir).rdd.getNumPartitions() == 4
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_rows_of_a_small_file_are_not_broadcast(spark, tmp_path, sf_dir):
+    from fieldtally.plans import registry
+
+    spark.range(300).write.parquet(f"{tmp_path}/a")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.range(1000)
+    assert "BroadcastHashJoin" in _plan(b.join(a, "id")) and "BroadcastHashJoin" in _plan(b.join(sizes.meeting(a, 300), "id"))
+    many = b.join(sizes.meeting(a, 299), "id")
+    assert "BroadcastHashJoin" not in _plan(many) and many.count() == 300
+    assert "BroadcastHashJoin [owner" not in _plan(registry.queries()["snk4_case_index"](spark, sf_dir))  # the last one, of two sides, may be
+
+
+def test_texts_of_an_index_are_not_broadcast_beyond_the_limit(spark, tmp_path, monkeypatch):
+    """The index is the same whether its texts are few enough for a broadcast or not."""
+    schema = '{"type":"object","properties":{"a%d":{"type":"integer"},"b":{"type":"string"}}}'
+    cases = spark.createDataFrame([(i, schema % (i % 7)) for i in range(20)], "owner long, schema string")
+    plain = lambda rows: sorted((r.owner, r.name, tuple(r.vec)) for r in rows.collect())
+    few = plain(files.build_field_index(cases, f"{tmp_path}/few")[0])
+    asked, own = [], sizes.meeting
+    monkeypatch.setattr(sizes, "meeting", lambda rows: asked.append(1) or own(rows, 3))
+    assert plain(files.build_field_index(cases, f"{tmp_path}/many")[0]) == few and len(few) == 40 and asked
