@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records, text
 from ..sources.files import durable
+from .fieldsearch import FieldSearch
 from .lexical import LexicalIndex, lexical_ranked  # noqa: F401
 from .ranking import numbered_within
 from .schemas import field_tags
@@ -30,7 +31,8 @@ def unit(vec: Column) -> Column:
     """The vector as doubles, of length 1; a zero vector stays."""
     doubles = F.transform(vec, lambda x: x.cast("double"))
     size = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(doubles, lambda x: F.when(size > 0, x / size).otherwise(x))
+    scaled = lambda s: F.transform(doubles, lambda x: F.when(s > 0, x / s).otherwise(x))
+    return F.get(F.transform(F.array(size), scaled), 0)  # under a name the length is made once, not for each number
 
 
 def best(rows: DataFrame, keys: list[str], k: int, *order: Column | str) -> DataFrame:
@@ -65,31 +67,31 @@ def nth_same_schema(tasks: DataFrame, cases: DataFrame, n: int) -> DataFrame:
     return tasks.select("task_id", "fingerprint").join(nth, "fingerprint").select("task_id", "case_id")
 
 
-def alignment(queries: DataFrame, cases: DataFrame, salts: int | None = None) -> DataFrame:
-    """Per query, case and query field: the best similarity (at least 0) to a case field of the same class, and that field.
+def alignment(queries: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per query, case and query field: the best similarity (at least 0) to a case field of the same class, and that field."""
+    return FieldSearch(queries, cases).aligned()
 
-    A few classes hold most fields, so the join key is (class, salt): a case
-    lies in one salt, each query field in all, as many as there are shuffle
-    partitions.  Nothing needs to be broadcast.
-    """
-    salts = salts or int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = queries.select(F.col("owner").alias("query"), F.col("position").alias("field"), "type_class", "vec", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = cases.select(F.col("owner").alias("case_id"), F.col("name").alias("case_field"), "type_class", F.col("vec").alias("case_vec"), F.pmod(F.xxhash64("owner"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = left.join(right, ["type_class", "salt"]).select("query", "case_id", "field", "case_field", F.round(F.greatest(F.lit(0.0), dot(F.col("vec"), F.col("case_vec"))), 9).alias("similarity"))
-    first = F.min_by("case_field", F.struct(-F.col("similarity"), F.col("case_field")))
-    return pairs.groupBy("query", "case_id", "field").agg(F.max("similarity").alias("similarity"), first.alias("case_field"))
+
+def candidates(queries: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per query and other case: the similarity of every query field in order (0 where there is none) and the norm as score."""
+    return FieldSearch(queries, cases).candidates()
 
 
-def candidates(aligned: DataFrame, fields: DataFrame) -> DataFrame:
-    """Per query and case: the similarity of every query field in order (0 where there is none) and the norm as score."""
-    every = fields.groupBy(F.col("owner").alias("query")).agg(F.array_sort(F.collect_set("position")).alias("positions"))
-    found = aligned.groupBy("query", "case_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "similarity"))).alias("m"))
-    vec = F.transform("positions", lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0.0)))
-    return found.join(every, "query").select("query", "case_id", vec.alias("vec")).withColumn("score", F.round(F.sqrt(dot(F.col("vec"), F.col("vec"))), 9))
+def first_cases(search: FieldSearch, k: int, excluded: DataFrame | None = None) -> DataFrame:
+    """The k candidates of the highest scores, and at least ``FIRST_CASES``, with their place; kept for later calls where nothing is excluded."""
+    k = max(k, FIRST_CASES)
+    if excluded is None and getattr(search, "first", (0, None))[0] >= k:
+        return search.first[1]
+    found = durable(best(search.tops(k, excluded), ["query"], k, F.desc("score"), "case_id"))
+    if excluded is None:
+        search.first = (k, found)
+    return found
 
 
-def independent_top(cands: DataFrame, k: int = 2) -> DataFrame:
+def independent_top(cands: DataFrame | FieldSearch, k: int = 2) -> DataFrame:
     """The cases of the highest scores."""
+    if isinstance(cands, FieldSearch):
+        return first_cases(cands, k).where(F.col("place") <= k)
     return best(cands, ["query"], k, F.desc("score"), "case_id")
 
 
@@ -100,20 +102,40 @@ def pair_score(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.round(root(squares + product) + root(squares - product), 9)
 
 
-def complementary_pairs(cands: DataFrame) -> DataFrame:
+def complementary_pairs(cands: DataFrame | FieldSearch) -> DataFrame:
     """Per query the pair of cases of the highest pair score; ties by the sum of scores, then the least sum of ids, then the lower ids.
 
     The squared pair score is at most four times the sum of the squared norms.
     The best partners of the highest-scoring cases give a bound; a case whose
     norm can't reach it with any partner goes.  The others meet in bands of
     their squared norm: each meets only the bands, from its own downwards, in
-    which a partner's norm could still make up for what its own lacks.
+    which a partner's norm could still make up for what its own lacks.  A
+    search makes its candidates anew for each of these steps, and they are
+    never all there.
     """
+    kept = _reaching_of(cands, first_cases(cands, FIRST_CASES)) if isinstance(cands, FieldSearch) else _reaching(cands)
+    return _best_pairs(kept).select("query", "a", "b", "pair_score", "score_sum")
+
+
+def _reaching(cands: DataFrame) -> DataFrame:
+    """The candidates that can be in a best pair, with the ``bound`` of their query and its highest score."""
     own = durable(cands.select("query", "case_id", "vec", "score"))
     top = best(own, ["query"], FIRST_CASES, F.desc("score"), "case_id").select("query", F.col("case_id").alias("t_id"), F.col("vec").alias("t_vec"), F.col("score").alias("t_score"))
     met = own.join(top, "query").where("case_id <> t_id")
     bound = durable(met.groupBy("query").agg(F.max(pair_score(F.col("vec"), F.col("t_vec"), F.col("score"), F.col("t_score"))).alias("bound"), F.max("t_score").alias("t_score")))
-    kept = own.join(bound, "query").where("4 * (score * score + t_score * t_score) >= bound * bound - 1e-6").withColumn("lacks", F.col("bound") * F.col("bound") / 4 - 1e-6 - F.col("score") * F.col("score"))
+    return own.join(bound, "query").where("4 * (score * score + t_score * t_score) >= bound * bound - 1e-6 * greatest(bound, 1)")
+
+
+def _reaching_of(search: FieldSearch, first: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """``_reaching`` for a search whose first cases are known."""
+    first = first.where(F.col("place") <= FIRST_CASES)
+    bound = durable(search.bounds(first, excluded).join(first.groupBy("query").agg(F.max("score").alias("t_score")), "query"))
+    return search.within(bound, excluded).join(bound, "query")
+
+
+def _best_pairs(kept: DataFrame) -> DataFrame:
+    """The best pair of each query, with vectors and scores of both; of cases with one vector the first two by id stand for all."""
+    kept = durable(best(kept, ["query", "vec", "score"], 2, "case_id").withColumn("lacks", F.col("bound") * F.col("bound") / 4 - 1e-6 * F.greatest("bound", F.lit(1.0)) - F.col("score") * F.col("score")))
     band = lambda square: F.floor(square * NORM_BANDS / F.greatest(F.col("t_score") * F.col("t_score"), F.lit(1e-12))).cast("int")
     square = F.col("score") * F.col("score")
     left = kept.select("query", "case_id", "vec", "score", "lacks", F.explode(F.sequence(F.least(band(F.greatest("lacks", F.lit(0.0))), band(square)), band(square))).alias("band"))
@@ -121,19 +143,25 @@ def complementary_pairs(cands: DataFrame) -> DataFrame:
     smaller = (F.col("b_score") < F.col("score")) | ((F.col("b_score") == F.col("score")) & (F.col("case_id") < F.col("b_case_id")))
     pairs = left.join(other, ["query", "band"]).where(smaller & (F.col("b_score") * F.col("b_score") >= F.col("lacks")))
     pairs = pairs.select("query", *[F.when(F.col("case_id") < F.col("b_case_id"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("case_id", "b_case_id"), ("vec", "b_vec"), ("score", "b_score"))], *[F.when(F.col("case_id") < F.col("b_case_id"), F.col(b)).otherwise(F.col(a)).alias(b) for a, b in (("case_id", "b_case_id"), ("vec", "b_vec"), ("score", "b_score"))])
-    scored = pairs.select("query", F.col("case_id").alias("a"), F.col("b_case_id").alias("b"), pair_score(F.col("vec"), F.col("b_vec"), F.col("score"), F.col("b_score")).alias("pair_score"), F.round(F.col("score") + F.col("b_score"), 9).alias("score_sum"))
+    scored = pairs.select("query", F.col("case_id").alias("a"), F.col("b_case_id").alias("b"), pair_score(F.col("vec"), F.col("b_vec"), F.col("score"), F.col("b_score")).alias("pair_score"), F.round(F.col("score") + F.col("b_score"), 9).alias("score_sum"), F.col("vec").alias("a_vec"), "b_vec", F.col("score").alias("a_score"), "b_score")
     return best(scored, ["query"], 1, F.desc(F.round("pair_score", 7)), F.desc("score_sum"), F.col("a") + F.col("b"), "a").drop("place")
 
 
-def diverse_top(cands: DataFrame, k: int = 2, excluded: DataFrame | None = None) -> DataFrame:
+def diverse_top(cands: DataFrame | FieldSearch, k: int = 2, excluded: DataFrame | None = None) -> DataFrame:
     """The complementary pair first, then the rest by score; where no pair scores above 0, all by score.
 
-    ``excluded`` has (query, case_id) rows that aren't candidates.
+    ``excluded`` has (query, case_id) rows that aren't candidates, of a search a few for each query.
     """
-    rows = cands if excluded is None else durable(remaining(cands, excluded))
-    pairs = complementary_pairs(rows).where("pair_score > 0").select("query", F.explode(F.array("a", "b")).alias("case_id")).withColumn("in_pair", F.lit(True))
-    ranked = rows.join(pairs, ["query", "case_id"], "left").withColumn("in_pair", F.coalesce("in_pair", F.lit(False)))
-    return best(ranked, ["query"], k, F.desc("in_pair"), F.desc("score"), "case_id")
+    if isinstance(cands, FieldSearch):
+        rows = first_cases(cands, k, excluded)
+        kept = _reaching_of(cands, rows, excluded)
+    else:
+        rows = cands if excluded is None else durable(remaining(cands, excluded))
+        kept = _reaching(rows)
+    member = lambda s: F.struct(F.col(s).alias("case_id"), F.col(f"{s}_vec").alias("vec"), F.col(f"{s}_score").alias("score"))
+    pairs = durable(_best_pairs(kept).where("pair_score > 0").select("query", F.explode(F.array(member("a"), member("b"))).alias("m")).select("query", "m.*"))
+    others = remaining(rows, pairs).select("query", "case_id", "vec", "score", F.lit(False).alias("in_pair"))
+    return best(others.unionByName(pairs.withColumn("in_pair", F.lit(True))), ["query"], k, F.desc("in_pair"), F.desc("score"), "case_id")
 
 
 def remaining(cands: DataFrame, selected: DataFrame) -> DataFrame:

@@ -33,10 +33,15 @@ def aligned(rows):
     return retrieval.alignment(rows.where(QUERIES), rows).where("query <> case_id")
 
 
-def cands(spark, d):
-    """The candidates of every query, made once and kept: all that selects among them reads them several times."""
+def search(spark, d):
+    """The search of all queries, for what selects among their candidates."""
     rows = fields(spark, d)
-    return durable(retrieval.candidates(aligned(rows), rows.where(QUERIES)))
+    return retrieval.FieldSearch(rows.where(QUERIES), rows)
+
+
+def cands(spark, d):
+    """All candidates of every query."""
+    return search(spark, d).candidates()
 
 
 @query("j6_r4_alignment", f"WITH {CANDS_SQL} SELECT query, case_id, field, round(similarity, 6) AS similarity, case_field FROM aligned WHERE similarity > 0")
@@ -51,17 +56,17 @@ def _(spark, d):
 
 @query("r5_independent_top", f"WITH {BEST_SQL} SELECT query, case_id, place, round(score, 6) AS score FROM ind")
 def _(spark, d):
-    return rounded(retrieval.independent_top(cands(spark, d)).select("query", "case_id", "place", "score"))
+    return rounded(retrieval.independent_top(search(spark, d)).select("query", "case_id", "place", "score"))
 
 
 @query("j7_r6_pairs", f"WITH {BEST_SQL} SELECT query, a, b, round(pair_score, 6) AS pair_score, round(score_sum, 6) AS score_sum FROM pairs WHERE rn = 1")
 def _(spark, d):
-    return rounded(retrieval.complementary_pairs(cands(spark, d)))
+    return rounded(retrieval.complementary_pairs(search(spark, d)))
 
 
 @query("r6_diverse_top", f"WITH {BEST_SQL} SELECT query, case_id, place FROM div")
 def _(spark, d):
-    return retrieval.diverse_top(cands(spark, d)).select("query", "case_id", "place")
+    return retrieval.diverse_top(search(spark, d)).select("query", "case_id", "place")
 
 
 TOPS = """{n}t AS (SELECT query, f, max(vec[f]) AS top FROM {n}, (SELECT unnest(range(1, 6)) AS f) GROUP BY ALL),
@@ -70,20 +75,20 @@ TOPS = """{n}t AS (SELECT query, f, max(vec[f]) AS top FROM {n}, (SELECT unnest(
 
 @query("r9_selection_metrics", f"WITH {BEST_SQL}, {TOPS.format(n='div')} SELECT query, round(score_sum, 6) AS score_sum, cases, covered, round(covered_share, 6) AS covered_share, round(mean_top, 6) AS mean_top, round(least_top, 6) AS least_top FROM divm")
 def _(spark, d):
-    return rounded(retrieval.selection_metrics(retrieval.diverse_top(cands(spark, d))))
+    return rounded(retrieval.selection_metrics(retrieval.diverse_top(search(spark, d))))
 
 
 @query("r10_selections_compared", f"WITH {BEST_SQL}, {TOPS.format(n='div')}, {TOPS.format(n='ind')} SELECT a.query, a.cases = b.cases AS same_pair, round(b.score_sum - a.score_sum, 6) + 0.0 AS score_loss, round(a.covered_share - b.covered_share, 6) + 0.0 AS coverage_gain, round(a.mean_top - b.mean_top, 6) + 0.0 AS similarity_gain FROM divm a JOIN indm b USING (query)")
 def _(spark, d):
-    rows = cands(spark, d)
+    rows = search(spark, d)
     metrics = [retrieval.selection_metrics(s) for s in (retrieval.diverse_top(rows), retrieval.independent_top(rows))]
     return rounded(retrieval.selections_compared(*metrics))
 
 
 @query("s4_remaining", f"WITH {BEST_SQL} SELECT query, case_id FROM cands EXCEPT SELECT query, case_id FROM ind")
 def _(spark, d):
-    rows = cands(spark, d)
-    return retrieval.remaining(rows, retrieval.independent_top(rows)).select("query", "case_id")
+    rows = search(spark, d)
+    return rows.candidates(excluded=retrieval.independent_top(rows)).select("query", "case_id")
 
 
 TASKS = "tasks AS (SELECT vec_id AS task_id, label AS fingerprint, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE), list_transform(embedding, lambda y: y::DOUBLE)))) AS vec FROM embeddings)"
@@ -118,16 +123,14 @@ def _(spark, d):
 @query("r6_excluded", f"WITH {BEST_SQL}, x AS (SELECT query, case_id FROM ind WHERE place = 1), left_ AS (SELECT * FROM cands ANTI JOIN x USING (query, case_id)), p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(pair_score, 7) DESC, score_sum DESC, a + b, a) AS rn FROM (SELECT x.query, x.case_id AS a, y.case_id AS b, {PAIR} AS pair_score, round(x.score + y.score, 9) AS score_sum FROM left_ x JOIN left_ y ON x.query = y.query AND x.case_id < y.case_id)) WHERE rn = 1 AND pair_score > 0) SELECT query, case_id, place FROM (SELECT c.query, c.case_id, row_number() OVER (PARTITION BY c.query ORDER BY coalesce(c.case_id = a OR c.case_id = b, false) DESC, score DESC, case_id) AS place FROM left_ c LEFT JOIN p2 p ON c.query = p.query) WHERE place <= 3")
 def _(spark, d):
     """The best single case of each query is no candidate."""
-    rows = cands(spark, d)
+    rows = search(spark, d)
     return retrieval.diverse_top(rows, 3, excluded=retrieval.independent_top(rows, 1)).select("query", "case_id", "place")
 
 
 def diverse_for(spark, d, n: int):
     """The diverse selection of the first n owners against all: the retrieval that the bench times."""
     rows = fields(spark, d)
-    wanted = rows.where(F.col("owner") < n)
-    found = retrieval.alignment(wanted, rows).where("query <> case_id")
-    return retrieval.diverse_top(retrieval.candidates(found, wanted))
+    return retrieval.diverse_top(retrieval.FieldSearch(rows.where(F.col("owner") < n), rows))
 
 
 #: A row's schema by its number: a whole number that is required, and a text or a choice.
@@ -174,8 +177,7 @@ def _(spark, d):
     schema = retrieval.same_schema_ranked(every.withColumnRenamed("case_id", "task_id").join(wanted, "task_id", "left_semi"), every, threshold=0.35, k=2)
     rows = fields(spark, d)
     indexed = rows.where("owner % 3 = 0").join(wanted.select(F.col("task_id").alias("owner")), "owner", "left_semi")
-    found = retrieval.candidates(retrieval.alignment(indexed, rows).where("query <> case_id"), indexed)
-    by_fields = retrieval.independent_top(found).withColumnRenamed("query", "task_id")
+    by_fields = retrieval.independent_top(retrieval.FieldSearch(indexed, rows)).withColumnRenamed("query", "task_id")
     return retrieval.routed(wanted, schema, by_fields, lambda left: retrieval.lexical_ranked(a.join(left, "task_id", "left_semi"), b, k=2))
 
 
